@@ -7,6 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lines import dedup
+
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.md5("text").alias("kept_md5"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import interleave
+
+    return interleave(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import flag
 
@@ -42,8 +63,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality, op4_decontaminate, op8_token_counts, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_decontaminate, op5_mixing, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import lines, mixing
+
+    return {"op1_line_dedup": lines.SQL, "op5_mixing": mixing.SQL}
