@@ -16,6 +16,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.md5("text").alias("kept_md5"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import cluster
+
+    return cluster(table(spark, sf_dir, "documents"), words=3, least="9/10")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import interleave
 
@@ -63,10 +69,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_decontaminate, op5_mixing, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lines, mixing
+    from . import jaccard, lines, mixing
 
-    return {"op1_line_dedup": lines.SQL, "op5_mixing": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op2_ngram_jaccard": jaccard.SQL, "op5_mixing": mixing.SQL}
