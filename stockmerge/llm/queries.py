@@ -28,6 +28,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import report
 
@@ -69,7 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
