@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Words as the similarity operators see them: maximal runs without ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,6 +68,16 @@ def windows(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def least_hashed(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """At most ``most`` rows (doc_id, by) for each value of ``by``: those whose id has the least hash, with ``rn``.  Ranked
+    in 64 parts first, so that no task ranks all rows of a frequent value; texts stay out of it."""
+    ids = rows.select("doc_id", by).withColumn("_h", F.xxhash64("doc_id"))
+    order = ("_h", "doc_id")
+    part = Window.partitionBy(by, F.pmod("_h", F.lit(64))).orderBy(*order)
+    some = ids.withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= most).drop("rn")
+    return some.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= most).drop("_h")
+
+
 def gear_table(seed: int = 0x5EED) -> np.ndarray:
     """256 fixed pseudo-random uint32 values."""
     return (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, texts_of
+from .common import column, least_hashed, slices, texts_of
 
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -79,16 +79,10 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: fl
     """Learn from at most ``per_language`` rows of each language (the rows with the smallest hash of
     the id), of which the first ``landmarks`` are landmarks.  The sample is bounded, so it may go through the
     driver; the rest of the corpus does not.  Without any labelled row the model knows no language."""
-    w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    sample = (
-        labelled(docs)
-        .withColumn("h", F.xxhash64("doc_id"))
-        .withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= per_language)
-        .select("lang", "rn", "text")
-        .toPandas()
-        .sort_values(["rn", "lang"], kind="stable")
-    )
+    known = labelled(docs)
+    chosen = least_hashed(known, "lang", per_language).select("doc_id", "rn")
+    sample = known.join(F.broadcast(chosen), "doc_id").select("lang", "rn", "doc_id", "text").toPandas()
+    sample = sample.sort_values(["rn", "lang", "doc_id", "text"], kind="stable")
     langs = sorted(set(sample["lang"]))
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))

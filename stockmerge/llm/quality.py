@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Codes, column, lower_ascii, slices, texts_of, word_code
+from .common import WORD, Codes, column, least_hashed, lower_ascii, slices, texts_of, word_code
 
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, grade int, selected boolean"
 DIMENSIONS = 1 << 14
@@ -55,9 +55,9 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, graded: DataFrame, per_grade: int) -> DataFrame:
-    w = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = docs.where("text IS NOT NULL").join(graded.select("doc_id", "grade"), "doc_id")
-    chosen = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_grade)
+    """Features of the texts of the labelled ids with the least hashes.  Ids are chosen without texts, so that at most
+    ``per_grade`` of them for each of three grades meet the documents, as a broadcast."""
+    chosen = docs.where("text IS NOT NULL").join(F.broadcast(least_hashed(graded, "grade", per_grade)), "doc_id")
 
     def run(batches):
         for batch in slices(batches):
@@ -68,7 +68,7 @@ def sample(docs: DataFrame, graded: DataFrame, per_grade: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, graded: DataFrame, per_grade: int = 1500, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Learn from at most ``per_grade`` rows of each grade (those with the smallest hash of the id); this documented
+    """Learn from at most ``per_grade`` rows of each grade (of the labelled ids with the smallest hash); this documented
     bound is what passes through the driver.  Full-batch adaptive gradient steps; thresholds stay ordered as the
     first plus exponentials.  With fewer than two grades the model is empty and predicts grade 0."""
     pdf = sample(docs, graded, per_grade).toPandas()
