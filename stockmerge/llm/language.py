@@ -118,21 +118,40 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         presence = Presence(m.grams)
         for batch in slices(batches, 128):
-            texts = [t if t is not None and m.langs and any(map(str.isalpha, t)) else None for t in texts_of(batch)]
-            real = [i for i, t in enumerate(texts) if t is not None]
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            if real:
-                near = presence.rows([texts[i] for i in real]) @ m.landmarks
-                out = near @ m.weights[:-1] + m.weights[-1]
-                best = out.argmax(1)
-                top = np.clip((out[np.arange(len(real)), best].astype(float) + 1) / 2, 0, 1)
-                for i, b, s in zip(real, best, top, strict=True):
-                    lang[i], score[i] = m.langs[b], float(s)
+            lang, score = _judge(texts_of(batch), m, presence)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def _judge(texts: list[str | None], m: Model, presence: Presence) -> tuple[list[str], list[float]]:
+    real = [i for i, t in enumerate(texts) if t is not None and m.langs and any(map(str.isalpha, t))]
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    if real:
+        near = presence.rows([texts[i] for i in real]) @ m.landmarks
+        out = near @ m.weights[:-1] + m.weights[-1]
+        best = out.argmax(1)
+        top = np.clip((out[np.arange(len(real)), best].astype(float) + 1) / 2, 0, 1)
+        for i, b, s in zip(real, best, top, strict=True):
+            lang[i], score[i] = m.langs[b], float(s)
+    return lang, score
+
+
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Fit on the labelled rows of ``docs`` and predict for all of them."""
     return predict(docs, fit(docs, **options))
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.0, languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told (not ``und``) with a score of at least ``least``
+    and is among ``languages``, if given.  Rows stay where they are; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        presence = Presence(m.grams)
+        for batch in slices(batches, 128):
+            lang, score = _judge(texts_of(batch), m, presence)
+            yield batch.filter(pa.array([g != "und" and s >= least and (languages is None or g in languages) for g, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

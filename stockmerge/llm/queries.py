@@ -74,8 +74,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (held_out_part() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
