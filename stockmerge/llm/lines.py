@@ -20,7 +20,7 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def chunked(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
-    """``docs`` with ``chunks``, an array of (idx, n_lines, chunk).  A chunk ends after a line where the rolling hash of
+    """``docs`` with ``_chunks``, an array of (idx, n_lines, chunk).  A chunk ends after a line where the rolling hash of
     the last ``window`` line hashes is 0 modulo ``divisor``, and with the text; so borders move with inserted lines."""
     roll = lambda h, i: sum((F.coalesce(F.get(h, i - k), F.lit(0)) * MULTIPLIER**k for k in range(1, window)), F.get(h, i))
     ends = F.filter(
@@ -39,11 +39,11 @@ def chunked(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     out = computed(docs, _lines=lines, _hashes=F.transform(lines, line_hash))
     out = computed(out, _ends=ends)
-    return computed(out, chunks=F.transform("_ends", chunk)).drop("_lines", "_hashes", "_ends")
+    return computed(out, _chunks=F.transform("_ends", chunk)).drop("_lines", "_hashes", "_ends")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, drop): indexes of the chunks of at least two lines that occur earlier, in a smaller doc_id or before in
+    """(doc_id, _drop): indexes of the chunks of at least two lines that occur earlier, in a smaller doc_id or before in
     the same document.
 
     Hashes are counted first, without texts; only chunks whose hash repeats are grouped by hash *and* bytes, which is
@@ -51,7 +51,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     """
     chunks = (
         chunked(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), **options)
-        .select("doc_id", F.explode("chunks").alias("c"))
+        .select("doc_id", F.explode("_chunks").alias("c"))
         .select("doc_id", F.col("c.idx").alias("idx"), F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"))
         .where("n_lines > 1")
         .withColumn("h", F.xxhash64("chunk"))
@@ -63,7 +63,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     later = same.where("doc_id > doc").select("doc_id", "idx")
     within = same.where("doc_id = doc").groupBy("doc_id", "h", "chunk").agg(F.collect_set("idx").alias("all")).where("size(all) > 1")
     again = within.select("doc_id", F.explode(F.filter("all", lambda i: i > F.array_min("all"))).alias("idx"))
-    return later.unionByName(again).groupBy("doc_id").agg(F.collect_set("idx").alias("drop"))
+    return later.unionByName(again).groupBy("doc_id").agg(F.collect_set("idx").alias("_drop"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -71,21 +71,22 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
     The earliest copy of a repeated multi-line chunk stays; single-line chunks always stay.  Lines are split at ``\\n`` alone
     and compared byte by byte.  An empty text is one empty line.  Null text or null doc_id: the row comes
-    back unchanged (null text has 0 lines).  Rows with the same doc_id count as one document.  Other columns pass.
+    back unchanged (null text has 0 lines).  Rows with the same doc_id count as one document.  Other columns pass; those named
+    like the counts are replaced.
     """
-    names = docs.columns
+    own = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
+    names = [c for c in docs.columns if c not in own]
     drops = repeated(docs, **options)
-    cut = chunked(docs, **options).join(drops, "doc_id", "left")
-    kept = F.filter("chunks", lambda c: ~F.array_contains(F.col("drop"), c["idx"]))
+    cut = chunked(docs.select(names), **options).join(drops, "doc_id", "left")
+    kept = F.filter("_chunks", lambda c: ~F.array_contains(F.col("_drop"), c["idx"]))
+    out = computed(cut, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))
     lines = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n_lines"])
     known = F.col("text").isNotNull()
-    out = computed(cut, _kept=F.when(F.col("drop").isNull(), F.col("chunks")).otherwise(kept))
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda c: c["chunk"]), "\n"))
+    counts = (lines("_chunks"), F.size("_chunks"), F.size("_chunks") - F.size("_kept"), lines("_chunks") - lines("_kept"))
     return out.select(
-        *[F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda c: c["chunk"]), "\n")).alias("text") if c == "text" else F.col(c) for c in names],
-        F.when(known, lines(F.col("chunks"))).otherwise(0).alias("n_lines"),
-        F.when(known, F.size("chunks")).otherwise(0).cast("long").alias("n_chunks"),
-        F.when(known, F.size("chunks") - F.size("_kept")).otherwise(0).cast("long").alias("removed_chunks"),
-        F.when(known, lines(F.col("chunks")) - lines(F.col("_kept"))).otherwise(0).alias("removed_lines"),
+        *[text.alias(c) if c == "text" else F.col(c) for c in names],
+        *[F.when(known, v).otherwise(0).cast("long").alias(c) for c, v in zip(own, counts, strict=True)],
     )
 
 

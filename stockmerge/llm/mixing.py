@@ -60,11 +60,12 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
 
     Ranks within a source come from counts of 4096 hash ranges, so no task holds a whole source.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_rank", "on_target")]
+    docs = docs.select(names)
     rows = docs.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("_range", F.substring("_h", 1, 3))
-    counts = rows.groupBy("_source", "_range").agg(F.count("*").alias("n"))
-    sizes = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("n")).limit(most_sources + 1).collect()}
+    counts = rows.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
+    sizes = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("_n")).limit(most_sources + 1).collect()}
     if len(sizes) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     if weights is None:
@@ -78,7 +79,7 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
     horizon = min(((b // parts[s]) * length + at[s, b % parts[s]] for s, n in sizes.items() for b in [-(-n // block)]), default=0)
     slots = F.broadcast(spark.createDataFrame([(s, j, slot, parts[s]) for s, j, slot in table], "_source string, _j long, _slot long, _parts long"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = Window.partitionBy("_source", "_range").orderBy("_h", "doc_id")
     ranked = rows.withColumn("_rn", F.row_number().over(own)).join(offsets, ["_source", "_range"]).withColumn("_rank", F.col("_offset") + F.col("_rn") - 1)
     parts_of = F.broadcast(spark.createDataFrame(list(parts.items()), "_source string, _parts long"))
