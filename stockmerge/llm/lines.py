@@ -53,7 +53,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
         chunked(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), **options)
         .select("doc_id", F.explode("_chunks").alias("c"))
         .select("doc_id", F.col("c.idx").alias("idx"), F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"))
-        .where("n_lines > 1")
+        .where("n_lines > 1 AND chunk IS NOT NULL")  # said here, so that both uses below share one shuffle
         .withColumn("h", F.xxhash64("chunk"))
     )
     often = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -77,7 +77,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     own = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     names = [c for c in docs.columns if c not in own]
     drops = repeated(docs, **options)
-    cut = chunked(docs.select(names), **options).join(drops, "doc_id", "left")
+    cut = chunked(docs.select(names).join(drops, "doc_id", "left"), **options)
     kept = F.filter("_chunks", lambda c: ~F.array_contains(F.col("_drop"), c["idx"]))
     out = computed(cut, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))
     lines = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n_lines"])
