@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: Words as the similarity operators see them: maximal runs without ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.translate(_UPPER) if not text.isascii() else text.lower()
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class Codes(dict):
     """word -> int64 hash, remembered; forgotten as a whole beyond ``limit`` words to bound memory."""
 
-    def __init__(self, code=None, limit: int = 400_000):
+    def __init__(self, code=None, limit: int = 800_000):
         super().__init__()
         self.code, self.limit = code or word_code, limit
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Codes, column, cut, lower_ascii, mix, slices, texts_of, windows
 
-FRAGMENTS, GROUPS = 32, 4  # pieces for bounds; pieces whose n-grams travel together when partial overlaps are counted
-COUNTERS, SLICE = 1 << 20, 1 << 14
+FRAGMENTS, GROUPS = 32, 8  # pieces for bounds; pieces for counting partial overlaps
+COUNTERS, SLICE = 1 << 18, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def piece(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def counter(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(44)).astype(np.int64)
+    return (mix(h) >> np.uint64(46)).astype(np.int64)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -82,7 +82,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(text, words)
                 keys.append(set_key(s))
                 ns.append(len(s))
-                counts.append(np.bincount(piece(s, FRAGMENTS), minlength=FRAGMENTS).astype(np.uint16 if len(s) < 65536 else np.uint32).tobytes())
+                c = np.bincount(piece(s, FRAGMENTS), minlength=FRAGMENTS)
+                counts.append(c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes())
                 if len(s):
                     np.add.at(seen, counter(s), 1)
             yield _rows([0] * len(ns), column(batch, "doc_id"), keys, ns, counts)
@@ -117,17 +118,20 @@ def frequencies(described: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
-    """(gram, key, n) for the first n-grams of every set in the global order."""
+    """(gram, key, n) for the first n-grams of every set in the global order; a task sends equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        rank = shared.value
+        rank, sent = shared.value, set()
         for batch in slices(batches):
             grams, keys, ns = [], [], []
             for text in texts_of(batch):
                 s = shingles(text, rule.words)
-                if not len(s):
+                if not len(s) or set_key(s) in sent:
                     continue
+                sent.add(set_key(s))
+                if len(sent) > 100_000:
+                    sent.clear()
                 p = rule.prefix(len(s))
                 level = rank[counter(s)]
                 first = s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]]
@@ -141,7 +145,7 @@ def prefixes(docs: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
 
 
 def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(gram, part, key) of the buckets with at least two classes.  rows are distinct.  A task walks its n-grams by set
+    """(gram, part, key) of the buckets with at least two classes.  A task walks its n-grams by set
     size and holds one row; a part ends where two neighbouring sizes are too far apart for any link across."""
     a, b = rule.least.numerator, rule.least.denominator
     dealt = rows.repartition("gram").sortWithinPartitions("gram", "n", "key")
@@ -151,11 +155,12 @@ def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             gram, n, key = (column(batch, c).to_numpy() for c in ("gram", "n", "key"))
             sent = np.zeros(len(gram), bool)
-            if last is not None:
+            if last is not None:  # equal rows are neighbours
                 gram, n, key, sent = np.r_[last[0], gram], np.r_[last[1], n], np.r_[last[2], key], np.r_[last[3], sent]
             if not len(gram):
                 continue
-            n = n.astype(np.int64)
+            fresh = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
+            gram, n, key, sent = gram[fresh], n[fresh].astype(np.int64), key[fresh], sent[fresh]
             joined = (gram[1:] == gram[:-1]) & (n[1:] * a <= n[:-1] * b)
             parts = part + np.cumsum(np.r_[0, ~joined])
             keep = (np.r_[False, joined] | np.r_[joined, False]) & ~sent
@@ -245,66 +250,65 @@ def _whole(batches):
 
 
 def _counts(blobs: list[bytes]) -> np.ndarray:
-    if all(len(c) == 2 * FRAGMENTS for c in blobs):
-        return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, FRAGMENTS).astype(np.int32)
-    return np.stack([np.frombuffer(c, np.uint16 if len(c) == 2 * FRAGMENTS else np.uint32) for c in blobs]).astype(np.int32)
+    if all(len(c) == FRAGMENTS for c in blobs):
+        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FRAGMENTS).astype(np.int32)
+    return np.stack([np.frombuffer(c, np.uint8 if len(c) == FRAGMENTS else np.uint32) for c in blobs]).astype(np.int32)
 
 
 def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, each: int = 2000, bits: int = 1 << 23) -> DataFrame:
-    """(a, b) of the pairs that reach the threshold: partial overlaps by fragment, summed for each pair.
+    """(a, b) of the pairs that reach the threshold: overlaps counted fragment by fragment and summed for the pair.
 
-    Sets are made again from the texts of the class representatives that some pair needs; a bitmap of fixed size spares
-    the other rows the shuffle (what it lets through in error, the join drops).  A class that many pairs
-    share is dealt over several salts, its set being copied to each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "doc_id", "n"), "key")
-    spots = wanted.select((F.pmod(F.xxhash64("doc_id"), F.lit(bits))).cast("int").alias("spot")).distinct().toPandas()["spot"].to_numpy()
+    Only texts of class representatives that some pair needs travel, once to their requests and once to the pairs; a
+    bitmap of fixed size keeps the others at home (what it lets through in error, the join drops).  A class that
+    many pairs share is dealt over several salts, its text being copied to each."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
+    heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
+    tails = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("key"))
+    requests = heads.unionByName(tails).join(classes.select("key", "doc_id"), "key")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int").alias("spot")
+    spots = requests.select(spot).distinct().toPandas()["spot"].to_numpy()  # at most ``bits``
     bitmap = np.zeros(bits, bool)
     bitmap[spots] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
-    def segments(batches):
+    def wanted(batches):
         keep = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(keep[column(batch, "spot").to_numpy()]))
-            for part in slices([batch]):
-                ids, groups, grams = [], [], []
-                for doc_id, text in zip(column(part, "doc_id").to_pylist(), texts_of(part), strict=True):
-                    s = shingles(text, rule.words)
-                    where = piece(s, FRAGMENTS) * GROUPS // FRAGMENTS
-                    for g in range(GROUPS):
-                        ids.append(doc_id)
-                        groups.append(g)
-                        grams.append(s[where == g].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.int32()), pa.array(grams, pa.binary())], ["doc_id", "piece", "grams"])
-
-    spotted = docs.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int"))
-    cuts = spotted.mapInArrow(segments, "doc_id long, piece int, grams binary").join(wanted, "doc_id").select("key", "piece", "grams")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
-    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    heads = salts.withColumnRenamed("a", "key").join(cuts, "key").select(
-        F.col("key").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "piece", F.lit(None).cast("long").alias("b"), "grams"
-    )
-    tails = salted.withColumnRenamed("b", "key").join(cuts, "key").select("a", "salt", "piece", F.col("key").alias("b"), "grams")
-    dealt = heads.unionByName(tails).repartition("a", "salt", "piece").sortWithinPartitions("a", "salt", "piece", F.col("b").asc_nulls_first())
+            for part in slices([batch.filter(pa.array(keep[column(batch, "spot").to_numpy()]))]):
+                texts = texts_of(part)
+                keys = [set_key(shingles(t, rule.words)) for t in texts]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "key", "text"])
 
-    def overlaps(batches):
-        own = np.zeros(0, np.uint64)
-        for batch in batches:
-            outs = [], [], []
-            for a, b, grams in zip(*(column(batch, c).to_pylist() for c in ("a", "b", "grams")), strict=True):
-                s = np.frombuffer(grams, np.uint64)
-                if b is None:
-                    own = s
-                    continue
-                for o, v in zip(outs, (a, b, len(np.intersect1d(own, s, assume_unique=True))), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(outs[0], pa.int64()), pa.array(outs[1], pa.int64()), pa.array(outs[2], pa.int32())], ["a", "b", "partial"])
+    texts = docs.select("doc_id", "text", spot).mapInArrow(wanted, "doc_id long, key long, text string")
+    dealt = texts.join(requests, ["doc_id", "key"]).select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
-    total = dealt.mapInArrow(overlaps, "a long, b long, partial int").groupBy("a", "b").agg(F.sum("partial").alias("overlap"))
-    sizes = classes.select("key", "n")
-    judged = total.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-    p, q = rule.least.numerator, rule.least.denominator
-    return judged.where(F.col("overlap") * q >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * p).select("a", "b")
+    def judge(batches):
+        own, last = [], None
+        for batch in batches:
+            out = [], []
+            for part in slices([batch]):
+                for a, b, text in zip(*(column(part, c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                    if (a, b) == last:
+                        continue  # the same document is there twice
+                    last = a, b
+                    s = shingles(text, rule.words)
+                    cut_ = [s[piece(s, GROUPS) == g] for g in range(GROUPS)]
+                    if b is None:
+                        own = cut_
+                        continue
+                    need = rule.overlap(sum(map(len, own)), len(s))
+                    overlap, left = 0, sum(min(len(x), len(y)) for x, y in zip(own, cut_, strict=True))
+                    for x, y in zip(own, cut_, strict=True):
+                        partial = len(np.intersect1d(x, y, assume_unique=True))
+                        overlap, left = overlap + partial, left - min(len(x), len(y))
+                        if overlap + left < need:
+                            break
+                    if overlap >= need:
+                        out[0].append(a)
+                        out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(judge, "a long, b long")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -327,7 +331,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", leaders: int = 2) -> DataFrame:
+def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", leaders: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the size of its set of distinct word n-grams (A-Z lower-cased, words
     are runs without ASCII white space, whole texts) and the smallest doc_id reachable by links, itself included.
     Documents are linked if their sets' Jaccard similarity is at least ``least``.
@@ -343,7 +347,7 @@ def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", lead
     rows = described.where("kind = 0")
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    members = cut(shared_grams(prefixes(known, rule, frequencies(described)).distinct(), rule).join(classes.select("key", "n", "counts"), "key"))
+    members = cut(shared_grams(prefixes(known, rule, frequencies(described)), rule).join(classes.select("key", "n", "counts"), "key"))
     labels = members.select("key").distinct().join(classes, "key").select("key", F.col("doc_id").alias("comp"))
     found = tried = None
     for seed in [*range(leaders), None]:
