@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row.  Projections are merged, so a costly expression would be
+    evaluated anew for every use above; a generator in between stops that."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
