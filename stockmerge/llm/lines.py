@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MULTIPLIER, MODULUS = 31, 1_000_003
 
 
@@ -53,11 +55,11 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
         chunked(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), **options)
         .select("doc_id", F.explode("_chunks").alias("c"))
         .select("doc_id", F.col("c.idx").alias("idx"), F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"))
-        .where("n_lines > 1 AND chunk IS NOT NULL")  # said here, so that both uses below share one shuffle
+        .where("n_lines > 1")
         .withColumn("h", F.xxhash64("chunk"))
     )
     often = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    some = chunks.join(often, "h", "left_semi")
+    some = cut(chunks.join(often, "h", "left_semi"))  # both uses below read the repeated chunks, not all texts again
     first = some.groupBy("h", "chunk").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")).where("n > 1")
     same = some.join(first, ["h", "chunk"]).select("doc_id", "idx", "h", "doc", "chunk")
     later = same.where("doc_id > doc").select("doc_id", "idx")
@@ -77,9 +79,9 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     own = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     names = [c for c in docs.columns if c not in own]
     drops = repeated(docs, **options)
-    cut = chunked(docs.select(names).join(drops, "doc_id", "left"), **options)
+    whole = chunked(docs.select(names).join(drops, "doc_id", "left"), **options)
     kept = F.filter("_chunks", lambda c: ~F.array_contains(F.col("_drop"), c["idx"]))
-    out = computed(cut, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))
+    out = computed(whole, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))
     lines = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n_lines"])
     known = F.col("text").isNotNull()
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda c: c["chunk"]), "\n"))
