@@ -9,8 +9,8 @@ All n-grams stand in one global order (rare first, then by hash) that is cut int
     bounds sum up to a bound of the overlap.  Pairs whose bound is too small are dropped.
 4.  For the rest each fragment's partial overlap is counted on its own, and partial counts are summed for each pair.
 
-Components need no pair inside a component that is known already.  So a bucket first links its members with a few
-leaders (linear), and only members of different components are then compared with each other, all of them.
+Components need no pair inside a component that is known already.  So a bucket first links its members with its
+leader (linear), and only members of different components are then compared with each other, all of them.
 """
 
 from __future__ import annotations
@@ -145,13 +145,13 @@ def prefixes(docs: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
 
 
 def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(gram, part, key) of the buckets with at least two classes.  A task walks its n-grams by set
+    """(bucket, lead, key) for the buckets with at least two classes; lead is the first of a bucket.  A task walks its n-grams by set
     size and holds one row; a part ends where two neighbouring sizes are too far apart for any link across."""
     a, b = rule.least.numerator, rule.least.denominator
     dealt = rows.repartition("gram").sortWithinPartitions("gram", "n", "key")
 
     def run(batches):
-        last, part = None, 0  # (gram, n, key, whether it was sent)
+        last, part = None, 0  # gram, n, key, whether it was sent, lead of its bucket
         for batch in batches:
             gram, n, key = (column(batch, c).to_numpy() for c in ("gram", "n", "key"))
             sent = np.zeros(len(gram), bool)
@@ -163,65 +163,77 @@ def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
             gram, n, key, sent = gram[fresh], n[fresh].astype(np.int64), key[fresh], sent[fresh]
             joined = (gram[1:] == gram[:-1]) & (n[1:] * a <= n[:-1] * b)
             parts = part + np.cumsum(np.r_[0, ~joined])
+            own = np.maximum.accumulate(np.where(np.r_[True, ~joined], np.arange(len(gram)), 0))
+            lead = np.where(own == 0, key[0] if last is None else last[4], key[own])
             keep = (np.r_[False, joined] | np.r_[joined, False]) & ~sent
-            last, part = (gram[-1], n[-1], key[-1], bool(keep[-1] or sent[-1])), int(parts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(parts[keep]), pa.array(key[keep])], ["gram", "part", "key"])
+            last, part = (gram[-1], n[-1], key[-1], bool(keep[-1] or sent[-1]), lead[-1]), int(parts[-1])
+            bucket = mix(gram.view(np.uint64) + parts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(lead[keep]), pa.array(key[keep])], ["bucket", "lead", "key"])
 
-    return dealt.mapInArrow(run, "gram long, part long, key long")
+    return dealt.mapInArrow(run, "bucket long, lead long, key long")
 
 
-def bucket_pairs(members: DataFrame, rule: Rule, seed: int | None, near: int = 48) -> DataFrame:
-    """Distinct (a, b) of keys in one bucket and different components whose fragment bound reaches the threshold.
+def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have sizes and fragment counts that allow a link."""
+    need = rule.overlap(n[i], n[j])
+    out = need <= np.minimum(n[i], n[j])
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), 1 << 16):
+        part = at[k : k + (1 << 16)]
+        out[part] = np.minimum(counts[i[part]], counts[j[part]]).sum(1) >= need[part]
+    return out
 
-    members: gram, part, key, n, counts, comp.  With a ``seed``, a bucket compares its members with one leader (the
-    least hash of key and seed); without, all members of different components with each other.  Rows that come out are links
-    and near misses; unlike members of a bucket leave nothing."""
-    dealt = members.repartition("gram", "part").sortWithinPartitions("gram", "part", F.xxhash64("key", F.lit(seed or 0)), "key")
+
+def leader_pairs(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct (a, b), a < b, of a bucket's first member with each other whose fragment bound allows a link.  A pair
+    that meets in many buckets is one row for each task before any shuffle."""
+    pairs = members.where("lead <> key").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
+    side = lambda p: classes.select(F.col("key").alias(p), F.col("n").alias(f"n_{p}"), F.col("counts").alias(f"counts_{p}"))
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            if m:
+                n = np.r_[column(batch, "n_a").to_numpy(), column(batch, "n_b").to_numpy()].astype(np.int64)
+                counts = _counts(column(batch, "counts_a").to_pylist() + column(batch, "counts_b").to_pylist())
+                fits = pa.array(likely(rule, n, counts, np.arange(m), np.arange(m, 2 * m)))
+                yield pa.RecordBatch.from_arrays([column(batch, c).filter(fits) for c in "ab"], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def bucket_pairs(members: DataFrame, rule: Rule, near: int = 48) -> DataFrame:
+    """Distinct (a, b), a < b, of members of one bucket in different components whose fragment bound allows a link.
+    members: bucket, key, n, counts, comp.  All such pairs are looked at, in arrays; only links and near misses become
+    rows, so a bucket of unlike or of already joined members leaves nothing."""
+    dealt = members.repartition("bucket").sortWithinPartitions("bucket", "key")
 
     def pairs(key, n, comp, counts, i, j):
-        """Of the row pairs (i, j), those that may be linked."""
         far = comp[i] != comp[j]
         i, j = i[far], j[far]
-        for at in range(0, len(i), 1 << 16):
-            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            need = rule.overlap(n[x], n[y])
-            fits = need <= np.minimum(n[x], n[y])
-            x, y, need = x[fits], y[fits], need[fits]
-            fits = np.minimum(counts[x], counts[y]).sum(1) >= need
-            x, y = key[x[fits]], key[y[fits]]
-            yield np.minimum(x, y), np.maximum(x, y)
-
-    def leaders(batches):
-        lead = None  # (gram, part, row) of the open bucket's leader
-        for batch in batches:
-            if lead is not None:
-                batch = pa.Table.from_batches([lead, batch]).combine_chunks().to_batches()[0]
-            gram, part, *rest = _columns(batch)
-            start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
-            own = np.repeat(start, np.diff(np.r_[start, len(gram)]))
-            yield from pairs(*rest, own, np.arange(len(gram)))
-            lead = batch.slice(int(start[-1]), 1)
+        fits = likely(rule, n, counts, i, j)
+        return key[i[fits]], key[j[fits]]
 
     def everyone(batches):
         for batch in _whole(batches):
-            gram, part, *rest = _columns(batch)
-            start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
-            size = np.diff(np.r_[start, len(gram)])
+            bucket, *rest = _columns(batch)
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            size = np.diff(np.r_[start, len(bucket)])
             end = np.repeat(start + size, size)
-            at = np.arange(len(gram))
+            at = np.arange(len(bucket))
             small = np.repeat(size <= near, size)
             for d in range(1, min(near, int(size.max()))):
                 i = at[small & (at + d < end)]
-                yield from pairs(*rest, i, i + d)
+                yield pairs(*rest, i, i + d)
             for s, k in zip(start[size > near], size[size > near], strict=True):
                 comp = rest[2][s : s + k]
                 if (comp == comp[0]).all():
                     continue
                 for i in range(s, s + k - 1):
-                    yield from pairs(*rest, np.full(s + k - 1 - i, i), np.arange(i + 1, s + k))
+                    yield pairs(*rest, np.full(s + k - 1 - i, i), np.arange(i + 1, s + k))
 
     def run(batches):
-        for a, b in (everyone if seed is None else leaders)(batches):
+        for a, b in everyone(batches):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -229,8 +241,8 @@ def bucket_pairs(members: DataFrame, rule: Rule, seed: int | None, near: int = 4
 
 
 def _columns(batch) -> list[np.ndarray]:
-    gram, part, key, n, comp = (column(batch, c).to_numpy() for c in ("gram", "part", "key", "n", "comp"))
-    return [gram, part, key, n.astype(np.int64), comp, _counts(column(batch, "counts").to_pylist())]
+    bucket, key, n, comp = (column(batch, c).to_numpy() for c in ("bucket", "key", "n", "comp"))
+    return [bucket, key, n.astype(np.int64), comp, _counts(column(batch, "counts").to_pylist())]
 
 
 def _whole(batches):
@@ -239,8 +251,8 @@ def _whole(batches):
     for batch in batches:
         if rest is not None and rest.num_rows:
             batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        gram, part = column(batch, "gram").to_numpy(), column(batch, "part").to_numpy()
-        change = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1])) + 1
+        bucket = column(batch, "bucket").to_numpy()
+        change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
         split = int(change[-1]) if len(change) else 0
         if split:
             yield batch.slice(0, split)
@@ -331,7 +343,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", leaders: int = 1) -> DataFrame:
+def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", leaders: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the size of its set of distinct word n-grams (A-Z lower-cased, words
     are runs without ASCII white space, whole texts) and the smallest doc_id reachable by links, itself included.
     Documents are linked if their sets' Jaccard similarity is at least ``least``.
@@ -347,19 +359,16 @@ def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", lead
     rows = described.where("kind = 0")
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    members = cut(shared_grams(prefixes(known, rule, frequencies(described)), rule).join(classes.select("key", "n", "counts"), "key"))
+    members = cut(shared_grams(prefixes(known, rule, frequencies(described)), rule))
     labels = members.select("key").distinct().join(classes, "key").select("key", F.col("doc_id").alias("comp"))
-    found = tried = None
-    for seed in [*range(leaders), None]:
-        pairs = bucket_pairs(members.join(labels, "key"), rule, seed)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            new = cut(links(pairs, known, classes, rule))
-            found = new if found is None else found.unionByName(new)
-            labels = components(new, labels)
+    tried = None
+    if leaders:
+        tried = cut(leader_pairs(members, classes, rule))
+        labels = components(cut(links(tried, known, classes, rule)), labels)
+    more = bucket_pairs(members.select("bucket", "key").join(classes.select("key", "n", "counts").join(labels, "key"), "key"), rule)
+    more = cut(more.join(tried, ["a", "b"], "left_anti") if tried is not None else more)
+    if not more.isEmpty():
+        labels = components(cut(links(more, known, classes, rule)), labels)
     comp = classes.select("key", F.col("doc_id").alias("first")).join(labels, "key", "left").select("key", F.coalesce("comp", "first").alias("comp"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return rows.join(comp, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))

@@ -131,8 +131,8 @@ def test_ngram_jaccard(spark, docs, empty, k, least, p, q):
 def test_ngram_jaccard_without_leaders_is_the_same(spark, docs):
     from stockmerge.llm.jaccard import cluster
 
-    a = {tuple(r) for r in cluster(docs, 3, "9/10", leaders=0).collect()}
-    assert a == {tuple(r) for r in cluster(docs, 3, "9/10", leaders=3).collect()}
+    a = {tuple(r) for r in cluster(docs, 3, "9/10", leaders=False).collect()}
+    assert a == {tuple(r) for r in cluster(docs, 3, "9/10", leaders=True).collect()}
 
 
 # 3
