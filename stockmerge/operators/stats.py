@@ -60,7 +60,7 @@ def next_serials(groups: DataFrame) -> DataFrame:
 
 
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
-    return pairs.groupBy("truth").pivot("predicted", labels).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy("truth").pivot("predicted", labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def classification_report(pairs: DataFrame) -> DataFrame:
