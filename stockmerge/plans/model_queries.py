@@ -1 +1,144 @@
-"""Queries."""
+"""Pair corpora, splits, features, forests and odd rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import attributes as A
+from ..functions import text as X
+from ..operators import model as M
+from ..operators import pairs as P
+from ..operators import stats as D
+from .registry import query
+from .text_queries import CRITICAL, FLAT
+
+
+def records(t):
+    return A.extract_attributes(t.catalog)
+
+
+CRIT = f"""flat AS ({FLAT}), crit AS (SELECT c.material_id, c.category, i.key, coalesce(f.value, '') AS value FROM catalog c JOIN {CRITICAL} ON i.category = c.category LEFT JOIN flat f ON f.material_id = c.material_id AND f.key = i.key),
+  sets AS (SELECT material_id, any_value(category) AS category, string_agg(key || '=' || value, ';' ORDER BY key) AS s FROM crit GROUP BY 1), item AS (SELECT min(material_id) AS id, category, s FROM sets GROUP BY 2, 3)"""
+LEFT_OUT = "lo AS (SELECT item.id, item.category, x.key, x.value, string_agg(y.key || '=' || y.value, ';' ORDER BY y.key) AS rest FROM item JOIN crit x ON x.material_id = item.id LEFT JOIN crit y ON y.material_id = item.id AND y.key <> x.key GROUP BY 1, 2, 3, 4)"
+
+
+@query("c11_attribute_neighbours", f"WITH {CRIT}, {LEFT_OUT} SELECT a.id, b.id AS other, a.key AS attribute FROM lo a JOIN lo b ON a.category = b.category AND a.key = b.key AND a.rest IS NOT DISTINCT FROM b.rest AND a.value <> b.value QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY md5(a.id::VARCHAR || '|' || b.id::VARCHAR), b.id) <= 2")
+def _(t):
+    return P.attribute_neighbours(P.items(records(t)))
+
+
+@query("c12_within_group_pairs", "WITH m AS (SELECT material_id, category || '|' || description AS item FROM catalog QUALIFY row_number() OVER (PARTITION BY category, description ORDER BY md5(material_id::VARCHAR), material_id) <= 4) SELECT x.item, x.material_id AS a, y.material_id AS b FROM m x JOIN m y ON x.item = y.item AND x.material_id < y.material_id")
+def _(t):
+    return P.within_group_pairs(t.catalog.withColumn("item", F.concat_ws("|", "category", "description")), "item")
+
+
+@query("c13_negative_pairs_same_category")
+def _(t):
+    return P.negative_pairs(t.catalog, "category", "description", 6000)
+
+
+@query("c14_negative_pairs_cross_category")
+def _(t):
+    return P.negative_pairs(t.catalog.withColumn("all", F.pmod(F.xxhash64("material_id"), F.lit(256))), "all", "category", 2000)
+
+
+RULES = [("FASTENER", {"grade": "8.8"}, {"grade": "4.6"}), ("BEARING", {"seal_type": "2RS"}, {"seal_type": "ZZ"}), ("MOTOR", {"rpm": "960.0"}, {"rpm": "1440.0"})]
+TWIN = " UNION ALL ".join(
+    f"SELECT a, b FROM (SELECT rest, min(material_id) AS a FROM r WHERE category = '{c}' AND key = '{k}' AND value = '{v}' GROUP BY 1) x JOIN (SELECT rest, min(material_id) AS b FROM r WHERE category = '{c}' AND key = '{k}' AND value = '{y[k]}' GROUP BY 1) z ON x.rest IS NOT DISTINCT FROM z.rest"
+    for c, x, y in RULES for k, v in x.items()
+)
+
+
+@query("c15_equivalence_twin_pairs", f"WITH flat AS ({FLAT}), r AS (SELECT x.material_id, x.category, x.key, x.value, string_agg(y.key || '=' || y.value, ';' ORDER BY y.key) AS rest FROM flat x LEFT JOIN flat y ON y.material_id = x.material_id AND y.key <> x.key WHERE x.key IN ('grade', 'seal_type', 'rpm') GROUP BY 1, 2, 3, 4) {TWIN}")
+def _(t):
+    return P.equivalence_twins(records(t), RULES)
+
+
+@query("c16_missing_attribute_pairs", f"WITH {CRIT}, {LEFT_OUT}, lack AS (SELECT id, count(*) FILTER (WHERE value = '') AS n FROM lo GROUP BY 1) SELECT a.id AS a, b.id AS b, a.key AS attribute FROM lo a JOIN lack la ON la.id = a.id AND la.n = 0 JOIN lo b ON b.category = a.category AND b.key = a.key AND b.rest IS NOT DISTINCT FROM a.rest AND b.value = '' JOIN lack lb ON lb.id = b.id AND lb.n = 1")
+def _(t):
+    return P.missing_attribute_pairs(records(t))
+
+
+PAIR = "SELECT id_a AS a, id_b AS b FROM pairs"
+
+
+@query("c17_broken_reference_check", "SELECT id_a AS a, id_b AS b FROM pairs WHERE id_a NOT IN (SELECT s_suppkey * 7 FROM supplier) OR id_b NOT IN (SELECT s_suppkey * 7 FROM supplier)")
+def _(t):
+    return P.broken_references(t.pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), t.supplier.select((F.col("s_suppkey") * 7).alias("material_id")))
+
+
+PLACE = "(('0x' || substr(md5(material_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+PARTS = f"parts AS (SELECT material_id AS id, CASE WHEN {PLACE} < 0.70::DOUBLE THEN 'train' WHEN {PLACE} < 0.85::DOUBLE THEN 'val' ELSE 'test' END AS part FROM catalog)"
+
+
+def parts(t):
+    return P.split(t.catalog.select(F.col("material_id").alias("id")))
+
+
+@query("h05_canonical_group_split", f"WITH {PARTS} SELECT id_a AS a, id_b AS b, CASE WHEN x.part = y.part THEN x.part ELSE 'cross' END AS part FROM pairs JOIN parts x ON x.id = id_a JOIN parts y ON y.id = id_b")
+def _(t):
+    return P.split_pairs(t.pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), parts(t))
+
+
+@query("f03_split_disjointness", f"WITH {PARTS} SELECT part, count(DISTINCT id) AS n, 0 AS shared FROM parts GROUP BY 1")
+def _(t):
+    p = parts(t)
+    shared = p.groupBy("id").agg(F.count_distinct("part").alias("k")).where("k > 1").agg(F.count("*").alias("shared"))
+    return p.groupBy("part").agg(F.count_distinct("id").alias("n")).join(F.broadcast(shared))
+
+
+@query("d15_structural_checks", "SELECT count(*) - count(DISTINCT category || '|' || description || '|' || specification) AS duplicates, count(*) FILTER (WHERE trim(description) = '') AS blank, count(*) FILTER (WHERE material_id IS NULL) AS no_id, count(*) FILTER (WHERE specification = '') AS no_specification FROM catalog")
+def _(t):
+    blank = lambda c: D.count_where(F.trim(c) == "")
+    distinct = F.count_distinct(F.concat_ws("|", "category", "description", "specification"))
+    return t.catalog.agg((F.count("*") - distinct).alias("duplicates"), blank("description").alias("blank"), D.count_where(F.col("material_id").isNull()).alias("no_id"), blank("specification").alias("no_specification"))
+
+
+@query("f01_pair_corpus_union")
+def corpus(t):
+    return P.corpus(records(t))
+
+
+@query("h17_build_pair_corpus")
+def _(t):
+    return corpus(t).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def labelled(t):
+    side = lambda s, c: t.catalog.select(F.col("material_id").alias(c), *([F.col("category")] if s == "a" else []), F.col("description").alias(f"description_{s}"), F.col("specification").alias(f"specification_{s}"))
+    return corpus(t).join(side("a", "a"), "a").join(side("b", "b"), "b")
+
+
+@query("h04_pair_features")
+def _(t):
+    return M.pair_features(t.pairs).select("id_a", "id_b", *M.FEATURES)
+
+
+def fitted(t):
+    return M.train(M.pair_features(labelled(t)).select("label", *M.FEATURES), trees=20, depth=8)
+
+
+@query("h06_train_classifier")
+def _(t):
+    return M.importances(fitted(t), t.spark).where("importance > 0")
+
+
+@query("d17_feature_importance")
+def _(t):
+    return M.importances(fitted(t), t.spark)
+
+
+@query("h07_score_pairs")
+def _(t):
+    return M.score(M.pair_features(t.pairs), fitted(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier")
+
+
+@query("h12_compare_pairs")
+def _(t):
+    return M.guard(M.score(M.pair_features(t.pairs), fitted(t))).select("id_a", "id_b", "predicted", "match_probability", "tier")
+
+
+@query("h16_anomaly_scan")
+def _(t):
+    f = t.texts.select("material_id", *[c.cast("double").alias(k) for k, c in X.surface_features("description").items()])
+    return M.isolation_scores(f, ["n_chars", "n_tokens", "digit_ratio", "upper_ratio", "punct_ratio"]).select("material_id", "score")
