@@ -123,14 +123,21 @@ def partial(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+def _in_batches(f):
+    """A column function over two texts that runs ``f`` on Arrow batches (made on the driver, when a session is there)."""
 
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
-@F.pandas_udf("double")
-def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+    return F.pandas_udf(run, "double")
+
+
+def indel_ratio(a, b) -> Column:
+    return _in_batches(indel)(a, b)
+
+
+def partial_ratio(a, b) -> Column:
+    return _in_batches(partial)(a, b)
 
 
 def sorted_tokens(c) -> Column:
