@@ -185,9 +185,9 @@ def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.n
 
 
 def leader_pairs(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct (a, b), a < b, of a bucket's first member with each other whose fragment bound allows a link.  A pair
-    that meets in many buckets is one row for each task before any shuffle."""
-    pairs = members.where("lead <> key").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
+    """(a, b): each class with the one leader that it shares most buckets with, if the fragment bound allows a link."""
+    met = members.where("lead <> key").groupBy("lead", "key").agg(F.count("*").alias("often"))
+    pairs = met.groupBy("key").agg(F.max_by("lead", "often").alias("lead")).select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
     side = lambda p: classes.select(F.col("key").alias(p), F.col("n").alias(f"n_{p}"), F.col("counts").alias(f"counts_{p}"))
 
     def run(batches):
@@ -267,16 +267,33 @@ def _counts(blobs: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(c, np.uint8 if len(c) == FRAGMENTS else np.uint32) for c in blobs]).astype(np.int32)
 
 
-def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, each: int = 2000, bits: int = 1 << 23) -> DataFrame:
-    """(a, b) of the pairs that reach the threshold: overlaps counted fragment by fragment and summed for the pair.
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts of as many fragments as the set has elements (a power of two), so that few differences cancel out."""
+    pieces = 1 << max(5, min(16, int(len(s)).bit_length()))
+    return np.minimum(np.bincount(piece(s, pieces), minlength=pieces), 255).astype(np.uint8).tobytes()
 
-    Only texts of class representatives that some pair needs travel, once to their requests and once to the pairs; a
-    bitmap of fixed size keeps the others at home (what it lets through in error, the join drops).  A class that
-    many pairs share is dealt over several salts, its text being copied to each."""
+
+def fine_bound(x: bytes, y: bytes, n: int, m: int) -> int:
+    """Upper bound of the overlap of two sets of n and m elements by their fine counts."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    if a.max() == 255 or b.max() == 255:
+        return min(n, m)  # a count that may be cut off bounds nothing
+    b = b.reshape(-1, len(a)).sum(0, dtype=np.int32)  # pieces are low bits: coarser ones are sums of finer ones
+    return int(np.minimum(a, b).sum())
+
+
+def judged(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, exact: bool, each: int = 2000, bits: int = 1 << 23) -> DataFrame:
+    """(a, b) of the pairs that reach the threshold (``exact``), or that may by their fine fragment counts.
+
+    Only representatives that some pair needs are looked at: a bitmap of fixed size keeps the others at home (what it
+    lets through in error, the join drops).  What travels is the text, or the counts.  A class that many pairs share
+    is dealt over several salts, to each of which its own text or counts are copied."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
     heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
     tails = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("key"))
-    requests = heads.unionByName(tails).join(classes.select("key", "doc_id"), "key")
+    requests = cut(heads.unionByName(tails).join(classes.select("key", "doc_id"), "key"))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int").alias("spot")
     spots = requests.select(spot).distinct().toPandas()["spot"].to_numpy()  # at most ``bits``
     bitmap = np.zeros(bits, bool)
@@ -288,34 +305,34 @@ def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, eac
         for batch in batches:
             for part in slices([batch.filter(pa.array(keep[column(batch, "spot").to_numpy()]))]):
                 texts = texts_of(part)
-                keys = [set_key(shingles(t, rule.words)) for t in texts]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "key", "text"])
-
-    texts = docs.select("doc_id", "text", spot).mapInArrow(wanted, "doc_id long, key long, text string")
-    dealt = texts.join(requests, ["doc_id", "key"]).select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+                sets = [shingles(t, rule.words) for t in texts]
+                body = [t.encode("utf-8", "surrogatepass") if exact else fine_counts(s) for t, s in zip(texts, sets, strict=True)]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(body, pa.binary())], ["doc_id", "key", "n", "body"])
+
+    found = docs.select("doc_id", "text", spot).mapInArrow(wanted, "doc_id long, key long, n int, body binary")
+    dealt = found.join(requests, ["doc_id", "key"]).select("a", "salt", "b", "n", "body").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    def same(own, n: int, body: bytes) -> bool:
+        need = rule.overlap(own[0], n)
+        if not exact:
+            return fine_bound(own[1], body, own[0], n) >= need
+        s = shingles(body.decode("utf-8", "surrogatepass"), rule.words)
+        common = np.intersect1d(own[1], s, assume_unique=True)
+        partial = np.bincount(piece(common, GROUPS), minlength=GROUPS)  # overlap of each vertical piece
+        return int(partial.sum()) >= need
 
     def judge(batches):
-        own, last = [], None
+        own, last = None, None
         for batch in batches:
             out = [], []
             for part in slices([batch]):
-                for a, b, text in zip(*(column(part, c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                for a, b, n, body in zip(*(column(part, c).to_pylist() for c in ("a", "b", "n", "body")), strict=True):
                     if (a, b) == last:
                         continue  # the same document is there twice
                     last = a, b
-                    s = shingles(text, rule.words)
-                    cut_ = [s[piece(s, GROUPS) == g] for g in range(GROUPS)]
                     if b is None:
-                        own = cut_
-                        continue
-                    need = rule.overlap(sum(map(len, own)), len(s))
-                    overlap, left = 0, sum(min(len(x), len(y)) for x, y in zip(own, cut_, strict=True))
-                    for x, y in zip(own, cut_, strict=True):
-                        partial = len(np.intersect1d(x, y, assume_unique=True))
-                        overlap, left = overlap + partial, left - min(len(x), len(y))
-                        if overlap + left < need:
-                            break
-                    if overlap >= need:
+                        own = n, shingles(body.decode("utf-8", "surrogatepass"), rule.words) if exact else body
+                    elif same(own, n, body):
                         out[0].append(a)
                         out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
@@ -323,6 +340,13 @@ def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, eac
     return dealt.mapInArrow(judge, "a long, b long")
 
 
+def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) of the pairs that reach the threshold.  Fine counts, a byte for each element, go first; texts follow for
+    the few pairs that are left, whose partial overlaps are counted by vertical piece and summed."""
+    likely_ = cut(judged(pairs, docs, classes, rule, exact=False))
+    return judged(likely_, docs, classes, rule, exact=True)
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, comp) for the keys of ``nodes`` (key, comp: labels to start from): the least label in the component.
     Every round takes the least label of the neighbours and then the label of that label; the
