@@ -114,3 +114,17 @@ def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, size:
         return pd.Series(2 ** (-total / max(1, len(shared.value)) / norm))
 
     return df.withColumn("score", odd(*columns))
+
+
+def register(model, metrics: dict[str, float], version: str, path: str, spark) -> DataFrame:
+    """Saves the pipeline under path/version and its row in path/registry; the newest version is the active one."""
+    model.write().overwrite().save(f"{path}/{version}")
+    row = spark.createDataFrame([(version, "random forest", metrics)], "version string, algorithm string, metrics map<string,double>")
+    row.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/registry")
+    return registry(spark, path)
+
+
+def registry(spark, path: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/registry")
+    newest = rows.agg(F.max_by("version", "created_at").alias("newest"))
+    return rows.join(F.broadcast(newest)).withColumn("active", F.col("version") == F.col("newest")).drop("newest")

@@ -106,3 +106,10 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def policy_faults(policy: DataFrame) -> DataFrame:
     ok = (F.col("review_threshold") >= 0) & (F.col("review_threshold") < F.col("auto_threshold")) & (F.col("auto_threshold") <= 1) & F.col("min_margin").between(0, 1)
     return policy.agg(count_where(~ok).alias("violations"), F.count("*").alias("policies"))
+
+
+def price_spread(mappings: DataFrame, materials: DataFrame) -> DataFrame:
+    """Spread of prices inside each group's confirmed members, over enterprises."""
+    rows = mappings.where("status = 'CONFIRMED'").select("group_id", "material_id").distinct().join(materials.select("material_id", "enterprise", "nominal_price"), "material_id")
+    out = rows.groupBy("group_id").agg(F.min("nominal_price").alias("low"), F.max("nominal_price").alias("high"), F.count_distinct("enterprise").alias("enterprises"))
+    return out.withColumn("spread", F.col("high") - F.col("low"))

@@ -443,3 +443,13 @@ def _(t):
 @query("f04_training_text_union", "SELECT description_a AS text, count(*) AS n FROM (SELECT description_a FROM pairs UNION ALL SELECT description_b FROM pairs) GROUP BY 1")
 def _(t):
     return t.pairs.select(F.col("description_a").alias("text")).union(t.pairs.select("description_b")).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("x01_enterprise_price_variance", "SELECT group_id, min(nominal_price) AS low, max(nominal_price) AS high, count(DISTINCT enterprise) AS enterprises, max(nominal_price) - min(nominal_price) AS spread FROM (SELECT DISTINCT group_id, material_id FROM mapping WHERE status = 'CONFIRMED') p JOIN material m ON m.material_id = p.material_id GROUP BY 1")
+def _(t):
+    return D.price_spread(t.mapping, t.material)
+
+
+@query("x02_iso7064_check_char")
+def _(t):
+    return t.material_group.where("canonical_code IS NOT NULL").select("canonical_code", A.check_char(F.col("canonical_code")).alias("check_char"))

@@ -142,6 +142,13 @@ def harmonized(t):
     return H.harmonize(described, groups, t.policy)
 
 
+@query("h13_find_matches")
+def _(t):
+    from ..operators.matching import find_matches
+
+    return find_matches(H.top_matches(H.describe(t.catalog)))
+
+
 @query("i14_harmonize_unmatched")
 def _(t):
     described, groups = batch(t)
