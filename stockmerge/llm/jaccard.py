@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Codes, column, cut, lower_ascii, mix, slices, texts_of, windows
 
-FRAGMENTS, GROUPS = 32, 8  # pieces for bounds; pieces for counting partial overlaps
+FRAGMENTS, GROUPS = 128, 8  # pieces for bounds; pieces for counting partial overlaps
 COUNTERS, SLICE = 1 << 18, 1 << 13
 
 
@@ -178,8 +178,8 @@ def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.n
     need = rule.overlap(n[i], n[j])
     out = need <= np.minimum(n[i], n[j])
     at = np.flatnonzero(out)
-    for k in range(0, len(at), 1 << 16):
-        part = at[k : k + (1 << 16)]
+    for k in range(0, len(at), 1 << 14):
+        part = at[k : k + (1 << 14)]
         out[part] = np.minimum(counts[i[part]], counts[j[part]]).sum(1) >= need[part]
     return out
 
@@ -310,7 +310,8 @@ def judged(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, ex
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(body, pa.binary())], ["doc_id", "key", "n", "body"])
 
     found = docs.select("doc_id", "text", spot).mapInArrow(wanted, "doc_id long, key long, n int, body binary")
-    dealt = found.join(requests, ["doc_id", "key"]).select("a", "salt", "b", "n", "body").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    # a merge join at every size: what travels then grows with the input, and no size turns it into another plan
+    dealt = found.join(requests.hint("merge"), ["doc_id", "key"]).select("a", "salt", "b", "n", "body").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def same(own, n: int, body: bytes) -> bool:
         need = rule.overlap(own[0], n)
