@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, column, mix, slices, texts_of, windows, word_code
+from .common import Codes, column, cut, mix, slices, texts_of, windows, word_code
 
 # fixed values: units that become a placeholder after a number
 UNITS = (
@@ -145,7 +145,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_plain: i
     bitmap = np.zeros(BITS, bool)
     bitmap[[r[0] for r in spots]] = True
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    found = template_windows(rows, size, least_plain, sizes, np.packbits(bitmap))
+    found = cut(template_windows(rows, size, least_plain, sizes, np.packbits(bitmap)))  # few rows; the texts are read once
     totals = wanted.groupBy("id").agg(F.count("*").alias("item_windows"))
     pairs = (
         found.select(F.col("id").alias("doc_id"), F.col("at").alias("d"), "h", F.col("slots").alias("values"))
