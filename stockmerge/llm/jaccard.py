@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Codes, column, cut, lower_ascii, mix, slices, texts_of, windows
+from .common import Codes, column, cut, mix, slices, texts_of, windows
 
-FRAGMENTS, GROUPS = 128, 8  # pieces for bounds; pieces for counting partial overlaps
+FRAGMENTS, GROUPS = 256, 8  # pieces for bounds; pieces for counting partial overlaps
 COUNTERS, SLICE = 1 << 18, 1 << 13
 
 
@@ -45,12 +45,13 @@ class Rule:
         return n - -(-n * self.least.numerator // self.least.denominator) + 1
 
 
-_CODES = Codes()  # kept between the tasks of a Python worker
+_CODES = Codes(lambda word: xxhash.xxh3_64_intdigest(word) - (1 << 63))  # kept between the tasks of a Python worker
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams; a shorter text is one n-gram; no words, no n-grams."""
-    found = WORD.findall(lower_ascii(text)) if text else []
+    # of bytes, lower() changes A-Z alone and split() cuts at ASCII white space alone
+    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
     codes = _CODES.array(found)
@@ -180,7 +181,7 @@ def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.n
     at = np.flatnonzero(out)
     for k in range(0, len(at), 1 << 14):
         part = at[k : k + (1 << 14)]
-        out[part] = np.minimum(counts[i[part]], counts[j[part]]).sum(1) >= need[part]
+        out[part] = np.minimum(counts[i[part]], counts[j[part]]).sum(1, dtype=np.int32) >= need[part]
     return out
 
 
@@ -263,7 +264,7 @@ def _whole(batches):
 
 def _counts(blobs: list[bytes]) -> np.ndarray:
     if all(len(c) == FRAGMENTS for c in blobs):
-        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FRAGMENTS).astype(np.int32)
+        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FRAGMENTS)
     return np.stack([np.frombuffer(c, np.uint8 if len(c) == FRAGMENTS else np.uint32) for c in blobs]).astype(np.int32)
 
 
