@@ -2,14 +2,19 @@
 
 A source with weight w owns blocks 1, 2, ...; block j is released at slot floor((j-1)/w) and due by slot
 ceil(j/w).  Earliest deadline first meets every deadline when the weights sum to 1, so after any number of slots each
-source is less than one block away from its target.  Weights are rounded to parts of a period, and the
-schedule of one period (a table of bounded size) repeats for ever; all rows then find their slot by a lookup.
+source is less than one block away from its target.  ``run`` does so over the whole mix with the exact (rational)
+weights.  ``shares`` and ``schedule`` round the weights to parts of a period that repeats for ever, so lag against the weights
+given grows from period to period; only the registered op5_mixing, whose SQL says so, still asks for that.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +54,59 @@ def schedule(parts: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, most_sources: int = 10_000) -> DataFrame:
+def run(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, bool]]:
+    """(source, block, slot, on target) of the whole mix in order of slots; earliest deadline first, equal deadlines by name.
+
+    As long as no source has run out, each has less than one block of deviation from slot * weight / sum of weights.  From the
+    slot that a source without blocks would get, the others go on with their weights among themselves.  Sources of
+    weight 0 come last.  It holds one entry for each source, whatever the number of blocks."""
+    exact = {s: Fraction(weights[s]) for s in blocks}
+    if min(exact.values(), default=0) < 0:
+        raise ValueError("a weight is negative")
+    done, slot, on_target = dict.fromkeys(blocks, 0), 0, True
+    while left := [s for s in blocks if done[s] < blocks[s]]:
+        live = {s: exact[s] for s in left if exact[s]} or dict.fromkeys(left, Fraction(1))
+        scale = lcm(*(w.denominator for w in live.values()))
+        part = {s: int(w * scale) for s, w in live.items()}
+        total, start, first = sum(part.values()), slot, {s: done[s] for s in live}
+        later = [(0, s) for s in sorted(live)]
+        ready: list[tuple[int, str]] = []
+        while True:
+            while later and later[0][0] <= slot - start:
+                _, s = heapq.heappop(later)
+                heapq.heappush(ready, (-(-(done[s] - first[s] + 1) * total // part[s]), s))
+            due, s = heapq.heappop(ready)
+            if done[s] == blocks[s]:
+                break
+            assert slot - start < due
+            yield s, done[s], slot, on_target
+            done[s] += 1
+            slot += 1
+            heapq.heappush(later, ((done[s] - first[s]) * total // part[s], s))
+        on_target = False
+
+
+def _run_rows(weights: dict[str, float], blocks: dict[str, int], size: int = 1 << 14):
+    """``run`` as a function for mapInArrow."""
+
+    def rows(batches):
+        for _ in batches:
+            pass
+        kept: list[tuple[str, int, int, bool]] = []
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], ["_source", "_block", "_slot", "_on"])
+        for row in run(weights, blocks):
+            kept.append(row)
+            if len(kept) == size:
+                yield batch()
+                kept.clear()
+        if kept:
+            yield batch()
+
+    return rows
+
+
+def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, most_sources: int = 10_000) -> DataFrame:
     """``docs`` with mix_block (block of its source), mix_slot (place of the block in the mix), mix_rank (place in
     the block) and on_target (no source had run out before this slot, so the target weights hold up to here).
 
@@ -58,7 +115,11 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
     little as the least one.  A null source is the source ''.  Rows with equal or null ids get places of their own, in any order
     among them.  An empty table gives an empty result.  The number of sources must stay below ``most_sources``.
 
-    Ranks within a source come from counts of 4096 hash ranges, so no task holds a whole source.
+    Before any source runs out each is less than one block from its target.  With a ``period`` this holds only for
+    weights rounded to parts of that many slots, and the slots of a source that has run out stay free.
+
+    Ranks within a source come from counts of 4096 hash ranges, so no task holds a whole source.  One task makes the slots, one
+    row for each block, and holds one entry for each source; a range gets its own slots as an array.
     """
     names = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_rank", "on_target")]
     docs = docs.select(names)
@@ -71,26 +132,48 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
     if weights is None:
         weights = {s: n**0.5 for s, n in sizes.items()}
     least = min(weights.values(), default=1.0)
-    spark = docs.sparkSession
-    parts = shares({s: weights.get(s, least) for s in sizes}, period) if sizes else {}
+    weights = {s: weights.get(s, least) for s in sizes}
+    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = (_whole_run if period is None else _by_period)(rows, offsets, sizes, weights, block, period)
+    return placed.select(*names, "mix_block", "mix_slot", (F.col("_rank") % block).alias("mix_rank"), "on_target")
+
+
+def _ranked(rows: DataFrame, offsets: DataFrame, block: int) -> DataFrame:
+    own = Window.partitionBy("_source", "_range").orderBy("_h", "doc_id")
+    ranked = rows.withColumn("_rn", F.row_number().over(own)).join(offsets, ["_source", "_range"]).withColumn("_rank", F.col("_offset") + F.col("_rn") - 1)
+    return ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
+
+
+def _whole_run(rows: DataFrame, offsets: DataFrame, sizes: dict[str, int], weights: dict[str, float], block: int, period: None) -> DataFrame:
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    slots = rows.sparkSession.range(0, 1, 1, 1).mapInArrow(_run_rows(weights, blocks), "_source string, _block long, _slot long, _on boolean")
+    first, last = F.floor(F.col("_offset") / block), F.floor((F.col("_offset") + F.col("_n") - 1) / block)
+    spans = offsets.select("_source", "_range", "_offset", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_block"))
+    own = spans.join(slots, ["_source", "_block"]).groupBy("_source", "_range").agg(
+        F.first("_offset").alias("_offset"), F.first("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("_slot", "_on"))).alias("_slots")
+    )  # a later block of a source has a later slot
+    at = F.get("_slots", (F.col("mix_block") - F.col("_first")).cast("int"))
+    return _ranked(rows, own, block).withColumn("mix_slot", at["_slot"]).withColumn("on_target", at["_on"])
+
+
+def _by_period(rows: DataFrame, offsets: DataFrame, sizes: dict[str, int], weights: dict[str, float], block: int, period: int) -> DataFrame:
+    spark = rows.sparkSession
+    parts = shares(weights, period) if sizes else {}
     length = sum(parts.values())
     table = schedule(parts) if parts else []
     at = {(s, j): slot for s, j, slot in table}
     horizon = min(((b // parts[s]) * length + at[s, b % parts[s]] for s, n in sizes.items() for b in [-(-n // block)]), default=0)
-    slots = F.broadcast(spark.createDataFrame([(s, j, slot, parts[s]) for s, j, slot in table], "_source string, _j long, _slot long, _parts long"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = Window.partitionBy("_source", "_range").orderBy("_h", "doc_id")
-    ranked = rows.withColumn("_rn", F.row_number().over(own)).join(offsets, ["_source", "_range"]).withColumn("_rank", F.col("_offset") + F.col("_rn") - 1)
+    slots = F.broadcast(spark.createDataFrame(table, "_source string, _j long, _slot long"))
     parts_of = F.broadcast(spark.createDataFrame(list(parts.items()), "_source string, _parts long"))
-    placed = (
-        ranked.join(parts_of, "_source")
-        .withColumn("mix_block", F.floor(F.col("_rank") / block))
+    return (
+        _ranked(rows, offsets.drop("_n"), block)
+        .join(parts_of, "_source")
         .withColumn("_j", F.col("mix_block") % F.col("_parts"))
-        .join(slots.drop("_parts"), ["_source", "_j"])
+        .join(slots, ["_source", "_j"])
         .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_parts")) * length + F.col("_slot"))
+        .withColumn("on_target", F.col("mix_slot") < horizon)
     )
-    return placed.select(*names, "mix_block", "mix_slot", (F.col("_rank") % block).alias("mix_rank"), (F.col("mix_slot") < horizon).alias("on_target"))
 
 
 #: DuckDB SQL for (doc_id, source, mix_block, mix_slot, mix_rank, on_target) with the default weights.

@@ -210,6 +210,35 @@ def test_mixing(spark, docs, empty):
     assert interleave(empty).count() == 0
 
 
+def test_mixing_holds_the_weights_given(spark):
+    from fractions import Fraction
+
+    from stockmerge.llm.mixing import interleave, run
+
+    many = {str(i): 1 + i % 7 for i in range(300)} | {"big": 900}
+    for weights in ({"a": 0.7, "b": 0.2, "c": 0.1}, {"x": 0.5} | {str(i): 0.5 / 19 for i in range(19)}, many):
+        total = sum(map(Fraction, weights.values()))
+        target, done = {s: Fraction(w) / total for s, w in weights.items()}, dict.fromkeys(weights, 0)
+        for t, (s, j, slot, on) in enumerate(run(weights, dict.fromkeys(weights, 4000))):
+            if not on or t == 5500:
+                break
+            assert (t, done[s]) == (slot, j)
+            done[s] += 1
+            assert all(abs(done[x] - (t + 1) * target[x]) < 1 for x in (weights if t % 250 < 20 else [s]))
+        assert t > 4000
+    # all blocks get a place, also of sources that run out or weigh nothing
+    plan = list(run({"a": 3, "b": 1, "z": 0}, {"a": 5, "b": 40, "z": 3}))
+    assert [p[2] for p in plan] == list(range(48)) and [p[0] for p in plan[-3:]] == ["z"] * 3
+    assert {(p[0], p[1]) for p in plan} == {("a", j) for j in range(5)} | {("b", j) for j in range(40)} | {("z", j) for j in range(3)}
+    rows = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 7 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source")
+    out = {r["mix_slot"]: (r["source"], r["on_target"]) for r in interleave(rows, {"a": 0.7, "b": 0.2, "c": 0.1}, block=2).collect()}
+    assert sorted(out) == list(range(3000))
+    done = dict.fromkeys("abc", 0)
+    for t in range(3000):
+        done[out[t][0]] += 1
+        assert out[t][1] and all(abs(done[s] - (t + 1) * w) < 1 for s, w in {"a": Fraction(7, 10), "b": Fraction(2, 10), "c": Fraction(1, 10)}.items())
+
+
 # 6
 def brute_suffixes(rows):
     seen, out = set(), {}
