@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -44,41 +44,59 @@ def chunked(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
     return computed(out, _chunks=F.transform("_ends", chunk)).drop("_lines", "_hashes", "_ends")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, runs: bool = False, **options) -> DataFrame:
     """(doc_id, _drop): indexes of the chunks of at least two lines that occur earlier, in a smaller doc_id or before in
-    the same document.
+    the same document.  With ``runs`` also a chunk of one line goes if it occurs earlier together with its neighbour chunk.
 
     Hashes are counted first, without texts; only chunks whose hash repeats are grouped by hash *and* bytes, which is
     the byte comparison.  Grouping combines on the map side, so a chunk in a third of all rows is one row for each task.
+    Neighbours are compared by the first places of their bytes, so they need no texts.
     """
+    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     chunks = (
-        chunked(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), **options)
-        .select("doc_id", F.explode("_chunks").alias("c"))
-        .select("doc_id", F.col("c.idx").alias("idx"), F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"))
-        .where("n_lines > 1")
+        chunked(known.withColumn("row", F.xxhash64("text") if runs else F.lit(0).cast("long")), **options)
+        .select("doc_id", "row", F.explode("_chunks").alias("c"))
+        .select("doc_id", "row", F.col("c.idx").alias("idx"), F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"))
+        .where("n_lines > 1" if not runs else "true")
         .withColumn("h", F.xxhash64("chunk"))
     )
     often = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     some = cut(chunks.join(often, "h", "left_semi"))  # both uses below read the repeated chunks, not all texts again
-    first = some.groupBy("h", "chunk").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")).where("n > 1")
-    same = some.join(first, ["h", "chunk"]).select("doc_id", "idx", "h", "doc", "chunk")
-    later = same.where("doc_id > doc").select("doc_id", "idx")
-    within = same.where("doc_id = doc").groupBy("doc_id", "h", "chunk").agg(F.collect_set("idx").alias("all")).where("size(all) > 1")
-    again = within.select("doc_id", F.explode(F.filter("all", lambda i: i > F.array_min("all"))).alias("idx"))
-    return later.unionByName(again).groupBy("doc_id").agg(F.collect_set("idx").alias("_drop"))
-
-
-def dedup(docs: DataFrame, **options) -> DataFrame:
+    first = some.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "idx")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    same = some.join(first, ["h", "chunk"]).select("doc_id", "row", "idx", "n_lines", F.col("f.doc_id").alias("doc"), F.col("f.idx").alias("at"))
+    same = cut(same) if runs else same
+    later = (F.col("doc_id") > F.col("doc")) | (F.col("idx") > F.col("at"))
+    drops = same.where("n_lines > 1").where(later).select("doc_id", "idx")
+    if runs:
+        drops = drops.unionByName(_repeated_neighbours(same))
+    return drops.groupBy("doc_id").agg(F.collect_set("idx").alias("_drop"))
+
+
+def _repeated_neighbours(same: DataFrame) -> DataFrame:
+    """(doc_id, idx) of both of two neighbour chunks, one of them of one line, that occur earlier as neighbours and without
+    an overlap.  same: doc_id, row, idx, n_lines and the first place (doc, at) of the chunk's bytes."""
+    order = Window.partitionBy("doc_id", "row").orderBy("idx")
+    following = F.lead(F.struct("idx", "n_lines", "doc", "at")).over(order)
+    pairs = same.distinct().withColumn("next", following).where("next.idx = idx + 1 AND (n_lines = 1 OR next.n_lines = 1)")
+    pairs = pairs.select("doc_id", "idx", "doc", "at", F.col("next.doc").alias("next_doc"), F.col("next.at").alias("next_at"))
+    key = ["doc", "at", "next_doc", "next_at"]
+    first = pairs.groupBy(*key).agg(F.min(F.struct("doc_id", "idx")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    later = pairs.join(first, key).where((F.col("doc_id") > F.col("f.doc_id")) | (F.col("idx") > F.col("f.idx") + 1))
+    return later.select("doc_id", F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("idx"))
+
+
+def dedup(docs: DataFrame, runs: bool = False, **options) -> DataFrame:
     """``docs`` with ``text`` replaced by what is kept, and n_lines, n_chunks, removed_chunks, removed_lines.
 
-    The earliest copy of a repeated multi-line chunk stays; single-line chunks always stay.  Lines are split at ``\\n`` alone
+    The earliest copy of a repeated multi-line chunk stays; single-line chunks stay too, or with ``runs=True`` go where they
+    repeat together with a neighbour chunk, so that nothing of a later copy of several lines stays.  Lines are split at ``\\n`` alone
     and compared byte by byte.  An empty text is one empty line.  Null text or null doc_id: the row comes
     back unchanged (null text has 0 lines).  Rows with the same doc_id count as one document.  Other columns pass; those named
     like the counts are replaced.
     """
     own = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     names = [c for c in docs.columns if c not in own]
-    drops = repeated(docs, **options)
+    drops = repeated(docs, runs, **options)
     whole = chunked(docs.select(names).join(drops, "doc_id", "left"), **options)
     kept = F.filter("_chunks", lambda c: ~F.array_contains(F.col("_drop"), c["idx"]))
     out = computed(whole, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))

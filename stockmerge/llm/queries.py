@@ -7,15 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_line_dedup(spark: SparkSession, sf_dir: str, runs: bool = False) -> DataFrame:
+    """One-line chunks stay, as the query's SQL has it; op1_line_dedup_runs removes them with their neighbours."""
     from pyspark.sql import functions as F
 
     from .lines import dedup
 
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=runs)
     return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.md5("text").alias("kept_md5"))
 
 
+def op1_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_line_dedup(spark, sf_dir, runs=True)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import cluster
 
@@ -88,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -92,6 +92,25 @@ def test_line_dedup(spark, empty):
     assert dedup(empty).columns[: len(empty.columns)] == empty.columns
 
 
+def test_line_dedup_leaves_nothing_of_a_copy(spark):
+    from stockmerge.llm.lines import dedup
+
+    rng = random.Random(12)
+    texts = ["\n".join(words(rng, 4) for _ in range(2 + i % 12)) for i in range(60)]
+    assert sum(len(c) == 1 for t in texts for c in line_chunks(t)) > 30
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [(300, "one line"), (301, "one line"), (302, None), (None, texts[0])]
+    rows += [(400, "\n".join(["same"] * 9)), (500, texts[3]), (500, texts[4])]
+    out = {}
+    for r in dedup(frame(spark, rows), runs=True).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    for i, t in enumerate(texts):
+        n = t.count("\n") + 1
+        assert out[i][0]["text"] == t and out[i][0]["removed_lines"] == 0
+        assert out[100 + i][0]["text"] == "" and out[100 + i][0]["removed_lines"] == n
+    assert out[301][0]["text"] == "one line" and out[302][0]["text"] is None and out[None][0]["text"] == texts[0]
+    assert out[400][0]["text"].startswith("same")
+
+
 # 2
 def sets(rows, k):
     import re
