@@ -1,14 +1,17 @@
 """Benchmark decontamination by templates.
 
 A text becomes template tokens: numbers, names and units turn into typed placeholders, other words are
-lower-cased.  Windows of template tokens are hash-joined with the benchmark's windows.  Matches of one
-document, item and alignment must fill the slots consistently: one benchmark value always stands for one document value.
-A re-parameterised question (other numbers, other names) is therefore caught; a chance mix is not.
+lower-cased.  A capitalised word that begins a sentence may be a name or not, so windows that hold one are there in both
+readings.  Windows of template tokens are hash-joined with the benchmark's windows.  Matches of one item in one region of a
+document count together, whatever words were put in or left out between them, as far as they fill the slots as most of
+them do: one benchmark value always stands for one document value.  A re-parameterised question (other numbers, other
+names) is therefore caught; a chance mix is not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,11 @@ _KNOWN = Codes(pack)  # kept between the tasks of a Python worker
 def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words, template codes, is a slot).  A name is a capitalised word that does not begin a sentence or a line and is
     not all capitals; a unit is a known unit word after a number; a number and letters stuck to it are two words."""
+    return readings(text)[:3]
+
+
+def readings(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``template`` with the capitalised words that begin a sentence or a line, and the codes of all words as they stand."""
     if any(map(text.__contains__, "0123456789")):
         text = _GLUED.sub(" ", text)
     words = text.replace("\n", " .\n ").split(" ")
@@ -67,24 +75,39 @@ def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         packed, fresh = packed[real], fresh[real]
     number = (packed & NUM) > 0
     unit = ((packed & UNIT) > 0) & (np.r_[False, number[:-1]] if len(number) else number)
-    name = ((packed & NAME) > 0) & ~fresh & ~number & ~unit
-    codes = packed & ~np.int64(_BITS)
+    capital = ((packed & NAME) > 0) & ~number & ~unit
+    name = capital & ~fresh
+    plain = packed & ~np.int64(_BITS)
+    codes = plain.copy()
     codes[number], codes[unit], codes[name] = _NUM_CODE, _UNIT_CODE, _NAME_CODE
-    return words, codes, number | unit | name
+    return words, codes, number | unit | name, capital & fresh, plain
 
 
-def _windows(codes: np.ndarray, slot: np.ndarray, size: int, least_plain: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the windows with at least ``least_plain`` plain words; a shorter text has one window, itself."""
+def _windows(text, size: int, least_plain: int, literal: bool | None):
+    """(places, hashes, is a slot) for each reading of ``readings``: windows with at least ``least_plain`` plain words, then
+    those of them that hold a capitalised sentence start as a name.  Windows with fewer plain words are taken word by word if
+    ``literal``, or, if that is None, when the text has no others.  A shorter text has one window, itself."""
+    _, codes, slot, loose, plain = text
     if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return
     n = min(size, len(codes))
-    hashes = windows(codes, n)
-    plain = np.cumsum(np.r_[0, ~slot])
-    at = np.flatnonzero(plain[n:] - plain[:-n] >= min(least_plain, n))
-    return at, hashes[at]
-
-
-_WINDOW = "id long, at int, h long, slots array<string>"
+    within = lambda flags: (c := np.cumsum(np.r_[0, flags]))[n:] - c[:-n]
+    enough = within(~slot) >= min(least_plain, n)
+    at = np.flatnonzero(enough)
+    if len(at):
+        yield at, windows(codes, n)[at], slot
+    if loose.any():
+        either = slot | loose
+        more = np.flatnonzero((within(loose) > 0) & (within(~either) >= min(least_plain, n)))
+        if len(more):
+            yield more, windows(np.where(loose, _NAME_CODE, codes), n)[more], either
+    if literal or literal is None and not len(at):
+        few = np.flatnonzero(~enough)
+        if len(few):
+            yield few, windows(plain, n)[few], np.zeros(len(slot), bool)
+
+
+_WINDOW = "id long, part long, at int, h long, slots array<string>"
 BITS = 1 << 23
 
 
@@ -93,32 +116,41 @@ def _spots(h: np.ndarray) -> np.ndarray:
 
 
 def template_windows(rows: DataFrame, size: int, least_plain: int, sizes: list[int], only: np.ndarray | None = None) -> DataFrame:
-    """(id, at, h, slots) of every window of rows (id, text); slots holds ``offset=value`` items.  ``sizes`` are the
-    window lengths to make (short benchmark items need their own); ``only`` is a bitmap of fixed size over hashes of
-    wanted windows: what it lets through in error, the join drops."""
+    """(id, part, at, h, slots) of every window of rows (id, text) in each of its readings; part tells texts of one id
+    apart, slots holds ``offset=value`` items.  ``sizes`` are the window lengths to make (short benchmark items need
+    their own); ``only`` is a bitmap of fixed size over hashes of wanted windows: what it lets through in error, the join
+    drops.  With it, all windows with few plain words are there word by word; without, those of texts that have no others."""
     shared = rows.sparkSession.sparkContext.broadcast(only) if only is not None else None
+    literal = True if shared else None
 
     def run(batches):
         keep = np.unpackbits(shared.value).view(bool) if shared else None
         for batch in slices(batches):
-            ids, ats, hs, fills = [], [], [], []
+            ids, parts, ats, hs, fills = [], [], [], [], []
             for key, text in zip(column(batch, "id").to_pylist(), texts_of(batch), strict=True):
                 if not text:
                     continue
-                words, codes, slot = template(text)
+                read, part = readings(text), None
+                words = read[0]
                 for n in sizes:
-                    if n != size and len(codes) < n:
+                    if n != size and len(words) < n:
                         continue
-                    at, h = _windows(codes, slot, n, least_plain)
-                    if keep is not None:
-                        hit = keep[_spots(h)]
-                        at, h = at[hit], h[hit]
-                    for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        ids.append(key)
-                        ats.append(a)
-                        hs.append(x)
-                        fills.append([f"{i - a}={words[i].strip(_EDGE).lower()}" for i in range(a, min(a + n, len(words))) if slot[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(fills, pa.list_(pa.string()))], ["id", "at", "h", "slots"])
+                    for at, h, slot in _windows(read, n, least_plain, literal):
+                        if keep is not None:
+                            hit = keep[_spots(h)]
+                            at, h = at[hit], h[hit]
+                        if part is None and len(at):
+                            part = word_code(text)
+                        for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                            ids.append(key)
+                            parts.append(part)
+                            ats.append(a)
+                            hs.append(x)
+                            fills.append([f"{i - a}={words[i].strip(_EDGE).lower()}" for i in range(a, min(a + n, len(words))) if slot[i]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(fills, pa.list_(pa.string()))],
+                ["id", "part", "at", "h", "slots"],
+            )
 
     return rows.mapInArrow(run, _WINDOW)
 
@@ -135,8 +167,8 @@ def item_sizes(benchmark: DataFrame, size: int) -> list[int]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_plain: int = 4) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage): how many windows of the item one consistent alignment in the
-    document holds.  The bitmap made from the benchmark has a fixed size (1 MB), so the documents' side of the
+    """(doc_id, item_id, n_windows, item_windows, coverage): how many windows of the item one region of the document holds
+    with one filling of the slots.  The bitmap made from the benchmark has a fixed size (1 MB), so the documents' side of the
     join is small whatever the benchmark's size, and both sides may be shuffled."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     sizes = item_sizes(items, size)
@@ -146,27 +178,74 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_plain: i
     bitmap[[r[0] for r in spots]] = True
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     found = cut(template_windows(rows, size, least_plain, sizes, np.packbits(bitmap)))  # few rows; the texts are read once
-    totals = wanted.groupBy("id").agg(F.count("*").alias("item_windows"))
+    totals = wanted.groupBy("id").agg(F.count_distinct("part", "at").alias("item_windows"), (F.max("at") - F.min("at") + 1).alias("span"))
+    # equal windows of an item are one row, so a document that repeats them does not meet each of them each time
+    kinds = wanted.groupBy(F.col("id").alias("item_id"), "h", "slots").agg(F.min("at").alias("b"), F.count_distinct("part", "at").cast("int").alias("n"))
     pairs = (
-        found.select(F.col("id").alias("doc_id"), F.col("at").alias("d"), "h", F.col("slots").alias("values"))
-        .join(wanted.select(F.col("id").alias("item_id"), F.col("at").alias("b"), "h", "slots"), "h")
-        .withColumn("shift", F.col("d") - F.col("b"))
+        found.select(F.col("id").alias("doc_id"), "part", F.col("at").alias("d"), "h", F.col("slots").alias("values"))
+        .join(kinds, "h")
         .withColumn("fills", F.zip_with("slots", "values", lambda s, v: F.struct(_slot(s, "b"), F.substring_index(v, "=", -1).alias("value"))))
     )
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("b").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set("fills"))).alias("fills"),  # at most the slots of one item
-    )
-    consistent = F.size("fills") == F.size(F.array_distinct(F.transform("fills", lambda f: f["slot"])))
+    hits = pairs.groupBy("doc_id", "part", "item_id").agg(F.collect_list(F.struct("d", "b", "n", "fills")).alias("hits"))  # of one text and item
     return (
-        aligned.where(consistent)
-        .groupBy("doc_id", "item_id")
+        hits.join(totals.withColumnRenamed("id", "item_id"), "item_id")
+        .mapInArrow(_held(size), "doc_id long, item_id long, item_windows long, n_windows long")
+        .groupBy("doc_id", "item_id", "item_windows")
         .agg(F.max("n_windows").alias("n_windows"))
-        .join(totals.withColumnRenamed("id", "item_id"), "item_id")
         .select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
     )
 
 
+def consistent_windows(hits: list[tuple[int, int, int, tuple]]) -> int:
+    """How many windows of an item are held by hits (d, b, n, fills) that fill each slot as most of them do; b and n are
+    the first place and the number of equal windows of the item, of which each place d of the document holds one."""
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for _, _, _, fills in hits:
+        for slot, value in set(fills):
+            votes[slot][value] += 1
+    most = {slot: min(v, key=lambda x: (-v[x], x)) for slot, v in votes.items()}
+    places: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for d, b, n, fills in hits:
+        if all(most[slot] == value for slot, value in fills):
+            places[b, n].add(d)
+    return sum(min(len(p), n) for (_, n), p in places.items())
+
+
+def best_region(hits: list[tuple[int, int, int, tuple]], span: int, size: int) -> int:
+    """The most consistent windows in one region of the document, which may be a quarter and two windows longer than the
+    item, or at one shift.  Regions begin a quarter of the item apart at most, so one holds any copy as a whole."""
+    hits = sorted(hits, key=lambda x: x[0])
+    ds = [x[0] for x in hits]
+    width, step = span + span // 2 + 2 * size, max(1, span // 4)
+    best, end, last, shifts = 0, 0, None, defaultdict(list)
+    for i, hit in enumerate(hits):
+        shifts[hit[0] - hit[1]].append(hit)
+        if last is not None and ds[i] < last + step:
+            continue
+        last = ds[i]
+        while end < len(hits) and ds[end] < last + width:
+            end += 1
+        best = max(best, consistent_windows(hits[i:end]))
+    return max(best, *(consistent_windows(x) for x in shifts.values() if len(x) > best), 0, 0)
+
+
+def _held(size: int):
+    def run(batches):
+        for batch in batches:
+            for piece in slices([batch], 64):
+                spans, totals, lists = (column(piece, c).to_pylist() for c in ("span", "item_windows", "hits"))
+                held = []
+                for span, total, hits in zip(spans, totals, lists, strict=True):
+                    rows = [(x["d"], x["b"], x["n"], tuple((f["slot"], f["value"]) for f in x["fills"])) for x in hits]
+                    held.append(min(total, best_region(rows, span, size)))
+                yield pa.RecordBatch.from_arrays(
+                    [column(piece, "doc_id"), column(piece, "item_id"), column(piece, "item_windows"), pa.array(held, pa.int64())],
+                    ["doc_id", "item_id", "item_windows", "n_windows"],
+                )
+
+    return run
+
+
 def _slot(slot, start: str):
     """The benchmark's value is what a slot is named by, so the same value at two places must be filled the same way."""
     return F.substring_index(slot, "=", -1).alias("slot")
@@ -181,9 +260,9 @@ def _spot_rows(batches):
 def flag(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, ascending), coverage (of the best item) for every row.
 
-    A row is contaminated if a consistent alignment holds at least the share ``least`` of an item's windows.  Null,
+    A row is contaminated if one region of it holds, consistently filled, at least the share ``least`` of an item's windows.  Null,
     empty and null-id rows and an empty benchmark give false, 0 items, coverage 0.  An item of fewer than ``size`` tokens is one
-    window; an item without any is never matched.  Repeated ids share one verdict: the worst of their texts.
+    window; an item without any is never matched.  An item without enough plain words is matched word by word.  Repeated ids share one verdict: the worst of their texts.
     """
     hits = matches(docs, benchmark, **options).where(F.col("coverage") >= least)
     verdicts = hits.groupBy("doc_id").agg(

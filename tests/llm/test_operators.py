@@ -207,6 +207,29 @@ def test_decontaminate(spark, empty):
     assert not any(r["contaminated"] for r in flag(frame(spark, rows), items.limit(0)).collect())
 
 
+def test_decontaminate_reparameterised(spark):
+    from stockmerge.llm.decontaminate import flag
+
+    rng = random.Random(21)
+    short = "Tom has 5 apples and 3 pears. Tom buys 3 more apples now. Tom eats 2 of these apples. Tom sells all the pears left."
+    other = short.replace("Tom", "Anna").replace("5", "7").replace("3", "8").replace("2", "6")
+    long = words(rng, 40)
+    put = long.split(" ")
+    put.insert(20, "really")
+    slots = "Boston lies " + words(rng, 18) + " Boston " + words(rng, 18) + " near Boston " + words(rng, 3)
+    wrong = slots.replace("Boston", "Leeds").replace("near Leeds", "near York")
+    sums = "12 34 46 and 7 8 56 or 9 9 81 17"
+    repeated = "row row row " * 10
+    items = spark.createDataFrame([(1, short), (2, long), (3, slots), (4, sums), (5, repeated)], "item_id long, text string")
+    rows = [(1, words(rng, 30) + ".\n" + other + " " + words(rng, 30)), (2, words(rng, 9) + " " + " ".join(put)), (3, words(rng, 9) + ". " + wrong), (4, "so " + sums + " then"), (5, "row row " * 3000)]
+    rows += [(11, "Anna has 7 bananas. Bob buys 8 more apples. Carl eats 6 of these."), (12, " ".join(long.split(" ")[:18])), (14, "so 1 2 3 and 4 5 20 or 6 6 36 5"), (15, "row row row")]
+    # two halves far from each other are not one copy
+    rows.append((16, " ".join(long.split(" ")[:22]) + " " + words(rng, 400) + " " + " ".join(long.split(" ")[22:])))
+    out = {r["doc_id"]: r["items"] for r in flag(frame(spark, rows), items).collect()}
+    assert {k: out[k] for k in (1, 2, 3, 4, 5)} == {k: [k] for k in (1, 2, 3, 4, 5)}
+    assert {k: out[k] for k in (11, 12, 14, 15, 16)} == {k: [] for k in (11, 12, 14, 15, 16)}
+
+
 # 5
 def test_mixing(spark, docs, empty):
     from stockmerge.llm.mixing import interleave, schedule, shares
