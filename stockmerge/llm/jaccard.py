@@ -203,21 +203,60 @@ def leader_pairs(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def bucket_pairs(members: DataFrame, rule: Rule, near: int = 48) -> DataFrame:
+def cells(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(bucket, side, key, comp): members of the buckets that hold more than one component, dealt into cells (the new bucket) of
+    about two ``block`` rows at most.  A component of ``block`` members or more has blocks of its own, the others of a bucket
+    share theirs; each two blocks that can hold different components meet in one cell, as side 0 and 1.  So a large
+    component meets the others once, in any number of tasks, and is never compared with itself."""
+    placed = cut(members.select("bucket", "key").join(labels, "key"))
+    per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    large = F.col("c") >= block
+    dealt = lambda n: F.ceil(n / block).cast("int")
+    several = (
+        per.groupBy("bucket")
+        .agg(
+            F.min("comp").alias("low"),
+            F.max("comp").alias("high"),
+            F.collect_list(F.when(large, F.struct(F.lit(True).alias("own"), F.col("comp").alias("of"), dealt(F.col("c")).alias("blocks")))).alias("groups"),
+            F.sum(F.when(~large, F.col("c"))).alias("rest"),
+        )
+        .where("low < high")
+    )
+    rest = F.when(F.col("rest").isNull(), F.array().cast("array<struct<own:boolean,of:bigint,blocks:int>>")).otherwise(
+        F.array(F.struct(F.lit(False).alias("own"), F.lit(0).cast("long").alias("of"), dealt(F.col("rest")).alias("blocks")))
+    )
+    groups = several.select("bucket", F.concat("groups", rest).alias("groups"))
+    joined = placed.join(groups, "bucket")
+    found = F.filter("groups", lambda g: g["own"] & (g["of"] == F.col("comp")))
+    own = F.coalesce(F.get(found, F.lit(0)), F.get(F.filter("groups", lambda g: ~g["own"]), F.lit(0)))
+    joined = joined.withColumn("group", own)
+    block_id = lambda g, i: F.xxhash64(g["own"], g["of"], i)
+    others = F.filter("groups", lambda g: ~g["own"] | (g["own"] != F.col("group.own")) | (g["of"] != F.col("group.of")))
+    met = F.flatten(F.transform(others, lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda i: block_id(g, i))))
+    at = block_id(F.col("group"), F.pmod(F.xxhash64("key"), F.col("group.blocks")).cast("int"))
+    joined = joined.select("bucket", "key", "comp", at.alias("at"), F.explode(met).alias("other"))
+    cell = F.xxhash64("bucket", F.least("at", "other"), F.greatest("at", "other"))
+    return joined.select(cell.alias("bucket"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("at") != F.col("other")).alias("cross"), "key", "comp")
+
+
+def bucket_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, near: int = 48, block: int = 1024) -> DataFrame:
     """Distinct (a, b), a < b, of members of one bucket in different components whose fragment bound allows a link.
-    members: bucket, key, n, counts, comp.  All such pairs are looked at, in arrays; only links and near misses become
-    rows, so a bucket of unlike or of already joined members leaves nothing."""
-    dealt = members.repartition("bucket").sortWithinPartitions("bucket", "key")
+    members: bucket, key.  All such pairs are looked at, in arrays of two ``block`` rows or so; only links and near misses
+    become rows, so a bucket of unlike or of already joined members leaves nothing."""
+    rows = cells(members, labels, block).join(classes.select("key", "n", "counts"), "key")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side", "key")
 
     def pairs(key, n, comp, counts, i, j):
         far = comp[i] != comp[j]
         i, j = i[far], j[far]
         fits = likely(rule, n, counts, i, j)
-        return key[i[fits]], key[j[fits]]
+        a, b = key[i[fits]], key[j[fits]]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def everyone(batches):
         for batch in _whole(batches):
             bucket, *rest = _columns(batch)
+            side, cross = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("side", "cross"))
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             size = np.diff(np.r_[start, len(bucket)])
             end = np.repeat(start + size, size)
@@ -227,11 +266,13 @@ def bucket_pairs(members: DataFrame, rule: Rule, near: int = 48) -> DataFrame:
                 i = at[small & (at + d < end)]
                 yield pairs(*rest, i, i + d)
             for s, k in zip(start[size > near], size[size > near], strict=True):
-                comp = rest[2][s : s + k]
-                if (comp == comp[0]).all():
-                    continue
-                for i in range(s, s + k - 1):
-                    yield pairs(*rest, np.full(s + k - 1 - i, i), np.arange(i + 1, s + k))
+                if cross[s]:
+                    half = s + int((side[s : s + k] == 0).sum())
+                    for i in range(s, half):
+                        yield pairs(*rest, np.full(s + k - half, i), np.arange(half, s + k))
+                else:
+                    for i in range(s, s + k - 1):
+                        yield pairs(*rest, np.full(s + k - 1 - i, i), np.arange(i + 1, s + k))
 
     def run(batches):
         for a, b in everyone(batches):
@@ -391,7 +432,7 @@ def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", lead
     if leaders:
         tried = cut(leader_pairs(members, classes, rule))
         labels = components(cut(links(tried, known, classes, rule)), labels)
-    more = bucket_pairs(members.select("bucket", "key").join(classes.select("key", "n", "counts").join(labels, "key"), "key"), rule)
+    more = bucket_pairs(members, classes, labels, rule)
     more = cut(more.join(tried, ["a", "b"], "left_anti") if tried is not None else more)
     if not more.isEmpty():
         labels = components(cut(links(more, known, classes, rule)), labels)

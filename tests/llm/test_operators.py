@@ -154,6 +154,31 @@ def test_ngram_jaccard_without_leaders_is_the_same(spark, docs):
     assert a == {tuple(r) for r in cluster(docs, 3, "9/10", leaders=True).collect()}
 
 
+def test_ngram_jaccard_buckets_stay_small(spark):
+    """A large component meets the others of its bucket, in cells of bounded size; a bucket of one component meets nothing."""
+    from fractions import Fraction
+
+    from stockmerge.llm.jaccard import FRAGMENTS, Rule, bucket_pairs, cells
+
+    comp = {k: 0 if k < 300 else 1 if k < 400 else k for k in range(460)}
+    members = spark.createDataFrame([(7, k) for k in comp] + [(8, k) for k in range(300)] + [(9, 5), (9, 459)], "bucket long, key long")
+    labels = spark.createDataFrame(list(comp.items()), "key long, comp long")
+    dealt = cells(members, labels, 32).collect()
+    size, met = {}, set()
+    for r in dealt:
+        size.setdefault(r["bucket"], []).append(r)
+    for rows in size.values():
+        assert len(rows) <= 140
+        met |= {(x["key"], y["key"]) for x in rows for y in rows if x["key"] < y["key"] and x["comp"] != y["comp"] and (x["side"] != y["side"] or not x["cross"])}
+    want = {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b]}
+    assert met == want
+    assert len(dealt) < 4000 and all(len({x["comp"] for x in rows}) > 1 for rows in size.values())
+    counts = bytearray([1] * 40 + [0] * (FRAGMENTS - 40))
+    classes = spark.createDataFrame([(k, 40, counts) for k in comp], "key long, n int, counts binary")
+    for block in (32, 1024):
+        assert {tuple(r) for r in bucket_pairs(members, classes, labels, Rule(3, Fraction(9, 10)), block=block).collect()} == want
+
+
 # 3
 def test_quality(spark, empty):
     from stockmerge.llm.quality import classify, fit, grades
