@@ -77,6 +77,17 @@ def least_hashed(rows: DataFrame, by: str, most: int) -> DataFrame:
     return some.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= most).drop("_h")
 
 
+def bitmap_of(spots: DataFrame, bits: int) -> np.ndarray:
+    """The packed bitmap (as ``np.packbits``) of a column ``spot`` of numbers below ``bits``.  Executors fold spots into
+    words of 64, so at most bits / 64 rows come to the driver."""
+    word = F.shiftright("spot", 6).alias("word")
+    bit = F.expr("shiftleft(1L, cast(spot & 63 AS int))")
+    found = spots.groupBy(word).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little"))
+
+
 def gear_table(seed: int = 0x5EED) -> np.ndarray:
     """256 fixed pseudo-random uint32 values."""
     return (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)

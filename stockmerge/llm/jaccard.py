@@ -1,16 +1,18 @@
 """Jaccard self-join on word n-grams by vertical partitioning, and the components of its links.
 
-All n-grams stand in one global order (rare first, then by hash) that is cut into FRAGMENTS vertical pieces by hash.
+All n-grams stand in one global order (rare first, then by hash), which is cut into PIECES fragments of about equal mass.
 
 1.  Equal sets form a class; everything below works on classes, so copies cost one row.
 2.  Two linked sets share an n-gram among the first few of each (prefix filter).  Classes that share such an n-gram and
     have compatible sizes meet in a bucket.
-3.  A pair is bounded by its fragments: the overlap in a fragment is at most the smaller of both counts there, and the
-    bounds sum up to a bound of the overlap.  Pairs whose bound is too small are dropped.
-4.  For the rest each fragment's partial overlap is counted on its own, and partial counts are summed for each pair.
+3.  Classes that are to be compared are dealt into tiles of bounded size.  Every set is cut into its fragments, and each fragment of
+    a tile is counted on its own, in rows and tasks of its own: it gives the partial overlaps of all pairs of the tile
+    as one array.  The arrays of a tile's fragments are summed, pair by pair, and the sums decide the links.
 
 Components need no pair inside a component that is known already.  So a bucket first links its members with its
-leader (linear), and only members of different components are then compared with each other, all of them.
+leader (linear), and only members of different components are then compared with each other, all of them.  Before that a
+pair is bounded by coarse counts: its overlap is at most the sum of the smaller counts in SKETCH pieces.
+Pairs are never rows: tiles hold arrays, and of the links of a tile a spanning forest is sent.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, column, cut, mix, slices, texts_of, windows
+from .common import Codes, bitmap_of, column, cut, mix, slices, texts_of, windows
 
-FRAGMENTS, GROUPS = 256, 8  # pieces for bounds; pieces for counting partial overlaps
+SKETCH, PIECES = 256, 8  # pieces of a set for bounds; fragments of the global order
 COUNTERS, SLICE = 1 << 18, 1 << 13
+TILE, TILE_ELEMENTS = 256, 1 << 20  # most classes on one side of a tile, and about so many n-grams
+BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -58,9 +62,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(windows(codes, min(words, len(found))))
 
 
-def piece(h: np.ndarray, n: int) -> np.ndarray:
-    """Which of n vertical pieces an n-gram is in (by the low bits; the order inside a set uses the high ones)."""
-    return (h & np.uint64(n - 1)).astype(np.int64)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many n-grams lie in each of SKETCH pieces (low bits of the hash; the global order uses the high ones)."""
+    return np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
 
 
 def counter(h: np.ndarray) -> np.ndarray:
@@ -71,8 +75,29 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+@dataclass(frozen=True)
+class Order:
+    """The global order of n-grams: by ``level`` of their counter (rare first), then by hash; and where it is cut."""
+
+    level: np.ndarray
+    cuts: np.ndarray
+
+    def first(self, s: np.ndarray, n: int) -> np.ndarray:
+        level = self.level[counter(s)]
+        return s[:n] if not level.any() else s[np.argsort(level, kind="stable")[:n]]
+
+    def fragments(self, s: np.ndarray) -> list[bytes]:
+        """A sorted set cut at the same places of the order as every other set."""
+        at = (self.level[counter(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+        piece = np.searchsorted(self.cuts, at, "right")
+        order = np.argsort(piece, kind="stable")
+        ends = np.cumsum(np.bincount(piece, minlength=PIECES))
+        dealt = s[order]
+        return [dealt[i:j].tobytes() for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+
+
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """One row for each document (kind 0: doc_id, key, n, counts of its fragments) and, for each task, slices of its
+    """One row for each document (kind 0: doc_id, key, n, its sketch) and, for each task, slices of its
     n-gram counters (kind 1: key is the slice)."""
 
     def run(batches):
@@ -83,7 +108,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(text, words)
                 keys.append(set_key(s))
                 ns.append(len(s))
-                c = np.bincount(piece(s, FRAGMENTS), minlength=FRAGMENTS)
+                c = sketch(s)
                 counts.append(c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes())
                 if len(s):
                     np.add.at(seen, counter(s), 1)
@@ -101,9 +126,9 @@ def _rows(kind, ids, keys, ns, counts):
     )
 
 
-def frequencies(described: DataFrame) -> np.ndarray:
-    """How often n-grams fall on each counter, as a power of two, over all data.  COUNTERS bytes whatever the data's
-    size; only the order depends on it, never the result."""
+def global_order(described: DataFrame) -> Order:
+    """Levels are how often n-grams fall on each counter, as a power of two, over all data: COUNTERS numbers whatever the
+    data's size.  Only the order depends on them, never the result.  The cuts leave about equal mass between them."""
 
     def add(pdf):
         import pandas as pd
@@ -115,15 +140,21 @@ def frequencies(described: DataFrame) -> np.ndarray:
     parts = described.where("kind = 1").groupBy("key").applyInPandas(add, "key long, counts binary")
     for key, counts in parts.toLocalIterator():
         out[key * SLICE : (key + 1) * SLICE] = np.frombuffer(counts, np.int64)
-    return np.ceil(np.log2(np.maximum(out, 1) / max(1.0, float(np.mean(out)) * 2))).clip(0, 60).astype(np.uint8)
+    level = np.ceil(np.log2(np.maximum(out, 1) / max(1.0, float(np.mean(out)) * 2))).clip(0, 60).astype(np.uint8)
+    mass = np.cumsum(np.r_[0, np.bincount(level, out, 64)]).astype(float)
+    wanted = mass[-1] * np.arange(1, PIECES) / PIECES
+    at = np.clip(np.searchsorted(mass, wanted, "right") - 1, 0, 62)
+    share = (wanted - mass[at]) / np.maximum(mass[at + 1] - mass[at], 1)
+    inside = [min((1 << 58) - 1, int(x * (1 << 58))) for x in share]
+    return Order(level, np.array([(int(a) << 58) + b for a, b in zip(at, inside, strict=True)], np.uint64))
 
 
-def prefixes(docs: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, rule: Rule, order: Order) -> DataFrame:
     """(gram, key, n) for the first n-grams of every set in the global order; a task sends equal sets once."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        rank, sent = shared.value, set()
+        sent = set()
         for batch in slices(batches):
             grams, keys, ns = [], [], []
             for text in texts_of(batch):
@@ -133,9 +164,7 @@ def prefixes(docs: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
                 sent.add(set_key(s))
                 if len(sent) > 100_000:
                     sent.clear()
-                p = rule.prefix(len(s))
-                level = rank[counter(s)]
-                first = s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]]
+                first = shared.value.first(s, rule.prefix(len(s)))
                 grams.append(first)
                 keys.append(np.full(len(first), set_key(s), np.int64))
                 ns.append(np.full(len(first), len(s), np.int32))
@@ -175,7 +204,7 @@ def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) have sizes and fragment counts that allow a link."""
+    """Which of the pairs (i, j) have sizes and sketches that allow a link."""
     need = rule.overlap(n[i], n[j])
     out = need <= np.minimum(n[i], n[j])
     at = np.flatnonzero(out)
@@ -185,11 +214,15 @@ def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.n
     return out
 
 
-def leader_pairs(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): each class with the one leader that it shares most buckets with, if the fragment bound allows a link."""
+_TILE = "tile long, split int, keys array<long>, ns array<int>"
+
+
+def leader_tiles(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Tiles of a leader and the classes that share most buckets with it, if their sketches allow a link.  A leader with many
+    followers heads several tiles."""
     met = members.where("lead <> key").groupBy("lead", "key").agg(F.count("*").alias("often"))
-    pairs = met.groupBy("key").agg(F.max_by("lead", "often").alias("lead")).select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
-    side = lambda p: classes.select(F.col("key").alias(p), F.col("n").alias(f"n_{p}"), F.col("counts").alias(f"counts_{p}"))
+    pairs = met.groupBy("key").agg(F.max_by("lead", F.struct("often", "lead")).alias("lead"))
+    side = lambda p, key: classes.select(F.col("key").alias(key), F.col("n").alias(f"n_{p}"), F.col("counts").alias(f"counts_{p}"))
 
     def run(batches):
         for batch in batches:
@@ -198,16 +231,26 @@ def leader_pairs(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFram
                 n = np.r_[column(batch, "n_a").to_numpy(), column(batch, "n_b").to_numpy()].astype(np.int64)
                 counts = _counts(column(batch, "counts_a").to_pylist() + column(batch, "counts_b").to_pylist())
                 fits = pa.array(likely(rule, n, counts, np.arange(m), np.arange(m, 2 * m)))
-                yield pa.RecordBatch.from_arrays([column(batch, c).filter(fits) for c in "ab"], ["a", "b"])
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+                yield pa.RecordBatch.from_arrays([column(batch, c).filter(fits) for c in ("lead", "n_a", "key", "n_b")], ["lead", "n_a", "key", "n_b"])
+
+    near = cut(pairs.join(side("a", "lead"), "lead").join(side("b", "key"), "key").mapInArrow(run, "lead long, n_a int, key long, n_b int"))
+    salts = near.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / (TILE * 0.8), F.sum("n_b") / TILE_ELEMENTS)).cast("int").alias("salts"))
+    dealt = near.join(salts, "lead").groupBy("lead", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
+    found = dealt.agg(F.first("n_a").alias("n_a"), F.collect_list(F.struct("key", "n_b")).alias("rest"))
+    return found.select(
+        F.xxhash64("lead", "salt").alias("tile"),
+        F.lit(0).alias("split"),
+        F.concat(F.array("lead"), F.col("rest.key")).alias("keys"),
+        F.concat(F.array("n_a"), F.col("rest.n_b")).alias("ns"),
+    )
 
 
 def cells(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """(bucket, side, key, comp): members of the buckets that hold more than one component, dealt into cells (the new bucket) of
+    """(cell, bucket, side, cross, key, comp): members of the buckets that hold more than one component, dealt into cells of
     about two ``block`` rows at most.  A component of ``block`` members or more has blocks of its own, the others of a bucket
     share theirs; each two blocks that can hold different components meet in one cell, as side 0 and 1.  So a large
-    component meets the others once, in any number of tasks, and is never compared with itself."""
+    component meets the others once, in any number of tasks, and is never compared with itself.  Buckets are
+    renumbered, those with many members first."""
     placed = cut(members.select("bucket", "key").join(labels, "key"))
     per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     large = F.col("c") >= block
@@ -217,6 +260,7 @@ def cells(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
         .agg(
             F.min("comp").alias("low"),
             F.max("comp").alias("high"),
+            F.sum("c").alias("size"),
             F.collect_list(F.when(large, F.struct(F.lit(True).alias("own"), F.col("comp").alias("of"), dealt(F.col("c")).alias("blocks")))).alias("groups"),
             F.sum(F.when(~large, F.col("c"))).alias("rest"),
         )
@@ -225,7 +269,8 @@ def cells(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     rest = F.when(F.col("rest").isNull(), F.array().cast("array<struct<own:boolean,of:bigint,blocks:int>>")).otherwise(
         F.array(F.struct(F.lit(False).alias("own"), F.lit(0).cast("long").alias("of"), dealt(F.col("rest")).alias("blocks")))
     )
-    groups = several.select("bucket", F.concat("groups", rest).alias("groups"))
+    rank = F.shiftleft(F.lit(62).cast("long") - F.floor(F.log2("size")), 57).bitwiseOR(F.col("bucket").bitwiseAND(F.lit((1 << 57) - 1)))
+    groups = several.select("bucket", rank.alias("rank"), F.concat("groups", rest).alias("groups"))
     joined = placed.join(groups, "bucket")
     found = F.filter("groups", lambda g: g["own"] & (g["of"] == F.col("comp")))
     own = F.coalesce(F.get(found, F.lit(0)), F.get(F.filter("groups", lambda g: ~g["own"]), F.lit(0)))
@@ -234,160 +279,300 @@ def cells(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     others = F.filter("groups", lambda g: ~g["own"] | (g["own"] != F.col("group.own")) | (g["of"] != F.col("group.of")))
     met = F.flatten(F.transform(others, lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda i: block_id(g, i))))
     at = block_id(F.col("group"), F.pmod(F.xxhash64("key"), F.col("group.blocks")).cast("int"))
-    joined = joined.select("bucket", "key", "comp", at.alias("at"), F.explode(met).alias("other"))
+    joined = joined.select("bucket", "rank", "key", "comp", at.alias("at"), F.explode(met).alias("other"))
     cell = F.xxhash64("bucket", F.least("at", "other"), F.greatest("at", "other"))
-    return joined.select(cell.alias("bucket"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("at") != F.col("other")).alias("cross"), "key", "comp")
+    return joined.select(
+        cell.alias("cell"), F.col("rank").alias("bucket"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("at") != F.col("other")).alias("cross"), "key", "comp"
+    )
+
+
+EARLY = 8
 
 
-def bucket_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, near: int = 48, block: int = 1024) -> DataFrame:
-    """Distinct (a, b), a < b, of members of one bucket in different components whose fragment bound allows a link.
-    members: bucket, key.  All such pairs are looked at, in arrays of two ``block`` rows or so; only links and near misses
-    become rows, so a bucket of unlike or of already joined members leaves nothing."""
-    rows = cells(members, labels, block).join(classes.select("key", "n", "counts"), "key")
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side", "key")
+def bucket_tiles(members: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, near: int = 48, block: int = 1024) -> DataFrame:
+    """Tiles that hold every pair of members of one bucket in different components whose sketches allow a link.
+    members: bucket, key.  All such pairs are looked at, in arrays of two ``block`` rows or so.
 
-    def pairs(key, n, comp, counts, i, j):
-        far = comp[i] != comp[j]
+    Two classes that share several buckets are looked at in the first of them: each class carries its EARLY
+    largest buckets, and a pair that has one before this in common was there.  (A pair whose common buckets come later in
+    its lists may be looked at again, which costs time but changes nothing.)"""
+    dealt = cut(cells(members, labels, block))
+    early = dealt.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("bucket")), 1, EARLY).alias("early"))
+    rows = dealt.join(early, "key").join(classes.select("key", "n", "counts"), "key")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "side", "key")
+
+    def kept(batch, i, j):
+        far = batch.comp[i] != batch.comp[j]
         i, j = i[far], j[far]
-        fits = likely(rule, n, counts, i, j)
-        a, b = key[i[fits]], key[j[fits]]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def everyone(batches):
-        for batch in _whole(batches):
-            bucket, *rest = _columns(batch)
-            side, cross = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("side", "cross"))
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            size = np.diff(np.r_[start, len(bucket)])
-            end = np.repeat(start + size, size)
-            at = np.arange(len(bucket))
-            small = np.repeat(size <= near, size)
-            for d in range(1, min(near, int(size.max()))):
-                i = at[small & (at + d < end)]
-                yield pairs(*rest, i, i + d)
-            for s, k in zip(start[size > near], size[size > near], strict=True):
-                if cross[s]:
-                    half = s + int((side[s : s + k] == 0).sum())
-                    for i in range(s, half):
-                        yield pairs(*rest, np.full(s + k - half, i), np.arange(half, s + k))
-                else:
-                    for i in range(s, s + k - 1):
-                        yield pairs(*rest, np.full(s + k - 1 - i, i), np.arange(i + 1, s + k))
+        new = ~batch.met_before(i, j)
+        i, j = i[new], j[new]
+        fits = likely(rule, batch.n, batch.counts, i, j)
+        return i[fits], j[fits]
+
+    def all_pairs(batch, a, b):
+        """Kept pairs of two ranges of rows, or of one range with itself, a few rows at a time."""
+        out, step = [], max(1, (1 << 16) // max(1, b[1] - b[0]))
+        for s in range(a[0], a[1], step):
+            i, j = np.meshgrid(np.arange(s, min(a[1], s + step)), np.arange(*b), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            out.append(kept(batch, i, j))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
     def run(batches):
-        for a, b in everyone(batches):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for part in _whole(batches, "cell"):
+            if not part.num_rows:
+                continue
+            batch = _Cells(part)
+            small = np.repeat(batch.size <= near, batch.size)
+            at, end = np.arange(len(small)), np.repeat(batch.start + batch.size, batch.size)
+            pairs = [kept(batch, i, i + d) for d in range(1, min(near, int(batch.size.max()))) for i in [at[small & (at + d < end)]] if len(i)]
+            used = np.unique(np.concatenate([x for p in pairs for x in p])) if pairs else np.zeros(0, np.int64)
+            tiles = [(int(batch.cell[g[0]]), 0, g) for g in np.split(used, np.flatnonzero(np.diff(batch.cell[used])) + 1) if len(g)]
+            tiles = [t for tile, _, g in tiles for t in _split(batch, tile, g, g)]
+            for s, k in zip(batch.start[batch.size > near].tolist(), batch.size[batch.size > near].tolist(), strict=True):
+                half = s + int((batch.side[s : s + k] == 0).sum()) if batch.cross[s] else s
+                i, j = all_pairs(batch, (s, half if batch.cross[s] else s + k), (half, s + k))
+                if batch.cross[s]:
+                    tiles += _split(batch, int(batch.cell[s]), np.unique(i), np.unique(j), list(zip(i, j, strict=True)) if len(i) < 1000 else None)
+                else:
+                    both = np.unique(np.r_[i, j])
+                    tiles += _split(batch, int(batch.cell[s]), both, both)
+            yield _tile_rows(batch, tiles)
+
+    return rows.mapInArrow(run, _TILE)
+
+
+class _Cells:
+    """The columns of a batch of whole cells."""
+
+    def __init__(self, batch):
+        take = lambda c: column(batch, c).to_numpy(zero_copy_only=False)
+        self.cell, self.bucket, self.side, self.cross, self.key, self.comp = map(take, ("cell", "bucket", "side", "cross", "key", "comp"))
+        self.n = take("n").astype(np.int64)
+        self.counts = _counts(column(batch, "counts").to_pylist())
+        lists = column(batch, "early")
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        self.early = np.full((len(lengths), EARLY), np.iinfo(np.int64).max)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        self.early[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = lists.flatten().to_numpy()
+        self.start = np.flatnonzero(np.r_[True, self.cell[1:] != self.cell[:-1]])
+        self.size = np.diff(np.r_[self.start, len(self.cell)])
+
+    def met_before(self, i, j):
+        now = self.bucket[i]
+        out = (self.early[i, 0] == self.early[j, 0]) & (self.early[i, 0] < now)
+        left = np.flatnonzero(~out & (np.maximum(self.early[i, 0], self.early[j, 0]) < now))
+        for k in range(0, len(left), 1 << 14):
+            part = left[k : k + (1 << 14)]
+            x, y = self.early[i[part]], self.early[j[part]]
+            out[part] = ((x[:, :, None] == y[:, None, :]) & (x < now[part, None])[:, :, None]).any((1, 2))
+        return out
+
+
+def _split(batch, tile: int, a: np.ndarray, b: np.ndarray, pairs: list | None = None) -> list:
+    """(tile, split, rows) for the rows ``a`` against ``b``, or among themselves if both are the same: parts of at most TILE rows
+    and TILE_ELEMENTS n-grams or so on each side.  With ``pairs``, parts that hold none of them are left out."""
+    if not len(a) or not len(b):
+        return []
+    width = max(1, min(TILE, TILE_ELEMENTS // max(1, int(max(batch.n[a].max(), batch.n[b].max())))))
+    same, out = a is b, []
+    a, b = ([x[k : k + width] for k in range(0, len(x), width)] for x in (a, b))
+    wanted = None if pairs is None else {(next(x for x, g in enumerate(a) if g[0] <= i <= g[-1]), next(y for y, g in enumerate(b) if g[0] <= j <= g[-1])) for i, j in pairs}
+    for x, g in enumerate(a):
+        for y, h in enumerate(b):
+            if same and y < x or wanted is not None and (x, y) not in wanted:
+                continue
+            alone = same and x == y
+            out.append((tile + 0x9E3779B97F4A7C15 * (x * len(b) + y), 0 if alone else len(g), g if alone else np.r_[g, h]))
+    return out
 
 
-def _columns(batch) -> list[np.ndarray]:
-    bucket, key, n, comp = (column(batch, c).to_numpy() for c in ("bucket", "key", "n", "comp"))
-    return [bucket, key, n.astype(np.int64), comp, _counts(column(batch, "counts").to_pylist())]
+def _tile_rows(batch, tiles):
+    ids = np.array([t & ((1 << 64) - 1) for t, _, _ in tiles], np.uint64).view(np.int64)
+    rows = np.concatenate([g for _, _, g in tiles]) if tiles else np.zeros(0, np.int64)
+    offsets = pa.array(np.cumsum([0, *(len(g) for _, _, g in tiles)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (batch.key[rows], batch.n[rows].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s for _, s, _ in tiles], pa.int32()), *lists], ["tile", "split", "keys", "ns"])
 
 
-def _whole(batches):
-    """Batches cut at bucket borders, so that no bucket lies in two."""
-    rest = None
+def _whole(batches, by: str):
+    """Batches cut at the borders of ``by``, so that no group lies in two.  Groups are of bounded size."""
+    held: list = []
     for batch in batches:
-        if rest is not None and rest.num_rows:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        bucket = column(batch, "bucket").to_numpy()
-        change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-        split = int(change[-1]) if len(change) else 0
-        if split:
-            yield batch.slice(0, split)
-        rest = batch.slice(split)
-    if rest is not None and rest.num_rows:
-        yield rest
+        if not batch.num_rows:
+            continue
+        key = column(batch, by).to_numpy()
+        if held and column(held[-1], by)[-1].as_py() == key[0] and key[0] == key[-1]:
+            held.append(batch)
+            continue
+        change = np.flatnonzero(key[1:] != key[:-1]) + 1
+        first = 0 if held and column(held[-1], by)[-1].as_py() != key[0] else int(change[0]) if held else 0
+        last = int(change[-1]) if len(change) else 0
+        ready = [*held, batch.slice(0, max(first, last))] if held or last else []
+        if sum(b.num_rows for b in ready):
+            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+        held = [batch.slice(max(first, last))]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _counts(blobs: list[bytes]) -> np.ndarray:
-    if all(len(c) == FRAGMENTS for c in blobs):
-        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FRAGMENTS)
-    return np.stack([np.frombuffer(c, np.uint8 if len(c) == FRAGMENTS else np.uint32) for c in blobs]).astype(np.int32)
-
-
-def fine_counts(s: np.ndarray) -> bytes:
-    """Counts of as many fragments as the set has elements (a power of two), so that few differences cancel out."""
-    pieces = 1 << max(5, min(16, int(len(s)).bit_length()))
-    return np.minimum(np.bincount(piece(s, pieces), minlength=pieces), 255).astype(np.uint8).tobytes()
-
-
-def fine_bound(x: bytes, y: bytes, n: int, m: int) -> int:
-    """Upper bound of the overlap of two sets of n and m elements by their fine counts."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    if a.max() == 255 or b.max() == 255:
-        return min(n, m)  # a count that may be cut off bounds nothing
-    b = b.reshape(-1, len(a)).sum(0, dtype=np.int32)  # pieces are low bits: coarser ones are sums of finer ones
-    return int(np.minimum(a, b).sum())
-
-
-def judged(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, exact: bool, each: int = 2000, bits: int = 1 << 23) -> DataFrame:
-    """(a, b) of the pairs that reach the threshold (``exact``), or that may by their fine fragment counts.
-
-    Only representatives that some pair needs are looked at: a bitmap of fixed size keeps the others at home (what it
-    lets through in error, the join drops).  What travels is the text, or the counts.  A class that many pairs share
-    is dealt over several salts, to each of which its own text or counts are copied."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
-    heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
-    tails = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("key"))
-    requests = cut(heads.unionByName(tails).join(classes.select("key", "doc_id"), "key"))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int").alias("spot")
-    spots = requests.select(spot).distinct().toPandas()["spot"].to_numpy()  # at most ``bits``
-    bitmap = np.zeros(bits, bool)
-    bitmap[spots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-
-    def wanted(batches):
-        keep = np.unpackbits(shared.value).view(bool)
+    if all(len(c) == SKETCH for c in blobs):
+        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, SKETCH)
+    return np.stack([np.frombuffer(c, np.uint8 if len(c) == SKETCH else np.uint32) for c in blobs]).astype(np.int32)
+
+
+def cut_sets(tiles: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, order: Order) -> DataFrame:
+    """(tile, split, m, piece, pos, grams): the fragments of the sets of all members of the tiles.  Only documents that some tile
+    needs are cut: a bitmap of fixed size keeps the others at home (what it lets through in error, the join drops)."""
+    wanted = tiles.select("tile", "split", F.size("keys").alias("m"), F.posexplode("keys").alias("pos", "key")).join(classes.select("key", "doc_id"), "key")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int").alias("spot")
+    spark = docs.sparkSession
+    bitmap, shared = spark.sparkContext.broadcast(bitmap_of(wanted.select(spot), BITS)), spark.sparkContext.broadcast(order)
+
+    def cut_up(batches):
+        keep = np.unpackbits(bitmap.value).view(bool)
         for batch in batches:
             for part in slices([batch.filter(pa.array(keep[column(batch, "spot").to_numpy()]))]):
-                texts = texts_of(part)
-                sets = [shingles(t, rule.words) for t in texts]
-                body = [t.encode("utf-8", "surrogatepass") if exact else fine_counts(s) for t, s in zip(texts, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(body, pa.binary())], ["doc_id", "key", "n", "body"])
+                sets = [shingles(t, rule.words) for t in texts_of(part)]
+                pieces = [shared.value.fragments(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(pieces, pa.list_(pa.binary()))], ["doc_id", "key", "pieces"])
 
-    found = docs.select("doc_id", "text", spot).mapInArrow(wanted, "doc_id long, key long, n int, body binary")
+    found = docs.select("doc_id", "text", spot).mapInArrow(cut_up, "doc_id long, key long, pieces array<binary>")
     # a merge join at every size: what travels then grows with the input, and no size turns it into another plan
-    dealt = found.join(requests.hint("merge"), ["doc_id", "key"]).select("a", "salt", "b", "n", "body").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def same(own, n: int, body: bytes) -> bool:
-        need = rule.overlap(own[0], n)
-        if not exact:
-            return fine_bound(own[1], body, own[0], n) >= need
-        s = shingles(body.decode("utf-8", "surrogatepass"), rule.words)
-        common = np.intersect1d(own[1], s, assume_unique=True)
-        partial = np.bincount(piece(common, GROUPS), minlength=GROUPS)  # overlap of each vertical piece
-        return int(partial.sum()) >= need
-
-    def judge(batches):
-        own, last = None, None
+    met = found.join(wanted.hint("merge"), ["doc_id", "key"])
+    return met.select("tile", "split", "m", "pos", F.posexplode("pieces").alias("piece", "grams")).where(F.length("grams") > 0)
+
+
+def partial_overlaps(fragments: DataFrame) -> DataFrame:
+    """(tile, piece, counts): how many n-grams of one fragment the pairs of a tile share, as an array over its pairs."""
+    dealt = fragments.repartition("tile", "piece").sortWithinPartitions("tile", "piece", "pos")
+
+    def groups(batches):
+        now, held = None, []
         for batch in batches:
-            out = [], []
-            for part in slices([batch]):
-                for a, b, n, body in zip(*(column(part, c).to_pylist() for c in ("a", "b", "n", "body")), strict=True):
-                    if (a, b) == last:
-                        continue  # the same document is there twice
-                    last = a, b
-                    if b is None:
-                        own = n, shingles(body.decode("utf-8", "surrogatepass"), rule.words) if exact else body
-                    elif same(own, n, body):
-                        out[0].append(a)
-                        out[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+            for tile, piece, split, m, pos, grams in zip(*(column(batch, c).to_pylist() for c in ("tile", "piece", "split", "m", "pos", "grams")), strict=True):
+                if (tile, piece) != now:
+                    if len(held) > 1:
+                        yield (*now, *shape, held)
+                    now, shape, held = (tile, piece), (split, m), []
+                if not held or held[-1][0] != pos:  # the same document may be there twice
+                    held.append((pos, grams))
+        if len(held) > 1:
+            yield (*now, *shape, held)
+
+    def run(batches):
+        out, size = ([], [], []), 0
+        for tile, piece, split, m, held in groups(batches):
+            counts = fragment_counts(held, split, m)
+            if counts is None:
+                continue
+            for o, v in zip(out, (tile, piece, counts.astype("<i4").tobytes()), strict=True):
+                o.append(v)
+            size += counts.nbytes
+            if size > 1 << 24:
+                yield _partial(out)
+                out, size = ([], [], []), 0
+        yield _partial(out)
+
+    return dealt.mapInArrow(run, "tile long, piece int, counts binary")
+
+
+def _partial(out):
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["tile", "piece", "counts"])
+
+
+def fragment_counts(held: list[tuple[int, bytes]], split: int, m: int, columns: int = 4096) -> np.ndarray | None:
+    """Partial overlaps of the first ``split`` members with the others, or of all with all (split 0), by products of incidence
+    matrices over ``columns`` n-grams at a time; None if nothing is shared."""
+    grams = np.frombuffer(b"".join(g for _, g in held), np.uint64)
+    row = np.repeat([p for p, _ in held], [len(g) // 8 for _, g in held])
+    order = np.argsort(grams)
+    grams, row = grams[order], row[order]
+    again = grams[1:] == grams[:-1]
+    keep = np.r_[again, False] | np.r_[False, again]
+    if not keep.any():
+        return None
+    place = (np.cumsum(np.r_[True, ~again]) - 1)[keep]
+    place, row = np.cumsum(np.r_[0, place[1:] != place[:-1]]), row[keep]
+    out, n = 0, int(place[-1]) + 1
+    for c in range(0, n, columns):
+        part = slice(*np.searchsorted(place, (c, c + columns)))
+        there = np.zeros((m, min(columns, n - c)), np.float32)
+        there[row[part], place[part] - c] = 1
+        out = out + (there[:split] @ there[split:].T if split else there @ there.T)
+    return out
+
+
+def summed_links(partial: DataFrame, tiles: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): a spanning forest of the links in each tile.  The partial overlaps of a tile's fragments are added up, pair by pair,
+    and the sums are held against the least overlap that the sizes of a pair ask for."""
+    meta = tiles.select("tile", F.lit(-1).alias("piece"), F.lit(None).cast("binary").alias("counts"), "split", "keys", "ns")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("split", "int"), ("keys", "array<long>"), ("ns", "array<int>"))]
+    rows = meta.unionByName(partial.select("tile", "piece", "counts", *nothing)).repartition("tile").sortWithinPartitions("tile", "piece")
+
+    def forest(split, keys, ns, total):
+        n, k = np.array(ns, np.int64), np.array(keys, np.int64)
+        a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+        linked = total.reshape(len(n[a]), len(n[b])) >= rule.overlap(n[a][:, None], n[b][None, :])
+        if not split:
+            np.fill_diagonal(linked, False)
+        for i, j in spanning(linked, split):
+            yield int(k[i]), int(k[j])
 
-    return dealt.mapInArrow(judge, "a long, b long")
+    def run(batches):
+        now, total, out = None, None, []
+        for batch in batches:
+            for tile, counts, split, keys, ns in zip(*(column(batch, c).to_pylist() for c in ("tile", "counts", "split", "keys", "ns")), strict=True):
+                if keys is not None:
+                    if total is not None:
+                        out += forest(*now[1:], total)
+                    now, total = (tile, split, keys, ns), None
+                else:
+                    assert tile == now[0]
+                    part = np.frombuffer(counts, "<i4")
+                    total = part.astype(np.int64) if total is None else total + part
+            yield _edges(out)
+            out = []
+        yield _edges([*forest(*now[1:], total)] if total is not None else [])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _edges(pairs):
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def spanning(linked: np.ndarray, split: int) -> list[tuple[int, int]]:
+    """Edges (positions) of a forest with the same components as the links; with ``split`` rows are the first members and
+    columns the others."""
+    if not linked.any():
+        return []
+    m = linked.shape[0] + (linked.shape[1] if split else 0)
+    full = linked
+    if split:
+        full = np.zeros((m, m), bool)
+        full[:split, split:] = linked
+    full = full | full.T
+    new, out = np.ones(m, bool), []
+    for root in range(m):
+        if not new[root] or not full[root].any():
+            continue
+        new[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(full[i] & new)
+            new[found] = False
+            out += [(i, int(j)) for j in found]
+            queue += found.tolist()
+    return out
 
 
-def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of the pairs that reach the threshold.  Fine counts, a byte for each element, go first; texts follow for
-    the few pairs that are left, whose partial overlaps are counted by vertical piece and summed."""
-    likely_ = cut(judged(pairs, docs, classes, rule, exact=False))
-    return judged(likely_, docs, classes, rule, exact=True)
+def links(tiles: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, order: Order) -> DataFrame:
+    """(a, b): links of the tiles' classes, as far as components need them."""
+    return summed_links(partial_overlaps(cut_sets(tiles, docs, classes, rule, order)), tiles, rule)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -418,7 +603,7 @@ def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", lead
     A text with fewer words than n is one n-gram.  Null, empty and blank texts have no n-gram and are linked with
     nothing.  Equal sets are linked.  Null ids are left out of the links: n_shingles is given and component_id is null.
     Repeated ids count as one document: each row gets its own n_shingles and all get the least component.  Only
-    doc_id and text are read.
+    doc_id and text are read.  Sets and n-grams are compared by 64-bit hashes.
     """
     rule = Rule(words, Fraction(least))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -426,16 +611,14 @@ def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", lead
     rows = described.where("kind = 0")
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    members = cut(shared_grams(prefixes(known, rule, frequencies(described)), rule))
+    order = global_order(described)
+    members = cut(shared_grams(prefixes(known, rule, order), rule))
     labels = members.select("key").distinct().join(classes, "key").select("key", F.col("doc_id").alias("comp"))
-    tried = None
     if leaders:
-        tried = cut(leader_pairs(members, classes, rule))
-        labels = components(cut(links(tried, known, classes, rule)), labels)
-    more = bucket_pairs(members, classes, labels, rule)
-    more = cut(more.join(tried, ["a", "b"], "left_anti") if tried is not None else more)
+        labels = components(cut(links(cut(leader_tiles(members, classes, rule)), known, classes, rule, order)), labels)
+    more = cut(bucket_tiles(members, classes, labels, rule))
     if not more.isEmpty():
-        labels = components(cut(links(more, known, classes, rule)), labels)
+        labels = components(cut(links(more, known, classes, rule, order)), labels)
     comp = classes.select("key", F.col("doc_id").alias("first")).join(labels, "key", "left").select("key", F.coalesce("comp", "first").alias("comp"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return rows.join(comp, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,29 +155,70 @@ def test_ngram_jaccard_without_leaders_is_the_same(spark, docs):
     assert a == {tuple(r) for r in cluster(docs, 3, "9/10", leaders=True).collect()}
 
 
-def test_ngram_jaccard_buckets_stay_small(spark):
-    """A large component meets the others of its bucket, in cells of bounded size; a bucket of one component meets nothing."""
+def test_ngram_jaccard_tiles(spark):
+    """A large component meets the others of its bucket, in cells and tiles of bounded size; a bucket of one component meets
+    nothing; every pair of two components is in some tile."""
     from fractions import Fraction
 
-    from stockmerge.llm.jaccard import FRAGMENTS, Rule, bucket_pairs, cells
+    from stockmerge.llm.jaccard import SKETCH, TILE, Rule, bucket_tiles, cells
 
     comp = {k: 0 if k < 300 else 1 if k < 400 else k for k in range(460)}
-    members = spark.createDataFrame([(7, k) for k in comp] + [(8, k) for k in range(300)] + [(9, 5), (9, 459)], "bucket long, key long")
+    members = spark.createDataFrame([(7, k) for k in comp] + [(8, k) for k in range(300)] + [(9, 5), (9, 459)] + [(10, k) for k in comp], "bucket long, key long")
     labels = spark.createDataFrame(list(comp.items()), "key long, comp long")
     dealt = cells(members, labels, 32).collect()
     size, met = {}, set()
     for r in dealt:
-        size.setdefault(r["bucket"], []).append(r)
+        size.setdefault(r["cell"], []).append(r)
     for rows in size.values():
         assert len(rows) <= 140
         met |= {(x["key"], y["key"]) for x in rows for y in rows if x["key"] < y["key"] and x["comp"] != y["comp"] and (x["side"] != y["side"] or not x["cross"])}
     want = {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b]}
     assert met == want
-    assert len(dealt) < 4000 and all(len({x["comp"] for x in rows}) > 1 for rows in size.values())
-    counts = bytearray([1] * 40 + [0] * (FRAGMENTS - 40))
-    classes = spark.createDataFrame([(k, 40, counts) for k in comp], "key long, n int, counts binary")
-    for block in (32, 1024):
-        assert {tuple(r) for r in bucket_pairs(members, classes, labels, Rule(3, Fraction(9, 10)), block=block).collect()} == want
+    assert len(dealt) < 8000 and all(len({x["comp"] for x in rows}) > 1 for rows in size.values())
+    counts = bytearray([1] * 40 + [0] * (SKETCH - 40))
+    for n in (40, 40_000):  # n-grams of a set bound the tiles too
+        classes = spark.createDataFrame([(k, n, counts if n == 40 else bytearray(np.full(SKETCH, n, np.uint32).tobytes())) for k in comp], "key long, n int, counts binary")
+        for block in (32, 1024):
+            found, rows = set(), bucket_tiles(members, classes, labels, Rule(3, Fraction(9, 10)), block=block).collect()
+            for r in rows:
+                assert len(r["keys"]) == len(r["ns"]) <= (2 * TILE if n == 40 else 60)
+                i = r["split"]
+                for a, b in [(a, b) for a in r["keys"][:i] for b in r["keys"][i:]] if i else [(a, b) for a in r["keys"] for b in r["keys"] if a < b]:
+                    found.add((min(a, b), max(a, b)))
+            assert found >= want
+            assert len({r["tile"] for r in rows}) == len(rows)
+
+
+def test_ngram_jaccard_counts_by_fragment(spark):
+    """The overlap is the sum of the fragments' partial overlaps: with one fragment left out, links are lost."""
+    from fractions import Fraction
+
+    from stockmerge.llm import jaccard as j
+
+    rng = random.Random(31)
+    base = [words(rng, 90).split(" ") for _ in range(4)]
+    rows = []
+    for i in range(40):
+        t = list(base[i % 4])
+        t[rng.randrange(90)] = f"new{i}"
+        rows.append((i, " ".join(t)))
+    rule, docs = j.Rule(3, Fraction(4, 5)), spark.createDataFrame(rows, "doc_id long, text string")
+    described = j.cut(j.describe(docs, 3))
+    order = j.global_order(described)
+    classes = described.where("kind = 0").select("key", "doc_id", "n", "counts")
+    by_id = {r["doc_id"]: r for r in classes.collect()}
+    tiles = spark.createDataFrame([(1, 0, [by_id[i]["key"] for i in range(40)], [by_id[i]["n"] for i in range(40)]), (2, 3, [by_id[i]["key"] for i in range(8)], [by_id[i]["n"] for i in range(8)])], j._TILE)
+    parts = j.cut(j.partial_overlaps(j.cut_sets(tiles, docs, classes, rule, order)))
+    own = {k: {tuple(x) for x in zip(t.split(" "), t.split(" ")[1:], t.split(" ")[2:])} for k, t in rows}
+    pieces = {}
+    for r in parts.collect():
+        pieces.setdefault(r["tile"], {})[r["piece"]] = np.frombuffer(r["counts"], "<i4")
+    assert all(len(p) == j.PIECES for p in pieces.values())
+    total = {t: sum(p.values()) for t, p in pieces.items()}
+    assert all(total[1].reshape(40, 40)[a][b] == len(own[a] & own[b]) for a in range(40) for b in range(40) if a != b)
+    assert total[2].reshape(3, 5).tolist() == [[len(own[a] & own[b]) for b in range(3, 8)] for a in range(3)]
+    edges = j.summed_links(parts, tiles, rule).count()
+    assert edges == 36 + 3 and j.summed_links(parts.where("piece <> 3"), tiles, rule).count() < edges
 
 
 # 3
