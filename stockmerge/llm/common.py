@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_long_id(docs: DataFrame) -> DataFrame:
+    """doc_id as a long, and text.  A long id stays as it is: renamed, two uses of one shuffle would not be seen as one."""
+    return docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix, slices, texts_of
+from .common import column, mix, slices, texts_of, with_long_id
 
 LENGTH, BLOCK, PART = 100, 32, 2000
 REACH = LENGTH - BLOCK  # bytes on either side of a block that a string through it can have
@@ -131,12 +131,12 @@ _PLACE = "doc_id long, text_id long, at int, bucket long, part int"
 
 def ranked(rows: DataFrame) -> DataFrame:
     """(doc_id, text_id, at, bucket, part): samples whose whole neighbourhood stands earlier (bucket null), and the first of every
-    neighbourhood in buckets with several, dealt over parts.  Others leave nothing.  A row without a doc_id says that part 0
-    of its bucket is not alone.  A task walks its sorted buckets and holds one row."""
+    neighbourhood in buckets with several, dealt over parts.  Others leave nothing.  Part -1 says that part 0
+    of its bucket is not alone (of a place in it).  A task walks its sorted buckets and holds one row."""
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "near", "doc_id", "text_id", "spot")
 
     def run(batches):
-        last = None  # bucket, near, how many neighbourhoods of the bucket so far, its first row while it waits for a second, first place of near
+        last = None  # bucket, near, how many neighbourhoods of the bucket so far, and the first places of both
         for batch in batches:
             bucket, near, doc, text_id, spot = (column(batch, c).to_numpy() for c in ("bucket", "near", "doc_id", "text_id", "spot"))
             late = spot % 2 == 1
@@ -159,18 +159,14 @@ def ranked(rows: DataFrame) -> DataFrame:
             nth = count - before - 1  # of the neighbourhood in its bucket
             f = np.flatnonzero(first)
             followed = np.r_[bucket[f][1:] == bucket[f][:-1], False]
-            if last is not None and last[3] is not None and len(f) and not new_bucket[f[0]]:
-                yield _places(*([x] for x in last[3]), [last[0]], [0])
+            if last is not None and last[2] == 1 and len(f) and not new_bucket[f[0]]:
+                yield _places(*([x] for x in last[3]), [last[0]], [0])  # it has waited for a second
             out = f[(nth[f] > 0) | followed]
             yield _places(doc[out], text_id[out], at[out], bucket[out], nth[out] // PART)
+            own = [np.where(begin < 0, last[3][i] if last is not None else 0, c[begin]) for i, c in enumerate((doc, text_id, at))]
             more = f[nth[f] == PART]
-            if len(more):
-                none = pa.nulls(len(more), pa.int64())
-                yield _batch((none, none, np.full(len(more), -1, np.int32), bucket[more], np.zeros(len(more), np.int32)), "doc_id text_id at bucket part")
-            waits = last[3] if last is not None and not len(f) else None
-            if len(f) and nth[f[-1]] == 0:
-                waits = doc[f[-1]], text_id[f[-1]], at[f[-1]]
-            last = bucket[-1], near[-1], int(nth[-1]) + 1, waits, [p[-1] for p in place]
+            yield _places(*(c[more] for c in own), bucket[more], np.full(len(more), -1))
+            last = bucket[-1], near[-1], int(nth[-1]) + 1, [c[-1] for c in own], [p[-1] for p in place]
 
     return dealt.mapInArrow(run, _PLACE)
 
@@ -188,8 +184,9 @@ _NEAR = "bucket long, part int, doc_id long, text_id long, at int, stop int, byt
 
 def neighbourhoods(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(bucket, part, doc_id, text_id, at, stop, bytes): what stands around each place with a bucket; and byte ranges (at, stop) that
-    the places without one cover, with bytes null and a bucket of their own."""
-    grouped = found.where("at >= 0").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "bucket", "part")).alias("places"))
+    the places without one cover, with bytes null and a bucket of their own.  A row without a doc_id says that part 0 of its
+    bucket is not alone."""
+    grouped = found.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "bucket", "part")).alias("places"))
 
     def run(batches):
         for batch in slices(batches, 64):
@@ -198,9 +195,14 @@ def neighbourhoods(docs: DataFrame, found: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "replace")
                 values = padded(data)
                 for p in places:
-                    if p["bucket"] is not None:
-                        for o, v in zip(out, (p["bucket"], p["part"], key, own_id, p["at"], 0, pack(values[p["at"] : p["at"] + WIDTH])), strict=True):
-                            o.append(v)
+                    if p["part"] == -1:
+                        row = p["bucket"], 0, None, None, -1, 0, None
+                    elif p["part"] is not None:
+                        row = p["bucket"], p["part"], key, own_id, p["at"], 0, pack(values[p["at"] : p["at"] + WIDTH])
+                    else:
+                        continue
+                    for o, v in zip(out, row, strict=True):
+                        o.append(v)
                 for s, e in merged([(max(0, p["at"] - REACH), p["at"] + LENGTH) for p in places if p["bucket"] is None], len(data)):
                     for o, v in zip(out, (own_id ^ s, 0, key, own_id, s, e, None), strict=True):
                         o.append(v)
@@ -368,9 +370,7 @@ def _whole(batches):
 def spans(known: DataFrame, dealt: DataFrame) -> DataFrame:
     """(doc_id, text_id, start, stop): byte ranges, perhaps overlapping, whose union is what starts earlier too.  known: doc_id, text_id
     and text; ``dealt`` is the same dealt by (doc_id, text_id)."""
-    found = ranked(samples(known))
-    notes = found.where("at < 0").select("bucket", "part", "doc_id", "text_id", "at", F.lit(0).alias("stop"), F.lit(None).cast("binary").alias("bytes"))
-    return joined_parts(sorted_buckets(neighbourhoods(dealt, found).unionByName(notes)))
+    return joined_parts(sorted_buckets(neighbourhoods(dealt, ranked(samples(known)))))
 
 
 def merged(found: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -398,7 +398,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by id: both joins with what is found use the same exchange.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_long_id(docs)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     dealt = known.repartition("doc_id", "text_id")
     found = spans(known, dealt).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
