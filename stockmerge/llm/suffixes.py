@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import column, mix, slices, texts_of, with_long_id
 
-LENGTH, BLOCK, PART = 100, 32, 2000
+LENGTH, BLOCK, PART = 100, 32, 6000
 REACH = LENGTH - BLOCK  # bytes on either side of a block that a string through it can have
 WIDTH = REACH + BLOCK + REACH
 _PAD = 256
