@@ -72,6 +72,17 @@ def windows(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def leads(*keys: np.ndarray) -> np.ndarray:
+    """For every row of sorted keys the first row with the same ones."""
+    new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], 0)]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def elsewhere(lead: np.ndarray, own: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether the rows ``own`` stand at another place than the rows ``lead`` (a text may be there twice, with one id)."""
+    return np.any([p[own] != p[lead] for p in place], 0)
+
+
 def least_hashed(rows: DataFrame, by: str, most: int) -> DataFrame:
     """At most ``most`` rows (doc_id, by) for each value of ``by``: those whose id has the least hash, with ``rn``.  Ranked
     in 64 parts first, so that no task ranks all rows of a frequent value; texts stay out of it."""
@@ -146,10 +157,13 @@ def slices(batches, rows: int = 256):
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the session's ``spark.checkpoint.dir``.
-    Where that is unset, as in tests, a folder of our own is used."""
+    Where that is unset, a session on one machine gets a folder of its own; on a cluster it is an error."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix, slices, texts_of, with_long_id
+from .common import column, elsewhere, leads, mix, slices, texts_of, with_long_id
 
 LENGTH, BLOCK, PART = 100, 32, 6000
 REACH = LENGTH - BLOCK  # bytes on either side of a block that a string through it can have
@@ -102,8 +102,8 @@ def samples(docs: DataFrame) -> DataFrame:
             if out[0]:
                 bucket, near, doc, text_id, spot = map(np.concatenate, out)
                 order = np.lexsort((spot, text_id, doc, near, bucket))
-                lead = order[_leads(bucket[order], near[order])]
-                late = order[_elsewhere(lead, order, doc, text_id, spot)]
+                lead = order[leads(bucket[order], near[order])]
+                late = order[elsewhere(lead, order, doc, text_id, spot)]
                 spot[late] += 1
                 bucket[late] = mix(near[late] + doc.view(np.uint64)[late] * _GOLD + spot[late].astype(np.uint64))
                 yield _batch((bucket.view(np.int64), near.view(np.int64), doc, text_id, spot), "bucket near doc_id text_id spot")
@@ -111,17 +111,6 @@ def samples(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, near long, doc_id long, text_id long, spot int")
 
 
-def _leads(*keys: np.ndarray) -> np.ndarray:
-    """For every row of sorted keys the first row with the same ones."""
-    new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], 0)]
-    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-
-
-def _elsewhere(lead: np.ndarray, own: np.ndarray, *place: np.ndarray) -> np.ndarray:
-    """Whether the rows ``own`` stand at another place than the rows ``lead`` (a text may be there twice, with one id)."""
-    return np.any([p[own] != p[lead] for p in place], 0)
-
-
 def _batch(arrays, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names.split())
 
@@ -289,7 +278,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         key = key[row, step]
         order = np.argsort(key, kind="stable")  # rows of a bucket come in the order of their places
         late = np.zeros(len(key), bool)
-        late[order] = _elsewhere(row[order[_leads(key[order])]], row[order], doc, text_id, at) if len(key) else False
+        late[order] = elsewhere(row[order[leads(key[order])]], row[order], doc, text_id, at) if len(key) else False
         p = at[row] + step - REACH
         low, high = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
         np.minimum.at(low, row[late], p[late])
@@ -341,9 +330,9 @@ def joined_parts(rows: DataFrame) -> DataFrame:
             if last is not None:
                 rows = [np.r_[x, y] for x, y in zip(last, rows, strict=True)]
             high, low, *place = rows
-            first = _leads(high, low)
-            elsewhere = _elsewhere(first, np.arange(len(first)), *place)  # a string may be there twice, by two samples
-            keep = pa.array(settled | elsewhere[len(elsewhere) - len(settled) :])
+            first = leads(high, low)
+            other = elsewhere(first, np.arange(len(first)), *place)  # a string may be there twice, by two samples
+            keep = pa.array(settled | other[len(other) - len(settled) :])
             last = [x[first[-1]] for x in rows]
             yield _batch([column(batch, c).filter(keep) for c in ("doc_id", "text_id", "start", "stop")], "doc_id text_id start stop")
 
