@@ -45,16 +45,17 @@ def chunked(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
 
 
 def repeated(docs: DataFrame, runs: bool = False, **options) -> DataFrame:
-    """(doc_id, _drop): indexes of the chunks of at least two lines that occur earlier, in a smaller doc_id or before in
+    """(doc_id, row, _drop): indexes of the chunks of at least two lines that occur earlier, in a smaller doc_id or before in
     the same document.  With ``runs`` also a chunk of one line goes if it occurs earlier together with its neighbour chunk.
+    row is a hash of the text; it tells texts of one id apart and orders them.
 
     Hashes are counted first, without texts; only chunks whose hash repeats are grouped by hash *and* bytes, which is
     the byte comparison.  Grouping combines on the map side, so a chunk in a third of all rows is one row for each task.
     Neighbours are compared by the first places of their bytes, so they need no texts.
     """
-    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row", "text")
     chunks = (
-        chunked(known.withColumn("row", F.xxhash64("text") if runs else F.lit(0).cast("long")), **options)
+        chunked(known, **options)
         .select("doc_id", "row", F.explode("_chunks").alias("c"))
         .select("doc_id", "row", F.col("c.idx").alias("idx"), F.col("c.n_lines").alias("n_lines"), F.col("c.chunk").alias("chunk"))
         .where("n_lines > 1" if not runs else "true")
@@ -62,27 +63,52 @@ def repeated(docs: DataFrame, runs: bool = False, **options) -> DataFrame:
     )
     often = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     some = cut(chunks.join(often, "h", "left_semi"))  # both uses below read the repeated chunks, not all texts again
-    first = some.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "idx")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    same = some.join(first, ["h", "chunk"]).select("doc_id", "row", "idx", "n_lines", F.col("f.doc_id").alias("doc"), F.col("f.idx").alias("at"))
+    place = F.struct("doc_id", "row", "idx")
+    first = some.groupBy("h", "chunk").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1")
+    same = some.join(first, ["h", "chunk"]).select("doc_id", "row", "idx", "n_lines", "f")
     same = cut(same) if runs else same
-    later = (F.col("doc_id") > F.col("doc")) | (F.col("idx") > F.col("at"))
-    drops = same.where("n_lines > 1").where(later).select("doc_id", "idx")
+    drops = same.where("n_lines > 1").where(place > F.col("f")).select("doc_id", "row", "idx")
     if runs:
         drops = drops.unionByName(_repeated_neighbours(same))
-    return drops.groupBy("doc_id").agg(F.collect_set("idx").alias("_drop"))
+    return drops.groupBy("doc_id", "row").agg(F.collect_set("idx").alias("_drop"))
 
 
 def _repeated_neighbours(same: DataFrame) -> DataFrame:
-    """(doc_id, idx) of both of two neighbour chunks, one of them of one line, that occur earlier as neighbours and without
-    an overlap.  same: doc_id, row, idx, n_lines and the first place (doc, at) of the chunk's bytes."""
+    """(doc_id, row, idx) of both of two neighbour chunks, one of them of one line, that occur earlier as neighbours and without
+    an overlap.  same: doc_id, row, idx, n_lines and the first place f of the chunk's bytes."""
     order = Window.partitionBy("doc_id", "row").orderBy("idx")
-    following = F.lead(F.struct("idx", "n_lines", "doc", "at")).over(order)
+    following = F.lead(F.struct("idx", "n_lines", "f")).over(order)
     pairs = same.distinct().withColumn("next", following).where("next.idx = idx + 1 AND (n_lines = 1 OR next.n_lines = 1)")
-    pairs = pairs.select("doc_id", "idx", "doc", "at", F.col("next.doc").alias("next_doc"), F.col("next.at").alias("next_at"))
-    key = ["doc", "at", "next_doc", "next_at"]
-    first = pairs.groupBy(*key).agg(F.min(F.struct("doc_id", "idx")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = pairs.join(first, key).where((F.col("doc_id") > F.col("f.doc_id")) | (F.col("idx") > F.col("f.idx") + 1))
-    return later.select("doc_id", F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("idx"))
+    pairs = pairs.select("doc_id", "row", "idx", "f", F.col("next.f").alias("next_f"))
+    first = pairs.groupBy("f", "next_f").agg(F.min(F.struct("doc_id", "row", "idx")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    other = F.struct("doc_id", "row") > F.struct("p.doc_id", "p.row")
+    own = (F.struct("doc_id", "row") == F.struct("p.doc_id", "p.row")) & (F.col("idx") > F.col("p.idx") + 1)
+    later = pairs.join(first, ["f", "next_f"]).where(other | own)
+    return later.select("doc_id", "row", F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("idx"))
+
+
+COUNTS = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
+
+
+def _judged(docs: DataFrame, runs: bool, **options) -> DataFrame:
+    """(rest, text, kept, counts): the other columns of ``docs`` as one struct, so that no name of theirs meets a name of ours; the text
+    before and after; and COUNTS as a struct."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    drops = repeated(rows, runs, **options)
+    whole = chunked(rows.join(drops, ["doc_id", "row"], "left"), **options)
+    kept = F.filter("_chunks", lambda c: ~F.array_contains(F.col("_drop"), c["idx"]))
+    out = computed(whole, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))
+    lines = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n_lines"])
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda c: c["chunk"]), "\n"))
+    counts = (lines("_chunks"), F.size("_chunks"), F.size("_chunks") - F.size("_kept"), lines("_chunks") - lines("_kept"))
+    known = F.col("text").isNotNull()
+    counts = F.struct(*[F.when(known, v).otherwise(0).cast("long").alias(c) for c, v in zip(COUNTS, counts, strict=True)])
+    return out.select("rest", "text", text.alias("kept"), counts.alias("counts"))
+
+
+def _columns(docs: DataFrame, names: list[str]):
+    return [F.col("kept").alias("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names]
 
 
 def dedup(docs: DataFrame, runs: bool = False, **options) -> DataFrame:
@@ -91,23 +117,20 @@ def dedup(docs: DataFrame, runs: bool = False, **options) -> DataFrame:
     The earliest copy of a repeated multi-line chunk stays; single-line chunks stay too, or with ``runs=True`` go where they
     repeat together with a neighbour chunk, so that nothing of a later copy of several lines stays.  Lines are split at ``\\n`` alone
     and compared byte by byte.  An empty text is one empty line.  Null text or null doc_id: the row comes
-    back unchanged (null text has 0 lines).  Rows with the same doc_id count as one document.  Other columns pass; those named
-    like the counts are replaced.
+    back unchanged (null text has 0 lines).  Different texts with one doc_id stand in the order of a hash of the text, so each
+    chunk is kept once; rows equal in both are one document and do not empty each other.  Other columns pass, whatever their names; those
+    named like the four counts are replaced.
     """
-    own = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    names = [c for c in docs.columns if c not in own]
-    drops = repeated(docs, runs, **options)
-    whole = chunked(docs.select(names).join(drops, "doc_id", "left"), **options)
-    kept = F.filter("_chunks", lambda c: ~F.array_contains(F.col("_drop"), c["idx"]))
-    out = computed(whole, _kept=F.when(F.col("_drop").isNull(), F.col("_chunks")).otherwise(kept))
-    lines = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n_lines"])
-    known = F.col("text").isNotNull()
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda c: c["chunk"]), "\n"))
-    counts = (lines("_chunks"), F.size("_chunks"), F.size("_chunks") - F.size("_kept"), lines("_chunks") - lines("_kept"))
-    return out.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in names],
-        *[F.when(known, v).otherwise(0).cast("long").alias(c) for c, v in zip(own, counts, strict=True)],
-    )
+    out = _judged(docs, runs, **options)
+    return out.select(*_columns(docs, [c for c in docs.columns if c not in COUNTS]), *[F.col(f"counts.{c}").alias(c) for c in COUNTS])
+
+
+def clean(docs: DataFrame, runs: bool = True, **options) -> DataFrame:
+    """``docs`` with the texts that ``dedup`` keeps and no further column; documents of which lines were removed and nothing but white space
+    is left go."""
+    emptied = (F.col("counts.removed_lines") > 0) & (F.length(F.trim(F.regexp_replace("kept", r"\s", " "))) == 0)
+    out = _judged(docs, runs, **options).where(~F.coalesce(emptied, F.lit(False)))
+    return out.select(*_columns(docs, docs.columns))
 
 
 #: DuckDB SQL for the digest columns of ``dedup``.
