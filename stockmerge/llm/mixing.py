@@ -3,8 +3,7 @@
 A source with weight w owns blocks 1, 2, ...; block j is released at slot floor((j-1)/w) and due by slot
 ceil(j/w).  Earliest deadline first meets every deadline when the weights sum to 1, so after any number of slots each
 source is less than one block away from its target.  ``run`` does so over the whole mix with the exact (rational)
-weights.  ``shares`` and ``schedule`` round the weights to parts of a period that repeats for ever, so lag against the weights
-given grows from period to period; only the registered op5_mixing, whose SQL says so, still asks for that.
+weights, whatever their sizes: nothing is rounded to a period.
 """
 
 from __future__ import annotations
@@ -12,46 +11,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from math import lcm
+from math import isqrt, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD, BLOCK = 1000, 8
-
-
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts of the period: one for each source, the rest in proportion to the weights by largest remainder."""
-    names = sorted(weights)
-    period = max(period, 4 * len(names))
-    total, rest = sum(weights.values()), period - len(names)
-    quota = {s: rest * weights[s] / total for s in names}
-    out = {s: 1 + int(quota[s]) for s in names}
-    order = sorted(names, key=lambda s: (-(quota[s] - int(quota[s])), s))
-    for s in order[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block of the period, slot) for one period; earliest deadline first, equal deadlines by name."""
-    period = sum(parts.values())
-    release = lambda s, j: j * period // parts[s]
-    deadline = lambda s, j: -(-(j + 1) * period // parts[s])
-    later = [(0, s, 0) for s in sorted(parts)]
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
-        while later and later[0][0] <= slot:
-            _, s, j = heapq.heappop(later)
-            heapq.heappush(ready, (deadline(s, j), s, j))
-        due, s, j = heapq.heappop(ready)
-        assert slot < due
-        out.append((s, j, slot))
-        if j + 1 < parts[s]:
-            heapq.heappush(later, (release(s, j + 1), s, j + 1))
-    return out
+BLOCK = 8
 
 
 def run(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, bool]]:
@@ -94,7 +60,7 @@ def _run_rows(weights: dict[str, float], blocks: dict[str, int], size: int = 1 <
             pass
         kept: list[tuple[str, int, int, bool]] = []
         types = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], ["_source", "_block", "_slot", "_on"])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], ["source", "block", "slot", "on"])
         for row in run(weights, blocks):
             kept.append(row)
             if len(kept) == size:
@@ -106,113 +72,91 @@ def _run_rows(weights: dict[str, float], blocks: dict[str, int], size: int = 1 <
     return rows
 
 
-def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, most_sources: int = 10_000) -> DataFrame:
+MIX = ["mix_block", "mix_slot", "mix_rank", "on_target"]
+
+
+def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with mix_block (block of its source), mix_slot (place of the block in the mix), mix_rank (place in
     the block) and on_target (no source had run out before this slot, so the target weights hold up to here).
 
     Every row gets exactly one place; nothing is dropped or repeated.  A source's rows are in the order of the MD5 of
-    doc_id.  Without ``weights`` a source weighs the square root of its row count.  A source absent from ``weights`` weighs as
-    little as the least one.  A null source is the source ''.  Rows with equal or null ids get places of their own, in any order
-    among them.  An empty table gives an empty result.  The number of sources must stay below ``most_sources``.
+    doc_id.  Without ``weights`` a source weighs the square root of its row count (in thousandths).  A source absent from
+    ``weights`` weighs as little as the least one.  A null source is the source ''.  Rows with equal ids get places of their own, in any
+    order among them; rows with null ids stand in the order of a hash of all their columns.  An empty table gives an empty result.
+    Other columns pass, whatever their names; those named as the four results are replaced.
 
-    Before any source runs out each is less than one block from its target.  With a ``period`` this holds only for
-    weights rounded to parts of that many slots, and the slots of a source that has run out stay free.
+    Before any source runs out each is less than one block from its target; then the others go on among themselves.
 
     Ranks within a source come from counts of 4096 hash ranges, so no task holds a whole source.  One task makes the slots, one
-    row for each block, and holds one entry for each source; a range gets its own slots as an array.
+    row for each block, and holds one entry for each source, as the driver does; a range gets its own slots as an array.
     """
-    names = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_rank", "on_target")]
-    docs = docs.select(names)
-    rows = docs.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_range", F.substring("_h", 1, 3))
-    counts = rows.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    sizes = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("_n")).limit(most_sources + 1).collect()}
-    if len(sizes) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
+    names = [c for c in docs.columns if c not in MIX]
+    everything = F.struct(*[F.col(f"`{c}`") for c in names])
+    own = F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(everything).cast("string"))
+    rows = docs.select(everything.alias("rest"), F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.md5(own).alias("hash")).withColumn("range", F.substring("hash", 1, 3))
+    counts = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
+    sizes = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("n")).toLocalIterator()}
     if weights is None:
-        weights = {s: n**0.5 for s, n in sizes.items()}
-    least = min(weights.values(), default=1.0)
+        weights = {s: isqrt(n * 1_000_000) for s, n in sizes.items()}
+    least = min(weights.values(), default=1)
     weights = {s: weights.get(s, least) for s in sizes}
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    placed = (_whole_run if period is None else _by_period)(rows, offsets, sizes, weights, block, period)
-    return placed.select(*names, "mix_block", "mix_slot", (F.col("_rank") % block).alias("mix_rank"), "on_target")
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = _placed(rows, offsets, sizes, weights, block)
+    return placed.select(*[F.col(f"rest.`{c}`").alias(c) for c in names], "mix_block", at_slot("slot").alias("mix_slot"), (F.col("rank") % block).alias("mix_rank"), at_slot("on").alias("on_target"))
 
 
-def _ranked(rows: DataFrame, offsets: DataFrame, block: int) -> DataFrame:
-    own = Window.partitionBy("_source", "_range").orderBy("_h", "doc_id")
-    ranked = rows.withColumn("_rn", F.row_number().over(own)).join(offsets, ["_source", "_range"]).withColumn("_rank", F.col("_offset") + F.col("_rn") - 1)
-    return ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
+def at_slot(field: str):
+    return F.get("slots", (F.col("mix_block") - F.col("first")).cast("int"))[field]
 
 
-def _whole_run(rows: DataFrame, offsets: DataFrame, sizes: dict[str, int], weights: dict[str, float], block: int, period: None) -> DataFrame:
+def _placed(rows: DataFrame, offsets: DataFrame, sizes: dict[str, int], weights: dict[str, float], block: int) -> DataFrame:
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    slots = rows.sparkSession.range(0, 1, 1, 1).mapInArrow(_run_rows(weights, blocks), "_source string, _block long, _slot long, _on boolean")
-    first, last = F.floor(F.col("_offset") / block), F.floor((F.col("_offset") + F.col("_n") - 1) / block)
-    spans = offsets.select("_source", "_range", "_offset", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_block"))
-    own = spans.join(slots, ["_source", "_block"]).groupBy("_source", "_range").agg(
-        F.first("_offset").alias("_offset"), F.first("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("_slot", "_on"))).alias("_slots")
+    slots = rows.sparkSession.range(0, 1, 1, 1).mapInArrow(_run_rows(weights, blocks), "source string, block long, slot long, on boolean")
+    first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block)
+    spans = offsets.select("source", "range", "offset", first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
+    own = spans.join(slots, ["source", "block"]).groupBy("source", "range").agg(
+        F.first("offset").alias("offset"), F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("slot", "on"))).alias("slots")
     )  # a later block of a source has a later slot
-    at = F.get("_slots", (F.col("mix_block") - F.col("_first")).cast("int"))
-    return _ranked(rows, own, block).withColumn("mix_slot", at["_slot"]).withColumn("on_target", at["_on"])
-
-
-def _by_period(rows: DataFrame, offsets: DataFrame, sizes: dict[str, int], weights: dict[str, float], block: int, period: int) -> DataFrame:
-    spark = rows.sparkSession
-    parts = shares(weights, period) if sizes else {}
-    length = sum(parts.values())
-    table = schedule(parts) if parts else []
-    at = {(s, j): slot for s, j, slot in table}
-    horizon = min(((b // parts[s]) * length + at[s, b % parts[s]] for s, n in sizes.items() for b in [-(-n // block)]), default=0)
-    slots = F.broadcast(spark.createDataFrame(table, "_source string, _j long, _slot long"))
-    parts_of = F.broadcast(spark.createDataFrame(list(parts.items()), "_source string, _parts long"))
-    return (
-        _ranked(rows, offsets.drop("_n"), block)
-        .join(parts_of, "_source")
-        .withColumn("_j", F.col("mix_block") % F.col("_parts"))
-        .join(slots, ["_source", "_j"])
-        .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_parts")) * length + F.col("_slot"))
-        .withColumn("on_target", F.col("mix_slot") < horizon)
-    )
+    within = Window.partitionBy("source", "range").orderBy("hash", "doc_id")
+    ranked = rows.withColumn("rn", F.row_number().over(within)).join(own, ["source", "range"]).withColumn("rank", F.col("offset") + F.col("rn") - 1)
+    return ranked.withColumn("mix_block", F.floor(F.col("rank") / block))
 
 
-#: DuckDB SQL for (doc_id, source, mix_block, mix_slot, mix_rank, on_target) with the default weights.
+#: DuckDB SQL for (doc_id, source, mix_block, mix_slot, mix_rank, on_target) with the default weights: earliest deadline
+#: first, one step for each block, all in whole numbers.
 SQL = """
 WITH RECURSIVE sizes AS (
   SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1
-), dims AS (
-  SELECT greatest(1000, 4 * count(*))::BIGINT AS period, count(*) AS k, sum(sqrt(n)) AS total FROM sizes
-), quotas AS (
-  SELECT source, n, (period - k) * sqrt(n) / total AS q, period, k FROM sizes, dims
-), floors AS (
-  SELECT *, 1 + floor(q)::BIGINT AS base, row_number() OVER (ORDER BY q - floor(q) DESC, source) AS r FROM quotas
 ), parts AS (
-  SELECT source, n, period, base + CASE WHEN r <= period - (SELECT sum(base) FROM floors) THEN 1 ELSE 0 END AS e,
-    row_number() OVER (ORDER BY source) AS i FROM floors
+  SELECT source, (n + 7) // 8 AS blocks, floor(sqrt(n * 1000000.0))::BIGINT AS w, row_number() OVER (ORDER BY source) AS i FROM sizes
 ), lists AS (
-  SELECT list(e ORDER BY i) AS es, count(*) AS k, max(period) AS period FROM parts
+  SELECT list(w ORDER BY i) AS w, list(blocks ORDER BY i) AS b, count(*) AS k FROM parts
 ), edf AS (
-  SELECT -1::BIGINT AS slot, list_transform(es, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM lists
+  SELECT 0::BIGINT AS slot, list_transform(w, lambda x: 0::BIGINT) AS done, list_transform(w, lambda x: 0::BIGINT) AS first, 0::BIGINT AS start, 0::BIGINT AS pick, true AS on_target
+  FROM lists
   UNION ALL
-  SELECT slot, list_transform(range(1, k + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  SELECT CASE WHEN out THEN slot ELSE slot + 1 END,
+    CASE WHEN out THEN done ELSE list_transform(range(1, k + 1), lambda i: done[i] + CASE WHEN i = next THEN 1 ELSE 0 END) END,
+    CASE WHEN out THEN done ELSE first END, CASE WHEN out THEN slot ELSE start END, CASE WHEN out THEN 0 ELSE next END, on_target AND NOT out
   FROM (
-    SELECT slot + 1 AS slot, done, k,
-      list_min(list_transform(
-        list_filter(range(1, k + 1), lambda i: done[i] < es[i] AND (done[i] * period) // es[i] <= slot + 1),
-        lambda i: ((((done[i] + 1) * period + es[i] - 1) // es[i]) * 100000 + i))) % 100000 AS pick
-    FROM edf, lists WHERE slot + 1 < period
+    SELECT *, done[next] = b[next] AS out FROM (
+      SELECT *, list_min(list_transform(
+          list_filter(range(1, k + 1), lambda i: first[i] < b[i] AND ((done[i] - first[i]) * total) // w[i] <= slot - start),
+          lambda i: (((done[i] - first[i] + 1) * total + w[i] - 1) // w[i]) * 100000 + i)) % 100000 AS next
+      FROM (
+        SELECT edf.*, w, b, k, list_sum(list_transform(range(1, k + 1), lambda i: CASE WHEN first[i] < b[i] THEN w[i] ELSE 0 END))::BIGINT AS total
+        FROM edf, lists WHERE slot < list_sum(b)
+      )
+    )
   )
 ), slots AS (
-  SELECT pick AS i, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM edf WHERE pick > 0
+  SELECT pick AS i, done[pick] - 1 AS j, slot - 1 AS slot, on_target FROM edf WHERE pick > 0
 ), ranked AS (
   SELECT doc_id, documents.source, coalesce(documents.source, '') AS s,
     row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank
   FROM documents
-), ends AS (
-  SELECT min(((n + 7) // 8 // e) * period + slot) AS horizon
-  FROM parts JOIN slots ON slots.i = parts.i AND slots.j = ((n + 7) // 8) % e
 )
-SELECT doc_id, ranked.source, rank // 8 AS mix_block, ((rank // 8) // e) * period + slot AS mix_slot, rank % 8 AS mix_rank,
-  ((rank // 8) // e) * period + slot < horizon AS on_target
-FROM ranked JOIN parts ON parts.source = ranked.s JOIN slots ON slots.i = parts.i AND slots.j = (rank // 8) % e, ends
+SELECT doc_id, ranked.source, rank // 8 AS mix_block, slot AS mix_slot, rank % 8 AS mix_rank, on_target
+FROM ranked JOIN parts ON parts.source = ranked.s JOIN slots ON slots.i = parts.i AND slots.j = rank // 8
 """
