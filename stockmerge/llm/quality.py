@@ -97,12 +97,33 @@ def fit(docs: DataFrame, graded: DataFrame, per_grade: int = 1500, rounds: int =
         seen_t += gr**2
         w -= rate * gw / np.sqrt(seen_w)
         raw -= 0.2 * rate * gr / np.sqrt(seen_t)
-    return Model(w, np.r_[raw[0], raw[0] + np.cumsum(np.exp(raw[1:]))])
+    t = np.r_[raw[0], raw[0] + np.cumsum(np.exp(raw[1:]))]
+    counts = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}  # a row for each grade
+    return recalibrated(w, t, np.bincount(row, value * w[at], len(y)), y, counts)
 
 
-def score(docs: DataFrame, model: Model, tail: int = 1, cut: float = 0.5) -> DataFrame:
+def recalibrated(w: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray, counts: dict[int, int], rounds: int = 100) -> Model:
+    """The model with its scale and thresholds fitted anew (Newton's method on the same likelihood, for scores x) with every sampled row
+    standing for as many labels of its grade as there are: the sample has grades in other shares than the labels."""
+    share = np.array([counts.get(g, 0) / max(1, (y == g).sum()) for g in range(len(t) + 1)], float)[y]
+    share /= max(share.sum(), 1e-9)
+    p = np.r_[1.0, t]
+    for _ in range(rounds):
+        over = 1 / (1 + np.exp(-np.clip(p[0] * x[:, None] - p[None, 1:], -50, 50)))
+        miss = (over - (y[:, None] > np.arange(len(t))[None])) * share[:, None]
+        bend = over * (1 - over) * share[:, None]
+        gradient = np.r_[(miss.sum(1) * x).sum(), -miss.sum(0)] + 1e-4 * np.r_[p[0] - 1, np.zeros(len(t))]
+        hessian = np.diag(np.r_[(bend.sum(1) * x**2).sum(), bend.sum(0)] + 1e-4)
+        hessian[0, 1:] = hessian[1:, 0] = -(bend * x[:, None]).sum(0)
+        step = np.linalg.solve(hessian, gradient)
+        p = p - step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+    ordered = np.maximum.accumulate(p[1:] + np.arange(len(t)) * 1e-9)
+    return Model(w * p[0], ordered) if p[0] > 0 else Model(w, t)
+
+
+def score(docs: DataFrame, model: Model, tail: int | None = None, cut: float = 0.5) -> DataFrame:
     """For every row: expected grade, P(grade >= ``tail``), the likeliest grade, and selected = that tail
-    probability is at least ``cut``.
+    probability is at least ``cut``.  Without ``tail`` it is that of the top grade.
 
     Null and blank texts get expected grade 0, probability 0 and are not selected.  Repeated rows are scored each;
     only doc_id and text are read.
@@ -118,7 +139,7 @@ def score(docs: DataFrame, model: Model, tail: int = 1, cut: float = 0.5) -> Dat
                 if len(at) and len(m.thresholds):
                     over = 1 / (1 + np.exp(np.clip(m.thresholds - (m.weights[at] * value).sum(), -50, 50)))
                     single = -np.diff(np.r_[1.0, over, 0.0])
-                    out[i] = over.sum(), over[min(tail, len(over)) - 1], single.argmax()
+                    out[i] = over.sum(), over[min(tail or len(over), len(over)) - 1], single.argmax()
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype("int32")), pa.array((out[:, 1] >= cut) & (out[:, 1] > 0))],
                 ["doc_id", "expected_grade", "tail_probability", "grade", "selected"],
