@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, column, cut, mix, slices, texts_of, windows, word_code
+from .common import Codes, bitmap_of, column, cut, mix, slices, texts_of, windows, word_code
 
 # fixed values: units that become a placeholder after a number
 UNITS = (
@@ -173,11 +173,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_plain: i
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     sizes = item_sizes(items, size)
     wanted = template_windows(items, size, least_plain, [size])
-    spots = wanted.select("h").distinct().mapInArrow(_spot_rows, "spot long").distinct().collect() if sizes else []  # at most BITS
-    bitmap = np.zeros(BITS, bool)
-    bitmap[[r[0] for r in spots]] = True
+    bitmap = bitmap_of(wanted.select("h").distinct().mapInArrow(_spot_rows, "spot long"), BITS)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    found = cut(template_windows(rows, size, least_plain, sizes, np.packbits(bitmap)))  # few rows; the texts are read once
+    found = cut(template_windows(rows, size, least_plain, sizes, bitmap))  # few rows; the texts are read once
     totals = wanted.groupBy("id").agg(F.count_distinct("part", "at").alias("item_windows"), (F.max("at") - F.min("at") + 1).alias("span"))
     # equal windows of an item are one row, so a document that repeats them does not meet each of them each time
     kinds = wanted.groupBy(F.col("id").alias("item_id"), "h", "slots").agg(F.min("at").alias("b"), F.count_distinct("part", "at").cast("int").alias("n"))
@@ -258,20 +256,20 @@ def _spot_rows(batches):
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """doc_id, contaminated, n_items, items (ids, ascending), coverage (of the best item) for every row.
+    """doc_id, contaminated, n_items, items (ids, ascending), coverage (of the best item, also where it is below ``least``) for every row.
 
     A row is contaminated if one region of it holds, consistently filled, at least the share ``least`` of an item's windows.  Null,
     empty and null-id rows and an empty benchmark give false, 0 items, coverage 0.  An item of fewer than ``size`` tokens is one
     window; an item without any is never matched.  An item without enough plain words is matched word by word.  Repeated ids share one verdict: the worst of their texts.
     """
-    hits = matches(docs, benchmark, **options).where(F.col("coverage") >= least)
-    verdicts = hits.groupBy("doc_id").agg(
-        F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("items"), F.max("coverage").alias("coverage")
+    hit = F.col("coverage") >= least
+    verdicts = matches(docs, benchmark, **options).groupBy("doc_id").agg(
+        F.count(F.when(hit, 1)).alias("n_items"), F.sort_array(F.collect_list(F.when(hit, F.col("item_id")))).alias("items"), F.max("coverage").alias("coverage")
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(verdicts, "doc_id", "left").select(
         "doc_id",
-        F.col("n_items").isNotNull().alias("contaminated"),
+        (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
