@@ -26,6 +26,7 @@ class Model:
     grams: np.ndarray  # sorted codes of the n-grams that occur in landmarks
     landmarks: np.ndarray  # len(grams) x m, columns of unit length
     weights: np.ndarray  # m x languages
+    least: float = 0.0  # the least score that a training text got for its own language
 
 
 def gram_codes(data: np.ndarray) -> list[np.ndarray]:
@@ -47,7 +48,8 @@ def encode(text: str) -> np.ndarray:
 
 
 class Presence:
-    """0/1 rows over the landmark n-grams, by one table of all codes."""
+    """Rows over the landmark n-grams, by one table of all codes: presence divided by the length of the whole presence set,
+    so that the product of two rows is the cosine of the sets (as far as landmarks have the n-grams, which they all do for one side)."""
 
     def __init__(self, grams: np.ndarray):
         self.n = len(grams)
@@ -57,11 +59,13 @@ class Presence:
     def rows(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.n + 1), np.float32)
         for row, text in zip(out, texts, strict=True):
+            size = 0
             for codes in gram_codes(encode(text)):
                 row[self.place[codes]] = 1
-        out = out[:, : self.n]
-        length = np.sqrt(out.sum(1, keepdims=True))
-        return out / np.maximum(length, 1)
+                ordered = np.sort(codes)
+                size += 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1])) if len(codes) else 0
+            row /= max(1.0, size**0.5)  # of all its n-grams, also those that no landmark has
+        return out[:, : self.n]
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -99,7 +103,9 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: fl
     target = np.where(sample["lang"].to_numpy()[:, None] == np.array(langs)[None], 1.0, -1.0)
     solved = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ target)
     weights = np.r_[whiten @ solved[:-1], solved[-1:]]
-    return Model(langs, grams, basis, weights.astype(np.float32))
+    out = near @ weights[:-1] + weights[-1]
+    own = out[np.arange(len(out)), [langs.index(g) for g in sample["lang"]]]
+    return Model(langs, grams, basis, weights.astype(np.float32), float(np.clip((own.min() + 1) / 2, 0, 1)))
 
 
 def _parts(texts: list[str], n: int = 128):
