@@ -97,7 +97,7 @@ class Order:
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """One row for each document (kind 0: doc_id, key, n, its sketch) and, for each task, slices of its
+    """One row for each document (kind 0: doc_id, text_id, key, n, its sketch) and, for each task, slices of its
     n-gram counters (kind 1: key is the slice)."""
 
     def run(batches):
@@ -112,17 +112,18 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 counts.append(c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes())
                 if len(s):
                     np.add.at(seen, counter(s), 1)
-            yield _rows([0] * len(ns), column(batch, "doc_id"), keys, ns, counts)
+            yield _rows([0] * len(ns), column(batch, "doc_id"), column(batch, "text_id"), keys, ns, counts)
         parts = [(i, p) for i, p in enumerate(seen.reshape(-1, SLICE)) if p.any()]
-        yield _rows([1] * len(parts), pa.nulls(len(parts), pa.int64()), [i for i, _ in parts], [0] * len(parts), [p.tobytes() for _, p in parts])
+        none = pa.nulls(len(parts), pa.int64())
+        yield _rows([1] * len(parts), none, none, [i for i, _ in parts], [0] * len(parts), [p.tobytes() for _, p in parts])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, n int, counts binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, text_id long, key long, n int, counts binary")
 
 
-def _rows(kind, ids, keys, ns, counts):
+def _rows(kind, ids, text_ids, keys, ns, counts):
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(counts, pa.binary())],
-        ["kind", "doc_id", "key", "n", "counts"],
+        [pa.array(kind, pa.int32()), ids, text_ids, pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(counts, pa.binary())],
+        ["kind", "doc_id", "text_id", "key", "n", "counts"],
     )
 
 
@@ -595,33 +596,61 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", leaders: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: the size of its set of distinct word n-grams (A-Z lower-cased, words
-    are runs without ASCII white space, whole texts) and the smallest doc_id reachable by links, itself included.
-    Documents are linked if their sets' Jaccard similarity is at least ``least``.
-
-    A text with fewer words than n is one n-gram.  Null, empty and blank texts have no n-gram and are linked with
-    nothing.  Equal sets are linked.  Null ids are left out of the links: n_shingles is given and component_id is null.
-    Repeated ids count as one document: each row gets its own n_shingles and all get the least component.  Only
-    doc_id and text are read.  Sets and n-grams are compared by 64-bit hashes.
-    """
+def grouped(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", leaders: bool = True) -> DataFrame:
+    """(doc_id, text_id, n, first_id, first_text) for every row of doc_id, text_id and text: the size of its set, and the least
+    (doc_id, text_id) of its component.  Rows without n-grams or id have no first."""
     rule = Rule(words, Fraction(least))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(describe(docs, words))
-    rows = described.where("kind = 0")
-    classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+    rows = described.where("kind = 0").select("doc_id", "text_id", "key", "n", "counts")
+    place = F.struct("doc_id", "text_id")
+    classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("counts").alias("counts")))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     order = global_order(described)
     members = cut(shared_grams(prefixes(known, rule, order), rule))
-    labels = members.select("key").distinct().join(classes, "key").select("key", F.col("doc_id").alias("comp"))
+    labels = members.select("key").distinct().select("key", F.col("key").alias("comp"))
     if leaders:
         labels = components(cut(links(cut(leader_tiles(members, classes, rule)), known, classes, rule, order)), labels)
     more = cut(bucket_tiles(members, classes, labels, rule))
     if not more.isEmpty():
         labels = components(cut(links(more, known, classes, rule, order)), labels)
-    comp = classes.select("key", F.col("doc_id").alias("first")).join(labels, "key", "left").select("key", F.coalesce("comp", "first").alias("comp"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return rows.join(comp, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    comp = classes.select("key", "place").join(labels, "key", "left").select("key", "place", F.coalesce("comp", "key").alias("comp"))
+    first = comp.groupBy("comp").agg(F.min("place").alias("first"))
+    comp = comp.join(first, "comp").select("key", "first")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("first"))
+    return rows.join(comp, "key", "left").select("doc_id", "text_id", "n", own["doc_id"].alias("first_id"), own["text_id"].alias("first_text"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+
+
+def cluster(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: the size of its set of distinct word n-grams (A-Z lower-cased, words
+    are runs without ASCII white space, whole texts) and the smallest doc_id reachable by links, itself included.
+    Documents are linked if their sets' Jaccard similarity is at least ``least``.
+
+    A text with fewer words than n is one n-gram.  Null, empty and blank texts have no n-gram and are linked with
+    nothing.  Equal sets are linked.  Null ids are left out of the links: n_shingles is given and component_id is null.
+    Different texts with one id are documents of their own that share the id.  Only
+    doc_id and text are read.  Sets and n-grams are compared by 64-bit hashes.
+    """
+    out = grouped(_keyed(docs), words, least, **options)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component: the smallest doc_id, and of its texts the
+    one with the least hash.  Of rows equal in doc_id and text one stays.  Rows with a null id and texts without words stay."""
+    groups = cut(grouped(_keyed(docs), words, least, **options).where("first_id IS NOT NULL").drop("n"))
+    same = (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("first_text"))
+    late = groups.where(~same).select(F.col("doc_id").alias("late_id"), F.col("text_id").alias("late_text")).distinct()
+    at = lambda ids, i, t: (docs["doc_id"].cast("long") == ids[i]) & (F.xxhash64(docs["text"]) == ids[t])
+    left = docs.join(late, at(late, "late_id", "late_text"), "left_anti")
+    twice = groups.where(same).groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_id").alias("twice_text"))
+    if twice.isEmpty():
+        return left
+    again = at(twice, "twice_id", "twice_text")
+    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 #: DuckDB SQL for ``cluster`` with three words and 9/10.
