@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, drop string, h string, key string, n int, comp string, bucket string, grams string"
+INTERNAL = "_chunks _lines _hashes _ends _kept _drop rest row kept counts n_lines_ text_id hi lo late idx start size spans found slots range hash rank rn offset first spot tile early _h _source _range mix_slots".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, drop string, h string, key string, n int, comp string, bucket string, grams string, "
+SCHEMA += ", ".join(f"`{c}` string" for c in INTERNAL)
 
 
 def words(rng, n):
@@ -31,7 +33,7 @@ def awkward(seed=1):
 
 def frame(spark, rows):
     """With further columns whose names clash with those the operators use inside."""
-    more = [(k, t, ["en", "de", None][(k or 0) % 3], ["a", "b", None, "a"][(k or 0) % 4], None, "x", "y", "z", 1, "c", "d", "e") for k, t in rows]
+    more = [(k, t, ["en", "de", None][(k or 0) % 3], ["a", "b", None, "a"][(k or 0) % 4], None, "x", "y", "z", 1, "c", "d", "e", *INTERNAL) for k, t in rows]
     return spark.createDataFrame(more, SCHEMA).repartition(3)
 
 
@@ -93,6 +95,22 @@ def test_line_dedup(spark, empty):
     assert dedup(empty).columns[: len(empty.columns)] == empty.columns
 
 
+def test_line_dedup_keeps_each_text_of_an_id(spark):
+    from stockmerge.llm.lines import clean, dedup
+
+    rng = random.Random(13)
+    a, b, c = ("\n".join(words(rng, 4) for _ in range(12)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, a + "\n" + c)]
+    for runs in (False, True):
+        out = dedup(frame(spark, rows), runs=runs).collect()
+        assert sum(r["text"] == b and r["removed_lines"] == 0 for r in out) == 2
+        assert all(r[x] == x for r in out for x in INTERNAL)
+        kept = "\n".join(r["text"] for r in out).split("\n")
+        assert {*a.split("\n"), *b.split("\n"), *c.split("\n")} <= set(kept)
+    left = clean(frame(spark, rows).withColumn("n_lines", F.lit("77")))
+    assert {r["n_lines"] for r in left.collect()} == {"77"} and left.columns[-1] == "n_lines"
+
+
 def test_line_dedup_leaves_nothing_of_a_copy(spark):
     from stockmerge.llm.lines import dedup
 
@@ -100,7 +118,7 @@ def test_line_dedup_leaves_nothing_of_a_copy(spark):
     texts = ["\n".join(words(rng, 4) for _ in range(2 + i % 12)) for i in range(60)]
     assert sum(len(c) == 1 for t in texts for c in line_chunks(t)) > 30
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [(300, "one line"), (301, "one line"), (302, None), (None, texts[0])]
-    rows += [(400, "\n".join(["same"] * 9)), (500, texts[3]), (500, texts[4])]
+    rows += [(400, "\n".join(["same"] * 9)), (500, texts[3]), (500, texts[4])]  # one id, two texts
     out = {}
     for r in dedup(frame(spark, rows), runs=True).collect():
         out.setdefault(r["doc_id"], []).append(r)
@@ -206,7 +224,7 @@ def test_ngram_jaccard_counts_by_fragment(spark):
         t[rng.randrange(90)] = f"new{i}"
         rows.append((i, " ".join(t)))
     rule, docs = j.Rule(3, Fraction(4, 5)), spark.createDataFrame(rows, "doc_id long, text string")
-    described = j.cut(j.describe(docs, 3))
+    described = j.cut(j.describe(docs.withColumn("text_id", F.xxhash64("text")), 3))
     order = j.global_order(described)
     classes = described.where("kind = 0").select("key", "doc_id", "n", "counts")
     by_id = {r["doc_id"]: r for r in classes.collect()}
@@ -224,9 +242,50 @@ def test_ngram_jaccard_counts_by_fragment(spark):
     assert edges == 36 + 3 and j.summed_links(parts.where("piece <> 3"), tiles, rule).count() < edges
 
 
+def test_keep_first(spark):
+    from stockmerge.llm.jaccard import keep_first
+
+    rng = random.Random(14)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (3, b), (3, b), (4, c), (4, b + " x"), (5, None), (5, None), (None, a), (6, c)]
+    out = keep_first(frame(spark, rows), words=5, least="4/5")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert got.count((3, b)) == 1 and got.count((1, a)) == 1 and got.count((4, c)) == 1 and (None, a) in got
+    assert not any(k in (2, 6) for k, _ in got)
+
+
 # 3
+def gradient_by_differences(f, p):
+    return [(f(p + e) - f(p - e)) / 2e-5 for e in np.eye(len(p)) * 1e-5]
+
+
+def test_quality_thresholds_fit_the_labels():
+    """The recalibrated thresholds are a stationary point of the likelihood, worked out row by row."""
+    from stockmerge.llm.quality import recalibrated
+
+    rng = np.random.default_rng(3)
+    y = np.repeat([0, 1, 2], 60)
+    x = y * 0.8 + rng.normal(size=180)
+    counts = {0: 50, 1: 400, 2: 900}
+    m = recalibrated(np.ones(1), np.array([0.3, 1.2]), x, y, counts)
+
+    def loss(p):
+        total = 0.0
+        for s, g in zip(x, y):
+            for k in (0, 1):
+                over = 1 / (1 + np.exp(-(p[0] * s - p[1 + k])))
+                total -= counts[g] / 60 / 1350 * np.log(over if g > k else 1 - over)
+        return total + 0.5e-4 * (p[0] - 1) ** 2
+
+    p = np.r_[m.weights[0], m.thresholds]
+    assert np.abs(gradient_by_differences(loss, p)).max() < 1e-4
+    over = 1 / (1 + np.exp(-(p[0] * x[:, None] - p[None, 1:])))
+    weight = np.array([counts[g] / 60 for g in y])
+    assert abs((over[:, 1] * weight).sum() / weight.sum() - 900 / 1350) < 0.02  # calibrated as a whole
+
+
 def test_quality(spark, empty):
-    from stockmerge.llm.quality import classify, fit, grades
+    from stockmerge.llm.quality import bucket, classify, fit, grades
 
     rng = random.Random(5)
     good, bad, foul = ["clear", "sound", "proof"], ["junk", "spam", "click"], ["vile", "scum", "trash"]
@@ -244,7 +303,15 @@ def test_quality(spark, empty):
     out = {r["doc_id"]: r for r in classify(df, lab).collect()}
     held = [i for i in range(180, 240)]
     assert sum(out[i]["grade"] == i % 3 for i in held) >= 57
-    assert all(out[i]["selected"] == (i % 3 > 0) for i in held)
+    assert all(out[i]["selected"] == (i % 3 == 2) for i in held)
+    for i in held[:9]:  # the grades' probabilities, worked out word by word
+        count = {}
+        for w in dict(rows)[i].split(" "):
+            count[bucket(w)] = count.get(bucket(w), 0) + 1
+        value = {k: 1 + np.log(n) for k, n in count.items()}
+        z = sum(model.weights[k] * v for k, v in value.items()) / np.sqrt(sum(v * v for v in value.values()))
+        over = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert abs(out[i]["expected_grade"] - sum(over)) < 1e-6 and abs(out[i]["tail_probability"] - over[1]) < 1e-6
     assert [out[i]["expected_grade"] for i in (900, 901, 902)] == [0, 0, 0]
     assert not out[900]["selected"]
     assert classify(empty, lab).count() == 0
@@ -302,16 +369,8 @@ def test_decontaminate_reparameterised(spark):
 
 # 5
 def test_mixing(spark, docs, empty):
-    from stockmerge.llm.mixing import interleave, schedule, shares
-
-    for weights in ({"a": 1.0}, {"a": 5, "b": 3, "c": 1.5, "d": 0.001}, {str(i): (i + 1) ** 0.5 for i in range(37)}):
-        parts = shares(weights, 500)
-        plan, total, done = schedule(parts), sum(parts.values()), dict.fromkeys(parts, 0)
-        assert len(plan) == total and {s for _, _, s in plan} == set(range(total))
-        for t, (s, j, slot) in enumerate(plan):
-            assert t == slot and j == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - (t + 1) * parts[x] / total) < 1 for x in parts)
+    from stockmerge.llm.mixing import interleave
+
     out = interleave(docs, {"a": 2, "b": 1}, block=4).collect()
     assert len(out) == docs.count()
     assert len({(r["mix_slot"], r["mix_rank"]) for r in out}) == len(out)
@@ -319,9 +378,35 @@ def test_mixing(spark, docs, empty):
     for r in out:
         per.setdefault(r["mix_slot"], set()).add(r["source"])
     assert all(len(v) == 1 for v in per.values())
+    assert all(r[c] == c for r in out for c in INTERNAL)
     assert interleave(empty).count() == 0
 
 
+def test_mixing_tiny_weights_and_thirds():
+    from fractions import Fraction
+
+    from stockmerge.llm.mixing import run
+
+    for weights, slots in (({"a": 1, "b": 1, "c": 1}, 1_000_000), ({"big": 1, "tiny": Fraction(1, 100_000)}, 300_000)):
+        total = sum(map(Fraction, weights.values()))
+        target, done = {s: Fraction(w) / total for s, w in weights.items()}, dict.fromkeys(weights, 0)
+        for t, (s, _, _, on) in enumerate(run(weights, dict.fromkeys(weights, slots))):
+            if t == slots:
+                break
+            done[s] += 1
+            if t % 997 == 0 or t > slots - 50 or s == "tiny":
+                assert on and all(abs(done[x] - (t + 1) * target[x]) < 1 for x in weights)
+        assert t == slots
+
+
+def test_mixing_of_many_sources(spark):
+    from stockmerge.llm.mixing import interleave
+
+    rows = spark.range(24_000).selectExpr("id AS doc_id", "cast(id % 12000 AS string) AS source")
+    out = interleave(rows, block=1).agg(F.count("*"), F.count_distinct("mix_slot"), F.max("mix_slot")).first()
+    assert tuple(out) == (24_000, 24_000, 23_999)
+
+
 def test_mixing_holds_the_weights_given(spark):
     from fractions import Fraction
 
@@ -414,6 +499,46 @@ def test_suffix_dedup_keeps_each_text_of_an_id(spark):
 
 
 # 7
+def naive_chunks(data, smallest, bits):
+    """Borders found byte by byte."""
+    from stockmerge.llm.common import gear_table
+
+    table, out, h, last = gear_table().tolist(), [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + table[b]) % (1 << 32)
+        if h < 1 << (32 - bits) and i + 1 - last >= smallest:
+            out.append(data[last : i + 1])
+            last = i + 1
+    return out + [data[last:]] * (last < len(data))
+
+
+def test_substring_dedup_against_naive_chunks(spark):
+    from stockmerge.llm.substring import remove, report
+
+    rng = random.Random(15)
+    passages = [words(rng, 60) for _ in range(3)]
+    rows = [(i, words(rng, rng.randrange(5, 60)) + " " + rng.choice(passages) + " " + words(rng, rng.randrange(40)) + " ü " + rng.choice(passages)) for i in range(40)]
+    rows += [(3, rows[4][1]), (7, passages[0] * 3), (200, None), (201, ""), (None, passages[0]), (9, rows[9][1])]
+    digest = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    first, want = {}, []
+    known = sorted({r for r in rows if r[0] is not None and r[1]}, key=lambda r: (r[0], digest[r[1]]))
+    for k, t in known:
+        runs, at, open_ = [], 0, False
+        for c in naive_chunks(t.encode(), 24, 5):
+            if c in first:
+                runs = [*runs[:-1], (runs[-1][0], runs[-1][1] + len(c))] if open_ else [*runs, (at, len(c))]
+            first.setdefault(c, k)
+            open_, at = c in first and bool(runs) and runs[-1][0] + runs[-1][1] == at + len(c), at + len(c)
+        want.append((k, t, ",".join(f"{s}+{n}" for s, n in runs if n >= 100)))
+    spans_of = {(k, t): s for k, t, s in want}
+    out = report(frame(spark, rows)).collect()
+    expect = sorted([(k if k is not None else -1, spans_of.get((k, t), "")) for k, t in rows])
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["spans"]) for r in out) == expect
+    assert sum(len(s) > 0 for _, s in expect) > 20
+    left = remove(frame(spark, rows))
+    assert all(r[c] == c for r in left.collect() for c in INTERNAL) and left.columns == frame(spark, []).columns
+
+
 def test_substring_dedup(spark, docs, empty):
     from stockmerge.llm.substring import remove, report
 
@@ -485,7 +610,51 @@ def test_fingerprints(spark, docs, empty):
     assert likeness(chunks_of(long), chunks_of("X inserted " + long)) > 0.95
 
 
+def test_fingerprints_against_naive_chunks(spark):
+    """The fingerprint worked out again byte by byte, without the operator's own parts."""
+    import re
+
+    import xxhash
+
+    from stockmerge.llm.fingerprint import fingerprints
+
+    def naive(t):
+        data = re.sub(r"\s+", " ", t.lower()).strip().encode()
+        return {xxhash.xxh3_64_hexdigest(c)[:12]: len(c) for c in naive_chunks(data, 32, 6)}
+
+    def alike(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        both = sum(n for d, n in a.items() if d in b)
+        return (both / sum(a.values()) + both / sum(b.values())) / 2
+
+    rng = random.Random(16)
+    rows = [(i * 3, words(rng, rng.randrange(80)) + rng.choice(["", "  Ünïcode\n", "\t"])) for i in range(25)] + [(500, ""), (501, None), (502, words(rng, 900))]
+    order = sorted(rows, key=lambda r: -r[0])
+    out = {r["doc_id"]: r for r in fingerprints(frame(spark, rows + [(None, "no id")]), per_bucket=6).collect()}
+    assert out[None]["n_chars"] == 5 and out[None]["fingerprint"] == ",".join(f"{d}:{n:x}" for d, n in sorted(naive("no id").items()))
+    for i, (k, t) in enumerate(order[:-1]):
+        t, following = t or "", order[i + 1][1] or ""
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert out[k]["fingerprint"] == ",".join(f"{d}:{n:x}" for d, n in sorted(naive(t).items()))
+        assert abs(out[k]["near_edited"] - alike(naive(t), naive(changed))) < 1e-9
+        assert abs(out[k]["near_next"] - alike(naive(t), naive(following))) < 1e-9
+
+
 # 10
+def test_language_kernel_is_the_cosine_of_presence_sets():
+    from stockmerge.llm.language import Presence, encode, gram_codes
+
+    rng = random.Random(17)
+    marks = [words(rng, 20) for _ in range(4)] + ["ä", "ab"]
+    texts = [words(rng, 30), "ÄÖ 日本", "a", marks[1], "zzz qqq"]
+    sets = lambda t: {t.lower().encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.lower().encode()) - n + 1)}
+    grams = np.unique(np.concatenate([c for t in marks for c in gram_codes(encode(t))]))
+    near = Presence(grams).rows(texts) @ Presence(grams).rows(marks).T
+    want = [[len(sets(t) & sets(m)) / (len(sets(t)) * len(sets(m))) ** 0.5 for m in marks] for t in texts]
+    assert np.allclose(near, want, atol=1e-5)
+
+
 def test_language(spark, docs, empty):
     from stockmerge.llm.language import fit, held_out_part, identify, keep, predict
 
