@@ -13,7 +13,7 @@ def top_k(df: DataFrame, by: str | list[str], order: list, k: int, name: str = "
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def candidate_retrieval(materials: DataFrame, k: int = 50, least: float = 0.3, rare: int | None = None) -> DataFrame:
+def candidate_retrieval(materials: DataFrame, k: int = 50, least: float = 0.3, targets: DataFrame | None = None) -> DataFrame:
     """(material_id, candidate_id, similarity, score, rank): candidates of one category that share a dimension, a material
     type, or have trigram-similar descriptions; score = 0.35 dimension + 0.20 type + similarity; the top k.
 
@@ -21,6 +21,7 @@ def candidate_retrieval(materials: DataFrame, k: int = 50, least: float = 0.3, r
     worked with once for each distinct (category, description, dimension, type): copies meet as classes, and a class
     expands to at most k + 1 members.  Trigram similarity of at least ``least`` needs a common trigram among the first
     |set| - ceil(least |set|) + 1 in rising frequency (prefix filter), so frequent trigrams hardly ever join.
+    With ``targets`` (material_id) only these get candidates, from all materials.
     """
     ids = materials.select("material_id", "category", "description", F.coalesce("dimension", F.lit("")).alias("dimension"), F.coalesce("material_type", F.lit("")).alias("material_type"))
     key = ["category", "description", "dimension", "material_type"]
@@ -30,7 +31,10 @@ def candidate_retrieval(materials: DataFrame, k: int = 50, least: float = 0.3, r
     ranked = classes.select("class_id", "category", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, ["category", "gram"])
     w = Window.partitionBy("class_id").orderBy("df", "gram")
     prefix = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("class_id", "category", "gram")
-    left = lambda d: d.withColumnRenamed("class_id", "a")
+    member = ids.join(classes.select(*key, "class_id"), key).select("class_id", "material_id")
+    wanted = member if targets is None else member.join(targets.select("material_id").distinct(), "material_id", "left_semi")
+    asked = None if targets is None else wanted.select("class_id").distinct()
+    left = lambda d: (d if asked is None else d.join(asked, "class_id", "left_semi")).withColumnRenamed("class_id", "a")
     right = lambda d: d.withColumnRenamed("class_id", "b")
     by_gram = left(prefix).join(right(prefix), ["category", "gram"]).select("a", "b")
     by_size = left(classes.where("dimension <> ''").select("class_id", "category", "dimension")).join(right(classes.select("class_id", "category", "dimension")), ["category", "dimension"]).select("a", "b")
@@ -41,13 +45,12 @@ def candidate_retrieval(materials: DataFrame, k: int = 50, least: float = 0.3, r
     same = lambda c: ((F.col(f"{c}_a") != "") & (F.col(f"{c}_a") == F.col(f"{c}_b"))).cast("int")
     scored = once(both, similarity=set_jaccard(F.col("grams_a"), F.col("grams_b"))).withColumns({"d": same("dimension"), "t": same("material_type")})
     scored = scored.where((F.col("similarity") >= least) | (F.col("d") + F.col("t") > 0)).select("a", "b", "similarity", (0.35 * F.col("d") + 0.20 * F.col("t") + F.col("similarity")).alias("score"))
-    member = ids.join(classes.select(*key, "class_id"), key).select("class_id", "material_id")
     # of a class, no more than k + 1 members can be among the top k of any target
     last = top_k(member, "class_id", [F.desc("material_id")], k + 1).select("class_id", F.col("material_id").alias("candidate_id"))
     # the k + 1 best classes are enough as well: each has at least one member
     best = top_k(scored.join(last.groupBy("class_id").agg(F.max("candidate_id").alias("top")).withColumnRenamed("class_id", "b"), "b"), "a", [F.desc("score"), F.desc("top")], k + 1, "r").select("a", "b", "similarity", "score")
     few = top_k(best.join(last.withColumnRenamed("class_id", "b"), "b"), "a", [F.desc("score"), F.desc("candidate_id")], k + 1, "r").drop("b", "r")
-    out = member.withColumnRenamed("class_id", "a").join(few, "a").where("material_id <> candidate_id")
+    out = wanted.withColumnRenamed("class_id", "a").join(few, "a").where("material_id <> candidate_id")
     return top_k(out, "material_id", [F.desc("score"), F.desc("candidate_id")], k).select("material_id", "candidate_id", "similarity", "score", "rank")
 
 

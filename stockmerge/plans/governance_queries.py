@@ -131,28 +131,44 @@ def _(t):
 
 
 def batch(t):
-    described = H.describe(t.catalog)
+    described = H.checkpointed(H.describe(t.catalog))  # read by retrieval, scoring and the decision
     groups = H.form_groups(described).where("signature IS NOT NULL").select(F.concat(F.lit("G-"), F.col("group_id").cast("string")).alias("group_id"), "signature", F.when(F.col("group_id") % 2 == 0, "ACTIVE").otherwise("PROPOSED").alias("status"), F.col("group_id").alias("lead"))
     return described, groups.where("lead % 3 > 0").drop("lead")
 
 
+def stored_records(t):
+    """Which group of the catalog holds a record before the batch: its active mapping."""
+    status = t.material_group.select("group_id", F.col("status").alias("group_status"))
+    m = t.active.select("material_id", "group_id").join(status, "group_id")
+    return m.select("material_id", F.concat(F.lit("M-"), F.col("group_id").cast("string")).alias("group_id"), F.col("group_status").alias("status"))
+
+
 @query("i01_harmonize")
 def harmonized(t):
     described, groups = batch(t)
-    return H.harmonize(described, groups, t.policy)
+    return H.harmonize(described, groups, t.policy, stored_records(t))
+
+
+@query("i01_relations")
+def _(t):
+    described, groups = batch(t)
+    top, stored = H.checkpointed(H.top_matches(described)), H.checkpointed(stored_records(t))
+    decided = H.checkpointed(H.harmonize(described, groups, t.policy, stored, top=top))
+    existing = t.group_relation.select(*[F.concat(F.lit("M-"), F.col(f"group_{c}").cast("string")).alias(f"group_{n}") for c, n in (("x", "a"), ("y", "b"))])
+    return H.relations(decided, top, existing, stored)
 
 
 @query("h13_find_matches")
 def _(t):
     from ..operators.matching import find_matches
 
-    return find_matches(H.top_matches(H.describe(t.catalog)))
+    return find_matches(H.top_matches(H.checkpointed(H.describe(t.catalog))))
 
 
 @query("i14_harmonize_unmatched")
 def _(t):
     described, groups = batch(t)
-    return H.harmonize(unmatched(described, t.mapping), groups, t.policy)
+    return H.harmonize(unmatched(described, t.mapping), groups, t.policy, stored_records(t), pool=described)
 
 
 @query("i15_ingest_and_harmonize")
@@ -164,7 +180,7 @@ def _(t):
     rows = normalise_rows(resolve_header_aliases(raw), F.xxhash64("local_code")).where("NOT rejected")
     rows = resolve_category(rows).select(F.substring("local_code", 5, 20).cast("long").alias("material_id"), "local_code", "description", "specification", "uom", F.col("resolved").alias("category"))
     _, groups = batch(t)
-    return H.harmonize(H.describe(rows), groups, t.policy)
+    return H.harmonize(H.checkpointed(H.describe(rows)), groups, t.policy)
 
 
 # --- audit chains: one for each user
@@ -203,40 +219,31 @@ def stream(t):
     return spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
-def _run(t, df, mode):
-    import tempfile
+def folder(t) -> str:
     import uuid
 
-    from ..streaming.ingest import run_to_table
-
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    name = "s" + uuid.uuid4().hex
-    return run_to_table(df, name, f"{base}/{name}", mode)
+    return f"{H.shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
 @query("k03_stream_progress", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    from ..streaming.ingest import progress
+    from ..streaming.ingest import progress, run_to_files
 
-    return _run(t, progress(stream(t), "event_type"), "complete")
+    return run_to_files(progress(stream(t), "event_type"), folder(t), "complete")
 
 
 @query("k02_stream_skip_existing", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
-    from ..streaming.ingest import without_repeats
+    from ..streaming.ingest import ingest_new
 
-    return _run(t, without_repeats(stream(t), "ts", ["user_id", "event_type"], "400 days").select("user_id", "event_type"), "append")
+    return ingest_new(stream(t).select("user_id", "event_type"), folder(t), ["user_id", "event_type"])
 
 
 @query("k01_stream_ingest", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def _(t):
-    import tempfile
-    import uuid
-
     from ..streaming.ingest import stream_ingest
 
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    out = f"{base}/{uuid.uuid4().hex}"
+    out = folder(t)
     work = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
     stream_ingest(stream(t), f"{out}-state", work).awaitTermination()
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))

@@ -140,6 +140,46 @@ def test_harmonize(spark):
     assert (out[2]["group_key"], out[2]["basis"], out[2]["status"]) == ("G9", "DETERMINISTIC_SIGNATURE", "CONFIRMED")
 
 
+def test_harmonize_against_the_stored_catalog(spark):
+    """The four outcomes: a known signature, a duplicate of a stored record, a related record with a group of its own, a novel one."""
+    # without a dimension no signature is complete, so matches decide
+    d = harmonize.describe(catalog(spark, [(1, "PIPE", "CARBON STEEL PIPE SEAMLESS LINE"), (2, "FILTER", "PIPE SEAMLESS CARBON STEEL LINE"), (3, "PIPE", "CS PIPE 50MM SCH40 GRADE B"), (4, "MOTOR", "ODD THING"), (5, "VALVE", "X")]))
+    pool = harmonize.describe(catalog(spark, [(101, "PIPE", "CARBON STEEL PIPE SEAMLESS LINE"), (102, "PIPE", "BRASS TUBE")]))
+    sig = d.where("material_id = 3").first()["signature"]
+    groups = spark.createDataFrame([("G3", sig, "ACTIVE"), ("G1", None, "ACTIVE")], "group_id string, signature string, status string")
+    policy = spark.createDataFrame([("PIPE", 0.5, 0.3, 0.0, True)], "category string, auto_threshold double, review_threshold double, min_margin double, auto_enabled boolean")
+    stored = spark.createDataFrame([(101, "G1", "ACTIVE"), (102, "G2", "PROPOSED")], "material_id long, group_id string, status string")
+    top = harmonize.checkpointed(harmonize.top_matches(d, pool=pool))
+    best = {r["a"]: r for r in top.collect()}
+    assert best[1]["b"] == 101 and set(best) <= {1, 2, 3, 4, 5}
+    out = {r["material_id"]: r for r in harmonize.harmonize(d, groups, policy, stored, pool, top).collect()}
+    assert len(out) == 5
+    assert (out[1]["group_key"], out[1]["basis"], out[1]["routing"]) == ("G1", "ML_PROPOSED", "AUTO_CONFIRM")
+    assert (out[3]["group_key"], out[3]["basis"]) == ("G3", "DETERMINISTIC_SIGNATURE")
+    assert out[4]["group_key"] == "NEW-4" and out[4]["basis"].startswith("NOVEL")
+    # forced matches: a chain reaches a stored group through a record of the batch; a variant gets an edge
+    forced = spark.createDataFrame([(2, 1, 0.9, "EXACT_DUPLICATE", 0.5, False), (1, 101, 0.9, "EXACT_DUPLICATE", 0.5, False), (4, 101, 0.7, "VARIANT", 0.1, False), (5, 4, 0.2, "VARIANT", 0.1, False)], "a long, b long, score double, label string, margin double, conflict boolean")
+    decided = harmonize.harmonize(d, groups, policy, stored, pool, forced)
+    out = {r["material_id"]: r for r in decided.collect()}
+    assert out[2]["group_key"] == out[1]["group_key"] == "G1" and out[4]["group_key"] == "NEW-4" and out[4]["routing"] == "REVIEW_REQUIRED"
+    none = spark.createDataFrame([], "group_a string, group_b string")
+    assert [tuple(r) for r in harmonize.relations(decided, forced, none, stored).collect()] == [("G1", "NEW-4", "VARIANT", 0.7)]
+
+
+def test_ingest_new(spark, tmp_path):
+    from stockmerge.streaming.ingest import ingest_new, run_to_files
+
+    for i, rows in enumerate([[(1, "a"), (1, "b"), (2, "c")], [(2, "d"), (3, "e"), (9, "s")]]):
+        spark.createDataFrame(rows, "k long, v string").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    stream = lambda: spark.readStream.schema("k long, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([(9, "old")], "k long, v string")
+    out = ingest_new(stream(), str(tmp_path / "out"), ["k"], stored)
+    assert sorted(r["k"] for r in out.collect()) == [1, 2, 3]
+    counts = run_to_files(stream().groupBy("k").count(), str(tmp_path / "counts"), "complete")
+    assert {r["k"]: r["count"] for r in counts.collect()} == {1: 2, 2: 2, 3: 1, 9: 1}
+    assert run_to_files(stream(), str(tmp_path / "all")).count() == 6
+
+
 def test_codes_are_unique(spark):
     g = spark.createDataFrame([(i, c, "PROPOSED", None) for i, c in enumerate(["PIPE", "PIPE", "GASKET", None, "FILTER"])], "group_id long, category string, status string, code_serial long")
     out = governance.activate_groups(g, g.select("group_id")).collect()
