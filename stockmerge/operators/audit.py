@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +24,25 @@ def payload(prev: Column, legacy: bool = False) -> Column:
 
 
 def append(events: DataFrame, legacy: bool = False) -> DataFrame:
-    """events(chain, audit_id, ...) with prev_hash and row_hash.  A hash needs the one before it, so a chain is walked in
-    order of id within one task; chains run side by side."""
+    """events(chain, audit_id, ...) with prev_hash and row_hash.  A hash needs the one before it, so a chain is sequential by nature:
+    it is walked in order of id within one task, batch by batch with only the last hash in memory; chains run side by side."""
     rows = with_text(events).where(F.col("entity_type").isin(C.AUDIT_ENTITIES)).withColumn("body", F.substring(payload(F.lit(""), legacy), 2, 1 << 30))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("audit_id")
-        prev, before, own = C.GENESIS, [], []
-        for body in pdf["body"]:
-            before.append(prev)
-            prev = hashlib.sha256(f"{prev}|{body}".encode()).hexdigest().upper()
-            own.append(prev)
-        return pdf.assign(prev_hash=before, row_hash=own)[["chain", "audit_id", "prev_hash", "row_hash"]]
-
-    hashes = rows.select("chain", "audit_id", "body").groupBy("chain").applyInPandas(link, "chain long, audit_id long, prev_hash string, row_hash string")
-    return rows.drop("body").join(hashes, ["chain", "audit_id"])
+    shape = rows.drop("body").schema.add("prev_hash", "string").add("row_hash", "string")
+
+    def link(batches):
+        chain, prev = None, C.GENESIS
+        for batch in batches:
+            before, own = [], []
+            for c, body in zip(batch.column("chain").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if c != chain:
+                    chain, prev = c, C.GENESIS
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}|{body}".encode()).hexdigest().upper()
+                own.append(prev)
+            kept = [name for name in batch.schema.names if name != "body"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in kept], pa.array(before, pa.string()), pa.array(own, pa.string())], [*kept, "prev_hash", "row_hash"])
+
+    return rows.repartition("chain").sortWithinPartitions("chain", "audit_id").mapInArrow(link, shape)
 
 
 def verify(rows: DataFrame, legacy: bool = False) -> DataFrame:

@@ -69,7 +69,8 @@ def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, size:
     most ``size`` rows drawn by hash; the trees (bounded by both numbers) are broadcast and rows scored in batches."""
     keyed = df.select(*columns).withColumn("h", F.xxhash64(*columns))
     n = max(1, keyed.count())
-    draws = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.pmod(F.xxhash64("h", "tree", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 2 * size / n) * (1 << 30)))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.pmod(F.xxhash64("h", i, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 2 * size / n) * (1 << 30)))
+    draws = keyed.withColumn("tree", F.explode(drawn))  # only hits become rows
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(int(pdf["tree"].iloc[0]) + seed)

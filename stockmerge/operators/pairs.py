@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
@@ -51,10 +51,8 @@ def within_group_pairs(rows: DataFrame, group: str, members: int = 4) -> DataFra
 def negative_pairs(rows: DataFrame, block: str, other: str, most: int, seed: int = 42) -> DataFrame:
     """Pairs of rows with equal ``block`` and different ``other``: each row draws one of 64 cells of its block and pairs with
     the next row of the cell; at most ``most`` in drawn order (a sample)."""
-    from pyspark.sql import Window
-
-    cells = rows.select(block, other, "material_id").withColumn("h", F.xxhash64("material_id", F.lit(seed)))
-    w = Window.partitionBy(block, F.pmod("h", F.lit(64))).orderBy("h", "material_id")
+    cells = rows.select(block, other, "material_id").withColumn("h", draw("material_id", F.lit(str(seed))))
+    w = Window.partitionBy(block, F.translate(F.substring("h", 1, 2), "4567cdef", "012389ab")).orderBy("h", "material_id")
     nxt = cells.withColumns({"b": F.lead("material_id").over(w), "their": F.lead(other).over(w)})
     return nxt.where(F.col("b").isNotNull() & ~F.col(other).eqNullSafe(F.col("their"))).orderBy("h", "material_id").limit(most).select(F.col("material_id").alias("a"), "b")
 
@@ -112,6 +110,6 @@ def corpus(records: DataFrame, same: int = 6000, other: int = 2000) -> DataFrame
     within = within_group_pairs(crit, "item").join(key.select(F.col("material_id").alias("a"), F.col("key").alias("ka")), "a").join(key.select(F.col("material_id").alias("b"), F.col("key").alias("kb")), "b")
     within = within.select("a", "b", F.when(F.col("ka") == F.col("kb"), "EXACT_DUPLICATE").otherwise("NEAR_DUPLICATE").alias("label"))
     no = lambda d: d.select("a", "b", F.lit("NOT_A_MATCH").alias("label"))
-    parts = [near, within, no(negative_pairs(crit, "category", "item", same)), no(negative_pairs(crit.withColumn("all", F.pmod(F.xxhash64("material_id"), F.lit(256))), "all", "category", other)),
+    parts = [near, within, no(negative_pairs(crit, "category", "item", same)), no(negative_pairs(crit.withColumn("all", F.substring(draw("material_id"), 1, 1)), "all", "category", other)),
              equivalence_twins(records).select("a", "b", F.lit("FUNCTIONALLY_EQUIVALENT").alias("label")), missing_attribute_pairs(records).select("a", "b", F.lit("NEEDS_REVIEW").alias("label"))]
     return reduce(DataFrame.unionByName, parts)

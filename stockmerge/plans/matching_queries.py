@@ -92,7 +92,7 @@ def _(t):
 
 NUM = ", ".join(f"'{k}'" for k in M.NUMERIC)
 FIELDS = "(VALUES " + ", ".join(f"('{c}', '{k}', {i}, '{'identity_critical' if k in C.CATEGORY_SCHEMAS[c][0] else 'variant_critical' if k in C.CATEGORY_SCHEMAS[c][1] else 'minor'}')" for c, f in C.CATEGORY_FIELDS.items() for i, k in enumerate(f)) + ") AS f(category, key, pos, severity)"
-CMP = f"""flat AS ({FLAT}), cmp AS (SELECT p.id_a, p.id_b, f.key, f.pos, f.severity, x.value AS a, y.value AS b,
+CMP = f"""flat AS ({FLAT}), cmp AS MATERIALIZED (SELECT p.id_a, p.id_b, f.key, f.pos, f.severity, x.value AS a, y.value AS b,
     CASE WHEN f.key IN ({NUM}) THEN abs(x.value::DOUBLE - y.value::DOUBLE) < 0.6 ELSE replace(upper(x.value), ' ', '') = replace(upper(y.value), ' ', '') END AS agree
   FROM pairs p LEFT JOIN {FIELDS} ON f.category = p.category LEFT JOIN flat x ON x.material_id = id_a AND x.key = f.key LEFT JOIN flat y ON y.material_id = id_b AND y.key = f.key)"""
 COUNT = lambda c: f"count(*) FILTER (WHERE {c})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import attributes as A
 from ..functions import text as X
 from ..operators import model as M
@@ -22,7 +23,10 @@ CRIT = f"""flat AS ({FLAT}), crit AS (SELECT c.material_id, c.category, i.key, c
 LEFT_OUT = "lo AS (SELECT item.id, item.category, x.key, x.value, string_agg(y.key || '=' || y.value, ';' ORDER BY y.key) AS rest FROM item JOIN crit x ON x.material_id = item.id LEFT JOIN crit y ON y.material_id = item.id AND y.key <> x.key GROUP BY 1, 2, 3, 4)"
 
 
-@query("c11_attribute_neighbours", f"WITH {CRIT}, {LEFT_OUT} SELECT a.id, b.id AS other, a.key AS attribute FROM lo a JOIN lo b ON a.category = b.category AND a.key = b.key AND a.rest IS NOT DISTINCT FROM b.rest AND a.value <> b.value QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY md5(a.id::VARCHAR || '|' || b.id::VARCHAR), b.id) <= 2")
+NEIGHBOURS = "SELECT a.id, b.id AS other, a.key AS attribute FROM lo a JOIN lo b ON a.category = b.category AND a.key = b.key AND a.rest IS NOT DISTINCT FROM b.rest AND a.value <> b.value QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY md5(a.id::VARCHAR || '|' || b.id::VARCHAR), b.id) <= 2"
+
+
+@query("c11_attribute_neighbours", f"WITH {CRIT}, {LEFT_OUT} {NEIGHBOURS}")
 def _(t):
     return P.attribute_neighbours(P.items(records(t)))
 
@@ -32,14 +36,20 @@ def _(t):
     return P.within_group_pairs(t.catalog.withColumn("item", F.concat_ws("|", "category", "description")), "item")
 
 
-@query("c13_negative_pairs_same_category")
+NEGATIVES = lambda rows, block, other, most: f"""SELECT material_id AS a, b FROM (SELECT material_id, h, {other} AS own, lead(material_id) OVER w AS b, lead({other}) OVER w AS their
+  FROM (SELECT *, md5(material_id::VARCHAR || '|42') AS h FROM {rows}) n WINDOW w AS (PARTITION BY {block}, translate(substr(h, 1, 2), '4567cdef', '012389ab') ORDER BY h, material_id)) m
+  WHERE b IS NOT NULL AND own IS DISTINCT FROM their ORDER BY h, material_id LIMIT {most}"""
+ANY = "substr(md5(material_id::VARCHAR), 1, 1)"
+
+
+@query("c13_negative_pairs_same_category", NEGATIVES("catalog", "category", "description", 6000))
 def _(t):
     return P.negative_pairs(t.catalog, "category", "description", 6000)
 
 
-@query("c14_negative_pairs_cross_category")
+@query("c14_negative_pairs_cross_category", NEGATIVES("catalog", ANY, "category", 2000))
 def _(t):
-    return P.negative_pairs(t.catalog.withColumn("all", F.pmod(F.xxhash64("material_id"), F.lit(256))), "all", "category", 2000)
+    return P.negative_pairs(t.catalog.withColumn("all", F.substring(P.draw("material_id"), 1, 1)), "all", "category", 2000)
 
 
 RULES = [("FASTENER", {"grade": "8.8"}, {"grade": "4.6"}), ("BEARING", {"seal_type": "2RS"}, {"seal_type": "ZZ"}), ("MOTOR", {"rpm": "960.0"}, {"rpm": "1440.0"})]
@@ -54,7 +64,11 @@ def _(t):
     return P.equivalence_twins(records(t), RULES)
 
 
-@query("c16_missing_attribute_pairs", f"WITH {CRIT}, {LEFT_OUT}, lack AS (SELECT id, count(*) FILTER (WHERE value = '') AS n FROM lo GROUP BY 1) SELECT a.id AS a, b.id AS b, a.key AS attribute FROM lo a JOIN lack la ON la.id = a.id AND la.n = 0 JOIN lo b ON b.category = a.category AND b.key = a.key AND b.rest IS NOT DISTINCT FROM a.rest AND b.value = '' JOIN lack lb ON lb.id = b.id AND lb.n = 1")
+LACK = "lack AS (SELECT id, count(*) FILTER (WHERE value = '') AS n FROM lo GROUP BY 1)"
+MISSING = "SELECT a.id AS a, b.id AS b, a.key AS attribute FROM lo a JOIN lack la ON la.id = a.id AND la.n = 0 JOIN lo b ON b.category = a.category AND b.key = a.key AND b.rest IS NOT DISTINCT FROM a.rest AND b.value = '' JOIN lack lb ON lb.id = b.id AND lb.n = 1"
+
+
+@query("c16_missing_attribute_pairs", f"WITH {CRIT}, {LEFT_OUT}, {LACK} {MISSING}")
 def _(t):
     return P.missing_attribute_pairs(records(t))
 
@@ -94,12 +108,34 @@ def _(t):
     return t.catalog.agg((F.count("*") - distinct).alias("duplicates"), blank("description").alias("blank"), D.count_where(F.col("material_id").isNull()).alias("no_id"), blank("specification").alias("no_specification"))
 
 
-@query("f01_pair_corpus_union")
+def _fit(category: str, side: dict[str, str], both: set[str]) -> str:
+    """Least id of each rest of attributes among the records that fit one side of a rule."""
+    hits = " OR ".join(f"key = '{k}' AND replace(upper(value), ' ', '') = '{v.upper().replace(' ', '')}'" for k, v in side.items())
+    other = "key NOT IN (" + ", ".join(f"'{k}'" for k in sorted(both)) + ")"
+    return f"""SELECT rest, min(material_id) AS id FROM (SELECT material_id, coalesce(string_agg(key || '=' || value, ';' ORDER BY key) FILTER (WHERE {other}), '') AS rest
+      FROM flat WHERE category = '{category}' GROUP BY 1 HAVING count(*) FILTER (WHERE {hits}) = {len(side)}) GROUP BY 1"""
+
+
+EQUIVALENT = " UNION ALL ".join(f"SELECT x.id AS a, y.id AS b FROM ({_fit(c, left, {*left, *right})}) x JOIN ({_fit(c, right, {*left, *right})}) y ON x.rest = y.rest" for c, left, right in P.EQUIVALENCE_RULES)
+IDENTITY = "(" + ", ".join(f"('{c}', '{k}')" for c, s in [*C.CATEGORY_SCHEMAS.items(), ("GENERAL_MRO", C.OPEN_SCHEMA)] for k in s[0]) + ")"
+ALNUM = lambda t: f"regexp_replace(upper({t}.description || {t}.specification), '[^A-Z0-9]', '', 'g')"
+CORPUS = f"""{CRIT}, {LEFT_OUT}, {LACK}, near AS ({NEIGHBOURS}),
+  few AS (SELECT * FROM sets QUALIFY row_number() OVER (PARTITION BY category, s ORDER BY md5(material_id::VARCHAR), material_id) <= 4),
+  corpus AS (SELECT near.id AS a, other AS b, CASE WHEN (category, attribute) IN {IDENTITY} THEN 'NOT_A_MATCH' ELSE 'VARIANT' END AS label FROM near JOIN item ON item.id = near.id
+    UNION ALL SELECT x.material_id, y.material_id, CASE WHEN {ALNUM('cx')} = {ALNUM('cy')} THEN 'EXACT_DUPLICATE' ELSE 'NEAR_DUPLICATE' END FROM few x JOIN few y ON x.category = y.category AND x.s = y.s AND x.material_id < y.material_id
+      JOIN catalog cx ON cx.material_id = x.material_id JOIN catalog cy ON cy.material_id = y.material_id
+    UNION ALL SELECT a, b, 'NOT_A_MATCH' FROM ({NEGATIVES('sets', 'category', "category || '|' || s", 6000)})
+    UNION ALL SELECT a, b, 'NOT_A_MATCH' FROM ({NEGATIVES('sets', ANY, 'category', 2000)})
+    UNION ALL SELECT a, b, 'FUNCTIONALLY_EQUIVALENT' FROM ({EQUIVALENT})
+    UNION ALL SELECT a, b, 'NEEDS_REVIEW' FROM ({MISSING}))"""
+
+
+@query("f01_pair_corpus_union", f"WITH {CORPUS} SELECT a, b, label FROM corpus")
 def corpus(t):
     return P.corpus(records(t))
 
 
-@query("h17_build_pair_corpus")
+@query("h17_build_pair_corpus", f"WITH {CORPUS} SELECT label, count(*) AS n FROM corpus GROUP BY 1")
 def _(t):
     return corpus(t).groupBy("label").agg(F.count("*").alias("n"))
 

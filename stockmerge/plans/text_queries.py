@@ -205,12 +205,30 @@ def _normal(side: str):
     return X.normalize_text(A.full_text(f"description_{side}", f"specification_{side}"))
 
 
-@query("g27_indel_ratio")
+SQL_NORMAL = lambda s: f"trim(regexp_replace(regexp_replace(upper(description_{s} || ' ' || specification_{s}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+SQL_SORTED = lambda s: f"array_to_string(list_sort(list_filter(string_split({s}, ' '), lambda w: w <> '')), ' ')"
+#: a row of the table of common subsequences from the row before it and one character: running maxima of the cells that may continue
+LCS_ROW = """list_reduce(list_transform(range(1, len(ca) + 1), lambda i: [greatest(r[i], CASE WHEN ca[i] = c[1] THEN 1 + CASE WHEN i > 1 THEN r[i - 1] ELSE 0 END ELSE 0 END)]),
+  lambda x, y: list_append(x, greatest(x[-1], y[1])))"""
+LCS = f"coalesce(list_reduce(cb, lambda r, c: {LCS_ROW}, list_transform(range(0, len(ca)), lambda i: 0::BIGINT))[-1], 0)"
+
+
+def sql_ratio(a: str, b: str) -> str:
+    """The distinct pairs of texts (ta, tb) of ``t`` with their ratio."""
+    codes = lambda s: f"list_transform(list_filter(string_split({s}, ''), lambda x: x <> ''), lambda x: unicode(x)::BIGINT)"
+    return f"""(SELECT ta, tb, CASE WHEN len(ca) + len(cb) = 0 THEN 1.0::DOUBLE WHEN len(ca) = 0 OR len(cb) = 0 THEN 0.0::DOUBLE ELSE 2 * {LCS} / (len(ca) + len(cb)) END AS ratio
+  FROM (SELECT DISTINCT {a} AS ta, {b} AS tb, {codes(a)} AS ca, list_transform({codes(b)}, lambda x: [x]) AS cb FROM t) d)"""
+
+
+NORMALS = f"t AS (SELECT *, {SQL_NORMAL('a')} AS na, {SQL_NORMAL('b')} AS nb, {SQL_SORTED(SQL_NORMAL('a'))} AS sa, {SQL_SORTED(SQL_NORMAL('b'))} AS sb FROM pairs)"
+
+
+@query("g27_indel_ratio", f"WITH {NORMALS} SELECT id_a, id_b, ratio FROM t JOIN {sql_ratio('na', 'nb')} r ON ta = na AND tb = nb")
 def _(t):
     return t.pairs.select("id_a", "id_b", X.indel_ratio(_normal("a"), _normal("b")).alias("ratio"))
 
 
-@query("g28_token_sort_ratio")
+@query("g28_token_sort_ratio", f"WITH {NORMALS} SELECT id_a, id_b, ratio AS token_sort FROM t JOIN {sql_ratio('sa', 'sb')} r ON ta = sa AND tb = sb")
 def _(t):
     return t.pairs.select("id_a", "id_b", X.token_sort_ratio(_normal("a"), _normal("b")).alias("token_sort"))
 

@@ -80,11 +80,14 @@ SELECT event_id AS audit_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type AS
   user_id AS entity_id, CAST(NULL AS STRING) AS old_value, props AS new_value FROM {events}""",
     "texts": "SELECT doc_id AS material_id, source AS enterprise, lang AS category, text AS description, '' AS specification FROM {documents}",
     "pairs": """
-SELECT a.material_id AS id_a, b.material_id AS id_b, a.category AS category, a.description AS description_a, a.specification AS specification_a,
+SELECT p.id_a, p.id_b, a.category AS category, a.description AS description_a, a.specification AS specification_a,
   b.description AS description_b, b.specification AS specification_b
-FROM (SELECT *, row_number() OVER (PARTITION BY category, description ORDER BY material_id) AS r FROM {catalog}) a
-JOIN (SELECT *, row_number() OVER (PARTITION BY category, description ORDER BY material_id) AS r FROM {catalog}) b
-ON a.category = b.category AND a.enterprise_id = b.enterprise_id AND b.material_id > a.material_id AND b.material_id < a.material_id + 80""",
+FROM (SELECT DISTINCT least(material_id, other) AS id_a, greatest(material_id, other) AS id_b FROM (
+    SELECT material_id, lead(material_id) OVER (PARTITION BY category, description ORDER BY material_id) AS other FROM {catalog}
+    UNION ALL SELECT material_id, lead(material_id, 1) OVER (PARTITION BY category, substr(md5(description), 1, 1) ORDER BY md5(CAST(material_id AS STRING)), material_id) AS other FROM {catalog}
+    UNION ALL SELECT material_id, lead(material_id, 2) OVER (PARTITION BY category, substr(md5(description), 1, 1) ORDER BY md5(CAST(material_id AS STRING)), material_id) AS other FROM {catalog}) n
+  WHERE other IS NOT NULL) p
+JOIN {catalog} a ON a.material_id = p.id_a JOIN {catalog} b ON b.material_id = p.id_b""",
 }
 
 
