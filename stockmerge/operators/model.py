@@ -14,20 +14,35 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import attributes as A
 from ..functions import text as X
+from . import tfidf
 from .matching import ATTRIBUTE_FEATURES, attribute_features
 
-TEXT_FEATURES = ["fuzz_ratio", "fuzz_token_sort", "fuzz_partial", "len_ratio", "word_similarity", "char_similarity"]
+TEXT_FEATURES = ["fuzz_ratio", "fuzz_token_sort", "fuzz_partial", "len_ratio", "word_cosine", "char_cosine"]
 FEATURES = ATTRIBUTE_FEATURES + TEXT_FEATURES
 
 
-def pair_features(pairs: DataFrame) -> DataFrame:
-    """pairs(category, description_a, specification_a, ..._b) with the 17 features.  Edit distances alone run in Python,
-    on normalised texts, in Arrow batches."""
-    side = {s: X.normalize_text(A.full_text(f"description_{s}", f"specification_{s}")) for s in "ab"}
-    p = X.once(attribute_features(pairs), ta=side["a"], tb=side["b"])
+def _normal(side: str = "") -> Column:
+    return X.normalize_text(A.full_text(f"description{side}", f"specification{side}"))
+
+
+def cosines(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(a, b, word_cosine, char_cosine) of the distinct texts that ``pairs`` compare, by TF-IDF of words and of characters; a and b are
+    the MD5 of the normalised texts.  corpus(description, specification) gives the vocabularies."""
+    keys = lambda d, s="": d.select(F.md5(_normal(s)).alias("id"), _normal(s).alias("text")).distinct()
+    distinct = pairs.select(F.md5(_normal("_a")).alias("a"), F.md5(_normal("_b")).alias("b")).distinct()
+    texts, fitted = keys(pairs, "_a").union(keys(pairs, "_b")).distinct(), keys(corpus)
+    for name, terms in (("word_cosine", tfidf.word_terms(F.col("text"))), ("char_cosine", tfidf.char_terms(F.col("text")))):
+        distinct = tfidf.cosine(distinct, tfidf.transform(texts, terms, tfidf.fit(fitted, terms)), name)
+    return distinct
+
+
+def pair_features(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """pairs(category, description_a, specification_a, ..._b) with the 17 features.  The cosines are joined for distinct texts, in the
+    vocabulary of ``corpus``; edit distances alone run in Python, on normalised texts, in Arrow batches."""
+    p = X.once(attribute_features(pairs), ta=_normal("_a"), tb=_normal("_b"))
     p = p.withColumns({"fuzz_ratio": X.indel_ratio("ta", "tb"), "fuzz_token_sort": X.token_sort_ratio(F.col("ta"), F.col("tb")), "fuzz_partial": X.partial_ratio("ta", "tb")})
-    p = X.once(p, len_ratio=X.length_ratio("ta", "tb"), word_similarity=X.token_jaccard(F.col("ta"), F.col("tb")), char_similarity=X.trigram_similarity("ta", "tb"))
-    return p.withColumns({c: F.col(c).cast("double") for c in FEATURES}).drop("ta", "tb")
+    p = X.once(p, len_ratio=X.length_ratio("ta", "tb"), ka=F.md5("ta"), kb=F.md5("tb")).join(cosines(pairs, corpus).toDF("ka", "kb", "word_cosine", "char_cosine"), ["ka", "kb"])
+    return p.withColumns({c: F.col(c).cast("double") for c in FEATURES}).drop("ta", "tb", "ka", "kb")
 
 
 def train(features: DataFrame, trees: int = 300, depth: int = 18, seed: int = 42):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes as A
 from ..functions.text import once
+from .harmonize import checkpointed
 from .joins import top_k
 
 # fixed values: illustrative equivalences (category, one side, other side)
@@ -101,9 +102,9 @@ def corpus(records: DataFrame, same: int = 6000, other: int = 2000) -> DataFrame
     """(a, b, label) of the six families; records(material_id, category, description, specification, attributes)."""
     from ..functions.text import alnum_key
 
-    records = records.persist()  # every family reads it; a lost part is worked out again
+    records = checkpointed(records)  # every family reads it
     key = records.select("material_id", alnum_key(F.concat("description", "specification")).alias("key"))
-    canon = items(records).persist()
+    canon = checkpointed(items(records))
     names = lambda i: F.when(F.array_contains(A.keys_of(F.col("category"), 0), F.col(i)), "NOT_A_MATCH").otherwise("VARIANT")
     near = attribute_neighbours(canon).join(canon.select("id", "category"), "id").select(F.col("id").alias("a"), F.col("other").alias("b"), names("attribute").alias("label"))
     crit = once(records, crit=F.array_join(F.transform(A.keys_of(F.col("category"), 0, 1), lambda k: F.coalesce(F.try_element_at("attributes", k), F.lit(""))), ";")).withColumn("item", F.concat_ws("|", "category", "crit"))

@@ -10,7 +10,7 @@ from ..operators import matching as M
 from ..operators import stats as D
 from ..operators import tfidf as T
 from .registry import query
-from .text_queries import FLAT, HEURISTIC, TOKEN_JACCARD, _normal
+from .text_queries import FLAT, HEURISTIC, NORMALS, SIMILAR, TOKEN_JACCARD, _normal, sql_ratio
 
 TERMS = lambda w: f"list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
 #: distinct (category, description): id, category; terms of each; idf; unit weights.
@@ -234,7 +234,12 @@ def _(t):
     return judged(t).agg(F.count("*").alias("n"), D.count_where(F.col("truth").isin(C.LABELS)).alias("valid"))
 
 
-@query("h09_open_domain_score")
+OPEN = f"""{NORMALS}, open AS (SELECT id_a, id_b, 0.40::DOUBLE * {TOKEN_JACCARD("description_a", "description_b")} + 0.25::DOUBLE * {SIMILAR("description_a", "description_b")} + 0.20::DOUBLE * s.ratio + 0.15::DOUBLE * r.ratio AS score
+  FROM t JOIN {sql_ratio("na", "nb")} r ON r.ta = na AND r.tb = nb JOIN {sql_ratio("sa", "sb")} s ON s.ta = sa AND s.tb = sb)"""
+
+
+@query("h09_open_domain_score", f"""WITH {OPEN} SELECT id_a, id_b, round(score, 4) AS score, CASE WHEN score >= 0.85::DOUBLE THEN 'EXACT_DUPLICATE' WHEN score >= 0.75::DOUBLE THEN 'NEAR_DUPLICATE'
+  WHEN score >= 0.60::DOUBLE THEN 'FUNCTIONALLY_EQUIVALENT' WHEN score >= 0.35::DOUBLE THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS label FROM open""")
 def _(t):
     a, b = _normal("a"), _normal("b")
     p = X.once(t.pairs, r=X.indel_ratio(a, b), s=X.token_sort_ratio(a, b), j=X.token_jaccard(F.col("description_a"), F.col("description_b")), g=X.trigram_similarity("description_a", "description_b"))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import model as M
 from ..operators import pairs as P
 from ..operators import stats as D
+from ..operators.harmonize import checkpointed
 from .registry import query
 from .text_queries import CRITICAL, FLAT
 
@@ -142,16 +143,16 @@ def _(t):
 
 def labelled(t):
     side = lambda s, c: t.catalog.select(F.col("material_id").alias(c), *([F.col("category")] if s == "a" else []), F.col("description").alias(f"description_{s}"), F.col("specification").alias(f"specification_{s}"))
-    return corpus(t).join(side("a", "a"), "a").join(side("b", "b"), "b")
+    return checkpointed(corpus(t).join(side("a", "a"), "a").join(side("b", "b"), "b"))  # read by the features and by both cosines
 
 
 @query("h04_pair_features")
 def _(t):
-    return M.pair_features(t.pairs).select("id_a", "id_b", *M.FEATURES)
+    return M.pair_features(t.pairs, t.catalog).select("id_a", "id_b", *M.FEATURES)
 
 
 def fitted(t):
-    return M.train(M.pair_features(labelled(t)).select("label", *M.FEATURES), trees=20, depth=8)
+    return M.train(checkpointed(M.pair_features(labelled(t), t.catalog).select("label", *M.FEATURES)))
 
 
 @query("h06_train_classifier")
@@ -166,12 +167,12 @@ def _(t):
 
 @query("h07_score_pairs")
 def _(t):
-    return M.score(M.pair_features(t.pairs), fitted(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier")
+    return M.score(M.pair_features(t.pairs, t.catalog), fitted(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier")
 
 
 @query("h12_compare_pairs")
 def _(t):
-    return M.guard(M.score(M.pair_features(t.pairs), fitted(t))).select("id_a", "id_b", "predicted", "match_probability", "tier")
+    return M.guard(M.score(M.pair_features(t.pairs, t.catalog), fitted(t))).select("id_a", "id_b", "predicted", "match_probability", "tier")
 
 
 @query("h16_anomaly_scan")
