@@ -116,8 +116,8 @@ CATEGORY_ALIASES = {
 }
 # fixed values: keyword rules in order
 KEYWORD_RULES = [
-    ("BEARING", "BEARING|BUSHING"), ("VALVE", "VALVE"), ("FLANGE", "FLANGE"), ("PUMP", "PUMP"), ("MOTOR", "MOTOR"), ("CABLE", "CABLE"),
-    ("FASTENER", "BOLT|NUT|FASTENER|WASHER|STUD"), ("PIPE", "PIPE|TUBE|TUBING"),
+    ("BEARING", ["BEARING", "BUSHING"]), ("VALVE", ["VALVE"]), ("FLANGE", ["FLANGE"]), ("PUMP", ["PUMP"]), ("MOTOR", ["MOTOR"]), ("CABLE", ["CABLE"]),
+    ("FASTENER", ["BOLT", "NUT", "FASTENER", "WASHER", "STUD"]), ("PIPE", ["PIPE", "TUBE", "TUBING"]),
 ]
 # fixed values: (segment, family, class); GASKET and FILTER have codes of our own, so that codes stay unique
 COMMODITY_CODES = {
@@ -127,13 +127,13 @@ COMMODITY_CODES = {
 }
 # fixed values: upload header aliases in order
 HEADER_ALIASES = {
-    "enterprise": "cpse_name cpse enterprise plant company org werks".split(),
-    "local_code": "cpse_material_code material_code mat_no item_code matnr code part_no part_num sap_code".split(),
-    "description": "description desc short_text material_description item_desc material_name name maktx".split(),
-    "specification": "specification spec standard grade astm spec_grade material_grade".split(),
-    "uom": "unit_of_measure uom unit base_uom meins units".split(),
-    "category": "category material_group group commodity class matkl type".split(),
-    "price": "nominal_price price unit_price rate cost amount po_rate netpr".split(),
+    "enterprise": ["cpse_name", "cpse", "enterprise", "plant", "company", "org", "werks"],
+    "local_code": ["cpse_material_code", "material_code", "mat_no", "item_code", "matnr", "code", "part_no", "part_num", "sap_code"],
+    "description": ["description", "desc", "short_text", "material_description", "item_desc", "material_name", "name", "maktx"],
+    "specification": ["specification", "spec", "standard", "grade", "astm", "spec_grade", "material_grade"],
+    "uom": ["unit_of_measure", "uom", "unit", "base_uom", "meins", "units"],
+    "category": ["category", "material_group", "group", "commodity", "class", "matkl", "type"],
+    "price": ["nominal_price", "price", "unit_price", "rate", "cost", "amount", "po_rate", "netpr"],
 }
 # fixed values: relationship labels, and those that mean the same item
 LABELS = ["EXACT_DUPLICATE", "FUNCTIONALLY_EQUIVALENT", "NEAR_DUPLICATE", "NEEDS_REVIEW", "NOT_A_MATCH", "VARIANT"]

@@ -24,7 +24,7 @@ def resolve_category(df: DataFrame, column: str = "category") -> DataFrame:
 def infer_category(c: Column) -> Column:
     out = None
     for code, words in C.KEYWORD_RULES:
-        hit = F.upper(c).rlike(f"(^|[^A-Z])({words})([^A-Z]|$)")
+        hit = F.upper(c).rlike(f"(^|[^A-Z])({'|'.join(words)})([^A-Z]|$)")
         out = F.when(hit, code) if out is None else out.when(hit, code)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import joins as J
 from ..operators import search as S
 from ..operators import stats as D
 from ..sources import ingest as I
+from ..operators.harmonize import shared_folder
 from .registry import query
 from .text_queries import CRITICAL, FLAT, GRAMS, MATERIAL, SIGNATURE, SIZE
 
@@ -24,6 +27,57 @@ def members(t):
 
 
 # --- sources and sinks
+def scratch(t, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid4().hex}"
+
+
+FIELDS = ["local_code", "description", "specification", "uom", "category"]
+
+
+def drop_files(t, sep: str) -> str:
+    """The catalog as files with the headers of an upload."""
+    path = scratch(t, "upload")
+    t.catalog.select(*FIELDS).toDF("Mat_No", "Short_Text", "Spec_Grade", "Base_UOM", "Matkl").write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    return path
+
+
+SCANNED = "SELECT local_code AS mat_no, description AS short_text, nullif(specification, '') AS spec_grade, uom AS base_uom, category AS matkl FROM catalog"
+
+
+@query("a01_scan_catalog_csv", SCANNED)
+def _(t):
+    return I.scan_catalog_csv(t.spark, drop_files(t, ","))
+
+
+@query("a02_scan_catalog_delimited", SCANNED)
+def _(t):
+    return I.scan_catalog_delimited(t.spark, drop_files(t, ";"))
+
+
+@query("a05_automap_headers", "SELECT local_code, description, coalesce(specification, '') AS specification, uom, category FROM catalog")
+def _(t):
+    raw = I.scan_catalog_csv(t.spark, drop_files(t, "|"), "|")
+    found = I.automap_headers(raw.columns)
+    return raw.select(*[F.coalesce(F.col(found[c]), F.lit("")).alias(c) for c in FIELDS])
+
+
+@query("a18_write_datasets", "SELECT 'records' AS part, count(*) AS n FROM catalog UNION ALL SELECT 'pairs', count(*) FROM pairs UNION ALL SELECT 'canonicals', count(*) FROM (SELECT DISTINCT category, description FROM catalog)")
+def _(t):
+    path = scratch(t, "datasets")
+    I.write_datasets(t.catalog, t.pairs, t.catalog.groupBy("category", "description").agg(F.min("material_id").alias("id")), path)
+    read = {"records": I.scan_catalog_csv(t.spark, f"{path}/records"), "pairs": I.scan_catalog_csv(t.spark, f"{path}/pairs"), "canonicals": t.spark.read.json(f"{path}/canonicals")}
+    counts = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, d in read.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("a19_write_metrics_report", "SELECT category, count(*) AS n, count(DISTINCT description) AS distinct_descriptions FROM catalog GROUP BY 1")
+def _(t):
+    path = scratch(t, "metrics")
+    I.write_metrics_report(t.catalog.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("description").alias("distinct_descriptions")), path)
+    return t.spark.read.schema("category string, n long, distinct_descriptions long").json(path)
+
+
 @query("a03_count_records", "SELECT count(*) AS n FROM catalog")
 def _(t):
     return t.catalog.agg(F.count("*").alias("n"))
@@ -164,7 +218,7 @@ def _(t):
     return S.resolve_category(t.catalog.select("material_id", raw.alias("category"))).select("material_id", "resolved")
 
 
-@query("b02_infer_category_keywords", "SELECT material_id, CASE " + " ".join(f"WHEN regexp_matches(upper(description), '(^|[^A-Z])({w})([^A-Z]|$)') THEN '{c}'" for c, w in C.KEYWORD_RULES) + " END AS inferred FROM catalog")
+@query("b02_infer_category_keywords", "SELECT material_id, CASE " + " ".join(f"WHEN regexp_matches(upper(description), '(^|[^A-Z])({w})([^A-Z]|$)') THEN '{c}'" for c, words in C.KEYWORD_RULES for w in ['|'.join(words)]) + " END AS inferred FROM catalog")
 def _(t):
     return t.catalog.select("material_id", S.infer_category(F.col("description")).alias("inferred"))
 
