@@ -190,3 +190,67 @@ def test_candidates_share_something(spark):
     d = harmonize.describe(catalog(spark, [(1, "PIPE", "CS PIPE 50MM"), (2, "PIPE", "CS PIPE 50MM"), (3, "PIPE", "BRASS TUBE 80MM"), (4, "VALVE", "CS PIPE 50MM")]))
     out = {(r["material_id"], r["candidate_id"]) for r in joins.candidate_retrieval(d).collect()}
     assert {(1, 2), (2, 1)} <= out and not any(4 in p for p in out)
+
+
+def test_serials_continue_over_ranges(spark):
+    new = spark.createDataFrame([(i, c) for i in range(0, 60, 3) for c in ("PIPE", None)], "group_id long, category string").withColumn("group_id", F.when(F.col("category").isNull(), F.col("group_id") + 1).otherwise(F.col("group_id")))
+    groups = spark.createDataFrame([("PIPE", 7), ("PIPE", 3), ("PUMP", 90)], "category string, code_serial long")
+    for ranges in (1, 4, 1000):
+        out = governance.allocate_serials(new, groups, ranges).collect()
+        assert [r["serial"] for r in sorted(out, key=lambda r: r["group_id"]) if r["category"] == "PIPE"] == list(range(8, 28))
+        assert [r["serial"] for r in sorted(out, key=lambda r: r["group_id"]) if r["category"] is None] == list(range(1, 21))
+
+
+def test_audit_chain_goes_on_over_batches(spark):
+    events = spark.range(1, 60).select((F.col("id") % 3).alias("chain"), F.col("id").alias("audit_id"), F.lit(1).alias("user_id"), F.lit("EDIT").alias("action"), F.lit("MATERIAL").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("old_value"), F.col("id").cast("string").alias("new_value"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        rows = audit.append(events).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for chain in range(3):
+        own = sorted((r for r in rows if r["chain"] == chain), key=lambda r: r["audit_id"])
+        assert [r["prev_hash"] for r in own] == ["0" * 64, *[r["row_hash"] for r in own[:-1]]] and len({r["row_hash"] for r in own}) == len(own)
+
+
+def test_tfidf_cosine_by_hand(spark):
+    import math
+
+    from stockmerge.operators import tfidf
+
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (3, "dd dd"), (4, "dd")], "id long, text string")
+    idf = {"aa": math.log(5 / 3) + 1, "dd": math.log(5 / 3) + 1}  # terms of one document go
+    terms = tfidf.word_terms(F.col("text"))
+    assert {r["term"]: round(r["idf"], 9) for r in tfidf.fit(docs, terms).collect()} == {k: round(v, 9) for k, v in idf.items()}
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): round(r["cosine"], 9) for r in tfidf.cosine(pairs, tfidf.transform(docs, terms, tfidf.fit(docs, terms))).collect()}
+    assert got == {(1, 2): 1.0, (3, 4): 1.0, (1, 3): 0.0}
+
+
+def test_pair_features_and_forest(spark, tmp_path):
+    from stockmerge.operators import model
+
+    rows = [("CS PIPE 50MM SCH40", "CS PIPE 50MM SCH40", "EXACT_DUPLICATE"), ("CS PIPE 50MM SCH40", "PVC PIPE 80MM SCH80", "NOT_A_MATCH"), ("", "PVC PIPE 80MM SCH80", "NOT_A_MATCH")]
+    pairs = spark.createDataFrame([(i, "PIPE", a, "", b, "", label) for i, (a, b, label) in enumerate(rows * 6)], "k long, category string, description_a string, specification_a string, description_b string, specification_b string, label string")
+    corpus = spark.createDataFrame([(t, "") for t in ("CS PIPE 50MM SCH40", "CS PIPE 80MM SCH80", "PVC PIPE 80MM SCH80")], "description string, specification string")
+    features = model.pair_features(pairs, corpus).cache()
+    assert features.count() == len(pairs.collect()) and len(model.FEATURES) == 17
+    first = {r["k"]: r for r in features.where("k < 3").collect()}
+    assert round(first[0]["word_cosine"], 9) == round(first[0]["char_cosine"], 9) == 1 and 0 < first[1]["char_cosine"] < 1 and first[2]["word_cosine"] == 0
+    fitted = model.train(features.select("label", *model.FEATURES), trees=3, depth=3)
+    scored = {r["k"]: r for r in model.guard(model.score(features, fitted)).where("k < 3").collect()}
+    assert scored[0]["predicted"] == "EXACT_DUPLICATE" and scored[1]["predicted"] == "NOT_A_MATCH" and (scored[2]["predicted"], scored[2]["match_probability"]) == ("NEEDS_REVIEW", 0.0)
+    model.register(fitted, {"f1": 1.0}, "v1", str(tmp_path / "models"), spark)
+    known = model.register(fitted, {"f1": 0.5}, "v2", str(tmp_path / "models"), spark).collect()
+    assert {r["version"]: r["active"] for r in known} == {"v1": False, "v2": True}
+
+
+def test_pairs_view_reaches_every_repeated_description(spark):
+    from stockmerge.plans.views import view
+
+    catalog, pairs = (view(spark, "/root/testdata/sf0.001", n) for n in ("catalog", "pairs"))
+    often = {r["material_id"] for r in catalog.join(catalog.groupBy("category", "description").count().where("count > 1"), ["category", "description"]).collect()}
+    found = pairs.collect()
+    assert often <= {i for r in found for i in (r["id_a"], r["id_b"])} and all(r["id_a"] < r["id_b"] for r in found)
+    assert len({(r["id_a"], r["id_b"]) for r in found}) == len(found) <= 3 * catalog.count()
