@@ -641,6 +641,27 @@ def test_fingerprints_against_naive_chunks(spark):
         assert abs(out[k]["near_next"] - alike(naive(t), naive(following))) < 1e-9
 
 
+def test_fingerprints_deal_a_frequent_id_over_ranges(spark):
+    """Ids that fill ranges, and null ids, are split by the text's hash; each row still gets its next."""
+    import xxhash
+
+    from stockmerge.llm.fingerprint import chunks_of, dealt_in_order, edit, fingerprints, likeness
+
+    rng = random.Random(17)
+    ids = [*range(8), *[8] * 60, *range(9, 20), *[20] * 30, *[None] * 45]
+    rows = [(i, words(rng, 3 + rng.randrange(40)) + f" {n}") for n, i in enumerate(ids)] + [(20, "twice"), (20, "twice"), (None, ""), (None, None)]
+    docs = frame(spark, rows)
+    seen, firsts = dealt_in_order(docs.fillna("", ["text"]), per_bucket=10)
+    of = lambda c: {r["bucket"] for r in seen.where(c).collect()}
+    assert len(of("doc_id = 8")) > 2 and len(of("doc_id IS NULL")) > 2 and {b for b, _, _ in firsts} == of("true")
+    by_hash = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) >> 33, t)
+    order = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is None, -(r[0] or 0), by_hash(r[1])))
+    want = sorted((str(i), hashlib.sha256(edit(t, f).encode()).hexdigest(), likeness(chunks_of(t), chunks_of(f))) for (i, t), f in zip(order, [t for _, t in order[1:] + order[:1]], strict=True))
+    for per_bucket in (10, 5000):
+        got = fingerprints(docs, per_bucket=per_bucket).select("doc_id", "edited_sha256", "near_next").collect()
+        assert sorted((str(i), s, n) for i, s, n in got) == want
+
+
 # 10
 def test_language_kernel_is_the_cosine_of_presence_sets():
     from stockmerge.llm.language import Presence, encode, gram_codes
