@@ -83,7 +83,8 @@ def around(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """(bucket, near, doc_id, text_id, spot): the sample of every text.  spot is twice the place, plus 1 if the same
+    """(bucket, near, doc_id, text_id, spot): the sample of every text.  bucket is the low 48 bits of the block's hash (the upper ones
+    of a least hash say little), over 16 zeros that cost nothing when compressed; blocks that share it are told apart by their bytes.  spot is twice the place, plus 1 if the same
     neighbourhood is known to stand earlier, in this text or in another of those that the task holds at once.  Such rows
     have nothing to do in their bucket and get another, so a passage of a third of all texts does not meet in one task."""
 
@@ -106,6 +107,7 @@ def samples(docs: DataFrame) -> DataFrame:
                 late = order[elsewhere(lead, order, doc, text_id, spot)]
                 spot[late] += 1
                 bucket[late] = mix(near[late] + doc.view(np.uint64)[late] * _GOLD + spot[late].astype(np.uint64))
+                bucket <<= np.uint64(16)
                 yield _batch((bucket.view(np.int64), near.view(np.int64), doc, text_id, spot), "bucket near doc_id text_id spot")
 
     return docs.mapInArrow(run, "bucket long, near long, doc_id long, text_id long, spot int")
