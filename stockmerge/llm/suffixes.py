@@ -6,10 +6,10 @@ affordable (one row for each byte), so the sort is done blockwise over a cover s
 *  The cover.  A place is sampled if the hash of its next BLOCK bytes is the least among the block hashes of some
    LENGTH-byte string that contains the block.  Like a difference cover, it has a sample place within a bounded
    distance of any place, at the same distance for equal strings; unlike an arithmetic one (12 % of the places for this
-   length, 18 GB of samples for each 4 GB that the disk may hold; the README has the figures) it needs about 3 %.
+   length, by measured bytes a row 5.4 x input of samples where 4 x are allowed; the README has the figures) it needs about 3 %.
 *  The buckets.  A sample's block is the bucket of all suffixes that reach it; one bucket after another is sorted.
-*  The ranks.  Samples of a bucket are first told apart by their whole neighbourhood (two 64-bit hashes, the block's and the
-   neighbourhood's).  Equal neighbourhoods (long ties) are settled without looking at bytes: all but the earliest are covered.
+*  The ranks.  Samples of a bucket are first told apart by their whole neighbourhood (48 bits of the block's hash and 64 of
+   the neighbourhood's).  Equal neighbourhoods (long ties) are settled without looking at bytes: all but the earliest are covered.
    For the first of each neighbourhood, in buckets with several, what follows the block's start is sorted by its bytes, and
    so is what precedes it, read backwards.  Ranks of both for every length settle the ties of the suffixes: two strings are
    equal if and only if the ranks of their parts before and from the block are.  No bytes are compared by hash here.
