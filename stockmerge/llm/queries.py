@@ -84,6 +84,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (held_out_part() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import cluster
+
+    return cluster(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, op11_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
