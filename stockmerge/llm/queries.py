@@ -90,6 +90,12 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repaired
+
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, op11_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, op11_simhash, op12_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
