@@ -96,6 +96,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, op11_simhash, op12_conversation_repair, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_runs, op2_ngram_jaccard, op3_quality, op4_decontaminate, op5_mixing, op5_mixing_exact, op6_suffix_dedup, op7_substring_dedup, op8_token_counts, op9_fingerprints, op10_language, op11_simhash, op12_conversation_repair, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
