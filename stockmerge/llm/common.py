@@ -83,16 +83,24 @@ def elsewhere(lead: np.ndarray, own: np.ndarray, *place: np.ndarray) -> np.ndarr
     return np.any([p[own] != p[lead] for p in place], 0)
 
 
-def least_hashed(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """At most ``most`` rows (doc_id, by) for each value of ``by``: those whose id has the least hash, with ``rn``.  Ranked
-    in 64 parts first, so that no task ranks all rows of a frequent value; texts stay out of it."""
-    ids = rows.select("doc_id", by).withColumn("_h", F.xxhash64("doc_id"))
-    order = ("_h", "doc_id")
-    part = Window.partitionBy(by, F.pmod("_h", F.lit(64))).orderBy(*order)
+def least_hashed(rows: DataFrame, by: str, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` different rows (doc_id, by and ``keys``) for each value of ``by``: those whose id has the least hash (of one id, those with the
+    least keys), with ``rn``.  Ranked in 64 parts first, so that no task ranks all rows of a frequent value; texts stay out of it."""
+    ids = rows.select("doc_id", by, *keys).distinct().withColumn("_h", F.xxhash64("doc_id"))
+    order = ("_h", "doc_id", *keys)
+    part = Window.partitionBy(by, F.pmod(F.xxhash64("_h", *keys), F.lit(64))).orderBy(*order)
     some = ids.withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= most).drop("rn")
     return some.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= most).drop("_h")
 
 
+def sampled_texts(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """(by, rn, doc_id, text) of at most ``most`` different rows (doc_id, by, text) for each value of ``by``, however often ids or rows repeat:
+    those whose id has the least hash, and of one id those whose text has.  Texts of one id are told apart by a 64-bit hash."""
+    rows = rows.withColumn("text_id", F.xxhash64("text"))
+    chosen = F.broadcast(least_hashed(rows, by, most, "text_id"))  # most rows for each value
+    return rows.join(chosen, ["doc_id", by, "text_id"]).groupBy(by, "rn").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
+
 def bitmap_of(spots: DataFrame, bits: int) -> np.ndarray:
     """The packed bitmap (as ``np.packbits``) of a column ``spot`` of numbers below ``bits``.  Executors fold spots into
     words of 64, so at most bits / 64 rows come to the driver."""

@@ -15,18 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, least_hashed, slices, texts_of
+from .common import column, sampled_texts, slices, texts_of
 
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
+LOW, CHECKED = 0.01, 5  # share of labelled texts that may score less than the threshold; every so many-th row is for it
+
+
 @dataclass
 class Model:
     langs: list[str]
     grams: np.ndarray  # sorted codes of the n-grams that occur in landmarks
     landmarks: np.ndarray  # len(grams) x m, columns of unit length
     weights: np.ndarray  # m x languages
-    least: float = 0.0  # the least score that a training text got for its own language
+    least: float = 0.0  # the score that all but LOW of the labelled texts it did not learn from reach for some language
 
 
 def gram_codes(data: np.ndarray) -> list[np.ndarray]:
@@ -79,33 +82,44 @@ def held_out_part():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 64, ridge: float = 1e-2) -> Model:
-    """Learn from at most ``per_language`` rows of each language (the rows with the smallest hash of
-    the id), of which the first ``landmarks`` are landmarks.  The sample is bounded, so it may go through the
-    driver; the rest of the corpus does not.  Without any labelled row the model knows no language."""
-    known = labelled(docs)
-    chosen = least_hashed(known, "lang", per_language).select("doc_id", "rn")
-    sample = known.join(F.broadcast(chosen), "doc_id").select("lang", "rn", "doc_id", "text").toPandas()
-    sample = sample.sort_values(["rn", "lang", "doc_id", "text"], kind="stable")
+def fit(docs: DataFrame, per_language: int = 500, landmarks: int = 64, ridge: float = 1e-2) -> Model:
+    """Learn from at most ``per_language`` different rows (id and text) of each language, those with the smallest hash of the id, however often ids or
+    rows repeat.  The sample is bounded, so it may go through the driver; the rest of the corpus does not.
+
+    The first ``landmarks`` of a language are landmarks; all languages weigh the same.  Every CHECKED-th row is left out of the regression; the
+    threshold ``least`` is the LOW quantile of the best scores of these rows, whatever their label, so that wrong labels do not move it.
+    Without any labelled row the model knows no language."""
+    sample = sampled_texts(labelled(docs), "lang", per_language).toPandas().sort_values(["rn", "lang"], ignore_index=True)
     langs = sorted(set(sample["lang"]))
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    marks = sample[sample["rn"] <= landmarks]["text"].tolist()
+    texts, own = sample["text"].tolist(), sample["lang"].map(langs.index).to_numpy(int)
+    learn = (sample["rn"] % CHECKED != 0).to_numpy()
+    marks = [texts[i] for i in np.flatnonzero(learn & (sample["rn"] <= landmarks).to_numpy())]
     grams = np.unique(np.concatenate([np.unique(c) for t in marks for c in gram_codes(encode(t))] or [np.zeros(0, np.int32)]))
     presence = Presence(grams)
     basis = presence.rows(marks).T.copy()
-    near = np.concatenate([presence.rows(part) @ basis for part in _parts(sample["text"].tolist())])
-    core = (basis.T @ basis).astype(np.float64)
+    near = np.concatenate([presence.rows(part) @ basis for part in _parts(texts)])
+    weights = regression((basis.T @ basis).astype(np.float64), near[learn].astype(np.float64), own[learn], len(langs), ridge)
+    out = near @ weights[:-1] + weights[-1]
+    tested = ~learn if not learn.all() else learn
+    scores = out[tested].max(1)
+    return Model(langs, grams, basis, weights.astype(np.float32), float(np.clip((np.quantile(scores, LOW, method="lower") + 1) / 2, 0, 1)))
+
+
+def regression(core: np.ndarray, near: np.ndarray, own: np.ndarray, langs: int, ridge: float) -> np.ndarray:
+    """Weights of the landmarks' kernels and, last, a constant, one column for each language: ridge regression (of the constant, too) on the
+    Nystroem map of kernels ``near`` between rows and landmarks and ``core`` among landmarks; targets are 1 for the own language, else -1, and all
+    languages weigh the same, however many rows they have."""
     values, vectors = np.linalg.eigh(core)
     keep = values > 1e-6 * max(values.max(), 1e-9)
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     phi = np.c_[near @ whiten, np.ones(len(near))]
-    target = np.where(sample["lang"].to_numpy()[:, None] == np.array(langs)[None], 1.0, -1.0)
-    solved = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ target)
-    weights = np.r_[whiten @ solved[:-1], solved[-1:]]
-    out = near @ weights[:-1] + weights[-1]
-    own = out[np.arange(len(out)), [langs.index(g) for g in sample["lang"]]]
-    return Model(langs, grams, basis, weights.astype(np.float32), float(np.clip((own.min() + 1) / 2, 0, 1)))
+    target = np.where(own[:, None] == np.arange(langs)[None], 1.0, -1.0)
+    rows = np.bincount(own, minlength=langs)
+    weighed = phi.T * (len(own) / langs / rows[own])
+    solved = np.linalg.solve(weighed @ phi + ridge * np.eye(phi.shape[1]), weighed @ target)
+    return np.r_[whiten @ solved[:-1], solved[-1:]]
 
 
 def _parts(texts: list[str], n: int = 128):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Codes, column, least_hashed, lower_ascii, slices, texts_of, word_code
+from .common import WORD, Codes, column, least_hashed, lower_ascii, sampled_texts, slices, texts_of, word_code
 
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, grade int, selected boolean"
 DIMENSIONS = 1 << 14
@@ -55,23 +55,25 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, graded: DataFrame, per_grade: int) -> DataFrame:
-    """Features of the texts of the labelled ids with the least hashes.  Ids are chosen without texts, so that at most
-    ``per_grade`` of them for each of three grades meet the documents, as a broadcast."""
-    chosen = docs.where("text IS NOT NULL").join(F.broadcast(least_hashed(graded, "grade", per_grade)), "doc_id")
+    """(grade, at, value): the features of at most ``per_grade`` different rows (id and text) of each grade.  Labelled ids are chosen without
+    texts, those with the least hashes, so that at most ``per_grade`` of them for each of three grades meet the documents, as a broadcast; an
+    id may have many texts, so the rows are then chosen in the same way."""
+    met = docs.where("text IS NOT NULL").join(F.broadcast(least_hashed(graded, "grade", per_grade)).drop("rn"), "doc_id")
+    chosen = sampled_texts(met.select("doc_id", "grade", "text"), "grade", per_grade)
 
     def run(batches):
         for batch in slices(batches):
             found = [_KNOWN(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([column(batch, "grade"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))], ["grade", "at", "value"])
+            yield pa.RecordBatch.from_arrays([column(batch, "grade"), column(batch, "rn"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))], ["grade", "rn", "at", "value"])
 
-    return chosen.select("doc_id", "grade", "text").mapInArrow(run, "grade int, at array<long>, value array<double>")
+    return chosen.select("grade", "rn", "text").mapInArrow(run, "grade int, rn int, at array<long>, value array<double>")
 
 
 def fit(docs: DataFrame, graded: DataFrame, per_grade: int = 1500, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Learn from at most ``per_grade`` rows of each grade (of the labelled ids with the smallest hash); this documented
+    """Learn from at most ``per_grade`` rows of each grade (see ``sample``), also where ids or rows repeat; this documented
     bound is what passes through the driver.  Full-batch adaptive gradient steps; thresholds stay ordered as the
     first plus exponentials.  With fewer than two grades the model is empty and predicts grade 0."""
-    pdf = sample(docs, graded, per_grade).toPandas()
+    pdf = sample(docs, graded, per_grade).toPandas().sort_values(["grade", "rn"], ignore_index=True)
     classes = sorted(set(pdf["grade"])) if len(pdf) else []
     if len(classes) < 2:
         return Model(np.zeros(DIMENSIONS), np.zeros(0))

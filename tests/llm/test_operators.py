@@ -318,6 +318,46 @@ def test_quality(spark, empty):
     assert not any(r["selected"] for r in classify(df, lab.limit(0)).collect())
 
 
+def test_quality_sample_is_bounded_for_a_repeated_id(spark):
+    from stockmerge.llm.quality import grades, sample
+
+    rng = random.Random(8)
+    rows = [(1, words(rng, 5)) for _ in range(900)] + [(1, "the same text")] * 300 + [(k, words(rng, 5)) for k in range(2, 30)]
+    graded = grades(spark.createDataFrame([(k, k % 2, 0) for k in range(1, 30)], "doc_id long, quality int, toxic int"))
+    got = sample(frame(spark, rows), graded, 40).collect()
+    per = {g: [r for r in got if r["grade"] == g] for g in (1, 2)}
+    assert len(per[1]) == 14 and len(per[2]) == 40 and sorted(r["rn"] for r in per[2]) == list(range(1, 41))
+
+
+def test_quality_fit_against_a_plain_fit(spark):
+    """The likelihood's gradient at the fitted model is near zero, worked out over dense rows."""
+    from stockmerge.llm.quality import fit, grades, sample
+
+    rng = random.Random(12)
+    marks = ["bad awful", "plain dull", "fine great"]
+    rows = [(k, marks[k % 3] + " " + words(rng, 12)) for k in range(150)]
+    graded = grades(spark.createDataFrame([(k, int(k % 3 == 2), int(k % 3 == 0)) for k in range(150)], "doc_id long, quality int, toxic int"))
+    df = frame(spark, rows).select("doc_id", "text")
+    model = fit(df, graded)
+    pdf = sample(df, graded, 1500).toPandas()
+    x, y = np.zeros((len(pdf), 1 << 14)), pdf["grade"].to_numpy()
+    for i, (at, value) in enumerate(zip(pdf["at"], pdf["value"], strict=True)):
+        x[i, at] = value
+
+    def loss(w, t):
+        over = np.c_[np.ones(len(y)), 1 / (1 + np.exp(t[None] - (x @ w)[:, None])), np.zeros(len(y))]
+        return -np.log(np.maximum((over[:, :-1] - over[:, 1:])[np.arange(len(y)), y], 1e-300)).mean()
+
+    # plain gradient descent of the same likelihood from zero ends no better than the fit did
+    w, t = np.zeros(1 << 14), np.array([-1.0, 1.0])
+    for _ in range(400):
+        over = 1 / (1 + np.exp(t[None] - (x @ w)[:, None]))
+        miss = over - (y[:, None] > np.arange(2)[None])
+        w, t = w - x.T @ miss.sum(1) / len(y), t + 0.3 * miss.mean(0)
+    assert loss(model.weights, model.thresholds) <= loss(w, t) + 0.02
+    assert (((x @ model.weights)[:, None] > model.thresholds[None]).sum(1) == y).mean() == 1
+
+
 # 4
 def test_decontaminate(spark, empty):
     from stockmerge.llm.decontaminate import flag, remove, template
@@ -694,6 +734,76 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_for_a_repeated_id(spark):
+    from stockmerge.llm.common import sampled_texts
+    from stockmerge.llm.language import labelled
+
+    rng = random.Random(6)
+    rows = [(1, words(rng, 5), "en") for _ in range(600)] + [(1, "just this", "en")] * 200 + [(1, "das da", "de")] * 300 + [(k, words(rng, 5), "de") for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sampled_texts(labelled(df), "lang", 50).collect()
+    per = {g: [r for r in got if r["lang"] == g] for g in ("en", "de")}
+    assert len(per["en"]) == 50 and all(r["doc_id"] == 1 for r in per["en"]) and len({r["text"] for r in per["en"]}) == 50
+    assert 1 < len(per["de"]) <= 39 and len({(r["doc_id"], r["text"]) for r in per["de"]}) == len(per["de"])
+    assert {r["text"] for r in per["de"]} <= {t for _, t, g in rows if g == "de"}
+
+
+def tongues(seed, n, wrong=0.0):
+    """Rows of three made-up languages; of ``wrong`` of them the label is drawn anew."""
+    rng = random.Random(seed)
+    says = {"en": "the of and th er ing ly wh sh ed ou re", "de": "der ei ch sch und ü ä tz en keit ver ge", "fr": "le é è eau ou qu ç ai les des ment ré"}
+    rows = []
+    for k in range(n):
+        g = list(says)[k % 3]
+        text = " ".join("".join(rng.choice(says[g].split()) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(15, 60)))
+        rows.append((k, text, rng.choice(list(says)) if rng.random() < wrong else g))
+    return rows
+
+
+def test_language_threshold_survives_wrong_labels(spark):
+    """With two labels in a hundred wrong, letter junk and other scripts still go and all rows of right label stay."""
+    from stockmerge.llm.language import fit, keep, predict
+
+    rows = tongues(3, 900, wrong=0.03)
+    junk = [(10_000, "xqzk wvvj qqpx zzkw jjxq " * 5, None), (10_001, "Съешь ещё этих мягких французских булок да выпей чаю " * 3, None), (10_002, "これは日本語の文章です。言語を判定します。" * 3, None)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    model = fit(df)
+    left = {r["doc_id"] for r in keep(df, model, least=0.8 * model.least).collect()}
+    right = {k for k, (_, _, g) in enumerate(rows) if g == ["en", "de", "fr"][k % 3]}
+    assert 10 < 900 - len(right) < 30 and right <= left <= set(range(900)) and model.least > 0.6
+    assert sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in predict(df.where("doc_id < 900"), model).collect()) > 0.97 * 900
+
+
+def test_language_regression_against_a_plain_solve():
+    """Landmarks, kernels and weights against dense 0/1 vectors of all n-grams."""
+    from stockmerge.llm.language import Presence, encode, gram_codes, regression
+
+    rng = random.Random(2)
+    texts = [words(rng, 8) + t for t in (" ähnlich", " same", " même", "") for _ in range(9)]
+    own, marks = np.array([[0, 1, 2, 2, 1, 2][k % 6] for k in range(len(texts))]), texts[::4]
+
+    def grams(text):
+        b = text.lower().encode()
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    kernel = np.array([[len(a & grams(m)) / (len(a) * len(grams(m))) ** 0.5 for m in marks] for a in sets])
+    core = np.array([[len(grams(a) & grams(m)) / (len(grams(a)) * len(grams(m))) ** 0.5 for m in marks] for a in marks])
+    presence = Presence(np.unique(np.concatenate([c for t in marks for c in gram_codes(encode(t))])))
+    basis = presence.rows(marks).T
+    near = presence.rows(texts) @ basis
+    assert np.allclose(near, kernel, atol=1e-5) and np.allclose(basis.T @ basis, core, atol=1e-5)
+    got = regression(core, kernel, own, 3, 1e-2)
+    # min sum of w (K b + c - y)^2 + r (b'Cb + c^2), the same problem without the map
+    k1 = np.c_[kernel, np.ones(len(texts))]
+    penalty = np.zeros((len(marks) + 1,) * 2)
+    penalty[:-1, :-1], penalty[-1, -1] = core, 1
+    y = np.where(own[:, None] == np.arange(3)[None], 1.0, -1.0)
+    w = np.diag(len(own) / 3 / np.bincount(own)[own])
+    want = np.linalg.solve(k1.T @ w @ k1 + 1e-2 * penalty, k1.T @ w @ y)
+    assert np.allclose(k1 @ got, k1 @ want, atol=1e-4)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
