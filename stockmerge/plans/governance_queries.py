@@ -171,16 +171,29 @@ def _(t):
     return H.harmonize(unmatched(described, t.mapping), groups, t.policy, stored_records(t), pool=described)
 
 
+UPLOAD = "cpse string, matnr string, short_text string, spec_grade string, base_uom string, matkl string, rate string"
+
+
+def uploaded(t):
+    """The catalog as an upload with headers of another system; every eleventh description is missing."""
+    text = F.when(F.col("material_id") % 11 == 0, F.lit("")).otherwise(F.col("description"))
+    return t.catalog.select(F.lit("").alias("cpse"), F.col("local_code").alias("matnr"), text.alias("short_text"), F.col("specification").alias("spec_grade"), F.col("uom").alias("base_uom"), F.lower("category").alias("matkl"), F.col("nominal_price").cast("string").alias("rate"))
+
+
+def number(c: str = "matnr"):
+    return F.substring(c, 5, 20).cast("long")
+
+
 @query("i15_ingest_and_harmonize")
 def _(t):
-    from ..operators.search import resolve_category
-    from ..sources.ingest import normalise_rows, resolve_header_aliases
+    """A third of the catalog is harmonised before; then all of it is uploaded."""
+    from ..operators.store import Store, ingest_and_harmonize, mapped_records
 
-    raw = t.catalog.select(F.lit("").alias("cpse"), F.col("local_code").alias("matnr"), F.col("description").alias("short_text"), F.col("specification").alias("spec_grade"), F.col("uom").alias("base_uom"), F.lower("category").alias("matkl"), F.col("nominal_price").cast("string").alias("rate"))
-    rows = normalise_rows(resolve_header_aliases(raw), F.xxhash64("local_code")).where("NOT rejected")
-    rows = resolve_category(rows).select(F.substring("local_code", 5, 20).cast("long").alias("material_id"), "local_code", "description", "specification", "uom", F.col("resolved").alias("category"))
-    _, groups = batch(t)
-    return H.harmonize(H.checkpointed(H.describe(rows)), groups, t.policy)
+    store, rows = Store(t.spark, folder(t)), uploaded(t)
+    ingest_and_harmonize(rows.where(number() % 3 == 0), store, 0, t.policy)
+    ingest_and_harmonize(rows, store, 1, t.policy)
+    m = mapped_records(store)
+    return m.select(number("local_code").alias("material_id"), "group_id", "basis", "score", "routing", "tier", "status", "group_status", "batch")
 
 
 # --- audit chains: one for each user
@@ -239,11 +252,24 @@ def _(t):
     return ingest_new(stream(t).select("user_id", "event_type"), folder(t), ["user_id", "event_type"])
 
 
-@query("k01_stream_ingest", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+@query(
+    "k01_stream_ingest",
+    """WITH u AS (SELECT material_id AS m, local_code, material_id % 11 = 0 AS rejected FROM catalog)
+    SELECT 3 AS batches, count(*) + count(*) FILTER (WHERE m % 8 = 0) AS imported, count(*) FILTER (WHERE rejected) + count(*) FILTER (WHERE rejected AND m % 8 = 0) AS rejected, count(*) FILTER (WHERE NOT rejected AND m % 8 = 0) AS skipped,
+      count(*) FILTER (WHERE NOT rejected) AS inserted, count(*) FILTER (WHERE NOT rejected) AS decided, count(*) FILTER (WHERE NOT rejected) AS mapped, 0 AS without_group, 0 AS split_signatures FROM u""",
+)
 def _(t):
-    from ..streaming.ingest import stream_ingest
-
-    out = folder(t)
-    work = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
-    stream_ingest(stream(t), f"{out}-state", work).awaitTermination()
-    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    """Three files of uploads: two halves of the catalog, then an eighth of it once more."""
+    from ..operators.store import mapped_records
+    from ..streaming.ingest import harmonize_drops, read_drops
+
+    out, rows = folder(t), uploaded(t)
+    for i, part in enumerate((number() % 2 == 0, number() % 2 == 1, number() % 8 == 0)):
+        rows.where(part).coalesce(1).write.option("header", True).option("escape", '"').csv(f"{out}/drops/{i}")
+    store = harmonize_drops(read_drops(t.spark, f"{out}/drops", UPLOAD), out, t.policy)
+    total = lambda c: F.sum(c).alias(c)
+    counted = store.log().agg(F.count("*").alias("batches"), *map(total, ("imported", "rejected", "skipped", "inserted")), (F.sum("auto_confirmed") + F.sum("review")).alias("decided"))
+    m = H.checkpointed(mapped_records(store))
+    split = m.where("signature IS NOT NULL").groupBy("signature").agg(F.count_distinct("group_id").alias("n")).agg(F.coalesce(F.count_if(F.col("n") > 1), F.lit(0)).alias("split_signatures"))
+    kept = m.agg(F.count("*").alias("mapped"), F.coalesce(F.count_if(F.col("group_status").isNull()), F.lit(0)).alias("without_group"))
+    return counted.join(F.broadcast(kept)).join(F.broadcast(split))  # one row each
