@@ -6,6 +6,9 @@ readings.  Windows of template tokens are hash-joined with the benchmark's windo
 document count together, whatever words were put in or left out between them, as far as they fill the slots as most of
 them do: one benchmark value always stands for one document value.  A re-parameterised question (other numbers, other
 names) is therefore caught; a chance mix is not.
+
+Items that differ in the values of their slots alone, with equal values at the same places, are held by the same documents in
+the same windows.  They are one class, which is matched once, under its smallest item_id; ``item_classes`` has the members.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +119,36 @@ def _spots(h: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(41)).astype(np.int64)
 
 
+def kind_of(text: str, size: int, least_plain: int) -> int:
+    """A hash of all that matching depends on: the template's codes in both readings, and which slots hold equal values; the words
+    themselves if the text is taken word by word."""
+    _, codes, slot, loose, plain = read = readings(text)
+    words = read[0]
+    seen: dict[str, int] = {}
+    same = [seen.setdefault(words[i].strip(_EDGE).lower(), len(seen)) for i in np.flatnonzero(slot | loose).tolist()]
+    n = min(size, len(codes))
+    enough = any(len(at) and kind is slot for at, _, kind in _windows(read, size, least_plain, False)) if n else True
+    parts = [codes.tobytes(), slot.tobytes(), loose.tobytes(), np.array(same, np.int64).tobytes(), b"" if enough else plain.tobytes()]
+    if loose.any():  # those words are read as they stand, too
+        parts.append(plain[loose].tobytes())
+    return xxhash.xxh3_64_intdigest(b"|".join(parts)) - (1 << 63)
+
+
+def item_classes(benchmark: DataFrame, size: int = 8, least_plain: int = 4) -> DataFrame:
+    """(item_id, class_id, kind, text) for every item with an id and a text: class_id is the smallest item_id of its class."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+
+    def run(batches):
+        for batch in slices(batches):
+            kinds = [kind_of(t, size, least_plain) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "item_id"), pa.array(kinds, pa.int64()), column(batch, "text")], ["item_id", "kind", "text"])
+
+    rows = cut(items.mapInArrow(run, "item_id long, kind long, text string"))
+    return rows.join(rows.groupBy("kind").agg(F.min("item_id").alias("class_id")), "kind").select("item_id", "class_id", "kind", "text")
+
+
 def template_windows(rows: DataFrame, size: int, least_plain: int, sizes: list[int], only: np.ndarray | None = None) -> DataFrame:
-    """(id, part, at, h, slots) of every window of rows (id, text) in each of its readings; part tells texts of one id
+    """(id, part, at, h, slots) of every window of rows (id, part, text) in each of its readings; part tells texts of one id
     apart, slots holds ``offset=value`` items.  ``sizes`` are the window lengths to make (short benchmark items need
     their own); ``only`` is a bitmap of fixed size over hashes of wanted windows: what it lets through in error, the join
     drops.  With it, all windows with few plain words are there word by word; without, those of texts that have no others."""
@@ -127,10 +159,10 @@ def template_windows(rows: DataFrame, size: int, least_plain: int, sizes: list[i
         keep = np.unpackbits(shared.value).view(bool) if shared else None
         for batch in slices(batches):
             ids, parts, ats, hs, fills = [], [], [], [], []
-            for key, text in zip(column(batch, "id").to_pylist(), texts_of(batch), strict=True):
+            for key, part, text in zip(column(batch, "id").to_pylist(), column(batch, "part").to_pylist(), texts_of(batch), strict=True):
                 if not text:
                     continue
-                read, part = readings(text), None
+                read = readings(text)
                 words = read[0]
                 for n in sizes:
                     if n != size and len(words) < n:
@@ -139,8 +171,6 @@ def template_windows(rows: DataFrame, size: int, least_plain: int, sizes: list[i
                         if keep is not None:
                             hit = keep[_spots(h)]
                             at, h = at[hit], h[hit]
-                        if part is None and len(at):
-                            part = word_code(text)
                         for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                             ids.append(key)
                             parts.append(part)
@@ -167,30 +197,34 @@ def item_sizes(benchmark: DataFrame, size: int) -> list[int]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_plain: int = 4) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage): how many windows of the item one region of the document holds
-    with one filling of the slots.  The bitmap made from the benchmark has a fixed size (1 MB), so the documents' side of the
-    join is small whatever the benchmark's size, and both sides may be shuffled."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
+    """(doc_id, text_id, item_id, n_windows, item_windows, coverage): how many windows of an item one region of the document holds
+    with one filling of the slots.  text_id (XXH64) tells texts of one doc_id apart; item_id stands for its class.  The bitmap made from the
+    benchmark has a fixed size (1 MB), so the documents' side of the join is small whatever the benchmark's size, and both sides may be
+    shuffled."""
+    classes = item_classes(benchmark, size, least_plain)
+    owners = classes.groupBy("kind").agg(F.min("class_id").alias("item_id"))
+    items = cut(classes.groupBy(F.col("kind").alias("id")).agg(F.lit(0).cast("long").alias("part"), F.min_by("text", F.struct("item_id", "text")).alias("text")))
     sizes = item_sizes(items, size)
     wanted = template_windows(items, size, least_plain, [size])
     bitmap = bitmap_of(wanted.select("h").distinct().mapInArrow(_spot_rows, "spot long"), BITS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("part"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     found = cut(template_windows(rows, size, least_plain, sizes, bitmap))  # few rows; the texts are read once
-    totals = wanted.groupBy("id").agg(F.count_distinct("part", "at").alias("item_windows"), (F.max("at") - F.min("at") + 1).alias("span"))
+    totals = wanted.groupBy("id").agg(F.count_distinct("at").alias("item_windows"), (F.max("at") - F.min("at") + 1).alias("span"))
     # equal windows of an item are one row, so a document that repeats them does not meet each of them each time
-    kinds = wanted.groupBy(F.col("id").alias("item_id"), "h", "slots").agg(F.min("at").alias("b"), F.count_distinct("part", "at").cast("int").alias("n"))
+    kinds = wanted.groupBy(F.col("id").alias("kind"), "h", "slots").agg(F.min("at").alias("b"), F.count_distinct("at").cast("int").alias("n"))
     pairs = (
         found.select(F.col("id").alias("doc_id"), "part", F.col("at").alias("d"), "h", F.col("slots").alias("values"))
         .join(kinds, "h")
         .withColumn("fills", F.zip_with("slots", "values", lambda s, v: F.struct(_slot(s, "b"), F.substring_index(v, "=", -1).alias("value"))))
     )
-    hits = pairs.groupBy("doc_id", "part", "item_id").agg(F.collect_list(F.struct("d", "b", "n", "fills")).alias("hits"))  # of one text and item
+    hits = pairs.groupBy("doc_id", "part", "kind").agg(F.collect_set(F.struct("d", "b", "n", "fills")).alias("hits"))  # of one text and class
     return (
-        hits.join(totals.withColumnRenamed("id", "item_id"), "item_id")
-        .mapInArrow(_held(size), "doc_id long, item_id long, item_windows long, n_windows long")
-        .groupBy("doc_id", "item_id", "item_windows")
-        .agg(F.max("n_windows").alias("n_windows"))
-        .select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
+        hits.join(totals.withColumnRenamed("id", "kind"), "kind")
+        .mapInArrow(_held(size), "doc_id long, part long, kind long, item_windows long, n_windows long")
+        .join(owners, "kind")
+        .groupBy("doc_id", F.col("part").alias("text_id"), "item_id")
+        .agg(F.max_by(F.struct("n_windows", "item_windows"), F.col("n_windows") / F.col("item_windows")).alias("best"))
+        .select("doc_id", "text_id", "item_id", "best.n_windows", "best.item_windows", (F.col("best.n_windows") / F.col("best.item_windows")).alias("coverage"))
     )
 
 
@@ -237,8 +271,8 @@ def _held(size: int):
                     rows = [(x["d"], x["b"], x["n"], tuple((f["slot"], f["value"]) for f in x["fills"])) for x in hits]
                     held.append(min(total, best_region(rows, span, size)))
                 yield pa.RecordBatch.from_arrays(
-                    [column(piece, "doc_id"), column(piece, "item_id"), column(piece, "item_windows"), pa.array(held, pa.int64())],
-                    ["doc_id", "item_id", "item_windows", "n_windows"],
+                    [*(column(piece, c) for c in ("doc_id", "part", "kind", "item_windows")), pa.array(held, pa.int64())],
+                    ["doc_id", "part", "kind", "item_windows", "n_windows"],
                 )
 
     return run
@@ -258,16 +292,18 @@ def _spot_rows(batches):
 def flag(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, ascending), coverage (of the best item, also where it is below ``least``) for every row.
 
-    A row is contaminated if one region of it holds, consistently filled, at least the share ``least`` of an item's windows.  Null,
-    empty and null-id rows and an empty benchmark give false, 0 items, coverage 0.  An item of fewer than ``size`` tokens is one
-    window; an item without any is never matched.  An item without enough plain words is matched word by word.  Repeated ids share one verdict: the worst of their texts.
+    A row is contaminated if one region of it holds, consistently filled, at least the share ``least`` of an item's windows.  Of items that
+    differ in their slots' values alone the smallest id is given (``item_classes`` has the others).  Null, empty and null-id rows and
+    an empty benchmark give false, 0 items, coverage 0.  An item of fewer than ``size`` tokens is one window; an item without any is
+    never matched.  An item without enough plain words is matched word by word.  Texts of one id have verdicts of their own, and
+    so have texts of one item_id, of which the best counts; repeated rows have the same.
     """
     hit = F.col("coverage") >= least
-    verdicts = matches(docs, benchmark, **options).groupBy("doc_id").agg(
+    verdicts = matches(docs, benchmark, **options).groupBy("doc_id", "text_id").agg(
         F.count(F.when(hit, 1)).alias("n_items"), F.sort_array(F.collect_list(F.when(hit, F.col("item_id")))).alias("items"), F.max("coverage").alias("coverage")
     )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(verdicts, "doc_id", "left").select(
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"))
+    return ids.join(verdicts, ["doc_id", "text_id"], "left").select(
         "doc_id",
         (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -276,7 +312,9 @@ def flag(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, **options) -
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = flag(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def remove(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; texts of one id are judged one by one."""
+    found = matches(docs, benchmark, **options).where(F.col("coverage") >= least)
+    bad = found.select(F.col("doc_id").alias("_bad_id"), F.col("text_id").alias("_bad_text")).distinct()
+    same = (docs["doc_id"].cast("long") == bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"])
+    return docs.join(bad, same, "left_anti")

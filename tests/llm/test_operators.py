@@ -374,12 +374,12 @@ def test_decontaminate(spark, empty):
     for r in flag(frame(spark, rows), items).collect():
         out.setdefault(r["doc_id"], []).append(r)
     assert out[10][0]["contaminated"] and out[10][0]["items"] == [1]
-    assert all(r["contaminated"] for r in out[11]) and len(out[11]) == 2
+    assert sorted(r["contaminated"] for r in out[11]) == [False, True]  # the text that leaks, and the null one of the same id
     assert out[14][0]["items"] == [3]
     for k in (12, 13, 15, 16, 17, None):
         assert not any(r["contaminated"] for r in out[k]), k
     left = remove(frame(spark, rows), items)
-    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 12, 13, 15, 16, 17]
+    assert sorted((r["doc_id"] or 0, r["text"] is None) for r in left.collect()) == [(0, False), (11, True), (12, False), (13, False), (15, True), (16, False), (17, False)]
     assert flag(empty, items).count() == 0
     assert not any(r["contaminated"] for r in flag(frame(spark, rows), items.limit(0)).collect())
 
@@ -407,6 +407,90 @@ def test_decontaminate_reparameterised(spark):
     assert {k: out[k] for k in (11, 12, 14, 15, 16)} == {k: [] for k in (11, 12, 14, 15, 16)}
 
 
+def naive_coverage(text, item, size=8, least_plain=4):
+    """The best share of an item's windows in any stretch of the text as long as the item and a half and two windows, counted window by window."""
+    from stockmerge.llm.decontaminate import readings
+
+    def plain_windows(t, literal):
+        words, codes, slot, loose, own = readings(t)
+        low = [w.strip("\"'`.,;:!?()[]{}").lower() for w in words]
+        n, out = min(size, len(codes)), []
+        for flags, shown in ((slot, codes), (slot | loose, None)):
+            for i in range(len(codes) - n + 1):
+                if flags is not slot and not loose[i : i + n].any():
+                    continue
+                if (~flags[i : i + n]).sum() >= min(least_plain, n):
+                    form = tuple("<slot>" if f else w for f, w in zip(flags[i : i + n], low[i : i + n], strict=True))
+                    out.append((i, form, tuple(low[k] for k in range(i, i + n) if flags[k])))
+        return out
+
+    have, want = plain_windows(text, True), plain_windows(item, None)
+    if not want:
+        return 0.0
+    span = max(i for i, _, _ in want) - min(i for i, _, _ in want) + 1
+    width = span + span // 2 + 2 * size
+    best = 0
+    for start in sorted({i for i, _, _ in have}):
+        hits = [(i, j, fill, slots) for i, form, fill in have if start <= i < start + width for j, other, slots in want if form == other]
+        votes = {}
+        for _, _, fill, slots in hits:
+            for s, v in set(zip(slots, fill, strict=True)):
+                votes.setdefault(s, {}).setdefault(v, []).append(1)
+        most = {s: min(v, key=lambda x: (-len(v[x]), x)) for s, v in votes.items()}
+        held = {j for _, j, fill, slots in hits if all(most[s] == v for s, v in zip(slots, fill, strict=True))}
+        best = max(best, len(held))
+    return best / len({j for j, _, _ in want})
+
+
+def question(rng, values):
+    """A question of its own wording with slots for two names and three numbers."""
+    w = lambda n: " ".join(rng.choice("walks takes gives shares finds sells keeps counts with from under while until some many small green boxes stones cards roads after before then also never".split()) for _ in range(n))
+    form = f"When {{0}} {w(5)} {{2}} {w(4)} and {{1}} {w(5)} {{3}} {w(3)} of what {{0}} {w(4)}, how much {w(3)} {{4}} {w(4)} for {{1}}?"
+    return form, form.format(*values)
+
+
+def test_decontaminate_recall_and_naive_windows(spark):
+    """Planted copies, re-parameterised and with words put in, are found; clean texts are left alone; coverage is that of a plain count."""
+    from stockmerge.llm.decontaminate import flag
+
+    rng = random.Random(31)
+    names = ["Anna", "Boris", "Carla", "Dmitri", "Elena", "Farid"]
+    draw = lambda: (*rng.sample(names, 2), *(rng.randrange(2, 90) for _ in range(3)))
+    forms = [question(rng, draw()) for _ in range(12)]
+    items = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "item_id long, text string")
+    rows = []
+    for k in range(60):
+        leak = forms[k % 12][0].format(*draw()).split(" ")
+        if k % 3 == 1:
+            leak.insert(len(leak) // 2, "really")
+        rows.append((k, words(rng, 20) + ". " + " ".join(leak) + " " + words(rng, 20 + k)))
+    rows += [(100 + k, question(rng, draw())[1] + " " + words(rng, 30)) for k in range(60)]
+    out = {r["doc_id"]: r for r in flag(frame(spark, rows), items).collect()}
+    assert sum(out[k]["contaminated"] and out[k]["items"] == [k % 12] for k in range(60)) >= 54
+    assert not any(out[100 + k]["contaminated"] for k in range(60))
+    for k in [*range(0, 60, 7), *range(100, 160, 9)]:
+        naive = max(naive_coverage(dict(rows)[k], t) for _, t in forms)
+        assert naive - 0.1 <= out[k]["coverage"] <= naive + 1e-9, k
+
+
+def test_decontaminate_one_template(spark):
+    """Documents and items of one template: a row for each document, whatever the number of items; another pattern of equal values is a class of its own."""
+    from stockmerge.llm.decontaminate import flag, item_classes, matches
+
+    form = "On his way home Mr {0} walks past {1} shops and buys {2} pencils for {0} and then goes on until all {3} pencils are given away again"
+    rng = random.Random(5)
+    draw = lambda: (rng.choice(["Abel", "Bruno", "Carlo"]), *rng.sample(range(2, 99), 3))
+    texts = [form.format(*draw()) for _ in range(60)]
+    twice = form.format("Abel", 7, 7, 12)
+    items = spark.createDataFrame([(500 + i, t) for i, t in enumerate(texts)] + [(900, twice)], "item_id long, text string")
+    docs = frame(spark, [(i, words(rng, 9) + ". " + form.format(*draw())) for i in range(50)])
+    classes = item_classes(items).collect()
+    assert {r["class_id"] for r in classes} == {500, 900} and sum(r["class_id"] == 500 for r in classes) == 60
+    found = matches(docs, items).collect()
+    assert len(found) == 100 and all(r["coverage"] == 1 for r in found if r["item_id"] == 500) and all(r["coverage"] < 1 for r in found if r["item_id"] == 900)
+    assert all(r["items"][0] == 500 for r in flag(docs, items).collect())
+
+
 # 5
 def test_mixing(spark, docs, empty):
     from stockmerge.llm.mixing import interleave
