@@ -163,15 +163,50 @@ def slices(batches, rows: int = 256):
             yield batch.slice(i, rows)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors see.  Where it is unset, a session on one machine gets one folder of its
+    own; on a cluster it is an error."""
+    global _own_folder
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder and _own_folder is None:
+        import tempfile
+
+        _own_folder = tempfile.mkdtemp(prefix="checkpoint-")
+    return folder or _own_folder
+
+
+_own_folder: str | None = None
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the session's ``spark.checkpoint.dir``.
-    Where that is unset, a session on one machine gets a folder of its own; on a cluster it is an error."""
+    """The same rows with their lineage cut by a reliable checkpoint in ``shared_folder``."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df`` from Parquet files at ``path``, which are written unless a whole set of them is there."""
+    spark = df.sparkSession
+    if not finished(spark, path):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
