@@ -1,17 +1,19 @@
 """Corpus pipeline: language, repeated lines, near duplicates, benchmark leaks, mix.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
 All but the last return the columns of ``documents``.  Null ids, null and empty texts, repeated rows and further columns
 are handled as the operators' docstrings say; a document without a language goes in the first stage.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockmerge.llm import decontaminate, jaccard, language, lines, mixing
-from stockmerge.llm.common import cut, table
+from stockmerge.llm.common import finished, removed, shared_folder, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +56,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``.  Every stage but the last is written as Parquet below ``folder`` and read again; with a folder of an earlier
+    run, stages that it has finished are not run anew.  Without one, a new folder in ``spark.checkpoint.dir`` is used, and a
+    stage's files go when the next one is written."""
+    own = folder is None
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = lambda i: f"{folder}/stage-{i}"
+    done = max((i for i in range(len(STAGES) - 1) if finished(spark, path(i))), default=-1)
+    docs = spark.read.parquet(path(done)) if done >= 0 else table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES[done + 1 :], done + 1):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs)
+            docs = written(docs, path(i))
+            if own and i:
+                removed(spark, path(i - 1))
     return docs
