@@ -418,3 +418,65 @@ class _Whole:
 
     def row(self):
         return (self.conv_id, _gaps(self.low, self.high, self.turns), *self.counts, self.cost, "".join(self.audit), self.hash.hexdigest())
+
+
+def _with(cost: str, edit: str, way: str) -> str:
+    """A way is nine digits of cost and then its edits, so that the least string is the cheapest way and of those the least."""
+    return f"lpad((substr({way}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{edit}' || substr({way}, 10)"
+
+
+def _row(state: int) -> str:
+    """The best way from a state that begins with the next row."""
+    to = NEXT[state]
+    keep = " ".join(f"WHEN keeps AND initial = '{r}' THEN {_with('cut_off', 'K', f'v{KEEP[state][i]}')}" for r, i in ROLES.items() if KEEP[state][i] is not None)
+    return f"least({_with('3', 'D', f'v{state}')}, CASE WHEN keeps THEN {_with('2 + cut_off', 'R', f'v{to}')} END, CASE {keep} END)"
+
+
+_SPACE = " || ".join(f"chr({ord(c)})" for c in BLANK)
+#: DuckDB SQL for ``repaired``: CRC-32 bit by bit, then one step of a recursion for each row from the last.
+SQL = f"""
+WITH RECURSIVE convs AS (
+  SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)
+), named AS (
+  SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations c JOIN convs ON convs.conv_id IS NOT DISTINCT FROM c.conv_id
+), crcs AS (
+  SELECT name, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS hit FROM (SELECT DISTINCT name FROM named)
+), hits AS (
+  SELECT cid, turn, role, text, hit FROM named JOIN crcs USING (name) WHERE hit <> 0
+), damaged AS (
+  SELECT cid, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM hits, (VALUES (1), (2)) copies(copy) WHERE copy = 1 OR hit = 3
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM damaged
+), seen AS (
+  SELECT *, substr(role, 1, 1) AS initial, rtrim(text, {_SPACE}) AS core, row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 AS again FROM placed
+), ordered AS MATERIALIZED (
+  SELECT *, core = '' AS is_blank, core <> '' AND again AS is_again, core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS is_cut,
+    core <> '' AND NOT again AS keeps, (core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?'))::INT AS cut_off,
+    lag(initial) OVER (PARTITION BY cid ORDER BY pos) || initial NOT IN ('su', 'ua', 'au') AS is_odd
+  FROM seen
+), sums AS (
+  SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE is_blank) AS blank, count(*) FILTER (WHERE is_again) AS duplicate,
+    count(*) FILTER (WHERE is_cut) AS truncated, count(*) FILTER (WHERE is_odd) AS illegal FROM ordered GROUP BY 1
+), ways AS (
+  SELECT cid, n + 1 AS pos, {", ".join(f"'{c:09d}{'I' * (c // 2)}' AS v{s}" for s, c in enumerate(END))} FROM sums
+  UNION ALL
+  SELECT cid, pos, least(b0, {_with("2", "I", "a2")}), least(b1, {_with("2", "I", "a2")}), a2, least(b3, {_with("2", "I", "b2")})
+  FROM (SELECT *, least(b2, {_with("2", "I", "b3")}) AS a2 FROM (SELECT w.cid, r.pos, {", ".join(f"{_row(s)} AS b{s}" for s in range(4))} FROM ways w JOIN ordered r ON r.cid = w.cid AND r.pos = w.pos - 1))
+), best AS (
+  SELECT cid, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM ways WHERE pos = 1
+), edits AS (
+  SELECT cid, i, substr(audit, i::INT, 1) AS edit, length(replace(substr(audit, 1, i::INT), 'I', '')) AS pos, length(replace(substr(audit, 1, i::INT), 'D', '')) AS place FROM (SELECT cid, audit, unnest(range(1, length(audit) + 1)) AS i FROM best)
+), kept AS (
+  SELECT e.cid, place, edit, r.role, CASE edit WHEN 'I' THEN '' ELSE r.text END AS text,
+    max((place = 1 AND edit = 'K' AND r.initial = 's')::INT) OVER (PARTITION BY e.cid) AS system
+  FROM edits e LEFT JOIN ordered r ON r.cid = e.cid AND r.pos = e.pos WHERE edit <> 'D'
+), texts AS (
+  SELECT cid, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS repaired FROM kept GROUP BY 1
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM convs LEFT JOIN sums USING (cid) LEFT JOIN best USING (cid) LEFT JOIN texts USING (cid)
+"""

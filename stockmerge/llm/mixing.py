@@ -160,3 +160,6 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, ranked.source, rank // 8 AS mix_block, slot AS mix_slot, rank % 8 AS mix_rank, on_target
 FROM ranked JOIN parts ON parts.source = ranked.s JOIN slots ON slots.i = parts.i AND slots.j = rank // 8
 """
+
+#: The same with one weight for every source.
+SQL_EQUAL = SQL.replace("floor(sqrt(n * 1000000.0))::BIGINT AS w", "1::BIGINT AS w")

@@ -34,8 +34,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as op5_mixing, whose weights are exact by now."""
-    return op5_mixing(spark, sf_dir)
+    """Every source weighs the same, which with three sources is exactly a third each."""
+    from .mixing import interleave
+
+    return interleave(table(spark, sf_dir, "documents").select("doc_id", "source"), weights={})
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +115,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import jaccard, lines, mixing
+    from . import conversations, jaccard, lines, mixing
 
-    return {"op1_line_dedup": lines.SQL, "op2_ngram_jaccard": jaccard.SQL, "op5_mixing": mixing.SQL, "op5_mixing_exact": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op2_ngram_jaccard": jaccard.SQL, "op5_mixing": mixing.SQL, "op5_mixing_exact": mixing.SQL_EQUAL, "op12_conversation_repair": conversations.SQL}
