@@ -72,6 +72,29 @@ STANDARD_RULES = [
 ]
 # fixed values: nominal inches -> millimetres
 NOMINAL_INCH = {0.5: 15, 1: 25, 1.5: 40, 2: 50, 2.5: 65, 3: 80, 4: 100, 6: 150, 8: 200}
+# fixed values: what stands for a size, in order; the number is in millimetres times the unit's factor (the second group), if there is one
+INCH_RULE = r"(?i)(\d+(?:\.\d+)?)\s?(?:inch|\")"
+SIZE_RULES = [
+    r"(?i)\bDN\s?(\d+(?:\.\d+)?)\b()",
+    r"(?i)(\d+(?:\.\d+)?)\s?mm\b()",
+    r"(?i)\b(?:NB|OD|ID)\s*(\d+(?:\.\d+)?)\s*(MM|CM|M|INCH|IN)?\b",
+    r"(?i)\b(\d+(?:\.\d+)?)\s*(CM|M|IN)\b",
+]
+UNIT_MM = {"CM": 10.0, "M": 1000.0, "IN": 25.4, "INCH": 25.4}
+# fixed values: patterns of one group, and what is put before it; the first that is found counts
+PREFIXED_RULES = {
+    "bolt_size": [(r"\bM\s?(\d{1,2})\b", "M")],
+    "bearing_number": [(r"\b(6\d{3})\b", "")],
+    "pressure_class": [(r"(?i)\bCLASS\s?(\d+)\b", "CLASS"), (r"(?i)\bPN\s?(\d+)\b", "PN"), (r"\b(\d+)\s?#", "CLASS")],
+    "schedule": [(r"(?i)\bSCH\s?(\d+)\b", "SCH")],
+}
+# fixed values: patterns and the code that the first to be found stands for
+CODED_RULES = {
+    "phase": [(r"(?i)\b3\s?[-]?\s?ph(?:ase)?\b", "3PH"), (r"(?i)\b1\s?[-]?\s?ph(?:ase)?\b", "1PH")],
+    "seal_type": [(r"(?i)\b2RS\b", "2RS"), (r"\bZZ\b", "ZZ"), (r"(?i)\bOPEN\b", "OPEN")],
+}
+# fixed value: a maker's model number
+MODEL_RULE = r"(?i)\b[A-Z0-9]{3,}(?:-[A-Z0-9]+)+\b"
 # fixed values: number before a unit
 NUMBER_RULES = {
     "power_kw": r"(?i)(\d+(?:\.\d+)?)\s?KW",

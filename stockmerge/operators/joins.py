@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once, set_jaccard, trigrams
+from .scratch import checkpointed
 
 
 def top_k(df: DataFrame, by: str | list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -13,47 +14,113 @@ def top_k(df: DataFrame, by: str | list[str], order: list, k: int, name: str = "
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+BAND = 4  # sizes of trigram sets that are joined together
+DIMENSION, TYPE = 0.35, 0.20  # what an equal dimension and an equal material type add to a score
+
+
 def candidate_retrieval(materials: DataFrame, k: int = 50, least: float = 0.3, targets: DataFrame | None = None) -> DataFrame:
     """(material_id, candidate_id, similarity, score, rank): candidates of one category that share a dimension, a material
-    type, or have trigram-similar descriptions; score = 0.35 dimension + 0.20 type + similarity; the top k.
+    type, or have trigram-similar descriptions; score = 0.35 dimension + 0.20 type + similarity; exactly the top k.
+
+    Descriptions are worked with once for each distinct (category, description, dimension, type): copies meet as classes, and a class
+    expands to at most k + 1 members.  Texts without a trigram are similar to nothing.  With ``targets`` (material_id) only these get candidates, from all materials.
 
-    Three equi-joins on blocking keys are united; nothing is a product of a category with itself.  Descriptions are
-    worked with once for each distinct (category, description, dimension, type): copies meet as classes, and a class
-    expands to at most k + 1 members.  Trigram similarity of at least ``least`` needs a common trigram among the first
-    |set| - ceil(least |set|) + 1 in rising frequency (prefix filter), so frequent trigrams hardly ever join.
-    With ``targets`` (material_id) only these get candidates, from all materials.
+    No block is paired with itself.  A class first meets the classes of each of its blocks (dimension, type, both) that hold the 4 (k + 1) greatest
+    ids, and some that share a rare trigram; the score of the (k + 1)-th best of these is its bound.  Ties go to the greater id, so who only
+    ties with the bound and is not among a block's greatest ids is not wanted.  Of a block that has more classes, those not met
+    are wanted only if their similarity reaches the bound less what the block adds.  At similarity t sets of n and m trigrams share
+    o = ceil(t (n + m) / (1 + t)), so one of the first n - o + 1 and m - o + 1 in rising frequency (prefix filter on both sides, joined by
+    bands of m).  Frequent trigrams hardly ever join, and rows grow with the classes, not with a block's square.
     """
     ids = materials.select("material_id", "category", "description", F.coalesce("dimension", F.lit("")).alias("dimension"), F.coalesce("material_type", F.lit("")).alias("material_type"))
     key = ["category", "description", "dimension", "material_type"]
-    # used by every branch below; a lost part is worked out again
-    classes = once(ids.groupBy(*key).agg(F.min("material_id").alias("class_id")), grams=trigrams("description")).persist()
-    often = classes.select("category", F.explode("grams").alias("gram")).groupBy("category", "gram").agg(F.count("*").alias("df"))
-    ranked = classes.select("class_id", "category", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, ["category", "gram"])
-    w = Window.partitionBy("class_id").orderBy("df", "gram")
-    prefix = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("class_id", "category", "gram")
+    grouped = ids.groupBy(*key).agg(F.min("material_id").alias("class_id"), F.max("material_id").alias("top"))
+    classes = checkpointed(once(grouped, grams=trigrams("description")))
     member = ids.join(classes.select(*key, "class_id"), key).select("class_id", "material_id")
     wanted = member if targets is None else member.join(targets.select("material_id").distinct(), "material_id", "left_semi")
-    asked = None if targets is None else wanted.select("class_id").distinct()
-    left = lambda d: (d if asked is None else d.join(asked, "class_id", "left_semi")).withColumnRenamed("class_id", "a")
-    right = lambda d: d.withColumnRenamed("class_id", "b")
-    by_gram = left(prefix).join(right(prefix), ["category", "gram"]).select("a", "b")
-    by_size = left(classes.where("dimension <> ''").select("class_id", "category", "dimension")).join(right(classes.select("class_id", "category", "dimension")), ["category", "dimension"]).select("a", "b")
-    by_type = left(classes.where("material_type <> ''").select("class_id", "category", "material_type")).join(right(classes.select("class_id", "category", "material_type")), ["category", "material_type"]).select("a", "b")
-    pairs = by_gram.union(by_size).union(by_type).distinct()
-    side = lambda p: classes.select(F.col("class_id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("grams", "dimension", "material_type")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    same = lambda c: ((F.col(f"{c}_a") != "") & (F.col(f"{c}_a") == F.col(f"{c}_b"))).cast("int")
-    scored = once(both, similarity=set_jaccard(F.col("grams_a"), F.col("grams_b"))).withColumns({"d": same("dimension"), "t": same("material_type")})
-    scored = scored.where((F.col("similarity") >= least) | (F.col("d") + F.col("t") > 0)).select("a", "b", "similarity", (0.35 * F.col("d") + 0.20 * F.col("t") + F.col("similarity")).alias("score"))
+    asked = classes if targets is None else classes.join(wanted.select("class_id").distinct(), "class_id", "left_semi")
+    lists = checkpointed(_listed(classes, k))
+    known = checkpointed(_scored(_first_candidates(classes, asked, lists), classes, least))
+    more = _similar(classes, asked, _bound(known, k), lists, least).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    scored = known.unionByName(_scored(more, classes, least))
     # of a class, no more than k + 1 members can be among the top k of any target
     last = top_k(member, "class_id", [F.desc("material_id")], k + 1).select("class_id", F.col("material_id").alias("candidate_id"))
     # the k + 1 best classes are enough as well: each has at least one member
-    best = top_k(scored.join(last.groupBy("class_id").agg(F.max("candidate_id").alias("top")).withColumnRenamed("class_id", "b"), "b"), "a", [F.desc("score"), F.desc("top")], k + 1, "r").select("a", "b", "similarity", "score")
+    best = top_k(scored, "a", [F.desc("score"), F.desc("top")], k + 1, "r").select("a", "b", "similarity", "score")
     few = top_k(best.join(last.withColumnRenamed("class_id", "b"), "b"), "a", [F.desc("score"), F.desc("candidate_id")], k + 1, "r").drop("b", "r")
     out = wanted.withColumnRenamed("class_id", "a").join(few, "a").where("material_id <> candidate_id")
     return top_k(out, "material_id", [F.desc("score"), F.desc("candidate_id")], k).select("material_id", "candidate_id", "similarity", "score", "rank")
 
 
+def _blocks(classes: DataFrame, *columns: str) -> DataFrame:
+    """Every class once for each kind of block it is in: 1 by dimension, 2 by type, 3 by both; d and t are the block's values."""
+    has = {c: F.col(c) != "" for c in ("dimension", "material_type")}
+    kind = lambda n, d, t: F.struct(F.lit(n).alias("kind"), (F.col("dimension") if d else F.lit("")).alias("d"), (F.col("material_type") if t else F.lit("")).alias("t"))
+    found = F.array_compact(F.array(F.when(has["dimension"], kind(1, True, False)), F.when(has["material_type"], kind(2, False, True)), F.when(has["dimension"] & has["material_type"], kind(3, True, True))))
+    return classes.select("class_id", "category", *columns, F.inline(found))
+
+
+BLOCK = ["category", "kind", "d", "t"]
+
+
+def _listed(classes: DataFrame, k: int) -> DataFrame:
+    """The 4 (k + 1) classes of every block with the greatest ids."""
+    return top_k(_blocks(classes, "top"), BLOCK, [F.desc("top")], 4 * (k + 1), "n").select(*BLOCK, F.col("class_id").alias("b"), "top", "n")
+
+
+def _bound(known: DataFrame, k: int) -> DataFrame:
+    """(a, bound, bound_top): score and greatest id of the (k + 1)-th best of the first candidates, where there are so many."""
+    return top_k(known, "a", [F.desc("score"), F.desc("top")], k + 1).where(F.col("rank") == k + 1).select("a", F.col("score").alias("bound"), F.col("top").alias("bound_top"))
+
+
+def _first_candidates(classes: DataFrame, asked: DataFrame, lists: DataFrame, rare: int = 3, listed: int = 24) -> DataFrame:
+    """(a, b): the listed classes of each block of a, up to ``listed`` of each of its ``rare`` rarest trigrams, itself."""
+    by_block = _blocks(asked).withColumnRenamed("class_id", "a").join(lists, BLOCK).select("a", "b")
+    grams = classes.select("class_id", "category", F.explode("grams").alias("gram"))
+    df = grams.groupBy("category", "gram").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("class_id").orderBy("df", "gram")
+    first = asked.select("class_id", "category", F.explode("grams").alias("gram")).join(df, ["category", "gram"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rare)
+    some = top_k(grams, ["category", "gram"], [F.xxhash64("class_id"), "class_id"], listed, "n").select("category", "gram", F.col("class_id").alias("b"))
+    by_gram = first.select(F.col("class_id").alias("a"), "category", "gram").join(some, ["category", "gram"]).select("a", "b")
+    return by_block.union(by_gram).union(asked.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))).distinct()
+
+
+def _similar(classes: DataFrame, asked: DataFrame, bound: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """(a, b): classes whose trigrams may be similar enough for a's bound, in the whole category or in a block that adds to the score."""
+    grams = classes.select("class_id", "category", "dimension", "material_type", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    df = grams.groupBy("category", "gram").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("class_id").orderBy("df", "gram")
+    ranked = checkpointed(grams.join(df, ["category", "gram"]).withColumn("place", F.row_number().over(w)).drop("df"))
+    every = ranked.select("class_id", "category", "n", "gram", "place", F.lit(0).alias("kind"), F.lit("").alias("d"), F.lit("").alias("t")).unionByName(_blocks(ranked, "n", "gram", "place"))
+    adds = F.when(F.col("kind") == 1, DIMENSION).when(F.col("kind") == 2, TYPE).when(F.col("kind") == 3, DIMENSION + TYPE).otherwise(0.0)
+    full = lists.groupBy(*BLOCK).agg(F.min("top").alias("low_top"))
+    a = every.withColumnRenamed("class_id", "a").join(asked.select(F.col("class_id").alias("a")), "a", "left_semi").join(bound, "a", "left").join(full, BLOCK, "left")
+    need = F.greatest(F.coalesce("bound", F.lit(0.0)) - adds - 1e-9, F.when(F.col("kind") == 0, least).otherwise(0.0))
+    # ties with the bound are among the listed ones of a block, so there one more has to be shared than a tie shares
+    more = F.coalesce((F.col("kind") > 0) & (F.col("bound_top") >= F.col("low_top")), F.lit(False))
+    shared = lambda t, n, m: F.when(F.col("more"), F.floor(t / (1 + t) * (n + m) + 1e-7) + 1).otherwise(F.ceil(t / (1 + t) * (n + m) - 1e-7))  # noqa: E731  what sets of n and m have in common
+    low, high = F.ceil(F.col("need") * F.col("na") - 1e-9), F.floor(F.col("na") / F.col("need") + 1e-9)
+    band = lambda n: F.floor(n / BAND)
+    # how far a's trigrams are wanted depends on the other's size, so they are joined by bands of it; with hardly any need in one band, as a whole
+    fits = F.filter(F.sequence(band(low), band(high)), lambda j: F.col("place") <= F.col("na") - shared(F.col("need"), F.col("na"), F.greatest(j * BAND, low)) + 1)
+    bands = F.when(F.col("need") < 0.1, F.array(F.lit(-1).cast("long"))).otherwise(fits)
+    a = a.withColumns({"need": need, "more": more}).withColumnRenamed("n", "na").withColumn("band", F.explode(bands))
+    b = every.select("category", "kind", "d", "t", "gram", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.explode(F.array(F.lit(-1).cast("long"), band(F.col("n")))).alias("band"))
+    both = a.join(b, ["category", "kind", "d", "t", "gram", "band"])
+    least_shared = shared(F.col("need"), F.col("na"), F.col("nb"))
+    close = (F.col("place") <= F.col("na") - least_shared + 1) & (F.col("pb") <= F.col("nb") - least_shared + 1)
+    return both.where((F.col("need") < 0.1) | close).select("a", "b").distinct()
+
+
+def _scored(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, top, similarity, score) of the pairs that are candidates; top is b's greatest id."""
+    side = lambda p: classes.select(F.col("class_id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("grams", "dimension", "material_type")], *(["top"] if p == "b" else []))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = lambda c: ((F.col(f"{c}_a") != "") & (F.col(f"{c}_a") == F.col(f"{c}_b"))).cast("int")
+    scored = once(both, similarity=F.when(F.size("grams_a") == 0, 0.0).otherwise(set_jaccard(F.col("grams_a"), F.col("grams_b")))).withColumns({"d": same("dimension"), "t": same("material_type")})
+    return scored.where((F.col("similarity") >= least) | (F.col("d") + F.col("t") > 0)).select("a", "b", "top", "similarity", (DIMENSION * F.col("d") + TYPE * F.col("t") + F.col("similarity")).alias("score"))
+
+
 def candidate_fallback(targets: DataFrame, pool: DataFrame, k: int = 50) -> DataFrame:
     """The first k others of the target's category by id; for targets without a category, of all."""
     one = top_k(pool.where("category IS NOT NULL"), "category", ["material_id"], k + 1).select("category", F.col("material_id").alias("candidate_id"))

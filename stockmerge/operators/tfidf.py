@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import top_k
+from .scratch import checkpointed
 
 
 def word_terms(c: Column) -> Column:
@@ -49,9 +50,56 @@ def cosine(pairs: DataFrame, weights: DataFrame, name: str = "cosine") -> DataFr
     return pairs.join(dots, ["a", "b"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+_CLOSE = 1e-7  # what rounding may add to a bound
+
+
 def prefilter(weights: DataFrame, blocks: DataFrame, k: int = 25) -> DataFrame:
-    """(a, b, cosine, rank): the k best others of a's block, by shared terms; blocks(id, block)"""
+    """(a, b, cosine, rank): exactly the k best others of a's block, by shared terms, ties to the smaller id; blocks(id, block).
+
+    Equal vectors of a block are one class, which is worked with once and expands to at most k + 1 members.
+    """
     w = weights.join(blocks, "id")
-    x, y = w.select(F.col("id").alias("a"), "block", "term", F.col("weight").alias("wa")), w.select(F.col("id").alias("b"), "block", "term", F.col("weight").alias("wb"))
-    dots = x.join(y, ["block", "term"]).where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return top_k(dots.withColumn("cosine", F.round("cosine", 9)), "a", [F.desc("cosine"), "b"], k)
+    vector = F.md5(F.array_sort(F.collect_list(F.struct("term", "weight"))).cast("string")).alias("vector")
+    keyed = checkpointed(w.groupBy("id", "block").agg(vector))
+    classes = keyed.groupBy("block", "vector").agg(F.min("id").alias("class"))
+    member = checkpointed(keyed.join(classes, ["block", "vector"]).select("id", "class", "block"))
+    leads = member.where("id = class").select("id", "block")
+    others = best_others(weights.join(leads, "id"), k)
+    own = leads.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    # the k + 1 best classes are enough: each has at least one member; and of a class its k + 1 smallest ids
+    best = top_k(others.unionByName(own), "a", [F.desc("cosine"), "b"], k + 1, "n").select("a", F.col("b").alias("class"), "cosine")
+    small = top_k(member, "class", ["id"], k + 1, "n").select("class", F.col("id").alias("b"))
+    few = top_k(best.join(small, "class"), "a", [F.desc("cosine"), "b"], k + 1, "n").select(F.col("a").alias("class"), "b", "cosine")
+    out = member.select(F.col("id").alias("a"), "class").join(few, "class").where("a <> b").select("a", "b", "cosine")
+    return top_k(out, "a", [F.desc("cosine"), "b"], k)
+
+
+def best_others(w: DataFrame, k: int, rare: int = 2, listed: int = 48) -> DataFrame:
+    """(a, b, cosine), rounded to nine digits: others of a's block that share terms, the k best of each a and perhaps more; w(id, block, term, weight).
+
+    Each a first meets up to ``listed`` others of each of its ``rare`` rarest terms; the k-th best of these bounds what is wanted from below.
+    Terms stand rare first.  Who shares only terms from some place on has a cosine of at most the length of a's vector from there on, so only
+    the terms before that place are joined; and of those met, who can still reach the bound (shared so far, plus what both have left) is
+    scored in full.  The frequent terms of a uniform block are hardly ever joined.
+    """
+    near, w = may_reach(w, k, rare, listed)
+    return cosine(near, w).withColumn("cosine", F.round("cosine", 9))
+
+
+def may_reach(w: DataFrame, k: int, rare: int = 2, listed: int = 48) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that ``best_others`` scores in full, and the vectors."""
+    w = checkpointed(w)
+    often = w.groupBy("block", "term").agg(F.count("*").alias("df"))
+    inner = Window.partitionBy("id").orderBy("df", "term")
+    left_over = F.sum(F.col("weight") * F.col("weight")).over(inner.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ranked = checkpointed(w.join(often, ["block", "term"]).withColumns({"place": F.row_number().over(inner), "tail": left_over}))
+    lists = top_k(w, ["block", "term"], [F.xxhash64("id"), "id"], listed, "n").select("block", "term", F.col("id").alias("b"))
+    seeds = ranked.where(F.col("place") <= rare).select(F.col("id").alias("a"), "block", "term").join(lists, ["block", "term"]).where("a <> b").select("a", "b").distinct()
+    bound = top_k(cosine(seeds, w), "a", [F.desc("cosine")], k).groupBy("a").agg(F.when(F.count("*") == k, F.min("cosine") - _CLOSE).otherwise(0.0).alias("bound"))
+    x = ranked.withColumnRenamed("id", "a").join(bound, "a", "left").withColumn("bound", F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)))
+    x = x.where(F.col("tail") >= F.col("bound") * F.col("bound"))
+    rest = x.groupBy("a").agg(F.greatest(F.min("tail") - F.min_by(F.col("weight") * F.col("weight"), "tail"), F.lit(0.0)).alias("rest"), F.first("bound").alias("bound"))
+    y = w.select(F.col("id").alias("b"), "block", "term", F.col("weight").alias("wb"))
+    met = x.select("a", "block", "term", F.col("weight").alias("wa")).join(y, ["block", "term"]).where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wb") * F.col("wb")).alias("seen"))
+    reach = F.col("dot") + F.sqrt(F.col("rest") * F.greatest(1 - F.col("seen"), F.lit(0.0)))
+    return met.join(rest, "a").where(reach + _CLOSE >= F.col("bound")).select("a", "b"), w

@@ -158,13 +158,6 @@ def _(t):
     return H.relations(decided, top, existing, stored)
 
 
-@query("h13_find_matches")
-def _(t):
-    from ..operators.matching import find_matches
-
-    return find_matches(H.top_matches(H.checkpointed(H.describe(t.catalog))))
-
-
 @query("i14_harmonize_unmatched")
 def _(t):
     described, groups = batch(t)
@@ -238,18 +231,55 @@ def folder(t) -> str:
     return f"{H.shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
+def in_time_order(t, out: str, files: int = 4):
+    """The events as a stream of files, one a micro-batch, each later than the one before; the first file's events of even users come once more in the
+    second."""
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    rows = t.events.withColumn("_s", second)
+    edges = rows.approxQuantile("_s", [i / files for i in range(1, files)], 0.001)
+    place = sum((F.when(F.col("_s") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    again = rows.where((place == 0) & (F.col("user_id") % 2 == 0)).withColumn("ts", F.timestamp_seconds(F.lit(edges[0] + 1)).cast(dict(t.events.dtypes)["ts"])) if edges else rows.limit(0)
+    for i in range(files):
+        part = rows.where(place == i)
+        (part.unionByName(again) if i == 1 else part).drop("_s").coalesce(1).write.parquet(f"{out}/drops/{i}")
+    options = {"maxFilesPerTrigger": 1, "recursiveFileLookup": True}
+    return t.spark.readStream.schema(t.events.schema).options(**options).parquet(f"{out}/drops")
+
+
+def progressed(t):
+    from ..streaming.ingest import run_with_progress
+
+    out = folder(t)
+    odd = F.coalesce(F.count_if(F.col("user_id") % 2 == 1), F.lit(0))
+    return run_with_progress(in_time_order(t, out), "event_type", out, f"progress_{out[-32:]}", odd_users=odd, last_event=F.max("event_id"))
+
+
 @query("k03_stream_progress", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    from ..streaming.ingest import progress, run_to_files
+    from ..streaming.ingest import run_with_progress
 
-    return run_to_files(progress(stream(t), "event_type"), folder(t), "complete")
+    out = folder(t)
+    return run_with_progress(stream(t), "event_type", out, f"progress_{out[-32:]}")[0]
+
+
+@query("k03_stream_counters", "SELECT 4 AS batches, true AS agree, true AS in_order, max(event_id) AS last_event FROM events")
+def _(t):
+    """What the listener heard of each micro-batch adds up to the running counts."""
+    counts, batches = progressed(t)
+    total = counts.agg(F.sum("n").alias("n"))
+    heard = batches.agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.sum("input_rows").alias("input"), (F.max("batch") + 1).alias("numbers"), F.max("last_event").alias("last_event"))
+    return heard.join(F.broadcast(total)).select("batches", ((F.col("rows") == F.col("n")) & (F.col("input") == F.col("n"))).alias("agree"), (F.col("numbers") == F.col("batches")).alias("in_order"), "last_event")
 
 
-@query("k02_stream_skip_existing", "SELECT DISTINCT user_id, event_type FROM events")
+@query("k02_stream_skip_existing", "SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 5 <> 3 OR event_type <> 'purchase'")
 def _(t):
-    from ..streaming.ingest import ingest_new
+    """Keys that are stored before, that came in an earlier file, or that repeat within the watermark are left out."""
+    from ..streaming.ingest import ingest_new, without_repeats
 
-    return ingest_new(stream(t).select("user_id", "event_type"), folder(t), ["user_id", "event_type"])
+    key, out = ["user_id", "event_type"], folder(t)
+    stored = t.events.where((F.col("user_id") % 5 == 3) & (F.col("event_type") == "purchase")).select(*key).distinct()
+    rows = without_repeats(in_time_order(t, out).select("ts", *key), "ts", key, "1 day")
+    return ingest_new(rows, out, key, stored).select(*key)
 
 
 @query(

@@ -116,10 +116,10 @@ def _(t):
     return M.compared(t.pairs).select("id_a", "id_b", F.explode("cmp").alias("c")).where("c.agree IS NOT NULL").select("id_a", "id_b", "c.key", "c.agree")
 
 
-TITLE = "array_to_string(list_transform(string_split(key, '_'), lambda w: upper(w[1]) || w[2:]), ' ')"
 JOINED = lambda text, cond: f"coalesce(string_agg({text}, '; ' ORDER BY pos) FILTER (WHERE {cond}), '')"
-EXPLAIN = f"""WITH {CMP} SELECT id_a, id_b, {JOINED("'Same ' || replace(key, '_', ' ') || ': ' || a", 'agree')} AS checks,
-  {JOINED(TITLE + " || ' not stated on one side'", "agree IS NULL AND severity <> 'minor'")} AS warnings, {JOINED(TITLE + " || ' conflict (' || severity || '): ' || a || ' vs ' || b", 'NOT agree')} AS conflicts FROM cmp GROUP BY 1, 2"""
+LABEL = "replace(key, '_', ' ')"
+EXPLAIN = f"""WITH {CMP} SELECT id_a, id_b, {JOINED(LABEL + " || ' agrees: ' || a", 'agree')} AS checks,
+  {JOINED("'no two values of ' || " + LABEL, "agree IS NULL AND severity <> 'minor'")} AS warnings, {JOINED("severity || ' difference in ' || " + LABEL + " || ': ' || a || ' / ' || b", 'NOT agree')} AS conflicts FROM cmp GROUP BY 1, 2"""
 
 
 @query("h10_explain_pair", EXPLAIN)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -10,7 +12,8 @@ from ..functions import text as X
 from ..operators import model as M
 from ..operators import pairs as P
 from ..operators import stats as D
-from ..operators.harmonize import checkpointed
+from ..operators.matching import find_matches
+from ..operators.scratch import checkpointed, shared_folder
 from .registry import query
 from .text_queries import CRITICAL, FLAT
 
@@ -95,11 +98,16 @@ def _(t):
     return P.split_pairs(t.pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), parts(t))
 
 
-@query("f03_split_disjointness", f"WITH {PARTS} SELECT part, count(DISTINCT id) AS n, 0 AS shared FROM parts GROUP BY 1")
+@query("f03_split_disjointness", f"""WITH {PARTS}, kept AS (SELECT id_a, id_b, x.part FROM pairs JOIN parts x ON x.id = id_a JOIN parts y ON y.id = id_b WHERE x.part = y.part),
+  ends AS (SELECT id_a AS id, part FROM kept UNION SELECT id_b, part FROM kept), twice AS (SELECT id FROM ends GROUP BY 1 HAVING count(DISTINCT part) > 1)
+  SELECT part, count(*) AS pairs, (SELECT count(DISTINCT id) FROM ends e WHERE e.part = kept.part) AS n, (SELECT count(*) FROM ends e JOIN twice USING (id) WHERE e.part = kept.part) AS shared FROM kept GROUP BY 1""")
 def _(t):
-    p = parts(t)
-    shared = p.groupBy("id").agg(F.count_distinct("part").alias("k")).where("k > 1").agg(F.count("*").alias("shared"))
-    return p.groupBy("part").agg(F.count_distinct("id").alias("n")).join(F.broadcast(shared))
+    """Of the pairs that the split keeps, which ids stand in more than one part."""
+    kept = checkpointed(P.split_pairs(t.pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), parts(t)).where("part <> 'cross'"))
+    ends = kept.select(F.col("a").alias("id"), "part").union(kept.select("b", "part")).distinct()
+    twice = ends.groupBy("id").agg(F.count_distinct("part").alias("k"))
+    per = ends.join(twice, "id").groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 1).alias("shared"))
+    return kept.groupBy("part").agg(F.count("*").alias("pairs")).join(per, "part").select("part", "pairs", "n", "shared")
 
 
 @query("d15_structural_checks", "SELECT count(*) - count(DISTINCT category || '|' || description || '|' || specification) AS duplicates, count(*) FILTER (WHERE trim(description) = '') AS blank, count(*) FILTER (WHERE material_id IS NULL) AS no_id, count(*) FILTER (WHERE specification = '') AS no_specification FROM catalog")
@@ -151,31 +159,72 @@ def _(t):
     return M.pair_features(t.pairs, t.catalog).select("id_a", "id_b", *M.FEATURES)
 
 
-def fitted(t):
-    return M.train(checkpointed(M.pair_features(labelled(t), t.catalog).select("label", *M.FEATURES)))
+def content(t) -> str:
+    """A name for what the catalog holds, so that a saved model is used for these rows alone."""
+    n, h = t.catalog.agg(F.count("*"), F.sum(F.xxhash64(*t.catalog.columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{h or 0}".replace("--", "-m")
+
+
+def models(t) -> str:
+    return f"{shared_folder(t.spark)}/models/{content(t)}"
+
+
+def registered(t, trees: int = 300, depth: int = 18, path: str | None = None):
+    """(model, version): fitted and registered by the first who asks for it, loaded by all others."""
+    path, version = path or models(t), f"forest-{trees}x{depth}"
+    if not M.registered(t.spark, path, version):
+        features = checkpointed(M.pair_features(labelled(t), t.catalog).select("label", *M.FEATURES))
+        M.register(M.train(features, trees, depth), {"trees": float(trees), "depth": float(depth), "pairs": float(features.count())}, version, path, t.spark)
+    return M.load(t.spark, path, version)
 
 
 @query("h06_train_classifier")
 def _(t):
-    return M.importances(fitted(t), t.spark).where("importance > 0")
+    return M.importances(registered(t)[0], t.spark).where("importance > 0")
 
 
 @query("d17_feature_importance")
 def _(t):
-    return M.importances(fitted(t), t.spark)
+    return M.importances(registered(t)[0], t.spark)
 
 
 @query("h07_score_pairs")
 def _(t):
-    return M.score(M.pair_features(t.pairs, t.catalog), fitted(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier")
+    return M.score(M.pair_features(t.pairs, t.catalog), *registered(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier", "model_version")
+
+
+def compared(t):
+    return M.compare(t.pairs, t.catalog, *registered(t))
 
 
 @query("h12_compare_pairs")
 def _(t):
-    return M.guard(M.score(M.pair_features(t.pairs, t.catalog), fitted(t))).select("id_a", "id_b", "predicted", "match_probability", "tier")
+    texts = [F.array_join(c, "; ").alias(c) for c in ("checks", "warnings", "conflicts", "critical_conflicts")]
+    evidence = [F.col("evidence")[k].alias(n) for k, n in (("lexicalSimilarity", "lexical_similarity"), ("attributeCompatibility", "attribute_compatibility"), ("categoryCompatibility", "category_compatibility"))]
+    return compared(t).select("id_a", "id_b", "predicted", "match_probability", "tier", "scorer", *texts, *evidence, "model_version")
+
+
+@query("h13_find_matches")
+def _(t):
+    """For every record the best of its candidates, scored by the registered forest."""
+    from ..operators import harmonize as H
+
+    described = checkpointed(H.describe(t.catalog))
+    return find_matches(H.top_matches(described, scorer=M.scorer(t.catalog, *registered(t))))
+
+
+@query("h18_model_registry", "SELECT v.version, 'random forest' AS algorithm, v.active, CASE WHEN v.active THEN (SELECT count(*) FROM pairs) ELSE 0 END AS scored FROM (VALUES ('forest-20x8', true), ('forest-10x6', false)) v(version, active)")
+def _(t):
+    """Two versions; the newer takes over, then the older is made active again and scores."""
+    path = f"{shared_folder(t.spark)}/models/{uuid.uuid4().hex}"
+    for trees, depth in ((20, 8), (10, 6)):
+        registered(t, trees, depth, path)
+    M.activate(t.spark, path, "forest-20x8")
+    scored = M.score(M.pair_features(t.pairs, t.catalog), *M.load(t.spark, path)).groupBy(F.col("model_version").alias("version")).agg(F.count("*").alias("scored"))
+    return M.registry(t.spark, path).join(scored, "version", "left").select("version", "algorithm", "active", F.coalesce("scored", F.lit(0)).alias("scored"))
 
 
 @query("h16_anomaly_scan")
 def _(t):
     f = t.texts.select("material_id", *[c.cast("double").alias(k) for k, c in X.surface_features("description").items()])
-    return M.isolation_scores(f, ["n_chars", "n_tokens", "digit_ratio", "upper_ratio", "punct_ratio"]).select("material_id", "score")
+    return M.outliers(f, "material_id", ["n_chars", "n_tokens", "digit_ratio", "upper_ratio", "punct_ratio"]).select("material_id", "score", "outlier")
