@@ -383,14 +383,16 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Each byte goes that is covered by a LENGTH-byte string which also starts earlier: in a smaller doc_id, or before in
     the same document, overlaps included; strings are judged on the input.  Null and empty texts have 0 bytes.  Rows
-    with null ids take no part and keep all.  Different texts with one doc_id stand in the order of a hash of the
+    with null ids take no part and keep all.  Different texts with one doc_id stand in the order of a 32-bit hash of the
     text, so each string is kept once; rows that are equal in both are taken for one place and do not remove each other.
     Only doc_id and text are read.
 
     Texts are shuffled once, by id: both joins with what is found use the same exchange.
     """
     docs = with_long_id(docs)
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    # every sample carries it, so it has no more bits than texts of one id need to be told apart
+    text_id = F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)).alias("text_id")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_id, "text")
     dealt = known.repartition("doc_id", "text_id")
     found = spans(known, dealt).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
