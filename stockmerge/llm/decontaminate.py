@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, bitmap_of, column, cut, mix, slices, texts_of, windows, word_code
+from .common import Codes, bitmap_of, column, cut, mix, slices, texts_of, word_code
 
 # fixed values: units that become a placeholder after a number
 UNITS = (
@@ -34,14 +34,16 @@ _NUMBER = re.compile(r"[$€£+-]*\d[\d.,:/]*$")
 _GLUED = re.compile(r"(?<=\d)(?=[^\W\d_])")
 _EDGE = "\"'`.,;:!?()[]{}*&%#<>«»“”’…"
 _UNIT = frozenset(UNITS)
-#: Low bits of a packed word: it ends a sentence, may be a name, a unit, a number, or is punctuation alone.
-ENDS, NAME, UNIT, NUM, EMPTY = 1, 2, 4, 8, 16
-_BITS = 31
+#: Low bits of a packed word: it ends a sentence, may be a name, a unit, a number, is punctuation alone, or other white space alone.
+ENDS, NAME, UNIT, NUM, EMPTY, SPACE = 1, 2, 4, 8, 16, 32
+_BITS = 63
 _NAME_CODE, _UNIT_CODE, _NUM_CODE = (word_code(x) & ~_BITS for x in ("<name>", "<unit>", "<num>"))
 
 
 def pack(raw: str) -> int:
     """The hash of a word's plain form, with what it may stand for in the low bits."""
+    if raw.isspace():
+        return SPACE
     word = raw.strip(_EDGE)
     low = word.lower()
     bits = ENDS * (raw[-1] in ".!?:\n")
@@ -69,16 +71,21 @@ def readings(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray,
     """``template`` with the capitalised words that begin a sentence or a line, and the codes of all words as they stand."""
     if any(map(text.__contains__, "0123456789")):
         text = _GLUED.sub(" ", text)
-    words = text.replace("\n", " .\n ").split(" ")
-    words = [w for w in words if w and not w.isspace() or w == ".\n"]
+    words = list(filter(None, text.replace("\n", " .\n ").split(" ")))
     packed = _KNOWN.array(words)
-    fresh = np.r_[True, (packed[:-1] & ENDS) > 0] if len(packed) else np.zeros(0, bool)
+    other = packed == SPACE
+    if other.any():
+        words, packed = [w for w, o in zip(words, other.tolist(), strict=True) if not o], packed[~other]
+    fresh = np.ones(len(packed), bool)
+    np.greater(packed[:-1] & ENDS, 0, out=fresh[1:])
     real = (packed & EMPTY) == 0
     if not real.all():
         words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
         packed, fresh = packed[real], fresh[real]
     number = (packed & NUM) > 0
-    unit = ((packed & UNIT) > 0) & (np.r_[False, number[:-1]] if len(number) else number)
+    unit = (packed & UNIT) > 0
+    unit[1:] &= number[:-1]
+    unit[:1] = False
     capital = ((packed & NAME) > 0) & ~number & ~unit
     name = capital & ~fresh
     plain = packed & ~np.int64(_BITS)
@@ -87,6 +94,27 @@ def readings(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray,
     return words, codes, number | unit | name, capital & fresh, plain
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """uint64 hash of every window of n codes: a polynomial modulo 2**64, put together from windows of half the length, then scrambled."""
+    c, spans, power = codes.view(np.uint64), {}, {1: _BASE}
+    spans[1], k = c, 1
+    while 2 * k <= n:
+        h = spans[k]
+        spans[2 * k] = h[:-k] * np.uint64(power[k]) + h[k:]
+        power[2 * k] = power[k] * power[k] % (1 << 64)
+        k *= 2
+    out, done = spans[k], k
+    while done < n:  # the rest of n, largest part first
+        k = max(x for x in spans if x <= n - done)
+        m = len(c) - done - k + 1
+        out = out[:m] * np.uint64(power[k]) + spans[k][done : done + m]
+        done += k
+    return mix(out + np.uint64(n))
+
+
 def _windows(text, size: int, least_plain: int, literal: bool | None):
     """(places, hashes, is a slot) for each reading of ``readings``: windows with at least ``least_plain`` plain words, then
     those of them that hold a capitalised sentence start as a name.  Windows with fewer plain words are taken word by word if
@@ -95,20 +123,25 @@ def _windows(text, size: int, least_plain: int, literal: bool | None):
     if not len(codes):
         return
     n = min(size, len(codes))
-    within = lambda flags: (c := np.cumsum(np.r_[0, flags]))[n:] - c[:-n]
+
+    def within(flags):
+        c = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, out=c[1:])
+        return c[n:] - c[:-n]
+
     enough = within(~slot) >= min(least_plain, n)
     at = np.flatnonzero(enough)
     if len(at):
-        yield at, windows(codes, n)[at], slot
+        yield at, window_hashes(codes, n)[at], slot
     if loose.any():
         either = slot | loose
         more = np.flatnonzero((within(loose) > 0) & (within(~either) >= min(least_plain, n)))
         if len(more):
-            yield more, windows(np.where(loose, _NAME_CODE, codes), n)[more], either
+            yield more, window_hashes(np.where(loose, _NAME_CODE, codes), n)[more], either
     if literal or literal is None and not len(at):
         few = np.flatnonzero(~enough)
         if len(few):
-            yield few, windows(plain, n)[few], np.zeros(len(slot), bool)
+            yield few, window_hashes(plain, n)[few], np.zeros(len(slot), bool)
 
 
 _WINDOW = "id long, part long, at int, h long, slots array<string>"
@@ -116,7 +149,7 @@ BITS = 1 << 23
 
 
 def _spots(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(41)).astype(np.int64)
+    return (h >> np.uint64(41)).view(np.int64)  # window hashes are scrambled already
 
 
 def kind_of(text: str, size: int, least_plain: int) -> int:
