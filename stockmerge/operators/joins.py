@@ -185,6 +185,15 @@ def relation_dedup(relations: DataFrame) -> DataFrame:
     return top_k(ordered, ["group_a", "group_b", "relation_type"], ["relation_id"], 1, "rn").select("relation_id", "group_a", "group_b", "relation_type")
 
 
+def category_blocks(df: DataFrame, key: str | Column = "description") -> DataFrame:
+    """(block, representative, material_id, members, classes): every record of an upper-cased category with the smallest id of its class of equal
+    keys, the class's size, and the number of classes of the block.  Copies are not expanded into pairs, and a block is compared class by class."""
+    keyed = df.select(F.upper("category").alias("block"), F.col(key).alias("key") if isinstance(key, str) else key.alias("key"), "material_id")
+    classes = keyed.groupBy("block", "key").agg(F.min("material_id").alias("representative"), F.count("*").alias("members"))
+    blocks = classes.groupBy("block").agg(F.count("*").alias("classes"))
+    return keyed.join(classes, ["block", "key"]).join(blocks, "block").select("block", "representative", "material_id", "members", "classes")
+
+
 def category_block_pairs(df: DataFrame, key: str | Column = "category") -> DataFrame:
     """Pairs of ids within a block of equal upper-cased category and equal further key, smaller id first."""
     keyed = df.select(F.upper("category").alias("block"), F.col(key).alias("key") if isinstance(key, str) else key.alias("key"), "material_id")

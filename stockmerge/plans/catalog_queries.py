@@ -337,9 +337,10 @@ def _(t):
     return J.candidate_fallback(c.withColumn("category", F.when(F.col("material_id") % 10 != 0, F.col("category"))), c).select("material_id", "candidate_id", "rank")
 
 
-@query("c03_category_block_join", "SELECT a.category AS block, a.material_id, b.material_id AS candidate_id FROM catalog a JOIN catalog b ON a.category = b.category AND a.description = b.description AND a.material_id < b.material_id")
+@query("c03_category_block_join", """WITH c AS (SELECT upper(category) AS block, description, min(material_id) AS representative, count(*) AS members FROM catalog GROUP BY 1, 2)
+  SELECT c.block, representative, material_id, members, count(DISTINCT representative) OVER (PARTITION BY c.block) AS classes FROM catalog m JOIN c ON c.block = upper(m.category) AND c.description = m.description""")
 def _(t):
-    return J.category_block_pairs(t.catalog, "description")
+    return J.category_blocks(t.catalog)
 
 
 @query("c04_signature_match_join", f"SELECT s.material_id, s.signature, g.group_id FROM ({SIGNATURE}) s JOIN (SELECT signature, min(material_id) AS group_id FROM ({SIGNATURE}) x WHERE signature IS NOT NULL GROUP BY 1) g ON g.signature = s.signature")
@@ -504,6 +505,10 @@ def _(t):
     return D.price_spread(t.mapping, t.material)
 
 
-@query("x02_iso7064_check_char")
+CHECK_CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query("x02_iso7064_check_char", f"""SELECT canonical_code, substr('{CHECK_CHARS}', ((37 - list_reduce(list_concat([36::BIGINT], list_transform(list_filter(string_split(regexp_replace(upper(canonical_code), '[^0-9A-Z]', '', 'g'), ''), lambda c: c <> ''), lambda c: strpos('{CHECK_CHARS}', c) - 1)),
+  lambda p, v: ((CASE WHEN (p + v) % 36 = 0 THEN 36 ELSE (p + v) % 36 END) * 2) % 37)) % 36 + 1)::INT, 1) AS check_char FROM material_group WHERE canonical_code IS NOT NULL""")
 def _(t):
     return t.material_group.where("canonical_code IS NOT NULL").select("canonical_code", A.check_char(F.col("canonical_code")).alias("check_char"))

