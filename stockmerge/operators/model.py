@@ -56,6 +56,17 @@ def train(features: DataFrame, trees: int = 300, depth: int = 18, seed: int = 42
     return Pipeline(stages=[*steps, RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)]).fit(weighted)
 
 
+def measured(features: DataFrame, model) -> dict[str, float]:
+    """Accuracy, macro F1 over the labels that occur, and the number of pairs, for labelled features that the model has not seen.  No pairs
+    give zeros."""
+    cells = score(features, model).groupBy("label", "predicted").agg(F.count("*").alias("n")).collect()  # at most the square of six labels
+    n = sum(r["n"] for r in cells)
+    hit = {r["label"]: r["n"] for r in cells if r["label"] == r["predicted"]}
+    total = {name: sum(r["n"] for r in cells if r["label"] == name) + sum(r["n"] for r in cells if r["predicted"] == name) for name in {r["label"] for r in cells}}
+    f1 = [2 * hit.get(name, 0) / k for name, k in total.items()]
+    return {"held_out_pairs": float(n), "held_out_accuracy": sum(hit.values()) / max(1, n), "held_out_macro_f1": sum(f1) / max(1, len(f1))}
+
+
 def importances(model, spark) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame(sorted(((f, float(v)) for f, v in zip(FEATURES, values, strict=True)), key=lambda r: -r[1]), "feature string, importance double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
-from ..functions.text import once
+from ..functions.text import alnum_key, once
 from .harmonize import checkpointed
 from .joins import top_k
 
@@ -88,8 +88,18 @@ def broken_references(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 def split(ids: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """(id, part) by where the id's hash falls; the share of ids follows the cut points at any size."""
-    place = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("double") / 2**32
-    return ids.select("id", F.when(place < train, "train").when(place < train + validation, "val").otherwise("test").alias("part"))
+    return ids.select("id", part(F.col("id").cast("string"), train, validation).alias("part"))
+
+
+def part(key: Column, train: float = 0.70, validation: float = 0.15) -> Column:
+    """train, val or test by where the hash of ``key`` falls; a null key is held out (test)."""
+    place = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32
+    return F.when(place < train, "train").when(place < train + validation, "val").otherwise("test")
+
+
+def text_part(description: str = "description") -> Column:
+    """The part of a record by its text, so that equal texts (but for case and punctuation) are never on both sides."""
+    return part(alnum_key(F.col(description)))
 
 
 def split_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -100,8 +110,6 @@ def split_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def corpus(records: DataFrame, same: int = 6000, other: int = 2000) -> DataFrame:
     """(a, b, label) of the six families; records(material_id, category, description, specification, attributes)."""
-    from ..functions.text import alnum_key
-
     records = checkpointed(records)  # every family reads it
     key = records.select("material_id", alnum_key(F.concat("description", "specification")).alias("key"))
     canon = checkpointed(items(records))

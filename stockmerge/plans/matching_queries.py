@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..operators import matching as M
+from ..operators import pairs as P
 from ..operators import stats as D
 from ..operators import tfidf as T
 from .registry import query
 from .text_queries import FLAT, HEURISTIC, NORMALS, SIMILAR, TOKEN_JACCARD, _normal, sql_ratio
 
 TERMS = lambda w: f"list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
-#: distinct (category, description): id, category; terms of each; idf; unit weights.
+#: where the hash of a text falls, from 0 to 1; texts below 0.7 are the training part
+TEXT_PLACE = lambda d: f"(('0x' || substr(md5(regexp_replace(upper({d}), '[^A-Z0-9]', '', 'g')), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+#: distinct (category, description): id, category; terms of each; idf of the training part; unit weights.
 TFIDF = f"""docs AS (SELECT min(material_id) AS id, category, description FROM catalog GROUP BY 2, 3),
   terms AS (SELECT id, unnest({TERMS("regexp_extract_all(lower(description), '\\w\\w+')")}) AS term FROM docs),
-  vocab AS (SELECT term, count(DISTINCT id) AS df, ln((1 + (SELECT count(*) FROM docs)) / (1 + count(DISTINCT id))) + 1 AS idf FROM terms GROUP BY 1 HAVING count(DISTINCT id) >= 2),
+  train AS (SELECT id FROM docs WHERE {TEXT_PLACE("description")} < 0.70::DOUBLE),
+  vocab AS (SELECT term, count(DISTINCT id) AS df, ln((1 + (SELECT count(*) FROM train)) / (1 + count(DISTINCT id))) + 1 AS idf FROM terms JOIN train USING (id) GROUP BY 1 HAVING count(DISTINCT id) >= 2),
   raw AS (SELECT id, term, count(*) * any_value(idf) AS w FROM terms JOIN vocab USING (term) GROUP BY 1, 2),
   unit AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
 TOP = """dots AS (SELECT a, b, round(cosine, 9) AS cosine FROM (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS cosine FROM unit x JOIN docs dx ON dx.id = x.id JOIN unit y ON y.term = x.term JOIN docs dy ON dy.id = y.id AND dy.category = dx.category WHERE x.id <> y.id GROUP BY 1, 2)),
@@ -28,19 +32,29 @@ def docs(t):
     return t.catalog.groupBy("category", "description").agg(F.min("material_id").alias("id"))
 
 
+def train(d):
+    """The texts that vocabularies and forests may learn from."""
+    return d.where(P.text_part() == "train")
+
+
 def unit(t):
     d, terms = docs(t), T.word_terms(F.col("description"))
-    return d, T.transform(d, terms, T.fit(d, terms))
+    return d, T.transform(d, terms, T.fit(train(d), terms))
 
 
 @query("h01_tfidf_fit", f"WITH {TFIDF} SELECT term, df, round(idf, 9) AS idf FROM vocab")
 def _(t):
-    return T.fit(docs(t), T.word_terms(F.col("description"))).withColumn("idf", F.round("idf", 9))
+    return T.fit(train(docs(t)), T.word_terms(F.col("description"))).withColumn("idf", F.round("idf", 9))
+
+
+_GRAMS = lambda n: f"CASE WHEN length(p) >= {n} THEN list_transform(range(1, length(p) - {n} + 2), lambda i: substr(p, i::INT, {n})) ELSE [p] END"
+CHARS = lambda x: f"flatten(list_transform(list_transform(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''), lambda w: ' ' || w || ' '), lambda p: list_concat({_GRAMS(2)}, {_GRAMS(3)}, {_GRAMS(4)})))"
 
 
-@query("h01_tfidf_fit_chars")
+@query("h01_tfidf_fit_chars", f"""WITH d AS (SELECT DISTINCT category, description FROM catalog WHERE {TEXT_PLACE("description")} < 0.70::DOUBLE)
+  SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1, 9) AS idf FROM (SELECT unnest(list_distinct({CHARS("description")})) AS term FROM d) GROUP BY 1 HAVING count(*) >= 2""")
 def _(t):
-    return T.fit(docs(t), T.char_terms(F.col("description")))
+    return T.fit(train(docs(t)), T.char_terms(F.col("description"))).withColumn("idf", F.round("idf", 9))
 
 
 PAIR_IDS = "SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM pairs p JOIN docs x ON x.category = p.category AND x.description = description_a JOIN docs y ON y.category = p.category AND y.description = description_b WHERE x.id <> y.id"

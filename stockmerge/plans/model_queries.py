@@ -15,8 +15,8 @@ from ..operators import stats as D
 from ..operators.matching import find_matches
 from ..operators.scratch import checkpointed, shared_folder
 from .registry import query
-from .matching_queries import TERMS
-from .text_queries import CRITICAL, FLAT, SQL_NORMAL, SQL_SORTED, sql_ratio
+from .matching_queries import CHARS, FEATURES, TERMS, TEXT_PLACE, train
+from .text_queries import CRITICAL, FLAT, SQL_NORMAL, SQL_SORTED, sql_partial, sql_ratio
 
 
 def records(t):
@@ -155,11 +155,6 @@ def labelled(t):
     return checkpointed(corpus(t).join(side("a", "a"), "a").join(side("b", "b"), "b"))  # read by the features and by both cosines
 
 
-@query("h04_pair_features")
-def _(t):
-    return M.pair_features(t.pairs, t.catalog).select("id_a", "id_b", *M.FEATURES)
-
-
 def content(t) -> str:
     """A name for what the catalog holds, so that a saved model is used for these rows alone."""
     n, h = t.catalog.agg(F.count("*"), F.sum(F.xxhash64(*t.catalog.columns).cast("decimal(38,0)"))).first()
@@ -167,15 +162,19 @@ def content(t) -> str:
 
 
 def models(t) -> str:
-    return f"{shared_folder(t.spark)}/models/{content(t)}"
+    return f"{shared_folder(t.spark)}/models/{content(t)}-train"
 
 
 def registered(t, trees: int = 300, depth: int = 18, path: str | None = None):
-    """(model, version): fitted and registered by the first who asks for it, loaded by all others."""
+    """(model, version): fitted and registered by the first who asks for it, loaded by all others.  It learns from pairs with both texts in
+    the training part and is measured on those with both in the test part."""
     path, version = path or models(t), f"forest-{trees}x{depth}"
     if not M.registered(t.spark, path, version):
-        features = checkpointed(M.pair_features(labelled(t), t.catalog).select("label", *M.FEATURES))
-        M.register(M.train(features, trees, depth), {"trees": float(trees), "depth": float(depth), "pairs": float(features.count())}, version, path, t.spark)
+        part = lambda s: P.text_part(f"description_{s}")
+        features = checkpointed(M.pair_features(labelled(t), train(t.catalog)).select("label", F.when(part("a") == part("b"), part("a")).otherwise("cross").alias("part"), *M.FEATURES))
+        learnt, unseen = features.where("part = 'train'"), features.where("part = 'test'")
+        model = M.train(learnt, trees, depth)
+        M.register(model, {"trees": float(trees), "depth": float(depth), "pairs": float(learnt.count()), **M.measured(unseen, model)}, version, path, t.spark)
     return M.load(t.spark, path, version)
 
 
@@ -184,6 +183,13 @@ def _(t):
     return M.importances(registered(t)[0], t.spark).where("importance > 0")
 
 
+@query("h06_held_out_metrics")
+def _(t):
+    """How the registered forest does on pairs of texts that neither it nor the vocabulary has seen."""
+    registered(t)
+    return M.registry(t.spark, models(t)).where("active").select("version", F.explode("metrics").alias("metric", "value"))
+
+
 @query("d17_feature_importance")
 def _(t):
     return M.importances(registered(t)[0], t.spark)
@@ -191,11 +197,11 @@ def _(t):
 
 @query("h07_score_pairs")
 def _(t):
-    return M.score(M.pair_features(t.pairs, t.catalog), *registered(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier", "model_version")
+    return M.score(M.pair_features(t.pairs, train(t.catalog)), *registered(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier", "model_version")
 
 
 def compared(t):
-    return M.compare(t.pairs, t.catalog, *registered(t))
+    return M.compare(t.pairs, train(t.catalog), *registered(t))
 
 
 @query("h12_compare_pairs")
@@ -206,12 +212,10 @@ def _(t):
 
 
 WORDS = lambda x: TERMS(f"regexp_extract_all(lower({x}), '\\w\\w+')")
-_GRAMS = lambda n: f"CASE WHEN length(p) >= {n} THEN list_transform(range(1, length(p) - {n} + 2), lambda i: substr(p, i::INT, {n})) ELSE [p] END"
-CHARS = lambda x: f"flatten(list_transform(list_transform(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''), lambda w: ' ' || w || ' '), lambda p: list_concat({_GRAMS(2)}, {_GRAMS(3)}, {_GRAMS(4)})))"
 
 
 def sql_cosine(name: str, terms) -> str:
-    """The cosines of the distinct pairs of texts (na, nb) of ``t``, with the vocabulary of ``corpus``."""
+    """The cosines of the distinct pairs of texts (na, nb) of ``t``, with the vocabulary of ``corpus``, the training part."""
     return f"""{name}_v AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1 AS idf FROM (SELECT unnest(list_distinct({terms("text")})) AS term FROM corpus) GROUP BY 1 HAVING count(*) >= 2),
   {name}_r AS (SELECT text, term, count(*) * any_value(idf) AS w FROM (SELECT text, unnest({terms("text")}) AS term FROM (SELECT na AS text FROM t UNION SELECT nb FROM t)) JOIN {name}_v USING (term) GROUP BY 1, 2),
   {name}_u AS (SELECT text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM {name}_r),
@@ -219,7 +223,7 @@ def sql_cosine(name: str, terms) -> str:
 
 
 TEXTS = f"""t AS (SELECT *, {SQL_NORMAL("a")} AS na, {SQL_NORMAL("b")} AS nb, {SQL_SORTED(SQL_NORMAL("a"))} AS sa, {SQL_SORTED(SQL_NORMAL("b"))} AS sb FROM pairs WHERE %s),
-  corpus AS (SELECT DISTINCT {SQL_NORMAL("a").replace("description_a", "description").replace("specification_a", "specification")} AS text FROM catalog)"""
+  corpus AS (SELECT DISTINCT {SQL_NORMAL("a").replace("description_a", "description").replace("specification_a", "specification")} AS text FROM catalog WHERE {TEXT_PLACE("description")} < 0.70::DOUBLE)"""
 UNKNOWN = "category NOT IN (" + ", ".join(f"'{c}'" for c in M.KNOWN) + ")"
 
 
@@ -240,7 +244,19 @@ def _(t):
 def _(t):
     """The text part of the feature vector but for the partial ratio; h03 is the attribute part."""
     rounded = [F.round(c, 9).alias(c) for c in ("word_cosine", "char_cosine", "fuzz_ratio", "fuzz_token_sort")]
-    return M.pair_features(t.pairs, t.catalog).select("id_a", "id_b", *rounded, "len_ratio")
+    return M.pair_features(t.pairs, train(t.catalog)).select("id_a", "id_b", *rounded, "len_ratio")
+
+
+INTEGRAL = [f for f in M.FEATURES if f.startswith("n_") or f.endswith(("_conflict", "_missing")) or f == "same_category"]
+
+
+@query("h04_pair_features", f"""WITH {TEXTS % "true"}, {sql_cosine("word", WORDS)}, {sql_cosine("chars", CHARS)}, f AS MATERIALIZED ({FEATURES})
+  SELECT t.id_a, t.id_b, {", ".join(f"{c}::DOUBLE AS {c}" for c in INTEGRAL)}, round(frac_agree::DOUBLE, 9) AS frac_agree, round(word.cosine, 9) AS word_cosine, round(chars.cosine, 9) AS char_cosine, round(r.ratio, 9) AS fuzz_ratio,
+    round(s.ratio, 9) AS fuzz_token_sort, round(q.partial, 9) AS fuzz_partial, round(CASE WHEN greatest(length(t.na), length(t.nb)) = 0 THEN 1.0::DOUBLE ELSE least(length(t.na), length(t.nb)) / greatest(length(t.na), length(t.nb)) END, 9) AS len_ratio
+  FROM t JOIN f ON f.id_a = t.id_a AND f.id_b = t.id_b JOIN word ON word.na = t.na AND word.nb = t.nb JOIN chars ON chars.na = t.na AND chars.nb = t.nb JOIN {sql_ratio("na", "nb")} r ON r.ta = t.na AND r.tb = t.nb
+    JOIN {sql_ratio("sa", "sb")} s ON s.ta = t.sa AND s.tb = t.sb JOIN {sql_partial("na", "nb")} q ON q.ta = t.na AND q.tb = t.nb""")
+def _(t):
+    return M.pair_features(t.pairs, train(t.catalog)).select("id_a", "id_b", *[F.round(c, 9).alias(c) for c in M.FEATURES])
 
 
 @query("h13_find_matches")
@@ -249,7 +265,7 @@ def _(t):
     from ..operators import harmonize as H
 
     described = checkpointed(H.describe(t.catalog))
-    return find_matches(H.top_matches(described, scorer=M.scorer(t.catalog, *registered(t))))
+    return find_matches(H.top_matches(described, scorer=M.scorer(train(t.catalog), *registered(t))))
 
 
 @query("h18_model_registry", "SELECT v.version, 'random forest' AS algorithm, v.active, CASE WHEN v.active THEN (SELECT count(*) FROM pairs) ELSE 0 END AS scored FROM (VALUES ('forest-20x8', true), ('forest-10x6', false)) v(version, active)")
@@ -259,7 +275,7 @@ def _(t):
     for trees, depth in ((20, 8), (10, 6)):
         registered(t, trees, depth, path)
     M.activate(t.spark, path, "forest-20x8")
-    scored = M.score(M.pair_features(t.pairs, t.catalog), *M.load(t.spark, path)).groupBy(F.col("model_version").alias("version")).agg(F.count("*").alias("scored"))
+    scored = M.score(M.pair_features(t.pairs, train(t.catalog)), *M.load(t.spark, path)).groupBy(F.col("model_version").alias("version")).agg(F.count("*").alias("scored"))
     return M.registry(t.spark, path).join(scored, "version", "left").select("version", "algorithm", "active", F.coalesce("scored", F.lit(0)).alias("scored"))
 
 

@@ -233,7 +233,24 @@ def _(t):
     return t.pairs.select("id_a", "id_b", X.token_sort_ratio(_normal("a"), _normal("b")).alias("token_sort"))
 
 
-@query("g29_partial_ratio")
+#: for texts ca (codes) and cb (codes in lists): one row a character of ca over the starts that the cells of cb carry, after which a window of cb that
+#: begins behind l and ends with r shares as many characters with ca as it has cells of l or less
+WINDOW_ROW = """list_reduce(list_transform(range(1, len(cb) + 1), lambda j: [h[j], cb[j][1]]),
+  lambda x, y: CASE WHEN y[2] = c[1] OR y[1] < x[1] THEN list_append(list_concat([y[1]], x[2:]), x[1]) ELSE list_append(x, y[1]) END, [0::BIGINT])[2:]"""
+WINDOWS = f"list_reduce(list_transform(ca, lambda x: [x]), lambda h, c: {WINDOW_ROW}, range(1, len(cb) + 1))"
+
+
+def sql_partial(a: str, b: str) -> str:
+    """The distinct pairs of texts (ta, tb) of ``t`` with the best ratio of the shorter one and a window of the longer one."""
+    codes = lambda s: f"list_transform(list_filter(string_split({s}, ''), lambda x: x <> ''), lambda x: unicode(x)::BIGINT)"
+    shared = "len(list_filter(h[greatest(s, 0) + 1 : least(s + len(ca), len(cb))], lambda v: v <= greatest(s, 0)))"
+    return f"""(SELECT ta, tb, CASE WHEN len(ca) = 0 THEN (len(cb) = 0)::INT::DOUBLE
+    ELSE list_max(list_transform(range(1 - len(ca), len(cb)), lambda s: 2 * {shared} / (len(ca) + least(s + len(ca), len(cb)) - greatest(s, 0)))) END AS partial
+  FROM (SELECT *, {WINDOWS} AS h FROM (SELECT ta, tb, {codes("low")} AS ca, list_transform({codes("high")}, lambda x: [x]) AS cb
+    FROM (SELECT DISTINCT {a} AS ta, {b} AS tb, CASE WHEN length({a}) > length({b}) THEN {b} ELSE {a} END AS low, CASE WHEN length({a}) > length({b}) THEN {a} ELSE {b} END AS high FROM t))))"""
+
+
+@query("g29_partial_ratio", f"WITH {NORMALS} SELECT id_a, id_b, partial FROM t JOIN {sql_partial('na', 'nb')} r ON ta = na AND tb = nb")
 def _(t):
     return t.pairs.select("id_a", "id_b", X.partial_ratio(_normal("a"), _normal("b")).alias("partial"))
 

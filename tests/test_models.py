@@ -116,3 +116,40 @@ def test_stream_leaves_out_repeats(spark, tmp_path):
     counts, batches = run_with_progress(stream(), "k", str(tmp_path / "progress"), "seen", largest=F.max("k"))
     assert {r["k"]: r["n"] for r in counts.collect()} == {1: 3, 2: 2, 3: 1, 9: 1}
     assert [(r["batch"], r["rows"], r["input_rows"], r["largest"]) for r in batches.orderBy("batch").collect()] == [(0, 3, 3, 2), (1, 3, 3, 9), (2, 1, 1, 3)]
+
+
+def test_measured_on_unseen_pairs(spark, trained):
+    fitted, corpus = trained
+    rows = [("CS PIPE 50MM SCH40", "CS PIPE 50MM SCH40", "EXACT_DUPLICATE")] * 3 + [("CS PIPE 50MM SCH40", "PVC PIPE 100MM SCH160", "NOT_A_MATCH")] * 2 + [("CS PIPE 80MM SCH40", "CS PIPE 80MM SCH40", "VARIANT")]
+    pairs = spark.createDataFrame([("PIPE", a, "", b, "", label) for a, b, label in rows], f"category string, {SIDES}, label string")
+    got = model.measured(model.pair_features(pairs, corpus), fitted)
+    # five of six are right; the label that was never learnt has F1 0, and EXACT_DUPLICATE one false hit
+    assert got == {"held_out_pairs": 6.0, "held_out_accuracy": pytest.approx(5 / 6), "held_out_macro_f1": pytest.approx((6 / 7 + 1 + 0) / 3)}
+    assert model.measured(model.pair_features(pairs.limit(0), corpus), fitted) == {"held_out_pairs": 0.0, "held_out_accuracy": 0.0, "held_out_macro_f1": 0.0}
+
+
+def test_equal_texts_lie_in_one_part(spark):
+    from stockmerge.operators import pairs as P
+
+    rows = [(f"CS PIPE {i}MM",) for i in range(400)] + [(f"cs pipe, {i} mm",) for i in range(400)] + [(None,), ("",)]
+    got = spark.createDataFrame(rows, "description string").withColumn("part", P.text_part()).collect()
+    parts = {r["description"]: r["part"] for r in got}
+    assert all(parts[f"CS PIPE {i}MM"] == parts[f"cs pipe, {i} mm"] for i in range(400))
+    assert 0.6 < sum(p == "train" for p in parts.values()) / len(parts) < 0.8 and set(parts.values()) == {"train", "val", "test"}
+
+
+def test_partial_ratio_by_two_methods():
+    """The SQL reads every window off one table of starts; the function compares window by window."""
+    import duckdb
+
+    from stockmerge.functions.text import partial
+    from stockmerge.plans.text_queries import sql_partial
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("AB1 ") for _ in range(n))
+    rows = [("", ""), ("", "A"), ("A", ""), ("AB", "AB"), ("ABC", "XXABCXX"), ("ÄB", "AÄBA")] + [(word(rng.randint(0, 9)), word(rng.randint(0, 14))) for _ in range(300)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (na VARCHAR, nb VARCHAR)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    got = {(a, b): x for a, b, x in db.execute(f"SELECT * FROM {sql_partial('na', 'nb')}").fetchall()}
+    assert len(got) == len(set(rows)) and all(got[a, b] == pytest.approx(partial(a, b)) for a, b in rows)
