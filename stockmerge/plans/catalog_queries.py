@@ -338,9 +338,10 @@ def _(t):
 
 
 @query("c03_category_block_join", """WITH c AS (SELECT upper(category) AS block, description, min(material_id) AS representative, count(*) AS members FROM catalog GROUP BY 1, 2)
-  SELECT c.block, representative, material_id, members, count(DISTINCT representative) OVER (PARTITION BY c.block) AS classes FROM catalog m JOIN c ON c.block = upper(m.category) AND c.description = m.description""")
+  SELECT c.block, 'member' AS kind, representative, material_id AS other, members - 1 AS links FROM catalog m JOIN c ON c.block = upper(m.category) AND c.description = m.description
+  UNION ALL SELECT x.block, 'pair', x.representative, y.representative, x.members * y.members FROM c x JOIN c y ON x.block = y.block AND x.representative < y.representative""")
 def _(t):
-    return J.category_blocks(t.catalog)
+    return J.category_links(t.catalog)
 
 
 @query("c04_signature_match_join", f"SELECT s.material_id, s.signature, g.group_id FROM ({SIGNATURE}) s JOIN (SELECT signature, min(material_id) AS group_id FROM ({SIGNATURE}) x WHERE signature IS NOT NULL GROUP BY 1) g ON g.signature = s.signature")
