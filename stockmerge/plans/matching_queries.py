@@ -256,6 +256,7 @@ OPEN = f"""{NORMALS}, open AS (SELECT id_a, id_b, 0.40::DOUBLE * {TOKEN_JACCARD(
   WHEN score >= 0.60::DOUBLE THEN 'FUNCTIONALLY_EQUIVALENT' WHEN score >= 0.35::DOUBLE THEN 'NEEDS_REVIEW' ELSE 'NOT_A_MATCH' END AS label FROM open""")
 def _(t):
     a, b = _normal("a"), _normal("b")
-    p = X.once(t.pairs, r=X.indel_ratio(a, b), s=X.token_sort_ratio(a, b), j=X.token_jaccard(F.col("description_a"), F.col("description_b")), g=X.trigram_similarity("description_a", "description_b"))
+    likeness = lambda few: X.once(few, r=X.indel_ratio(a, b), s=X.token_sort_ratio(a, b), j=X.token_jaccard(F.col("description_a"), F.col("description_b")), g=X.trigram_similarity("description_a", "description_b"))
+    p = X.per_content(t.pairs, [f"{c}_{s}" for c in ("description", "specification") for s in "ab"], likeness)
     score, label = M.open_domain(F.col("j"), F.col("g"), F.col("s"), F.col("r"), F.lit(True))
     return p.select("id_a", "id_b", F.round(score, 4).alias("score"), label.alias("label"))

@@ -165,13 +165,18 @@ def models(t) -> str:
     return f"{shared_folder(t.spark)}/models/{content(t)}-train"
 
 
+def learned(t):
+    """The distinct texts that vocabularies may learn from."""
+    return train(t.catalog.select("description", "specification").distinct())
+
+
 def registered(t, trees: int = 300, depth: int = 18, path: str | None = None):
     """(model, version): fitted and registered by the first who asks for it, loaded by all others.  It learns from pairs with both texts in
     the training part and is measured on those with both in the test part."""
     path, version = path or models(t), f"forest-{trees}x{depth}"
     if not M.registered(t.spark, path, version):
         part = lambda s: P.text_part(f"description_{s}")
-        features = checkpointed(M.pair_features(labelled(t), train(t.catalog)).select("label", F.when(part("a") == part("b"), part("a")).otherwise("cross").alias("part"), *M.FEATURES))
+        features = checkpointed(M.pair_features(labelled(t), learned(t)).select("label", F.when(part("a") == part("b"), part("a")).otherwise("cross").alias("part"), *M.FEATURES))
         learnt, unseen = features.where("part = 'train'"), features.where("part = 'test'")
         model = M.train(learnt, trees, depth)
         M.register(model, {"trees": float(trees), "depth": float(depth), "pairs": float(learnt.count()), **M.measured(unseen, model)}, version, path, t.spark)
@@ -197,11 +202,11 @@ def _(t):
 
 @query("h07_score_pairs")
 def _(t):
-    return M.score(M.pair_features(t.pairs, train(t.catalog)), *registered(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier", "model_version")
+    return M.score_pairs(t.pairs, learned(t), *registered(t)).select("id_a", "id_b", "predicted", "match_probability", "label_probability", "tier", "model_version")
 
 
 def compared(t):
-    return M.compare(t.pairs, train(t.catalog), *registered(t))
+    return M.compare(t.pairs, learned(t), *registered(t))
 
 
 @query("h12_compare_pairs")
@@ -244,7 +249,7 @@ def _(t):
 def _(t):
     """The text part of the feature vector but for the partial ratio; h03 is the attribute part."""
     rounded = [F.round(c, 9).alias(c) for c in ("word_cosine", "char_cosine", "fuzz_ratio", "fuzz_token_sort")]
-    return M.pair_features(t.pairs, train(t.catalog)).select("id_a", "id_b", *rounded, "len_ratio")
+    return M.pair_features(t.pairs, learned(t)).select("id_a", "id_b", *rounded, "len_ratio")
 
 
 INTEGRAL = [f for f in M.FEATURES if f.startswith("n_") or f.endswith(("_conflict", "_missing")) or f == "same_category"]
@@ -256,7 +261,7 @@ INTEGRAL = [f for f in M.FEATURES if f.startswith("n_") or f.endswith(("_conflic
   FROM t JOIN f ON f.id_a = t.id_a AND f.id_b = t.id_b JOIN word ON word.na = t.na AND word.nb = t.nb JOIN chars ON chars.na = t.na AND chars.nb = t.nb JOIN {sql_ratio("na", "nb")} r ON r.ta = t.na AND r.tb = t.nb
     JOIN {sql_ratio("sa", "sb")} s ON s.ta = t.sa AND s.tb = t.sb JOIN {sql_partial("na", "nb")} q ON q.ta = t.na AND q.tb = t.nb""")
 def _(t):
-    return M.pair_features(t.pairs, train(t.catalog)).select("id_a", "id_b", *[F.round(c, 9).alias(c) for c in M.FEATURES])
+    return M.pair_features(t.pairs, learned(t)).select("id_a", "id_b", *[F.round(c, 9).alias(c) for c in M.FEATURES])
 
 
 @query("h13_find_matches")
@@ -265,7 +270,7 @@ def _(t):
     from ..operators import harmonize as H
 
     described = checkpointed(H.describe(t.catalog))
-    return find_matches(H.top_matches(described, scorer=M.scorer(train(t.catalog), *registered(t))))
+    return find_matches(H.top_matches(described, scorer=M.scorer(learned(t), *registered(t))))
 
 
 @query("h18_model_registry", "SELECT v.version, 'random forest' AS algorithm, v.active, CASE WHEN v.active THEN (SELECT count(*) FROM pairs) ELSE 0 END AS scored FROM (VALUES ('forest-20x8', true), ('forest-10x6', false)) v(version, active)")
@@ -275,7 +280,7 @@ def _(t):
     for trees, depth in ((20, 8), (10, 6)):
         registered(t, trees, depth, path)
     M.activate(t.spark, path, "forest-20x8")
-    scored = M.score(M.pair_features(t.pairs, train(t.catalog)), *M.load(t.spark, path)).groupBy(F.col("model_version").alias("version")).agg(F.count("*").alias("scored"))
+    scored = M.score_pairs(t.pairs, learned(t), *M.load(t.spark, path)).groupBy(F.col("model_version").alias("version")).agg(F.count("*").alias("scored"))
     return M.registry(t.spark, path).join(scored, "version", "left").select("version", "algorithm", "active", F.coalesce("scored", F.lit(0)).alias("scored"))
 
 
