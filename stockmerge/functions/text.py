@@ -22,7 +22,8 @@ def per_content(df: DataFrame, columns: list[str], work, cut=lambda d: d) -> Dat
     """What ``work`` adds to rows of ``columns``, worked out once for each distinct content of them and joined to all rows; so repeated texts cost
     a join and no more.  ``cut`` may checkpoint the distinct rows, if ``work`` reads them more than once."""
     keyed = df.withColumn("_content", content_key(*columns))
-    few = work(cut(keyed.select("_content", *columns).dropDuplicates(["_content"])))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each may be costly
+    few = work(cut(keyed.select("_content", *columns).dropDuplicates(["_content"]).repartition(tasks)))
     return keyed.join(few.drop(*[c for c in df.columns if c in few.columns]), "_content").drop("_content")
 
 
@@ -66,11 +67,6 @@ def trigram_similarity(a, b) -> Column:
     return set_jaccard(trigrams(a), trigrams(b))
 
 
-def per_text_pair(df: DataFrame, a: Column, b: Column, **columns) -> DataFrame:
-    """Adds columns f(a, b) of two texts, each distinct pair of texts once."""
-    return per_content(once(df, _a=a, _b=b), ["_a", "_b"], lambda few: once(few, **{k: f(F.col("_a"), F.col("_b")) for k, f in columns.items()})).drop("_a", "_b")
-
-
 def length_ratio(a, b) -> Column:
     low, high = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     return F.when(high == 0, 1.0).otherwise(low / high)
