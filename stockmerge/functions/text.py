@@ -21,10 +21,10 @@ def content_key(*columns: str) -> Column:
 def per_content(df: DataFrame, columns: list[str], work, cut=lambda d: d) -> DataFrame:
     """What ``work`` adds to rows of ``columns``, worked out once for each distinct content of them and joined to all rows; so repeated texts cost
     a join and no more.  ``cut`` may checkpoint the distinct rows, if ``work`` reads them more than once."""
-    keyed = df.withColumn("_content", content_key(*columns))
+    keyed = df.withColumn("content_key_", content_key(*columns))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each may be costly
-    few = work(cut(keyed.select("_content", *columns).dropDuplicates(["_content"]).repartition(tasks)))
-    return keyed.join(few.drop(*[c for c in df.columns if c in few.columns]), "_content").drop("_content")
+    few = work(cut(keyed.select("content_key_", *columns).dropDuplicates(["content_key_"]).repartition(tasks)))
+    return keyed.join(few.drop(*[c for c in df.columns if c in few.columns]), "content_key_").drop("content_key_")
 
 
 def text(c: str | Column) -> Column:
