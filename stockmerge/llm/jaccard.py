@@ -49,7 +49,8 @@ class Rule:
         return n - -(-n * self.least.numerator // self.least.denominator) + 1
 
 
-_CODES = Codes(lambda word: xxhash.xxh3_64_intdigest(word) - (1 << 63))  # kept between the tasks of a Python worker
+# kept between the tasks of a Python worker; few, as a hash costs little
+_CODES = Codes(lambda word: xxhash.xxh3_64_intdigest(word) - (1 << 63), limit=200_000)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:

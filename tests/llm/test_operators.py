@@ -47,6 +47,31 @@ def empty(spark):
     return frame(spark, [])
 
 
+# words that a Python worker remembers between its tasks
+def test_codes_are_bounded_and_of_one_operator_at_a_time():
+    from stockmerge.llm import decontaminate, jaccard
+    from stockmerge.llm.common import Codes, word_code
+
+    few = Codes(limit=100)
+    many = [f"w{i % 170}" for i in range(1000)] + ["long" * 1000]
+    most = 0
+
+    def counted(word):
+        nonlocal most
+        most = max(most, len(few))
+        return word_code(word)
+
+    few.code = counted
+    assert few.array(many).tolist() == [word_code(w) for w in many]  # one text with more words than are remembered
+    assert most <= 100 and len(few) <= 100 and "long" * 1000 not in few
+    text = " ".join(f"Word{i}" for i in range(300))
+    for _ in range(2):
+        jaccard.shingles(text, 5)
+        assert len(jaccard._CODES) == 300 and not decontaminate._KNOWN and not few
+        decontaminate.readings(text)
+        assert decontaminate._KNOWN and not jaccard._CODES
+
+
 # 1
 def line_chunks(text):
     lines = text.split("\n")
