@@ -11,7 +11,8 @@ All n-grams stand in one global order (rare first, then by hash), which is cut i
 
 Components need no pair inside a component that is known already.  So a bucket first links its members with its
 leader (linear), and only members of different components are then compared with each other, all of them.  Before that a
-pair is bounded by coarse counts: its overlap is at most the sum of the smaller counts in SKETCH pieces.
+pair is bounded by coarse counts: its overlap is at most the sum of the smaller counts in SKETCH pieces, and before that in as few
+pieces as a set's size allows, so that the rows of the buckets stay narrow.
 Pairs are never rows: tiles hold arrays, and of the links of a tile a spanning forest is sent.
 """
 
@@ -177,8 +178,11 @@ def prefixes(docs: DataFrame, rule: Rule, order: Order) -> DataFrame:
 
 
 def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(bucket, lead, key) for the buckets with at least two classes; lead is the first of a bucket.  A task walks its n-grams by set
-    size and holds one row; a part ends where two neighbouring sizes are too far apart for any link across."""
+    """(bucket, lead, key, often) for the buckets with at least two classes; lead is the first of a bucket.  A task walks its n-grams by set
+    size and holds one row; a part ends where two neighbouring sizes are too far apart for any link across.
+
+    Near copies share most of their n-grams, and so many buckets with the same members.  A bucket that lies within a batch is named by the
+    hash of its members: such buckets become one, with ``often``, their number.  (Should two hashes meet, more pairs are looked at.)"""
     a, b = rule.least.numerator, rule.least.denominator
     dealt = rows.repartition("gram").sortWithinPartitions("gram", "n", "key")
 
@@ -199,10 +203,14 @@ def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
             lead = np.where(own == 0, key[0] if last is None else last[4], key[own])
             keep = (np.r_[False, joined] | np.r_[joined, False]) & ~sent
             last, part = (gram[-1], n[-1], key[-1], bool(keep[-1] or sent[-1]), lead[-1]), int(parts[-1])
-            bucket = mix(gram.view(np.uint64) + parts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            bucket = mix(gram.view(np.uint64) + parts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            start = np.flatnonzero(np.r_[True, ~joined])
+            named = np.repeat(mix(np.add.reduceat(mix(key.view(np.uint64)), start)), np.diff(np.r_[start, len(key)]))
+            bucket = np.where((own > 0) & (own < start[-1]), named, bucket).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(lead[keep]), pa.array(key[keep])], ["bucket", "lead", "key"])
 
-    return dealt.mapInArrow(run, "bucket long, lead long, key long")
+    found = dealt.mapInArrow(run, "bucket long, lead long, key long")
+    return found.groupBy("bucket", "lead", "key").agg(F.count("*").alias("often"))
 
 
 def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -222,7 +230,7 @@ _TILE = "tile long, split int, keys array<long>, ns array<int>"
 def leader_tiles(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Tiles of a leader and the classes that share most buckets with it, if their sketches allow a link.  A leader with many
     followers heads several tiles."""
-    met = members.where("lead <> key").groupBy("lead", "key").agg(F.count("*").alias("often"))
+    met = members.where("lead <> key").groupBy("lead", "key").agg(F.sum("often").alias("often"))
     pairs = met.groupBy("key").agg(F.max_by("lead", F.struct("often", "lead")).alias("lead"))
     side = lambda p, key: classes.select(F.col("key").alias(key), F.col("n").alias(f"n_{p}"), F.col("counts").alias(f"counts_{p}"))
 
@@ -293,49 +301,27 @@ EARLY = 8
 
 def bucket_tiles(members: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, near: int = 48, block: int = 1024) -> DataFrame:
     """Tiles that hold every pair of members of one bucket in different components whose sketches allow a link.
-    members: bucket, key.  All such pairs are looked at, in arrays of two ``block`` rows or so.
+    members: bucket, key.  All such pairs are looked at, in arrays of two ``block`` rows or so: first at folded sketches, then, where
+    these allow a link, at whole ones.
 
-    Two classes that share several buckets are looked at in the first of them: each class carries its EARLY
-    largest buckets, and a pair that has one before this in common was there.  (A pair whose common buckets come later in
+    Two classes that share several buckets have their whole sketches looked at in the first of them: each class carries its EARLY
+    largest buckets of those in which it has a partner, and a pair that has one before this in common was there.  (A pair whose common buckets come later in
     its lists may be looked at again, which costs time but changes nothing.)"""
-    dealt = cut(cells(members, labels, block))
+    dealt = cut(possible(cells(members, labels, block), classes, rule, near))
     early = dealt.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("bucket")), 1, EARLY).alias("early"))
     rows = dealt.join(early, "key").join(classes.select("key", "n", "counts"), "key")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "side", "key")
 
-    def kept(batch, i, j):
-        far = batch.comp[i] != batch.comp[j]
-        i, j = i[far], j[far]
-        new = ~batch.met_before(i, j)
-        i, j = i[new], j[new]
-        fits = likely(rule, batch.n, batch.counts, i, j)
-        return i[fits], j[fits]
-
-    def all_pairs(batch, a, b):
-        """Kept pairs of two ranges of rows, or of one range with itself, a few rows at a time."""
-        out, step = [], max(1, (1 << 16) // max(1, b[1] - b[0]))
-        for s in range(a[0], a[1], step):
-            i, j = np.meshgrid(np.arange(s, min(a[1], s + step)), np.arange(*b), indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            if a == b:
-                i, j = i[i < j], j[i < j]
-            out.append(kept(batch, i, j))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-
     def run(batches):
         for part in _whole(batches, "cell"):
             if not part.num_rows:
                 continue
-            batch = _Cells(part)
-            small = np.repeat(batch.size <= near, batch.size)
-            at, end = np.arange(len(small)), np.repeat(batch.start + batch.size, batch.size)
-            pairs = [kept(batch, i, i + d) for d in range(1, min(near, int(batch.size.max()))) for i in [at[small & (at + d < end)]] if len(i)]
+            batch = _Sketched(part, rule)
+            pairs = batch.near_pairs(near)
             used = np.unique(np.concatenate([x for p in pairs for x in p])) if pairs else np.zeros(0, np.int64)
             tiles = [(int(batch.cell[g[0]]), 0, g) for g in np.split(used, np.flatnonzero(np.diff(batch.cell[used])) + 1) if len(g)]
             tiles = [t for tile, _, g in tiles for t in _split(batch, tile, g, g)]
-            for s, k in zip(batch.start[batch.size > near].tolist(), batch.size[batch.size > near].tolist(), strict=True):
-                half = s + int((batch.side[s : s + k] == 0).sum()) if batch.cross[s] else s
-                i, j = all_pairs(batch, (s, half if batch.cross[s] else s + k), (half, s + k))
+            for s, i, j in batch.crowded_pairs(near):
                 if batch.cross[s]:
                     tiles += _split(batch, int(batch.cell[s]), np.unique(i), np.unique(j), list(zip(i, j, strict=True)) if len(i) < 1000 else None)
                 else:
@@ -346,21 +332,138 @@ def bucket_tiles(members: DataFrame, classes: DataFrame, labels: DataFrame, rule
     return rows.mapInArrow(run, _TILE)
 
 
+_CELL = "cell long, bucket long, side int, cross boolean, key long, comp long"
+
+
+def possible(dealt: DataFrame, classes: DataFrame, rule: Rule, near: int = 48) -> DataFrame:
+    """The rows of ``cells`` that have a partner in their cell by a first look at folded sketches.  Whole sketches then travel for these rows
+    alone, not for every member of every bucket.  Folding only raises the bound of a pair, so no link is lost."""
+    rows = dealt.join(folded(classes, rule), "key").select(*(c.split()[0] for c in _CELL.split(", ")), "n", "few")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "side", "key")
+
+    def run(batches):
+        for part in _whole(batches, "cell"):
+            if part.num_rows:
+                batch, found = _Folded(part, rule), np.zeros(part.num_rows, bool)
+                for i, j in batch.near_pairs(near):
+                    found[i] = found[j] = True
+                for _, i, j in batch.crowded_pairs(near):
+                    found[i] = found[j] = True
+                yield part.drop_columns(["n", "few"]).filter(pa.array(found))
+
+    return rows.mapInArrow(run, _CELL)
+
+
+def widths(rule: Rule, n: np.ndarray) -> np.ndarray:
+    """To how many pieces the sketch of a set of n n-grams is folded: the fewest (a power of two) that tell unlike sets apart.  With m n-grams
+    a piece, the bound of two random sets falls short of their size by 0.566 / sqrt(m), with a deviation of 0.424 / sqrt(m * pieces);
+    it is to lie 3.3 deviations below the least overlap."""
+    short = max(1e-3, float((1 - rule.least) / (1 + rule.least)))
+    choices = 1 << np.arange(4, SKETCH.bit_length())
+    most = choices * ((0.566 - 1.4 / np.sqrt(choices)) / short) ** 2
+    return choices[np.minimum(np.searchsorted(most, n), len(choices) - 1)]
+
+
+def folded(classes: DataFrame, rule: Rule) -> DataFrame:
+    """(key, n, few): the sketches of the classes, folded to ``widths`` pieces (low bits again)."""
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            n = column(batch, "n").to_numpy().astype(np.int64)
+            counts, few = _counts(column(batch, "counts").to_pylist()), [b""] * len(n)
+            width = widths(rule, n)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                for i, c in zip(at.tolist(), _fold(counts[at], w), strict=True):
+                    few[i] = c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "n"), pa.array(few, pa.binary())], ["key", "n", "few"])
+
+    return classes.select("key", "n", "counts").mapInArrow(run, "key long, n int, few binary")
+
+
+def _fold(counts: np.ndarray, width: int) -> np.ndarray:
+    return counts.reshape(len(counts), -1, width).sum(1, dtype=np.int32)
+
+
 class _Cells:
-    """The columns of a batch of whole cells."""
+    """The columns of a batch of whole cells, and the pairs of a cell that ``fits`` lets pass."""
+
+    def __init__(self, batch, rule):
+        self.take, self.rule = lambda c: column(batch, c).to_numpy(zero_copy_only=False), rule
+        self.cell, self.bucket, self.side, self.cross, self.key, self.comp = map(self.take, ("cell", "bucket", "side", "cross", "key", "comp"))
+        self.n = self.take("n").astype(np.int64)
+        self.start = np.flatnonzero(np.r_[True, self.cell[1:] != self.cell[:-1]])
+        self.size = np.diff(np.r_[self.start, len(self.cell)])
+
+    def kept(self, i, j):
+        far = self.comp[i] != self.comp[j]
+        i, j = i[far], j[far]
+        fits = self.fits(i, j)
+        return i[fits], j[fits]
+
+    def near_pairs(self, near: int) -> list:
+        """Kept pairs of the cells of ``near`` rows at most, one distance of two rows at a time."""
+        small = np.repeat(self.size <= near, self.size)
+        at, end = np.arange(len(small)), np.repeat(self.start + self.size, self.size)
+        return [self.kept(i, i + d) for d in range(1, min(near, int(self.size.max()))) for i in [at[small & (at + d < end)]] if len(i)]
+
+    def crowded_pairs(self, near: int):
+        """The first row of each larger cell and the cell's kept pairs."""
+        for s, k in zip(self.start[self.size > near].tolist(), self.size[self.size > near].tolist(), strict=True):
+            half = s + int((self.side[s : s + k] == 0).sum()) if self.cross[s] else s
+            yield s, *self.all_pairs((s, half if self.cross[s] else s + k), (half, s + k))
+
+    def all_pairs(self, a, b):
+        """Kept pairs of two ranges of rows, or of one range with itself, a few rows at a time."""
+        out, step = [], max(1, (1 << 16) // max(1, b[1] - b[0]))
+        for s in range(a[0], a[1], step):
+            i, j = np.meshgrid(np.arange(s, min(a[1], s + step)), np.arange(*b), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            out.append(self.kept(i, j))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
+class _Folded(_Cells):
+    """With folded sketches; two of different widths are compared at the smaller one."""
+
+    def __init__(self, batch, rule):
+        super().__init__(batch, rule)
+        self.width, blobs = widths(rule, self.n), column(batch, "few").to_pylist()
+        self.tables = {w: np.zeros((len(blobs), w), np.int32) for w in np.unique(self.width).tolist()}
+        for w in self.tables:
+            at = np.flatnonzero(self.width == w)
+            own = np.stack([np.frombuffer(blobs[i], np.uint8 if len(blobs[i]) == w else np.uint32) for i in at.tolist()])
+            for less in self.tables:
+                if less <= w:
+                    self.tables[less][at] = _fold(own, less)
+
+    def fits(self, i, j):
+        out, width = np.zeros(len(i), bool), np.minimum(self.width[i], self.width[j])
+        for w, table in self.tables.items():
+            at = np.flatnonzero(width == w)
+            out[at] = likely(self.rule, self.n, table, i[at], j[at])
+        return out
+
 
-    def __init__(self, batch):
-        take = lambda c: column(batch, c).to_numpy(zero_copy_only=False)
-        self.cell, self.bucket, self.side, self.cross, self.key, self.comp = map(take, ("cell", "bucket", "side", "cross", "key", "comp"))
-        self.n = take("n").astype(np.int64)
+class _Sketched(_Cells):
+    """With whole sketches; pairs that met in an earlier bucket are left out."""
+
+    def __init__(self, batch, rule):
+        super().__init__(batch, rule)
         self.counts = _counts(column(batch, "counts").to_pylist())
         lists = column(batch, "early")
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
         self.early = np.full((len(lengths), EARLY), np.iinfo(np.int64).max)
         row = np.repeat(np.arange(len(lengths)), lengths)
         self.early[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = lists.flatten().to_numpy()
-        self.start = np.flatnonzero(np.r_[True, self.cell[1:] != self.cell[:-1]])
-        self.size = np.diff(np.r_[self.start, len(self.cell)])
+
+    def fits(self, i, j):
+        out = ~self.met_before(i, j)
+        at = np.flatnonzero(out)
+        out[at] = likely(self.rule, self.n, self.counts, i[at], j[at])
+        return out
 
     def met_before(self, i, j):
         now = self.bucket[i]

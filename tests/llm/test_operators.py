@@ -267,6 +267,51 @@ def test_ngram_jaccard_counts_by_fragment(spark):
     assert edges == 36 + 3 and j.summed_links(parts.where("piece <> 3"), tiles, rule).count() < edges
 
 
+def test_ngram_jaccard_equal_buckets_are_one(spark):
+    """Near copies share many n-grams: their buckets have the same members and become one, with their number."""
+    from fractions import Fraction
+
+    from stockmerge.llm.jaccard import Rule, shared_grams
+
+    rows = [(g, k, 100) for g in range(1000) for k in ((1, 2) if g % 2 else (1, 2, 3))] + [(5000 + k, k, 100) for k in range(50)] + [(7000, k, n) for k, n in ((8, 50), (9, 100))]
+    out = shared_grams(spark.createDataFrame(rows, "gram long, key long, n int"), Rule(3, Fraction(9, 10))).collect()
+    members = {}
+    for r in out:
+        assert r["lead"] == 1
+        members.setdefault(r["bucket"], {})[r["key"]] = r["often"]
+    assert {tuple(sorted(m)) for m in members.values()} == {(1, 2), (1, 2, 3)}
+    assert all(len(set(m.values())) == 1 for m in members.values())
+    assert [sum(m[1] for m in members.values() if len(m) == n) for n in (2, 3)] == [500, 500]
+    assert len(members) <= 2 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ngram_jaccard_first_look(spark):
+    """Of the members of a bucket only those with a partner get whole sketches; folded ones are narrow and lose no link."""
+    from fractions import Fraction
+
+    from stockmerge.llm import jaccard as j
+
+    rule, rng = j.Rule(3, Fraction(9, 10)), np.random.default_rng(5)
+    sets = {k: rng.integers(0, 1 << 63, 300 if k < 140 else 3000, np.uint64) for k in range(150)}
+    near = [(3, 77), (20, 101), (141, 149)]
+    for a, b in near:
+        sets[b] = np.r_[sets[a][: len(sets[a]) * 96 // 100], sets[b][: len(sets[a]) * 4 // 100]]
+    n = int(j.widths(rule, np.arange(1, 1000)).searchsorted(32)) + 1  # widths change here
+    sets[30] = rng.integers(0, 1 << 63, n, np.uint64)
+    sets[31] = sets[30][:-1]
+    counts = {k: j.sketch(s) for k, s in sets.items()}
+    classes = spark.createDataFrame([(k, len(s), bytearray(counts[k].astype(np.uint8).tobytes())) for k, s in sets.items()], "key long, n int, counts binary")
+    few = {r["key"]: len(r["few"]) for r in j.folded(classes, rule).collect()}
+    assert few[0] == 32 and few[140] == 64 and (few[30], few[31]) == (32, 16)
+    members = spark.createDataFrame([(7, k) for k in sets], "bucket long, key long")
+    labels = spark.createDataFrame([(k, k) for k in sets], "key long, comp long")
+    for block in (64, 1024):
+        left = {r["key"] for r in j.possible(j.cells(members, labels, block), classes, rule).collect()}
+        assert left >= {x for p in [*near, (30, 31)] for x in p} and len(left) <= 15
+        tiles = j.bucket_tiles(members, classes, labels, rule, block=block).collect()
+        assert all(any(a in t["keys"] and b in t["keys"] for t in tiles) for a, b in [*near, (30, 31)])
+
+
 def test_keep_first(spark):
     from stockmerge.llm.jaccard import keep_first
 
