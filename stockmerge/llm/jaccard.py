@@ -11,8 +11,8 @@ All n-grams stand in one global order (rare first, then by hash), which is cut i
 
 Components need no pair inside a component that is known already.  So a bucket first links its members with its
 leader (linear), and only members of different components are then compared with each other, all of them.  Before that a
-pair is bounded by coarse counts: its overlap is at most the sum of the smaller counts in SKETCH pieces, and before that in as few
-pieces as a set's size allows, so that the rows of the buckets stay narrow.
+pair is bounded by coarse counts: its overlap is at most the sum of the smaller counts in SKETCH pieces (more for long sets, as
+many as it takes to tell them apart), and before that in as few pieces as a set's size allows, so that the rows of the buckets stay narrow.
 Pairs are never rows: tiles hold arrays, and of the links of a tile a spanning forest is sent.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Codes, bitmap_of, column, cut, mix, slices, texts_of, windows
 
-SKETCH, PIECES = 256, 8  # pieces of a set for bounds; fragments of the global order
+SKETCH, PIECES = 256, 8  # least pieces of a set for bounds; fragments of the global order
 COUNTERS, SLICE = 1 << 18, 1 << 13
 TILE, TILE_ELEMENTS = 256, 1 << 20  # most classes on one side of a tile, and about so many n-grams
 BITS = 1 << 24
@@ -64,9 +64,14 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(windows(codes, min(words, len(found))))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """How many n-grams lie in each of SKETCH pieces (low bits of the hash; the global order uses the high ones)."""
-    return np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+def sketch(s: np.ndarray, width: int = SKETCH) -> np.ndarray:
+    """How many n-grams lie in each of ``width`` pieces (low bits of the hash; the global order uses the high ones)."""
+    return np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A sketch in bytes, or with counts beyond them in four bytes each.  Which it is, the sum tells: the counts add up to the set's size."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
 def counter(h: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ class Order:
         return [dealt[i:j].tobytes() for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)]
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
+def describe(docs: DataFrame, words: int, rule: Rule = Rule()) -> DataFrame:
     """One row for each document (kind 0: doc_id, text_id, key, n, its sketch) and, for each task, slices of its
     n-gram counters (kind 1: key is the slice)."""
 
@@ -110,8 +115,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(text, words)
                 keys.append(set_key(s))
                 ns.append(len(s))
-                c = sketch(s)
-                counts.append(c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes())
+                counts.append(packed(sketch(s, max(SKETCH, int(widths(rule, len(s)))))))
                 if len(s):
                     np.add.at(seen, counter(s), 1)
             yield _rows([0] * len(ns), column(batch, "doc_id"), column(batch, "text_id"), keys, ns, counts)
@@ -213,15 +217,43 @@ def shared_grams(rows: DataFrame, rule: Rule) -> DataFrame:
     return found.groupBy("bucket", "lead", "key").agg(F.count("*").alias("often"))
 
 
-def likely(rule: Rule, n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) have sizes and sketches that allow a link."""
-    need = rule.overlap(n[i], n[j])
-    out = need <= np.minimum(n[i], n[j])
-    at = np.flatnonzero(out)
-    for k in range(0, len(at), 1 << 14):
-        part = at[k : k + (1 << 14)]
-        out[part] = np.minimum(counts[i[part]], counts[j[part]]).sum(1, dtype=np.int32) >= need[part]
-    return out
+class Sketches:
+    """Sketches of the sets of a batch; two of different widths are compared at the smaller one."""
+
+    def __init__(self, rule: Rule, n: np.ndarray, blobs: list[bytes]):
+        self.rule, self.n, self.tables = rule, n, {}
+        self.width, self.at = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        size, parts = np.array([len(c) for c in blobs], np.int64), {}
+        for length in np.unique(size).tolist():
+            rows = np.flatnonzero(size == length)
+            counts = np.frombuffer(b"".join([blobs[i] for i in rows.tolist()]), np.uint8).reshape(-1, length)
+            bytes_ = counts.sum(1, dtype=np.int64) == n[rows]
+            for some, own in ((bytes_, counts), (~bytes_, counts.view(np.uint32))):
+                if some.any():
+                    parts.setdefault(own.shape[1], []).append((rows[some], own[some]))
+        for w, found in parts.items():
+            rows = np.concatenate([r for r, _ in found])
+            self.width[rows], self.at[rows] = w, np.arange(len(rows))
+            self.tables[w] = np.concatenate([c for _, c in found])
+
+    def folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of rows of one width, folded to ``width`` pieces (low bits again)."""
+        counts = self.tables[int(self.width[rows[0]])][self.at[rows]]
+        return counts if counts.shape[1] == width else counts.reshape(len(rows), -1, width).sum(1, dtype=np.int32)
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) have sizes and sketches that allow a link."""
+        need = self.rule.overlap(self.n[i], self.n[j])
+        out = need <= np.minimum(self.n[i], self.n[j])
+        for a in self.tables:
+            for b in self.tables:
+                at = np.flatnonzero(out & (self.width[i] == a) & (self.width[j] == b))
+                step = max(1, (1 << 22) // max(a, b))
+                for k in range(0, len(at), step):
+                    part = at[k : k + step]
+                    both = [self.folded(x[part], min(a, b)) for x in (i, j)]
+                    out[part] = np.minimum(*both).sum(1, dtype=np.int32) >= need[part]
+        return out
 
 
 _TILE = "tile long, split int, keys array<long>, ns array<int>"
@@ -239,8 +271,8 @@ def leader_tiles(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFram
             m = batch.num_rows
             if m:
                 n = np.r_[column(batch, "n_a").to_numpy(), column(batch, "n_b").to_numpy()].astype(np.int64)
-                counts = _counts(column(batch, "counts_a").to_pylist() + column(batch, "counts_b").to_pylist())
-                fits = pa.array(likely(rule, n, counts, np.arange(m), np.arange(m, 2 * m)))
+                both = Sketches(rule, n, column(batch, "counts_a").to_pylist() + column(batch, "counts_b").to_pylist())
+                fits = pa.array(both.likely(np.arange(m), np.arange(m, 2 * m)))
                 yield pa.RecordBatch.from_arrays([column(batch, c).filter(fits) for c in ("lead", "n_a", "key", "n_b")], ["lead", "n_a", "key", "n_b"])
 
     near = cut(pairs.join(side("a", "lead"), "lead").join(side("b", "key"), "key").mapInArrow(run, "lead long, n_a int, key long, n_b int"))
@@ -355,36 +387,32 @@ def possible(dealt: DataFrame, classes: DataFrame, rule: Rule, near: int = 48) -
 
 
 def widths(rule: Rule, n: np.ndarray) -> np.ndarray:
-    """To how many pieces the sketch of a set of n n-grams is folded: the fewest (a power of two) that tell unlike sets apart.  With m n-grams
+    """How many pieces the sketch of a set of n n-grams has: the fewest (a power of two) that tell unlike sets apart.  With m n-grams
     a piece, the bound of two random sets falls short of their size by 0.566 / sqrt(m), with a deviation of 0.424 / sqrt(m * pieces);
     it is to lie 3.3 deviations below the least overlap."""
     short = max(1e-3, float((1 - rule.least) / (1 + rule.least)))
-    choices = 1 << np.arange(4, SKETCH.bit_length())
+    choices = 1 << np.arange(4, 25)
     most = choices * ((0.566 - 1.4 / np.sqrt(choices)) / short) ** 2
     return choices[np.minimum(np.searchsorted(most, n), len(choices) - 1)]
 
 
 def folded(classes: DataFrame, rule: Rule) -> DataFrame:
-    """(key, n, few): the sketches of the classes, folded to ``widths`` pieces (low bits again)."""
+    """(key, n, few): the sketches of the classes, folded to ``widths`` pieces."""
 
     def run(batches):
         for batch in slices(batches, 4096):
             n = column(batch, "n").to_numpy().astype(np.int64)
-            counts, few = _counts(column(batch, "counts").to_pylist()), [b""] * len(n)
-            width = widths(rule, n)
-            for w in np.unique(width).tolist():
-                at = np.flatnonzero(width == w)
-                for i, c in zip(at.tolist(), _fold(counts[at], w), strict=True):
-                    few[i] = c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
+            own, few = Sketches(rule, n, column(batch, "counts").to_pylist()), [b""] * len(n)
+            width = np.minimum(widths(rule, n), own.width)
+            for w, whole in np.unique(np.c_[width, own.width], axis=0).tolist():
+                at = np.flatnonzero((width == w) & (own.width == whole))
+                for i, c in zip(at.tolist(), own.folded(at, w), strict=True):
+                    few[i] = packed(c)
             yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "n"), pa.array(few, pa.binary())], ["key", "n", "few"])
 
     return classes.select("key", "n", "counts").mapInArrow(run, "key long, n int, few binary")
 
 
-def _fold(counts: np.ndarray, width: int) -> np.ndarray:
-    return counts.reshape(len(counts), -1, width).sum(1, dtype=np.int32)
-
-
 class _Cells:
     """The columns of a batch of whole cells, and the pairs of a cell that ``fits`` lets pass."""
 
@@ -426,25 +454,11 @@ class _Cells:
 
 
 class _Folded(_Cells):
-    """With folded sketches; two of different widths are compared at the smaller one."""
+    """With folded sketches."""
 
     def __init__(self, batch, rule):
         super().__init__(batch, rule)
-        self.width, blobs = widths(rule, self.n), column(batch, "few").to_pylist()
-        self.tables = {w: np.zeros((len(blobs), w), np.int32) for w in np.unique(self.width).tolist()}
-        for w in self.tables:
-            at = np.flatnonzero(self.width == w)
-            own = np.stack([np.frombuffer(blobs[i], np.uint8 if len(blobs[i]) == w else np.uint32) for i in at.tolist()])
-            for less in self.tables:
-                if less <= w:
-                    self.tables[less][at] = _fold(own, less)
-
-    def fits(self, i, j):
-        out, width = np.zeros(len(i), bool), np.minimum(self.width[i], self.width[j])
-        for w, table in self.tables.items():
-            at = np.flatnonzero(width == w)
-            out[at] = likely(self.rule, self.n, table, i[at], j[at])
-        return out
+        self.fits = Sketches(rule, self.n, column(batch, "few").to_pylist()).likely
 
 
 class _Sketched(_Cells):
@@ -452,7 +466,7 @@ class _Sketched(_Cells):
 
     def __init__(self, batch, rule):
         super().__init__(batch, rule)
-        self.counts = _counts(column(batch, "counts").to_pylist())
+        self.sketches = Sketches(rule, self.n, column(batch, "counts").to_pylist())
         lists = column(batch, "early")
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
         self.early = np.full((len(lengths), EARLY), np.iinfo(np.int64).max)
@@ -462,7 +476,7 @@ class _Sketched(_Cells):
     def fits(self, i, j):
         out = ~self.met_before(i, j)
         at = np.flatnonzero(out)
-        out[at] = likely(self.rule, self.n, self.counts, i[at], j[at])
+        out[at] = self.sketches.likely(i[at], j[at])
         return out
 
     def met_before(self, i, j):
@@ -523,12 +537,6 @@ def _whole(batches, by: str):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _counts(blobs: list[bytes]) -> np.ndarray:
-    if all(len(c) == SKETCH for c in blobs):
-        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, SKETCH)
-    return np.stack([np.frombuffer(c, np.uint8 if len(c) == SKETCH else np.uint32) for c in blobs]).astype(np.int32)
-
-
 def cut_sets(tiles: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, order: Order) -> DataFrame:
     """(tile, split, m, piece, pos, grams): the fragments of the sets of all members of the tiles.  Only documents that some tile
     needs are cut: a bitmap of fixed size keeps the others at home (what it lets through in error, the join drops)."""
@@ -704,7 +712,7 @@ def grouped(docs: DataFrame, words: int = 5, least: Fraction | str = "4/5", lead
     """(doc_id, text_id, n, first_id, first_text) for every row of doc_id, text_id and text: the size of its set, and the least
     (doc_id, text_id) of its component.  Rows without n-grams or id have no first."""
     rule = Rule(words, Fraction(least))
-    described = cut(describe(docs, words))
+    described = cut(describe(docs, words, rule))
     rows = described.where("kind = 0").select("doc_id", "text_id", "key", "n", "counts")
     place = F.struct("doc_id", "text_id")
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("counts").alias("counts")))

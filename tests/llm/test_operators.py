@@ -312,6 +312,41 @@ def test_ngram_jaccard_first_look(spark):
         assert all(any(a in t["keys"] and b in t["keys"] for t in tiles) for a, b in [*near, (30, 31)])
 
 
+def test_ngram_jaccard_long_sets(spark):
+    """The longer a set, the more pieces its sketch has: long texts that share an n-gram by chance come into no tile, near copies do, across
+    widths too; a count beyond a byte is read back."""
+    from stockmerge.llm import jaccard as j
+
+    rng = np.random.default_rng(11)
+    rows = {i: [f"w{x}" for x in rng.integers(0, 1 << 40, 9000)] for i in range(24)}
+    rows |= {30: [f"w{x}" for x in rng.integers(0, 1 << 40, 4900)], 40: [f"w{x}" for x in rng.integers(0, 1 << 40, 100)]}
+    near = [(3, 17), (30, 31)]
+    rows[17] = rows[3][:8800] + rows[17][:200]
+    rows[31] = rows[30][:4600]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    classes = j.cut(j.describe(docs.withColumn("text_id", F.xxhash64("text")), 5).where("kind = 0").select("key", "doc_id", "n", "counts"))
+    by_id = {r["doc_id"]: r for r in classes.collect()}
+    key = {i: r["key"] for i, r in by_id.items()}
+    members = spark.createDataFrame([(7, key[0], k, 1) for k in key.values()], "bucket long, lead long, key long, often long")
+    labels = members.select("key", F.col("key").alias("comp"))
+    met = lambda tiles: {frozenset((a, b)) for t in tiles.collect() for a in t["keys"][: t["split"] or None] for b in t["keys"][t["split"] :] if a != b}
+    want = {frozenset((key[a], key[b])) for a, b in near}
+    for near_rows in (4, 48):
+        assert met(j.bucket_tiles(members.select("bucket", "key"), classes, labels, j.Rule(), near=near_rows)) >= want
+        assert {x for p in met(j.bucket_tiles(members.select("bucket", "key"), classes, labels, j.Rule(), near=near_rows)) for x in p} == {x for p in want for x in p}
+    assert j.leader_tiles(members, classes, j.Rule()).count() == 0
+    heads = spark.createDataFrame([(7, key[a], key[b], 1) for a, b in near], "bucket long, lead long, key long, often long")
+    assert met(j.leader_tiles(heads, classes, j.Rule())) == want
+    assert len(by_id[30]["counts"]) == 2 * len(by_id[31]["counts"]) == 2 * j.SKETCH and len(by_id[40]["counts"]) == j.SKETCH
+    sizes = [600, 600, 9000]
+    some = [np.r_[300, 300, np.zeros(254, int)], np.r_[299, 301, np.zeros(254, int)], j.sketch(rng.integers(0, 1 << 63, 9000, np.uint64), 512)]
+    both = j.Sketches(j.Rule(), np.array(sizes), [j.packed(c) for c in some])
+    assert both.likely(np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
+    assert all(both.folded(np.array([i]), len(c)).tolist() == [c.tolist()] for i, c in enumerate(some))
+    fine = j.Sketches(j.Rule(), np.array([9000, 9000]), [j.packed(some[2]), j.packed(some[2].reshape(2, 256).sum(0))])
+    assert fine.likely(np.array([0, 1]), np.array([1, 0])).all()
+
+
 def test_keep_first(spark):
     from stockmerge.llm.jaccard import keep_first
 
